@@ -21,7 +21,8 @@ def from_columns(df: DataFrame, cols: Sequence[str], order_by: str | Sequence[st
 
     ``row_id`` names a column that already holds dense 0-based ids (used as
     is, so a range predicate on it reaches the Parquet scan); otherwise the
-    rows are numbered by ``order_by`` with :func:`with_row_id`.
+    rows are numbered by ``order_by`` with :func:`with_row_id`.  With
+    neither, ids are unique but not dense (for order-free aggregates).
     """
     feats = F.array(*[F.col(c).cast("double") for c in cols])
     return _rows(df, feats, order_by, row_id, keep)
@@ -38,7 +39,8 @@ def _rows(df: DataFrame, feats: Column, order_by, row_id, keep) -> DataFrame:
     if row_id is not None:
         return df.select(F.col(row_id).cast("long").alias(ROW_ID), feats.alias(FEATURES), *keep)
     if order_by is None:
-        raise ValueError("give either row_id (dense ids) or order_by")
+        # order-free use (aggregates): unique but not dense ids, no shuffle
+        return df.select(F.monotonically_increasing_id().alias(ROW_ID), feats.alias(FEATURES), *keep)
     from matstream.operators.rowid import with_row_id
 
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
