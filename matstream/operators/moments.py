@@ -93,7 +93,7 @@ def total_variance(gram_cells: DataFrame) -> DataFrame:
 # --- chunk moments (A10) -------------------------------------------------------------------
 
 def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, np.ndarray] | None = None,
-                  col: str = FEATURES) -> DataFrame:
+                  col: str = FEATURES, key_type: str = "int") -> DataFrame:
     """A10: per chunk ``n``, column sum and upper-triangle Gram ``Y'Y`` as cells.
 
     Cells ``chunk, i, j, v``: ``(-1, -1)`` is the count, ``(-1, j)`` the
@@ -135,10 +135,12 @@ def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, n
             j = np.concatenate([[-1], np.arange(d), ju]).astype(np.int32)
             v = np.concatenate([[float(n)], s1, G[iu, ju]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(v), key, np.int32)), pa.array(i), pa.array(j), pa.array(v)],
+                [pa.array(np.full(len(v), key, np.int64 if key_type == "long" else np.int32)),
+                 pa.array(i), pa.array(j), pa.array(v)],
                 names=["chunk", "i", "j", "v"])
 
-    partial = df.select(F.col(chunk_col).cast("int"), F.col(col)).mapInArrow(kernel, CELLS_SCHEMA)
+    schema = CELLS_SCHEMA if key_type == "int" else "chunk LONG, i INT, j INT, v DOUBLE"
+    partial = df.select(F.col(chunk_col).cast(key_type), F.col(col)).mapInArrow(kernel, schema)
     return partial.groupBy("chunk", "i", "j").agg(F.sum("v").alias("v"))
 
 

@@ -20,15 +20,22 @@ _POS_BITS = 33  # monotonically_increasing_id: partition id << 33 | record numbe
 
 
 def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_ID,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add a dense 0-based ``id_col`` in the order of ``order_by``.
 
     The key must be unique (add tie-breaking columns otherwise): then the
     numbering is deterministic and a recomputed partition after an executor
     loss gets the same ids.  The numbered frame is persisted (memory and
     disk) so the count job and the offset join read one materialisation.
+
+    With ``partition_by`` the ids are dense within each group.  The range
+    partitioning is on ``(group, order)``, so a group holding a third of all
+    rows is still spread over many partitions; the offsets are per (group,
+    partition), a table bounded by the partitions times the groups per
+    partition.
     """
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    groups = list(partition_by)
+    keys = groups + ([order_by] if isinstance(order_by, str) else list(order_by))
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
@@ -40,13 +47,23 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
         .drop("_mid")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    # one row per partition: a table whose size is bounded by the partition count
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))
-    offsets = offsets.cache()
-    offsets.count()
-    out = tagged.join(F.broadcast(offsets), "_pid").withColumn(id_col, (F.col("_off") + F.col("_pos")).cast("long"))
+    if groups:
+        # rows of one group inside one partition are contiguous and sorted, so
+        # position within the group = position in partition - first position of the group there
+        counts = tagged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+        running = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("_pid", *groups, (F.coalesce(F.sum("_n").over(running), F.lit(0))
+                                                  - F.col("_p0")).alias("_off"))
+        offsets = offsets.persist(StorageLevel.MEMORY_AND_DISK)
+        out = tagged.join(offsets, ["_pid", *groups])
+    else:
+        # one row per partition: a table whose size is bounded by the partition count
+        counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+        running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off")).cache()
+        offsets.count()
+        out = tagged.join(F.broadcast(offsets), "_pid")
+    out = out.withColumn(id_col, (F.col("_off") + F.col("_pos")).cast("long"))
     return out.drop("_pid", "_pos", "_off")
 
 

@@ -121,8 +121,28 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     t0 = time.perf_counter()
     states = _chunk_states(rows, d)
     moments_s = time.perf_counter() - t0
-    bounds = {c: (first, last) for c, lo, hi, first, last in sched.chunk_bounds()}
+    models, stats_rows = run_recursion(states, sched, d, k, subsample, max_iter, tolerance, calc_error, q,
+                                       subsample_norm, seed, dataset, moments_s)
+    S, V = models[-1]
+
+    model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
+                  for t, (Sm, Vm) in enumerate(models) for c in range(k)]
+    model_df = spark.createDataFrame(model_rows, MODEL_SCHEMA)
+    stats_df = spark.createDataFrame(stats_rows, STATS_SCHEMA)
+    scores = score_by_step(rows, sched, models, spark)
+    rows.unpersist(blocking=False)
+    return SlidingResult(scores, model_df, stats_df, sched, S, V, models, stats_rows)
+
 
+def run_recursion(states: dict, sched: Schedule, d: int, k: int, subsample: int, max_iter: int = 1,
+                  tolerance: float = 0.05, calc_error: bool = False, q: int = 10, subsample_norm: int = 1,
+                  seed="validation", dataset: str = "", moments_s: float = 0.0):
+    """The sequential recursion over steps on chunk moments (driver or one small group).
+
+    ``states``: chunk -> [n, mean, within-chunk centred Gram]; updated in place.
+    Returns the model ``(S, V)`` after every step and the stats rows.
+    """
+    bounds = {c: (first, last) for c, lo, hi, first, last in sched.chunk_bounds()}
     S = None
     V = np.zeros((d, k))
     models, stats_rows = [], []
@@ -130,7 +150,7 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         t0 = time.perf_counter()
         live = [c for c, (first, last) in bounds.items() if first <= t <= last and c in states]
         if t > 0:
-            for c in live:  # the whole window is deflated by the current V (SK: step 2)
+            for c in live:  # the whole window is deflated by the current V
                 st = states[c]
                 st[1] = la.deflate_vec(st[1], V)
                 st[2] = la.deflate_gram(st[2], V)
@@ -144,20 +164,14 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         else:
             S, V, swapped = replace_component(S, V, res.S, res.V, k)
             if swapped:
-                change_at.append(sched.steps[t][3])
+                change_at.append(int(sched.steps[t][3]))
         spec = window_spectral_error(C, n_w, V, seed, salt=2 * t + 1)
         models.append((S.copy(), V.copy()))
-        stats_rows.append((t, t + 1, "matstream", dataset, int(n_w), int(d), res.n_iter, prep + (moments_s if t == 0 else 0.0),
-                           [float(x) for x in res.sketch_s], res.avg_sketch_s, prep + sum(res.sketch_s),
-                           res.sigma_k1, spec, [float(e) for e in res.errors], change_at))
-
-    model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
-                  for t, (Sm, Vm) in enumerate(models) for c in range(k)]
-    model_df = spark.createDataFrame(model_rows, MODEL_SCHEMA)
-    stats_df = spark.createDataFrame(stats_rows, STATS_SCHEMA)
-    scores = score_by_step(rows, sched, models, spark)
-    rows.unpersist(blocking=False)
-    return SlidingResult(scores, model_df, stats_df, sched, S, V, models, stats_rows)
+        pre = prep + (moments_s if t == 0 else 0.0)
+        stats_rows.append((t, t + 1, "matstream", dataset, int(n_w), int(d), res.n_iter, pre,
+                           [float(x) for x in res.sketch_s], res.avg_sketch_s, pre + sum(res.sketch_s),
+                           float(res.sigma_k1), float(spec), [float(e) for e in res.errors], change_at))
+    return models, stats_rows
 
 
 def score_by_step(rows: DataFrame, sched: Schedule, models: list, spark: SparkSession) -> DataFrame:
@@ -180,17 +194,97 @@ def change_points(stats: DataFrame) -> DataFrame:
     return stats.select("step", F.explode("change_at").alias("row_id"))
 
 
+def _keyed_schedule_cols(n: "F.Column", block: int, stride: int, max_slides: int | None):
+    """Per-key ``T`` (last step) and the last step's drop bound, as expressions of the key's row count."""
+    T = F.ceil((n - F.lit(block)) / F.lit(stride)).cast("int")
+    if max_slides is not None:
+        T = F.least(T, F.lit(max_slides))
+    last_lo = F.lit(block) + (T - 1) * F.lit(stride)
+    st = F.least(F.lit(stride), n - last_lo)
+    ldh = F.when(T > 0, (T - 1) * F.lit(stride) + st).otherwise(F.lit(0))
+    end = F.when(T > 0, last_lo + st).otherwise(F.lit(block))
+    return T, ldh, end
+
+
 def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, stride: int, subsample: int,
-                       max_iter: int = 1, max_slides: int | None = 20, seed="validation",
+                       max_iter: int = 1, max_slides: int | None = 20, tolerance: float = 0.05,
+                       calc_error: bool = False, q: int = 10, subsample_norm: int = 1, seed="validation",
                        order_by: str = ROW_ID, col: str = FEATURES) -> DataFrame:
     """:func:`sliding_pca` run independently for every key (the scale-out form).
 
-    Rows are numbered within each key by ``order_by`` (a window partitioned by
-    the key, so no global ordering), tagged with chunk ids, reduced to chunk
-    moments by Spark (cells keyed by ``key, chunk, i, j``), and every key's
-    recursion runs in ``applyInPandas`` over its small moment table.  A hot
-    key costs only more rows in the distributed moment pass; its group in the
-    recursion is still ``chunks * d^2`` numbers.  Output: ``keys..., step,
-    comp, sigma, v``.
+    Rows are numbered within each key by ``order_by`` (range partitioning on
+    ``(key, order)``, so a hot key is spread over many tasks), tagged with
+    chunk ids from the key's own schedule, and reduced to chunk moments by
+    Spark (cells keyed by ``gid, chunk, i, j``).  Every key's recursion runs
+    in ``applyInPandas`` over its moment table of ``chunks * d^2`` numbers, so
+    a hot key costs more rows in the distributed pass only.  Keys with fewer
+    than ``block`` rows are skipped.  Output: the scores ``keys..., row_id,
+    step, scores`` of every scheduled row (``row_id`` dense within the key).
     """
-    raise NotImplementedError
+    from matstream.operators.rowid import with_row_id
+
+    spark = df.sparkSession
+    base = df.select(*keys, F.col(order_by).alias("_ord"), F.col(col).cast("array<double>").alias(FEATURES))
+    numbered = with_row_id(base, "_ord", id_col=ROW_ID, partition_by=keys)
+    # one row per key: the key's count, its dense group id and its schedule bounds
+    per_key = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block)
+    per_key = with_row_id(per_key, keys, id_col="gid")
+    T, ldh, end = _keyed_schedule_cols(F.col("_n"), block, stride, max_slides)
+    per_key = per_key.select(*keys, "gid", "_n", T.alias("_T"), ldh.alias("_ldh"), end.alias("_end")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    rid = F.col(ROW_ID)
+    first = F.when(rid < F.lit(block), F.lit(0)).otherwise(
+        F.floor((rid - F.lit(block)) / F.lit(stride)).cast("int") + F.lit(1))
+    last = F.when(rid >= F.col("_ldh"), F.col("_T")).otherwise(
+        F.least(F.floor(rid / F.lit(stride)).cast("int"), F.greatest(F.col("_T") - 1, F.lit(0))))
+    rows = (numbered.join(per_key, keys).where(rid < F.col("_end"))
+            .select(*keys, "gid", ROW_ID, FEATURES, first.alias("step"),
+                    (F.col("gid") * F.lit(1 << 31) + first * (F.col("_T") + 1) + last).alias("gchunk"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+    # chunk means (rows of a chunk are contiguous ids of one key), then within-chunk centred Grams
+    means = rows.groupBy("gchunk").agg(vector_to_array(Summarizer.mean(array_to_vector(FEATURES))).alias("_m"))
+    centred = rows.join(means, "gchunk").select(
+        "gchunk", F.zip_with(FEATURES, "_m", lambda x, m: x - m).alias(FEATURES))
+    cells = mo.chunk_moments(centred.withColumnRenamed("gchunk", "chunk"), "chunk", key_type="long")
+    cells = cells.join(means.withColumnRenamed("gchunk", "chunk"), "chunk") \
+        .select((F.col("chunk") / F.lit(1 << 31)).cast("long").alias("gid"),
+                (F.col("chunk") % F.lit(1 << 31)).cast("int").alias("chunk"), "i", "j", "v",
+                F.when((F.col("i") == -1) & (F.col("j") == -1), F.col("_m")).alias("m"))
+    cells = cells.join(per_key.select("gid", "_n"), "gid")
+
+    params = dict(k=k, block=block, stride=stride, subsample=subsample, max_iter=max_iter, max_slides=max_slides,
+                  tolerance=tolerance, calc_error=calc_error, q=q, subsample_norm=subsample_norm, seed=seed)
+
+    def per_group(pdf):
+        import pandas as pd
+        gid = int(pdf["gid"].iloc[0])
+        n_key = int(pdf["_n"].iloc[0])
+        sched = window_schedule(n_key, params["block"], params["stride"], params["max_slides"])
+        means_by_chunk = {int(c): np.asarray(m, np.float64) for c, m in
+                          zip(pdf["chunk"], pdf["m"]) if m is not None}
+        d = len(next(iter(means_by_chunk.values())))
+        states = {}
+        for c, g in pdf.groupby("chunk"):
+            i, j, v = g["i"].to_numpy(), g["j"].to_numpy(), g["v"].to_numpy()
+            n = int(round(v[(i == -1) & (j == -1)].sum()))
+            s1 = np.zeros(d)
+            sm = (i == -1) & (j >= 0)
+            s1[j[sm]] = v[sm]
+            G = np.zeros((d, d))
+            gm = i >= 0
+            G[i[gm], j[gm]] = v[gm]
+            G = G + np.triu(G, 1).T
+            states[int(c)] = [n, means_by_chunk[int(c)] + s1 / n, G - np.outer(s1, s1) / n]
+        models, _ = run_recursion(states, sched, d, params["k"], params["subsample"], params["max_iter"],
+                                  params["tolerance"], params["calc_error"], params["q"],
+                                  params["subsample_norm"], params["seed"])
+        return pd.DataFrame({"gid": [gid] * len(models), "step": list(range(len(models))),
+                             "comps": [[list(map(float, Vm[:, c])) for c in range(Vm.shape[1])]
+                                       for _, Vm in models]})
+
+    models = cells.groupBy("gid").applyInPandas(per_group, "gid LONG, step INT, comps ARRAY<ARRAY<DOUBLE>>")
+    joined = rows.join(models, ["gid", "step"])
+    scores = F.transform("comps", lambda v: F.aggregate(F.zip_with(FEATURES, v, lambda a, b: a * b),
+                                                        F.lit(0.0), lambda acc, x: acc + x))
+    return joined.select(*keys, ROW_ID, "step", scores.alias("scores"))
