@@ -143,10 +143,24 @@ def run_recursion(states: dict, sched: Schedule, d: int, k: int, subsample: int,
     Returns the model ``(S, V)`` after every step and the stats rows.
     """
     bounds = {c: (first, last) for c, lo, hi, first, last in sched.chunk_bounds()}
-    S = None
-    V = np.zeros((d, k))
+    models, stats_rows, _, _ = advance(states, bounds, range(sched.last + 1), d, k, subsample, max_iter,
+                                       tolerance, calc_error, q, subsample_norm, seed,
+                                       enter_lo=lambda t: int(sched.steps[t][3]), dataset=dataset,
+                                       moments_s=moments_s)
+    return models, stats_rows
+
+
+def advance(states: dict, bounds: dict, steps, d: int, k: int, subsample: int, max_iter: int = 1,
+            tolerance: float = 0.05, calc_error: bool = False, q: int = 10, subsample_norm: int = 1,
+            seed="validation", S=None, V=None, enter_lo=None, dataset: str = "", moments_s: float = 0.0):
+    """Run the given steps of the recursion from ``(S, V)``; ``bounds``: chunk -> (first, last) step.
+
+    Chunk states must already carry the deflations of the steps before the
+    first one run here.  Returns ``(models, stats_rows, S, V)``.
+    """
+    V = np.zeros((d, k)) if V is None else V
     models, stats_rows = [], []
-    for t in range(sched.last + 1):
+    for t in steps:
         t0 = time.perf_counter()
         live = [c for c, (first, last) in bounds.items() if first <= t <= last and c in states]
         if t > 0:
@@ -164,14 +178,14 @@ def run_recursion(states: dict, sched: Schedule, d: int, k: int, subsample: int,
         else:
             S, V, swapped = replace_component(S, V, res.S, res.V, k)
             if swapped:
-                change_at.append(int(sched.steps[t][3]))
+                change_at.append(int(enter_lo(t)))
         spec = window_spectral_error(C, n_w, V, seed, salt=2 * t + 1)
         models.append((S.copy(), V.copy()))
         pre = prep + (moments_s if t == 0 else 0.0)
         stats_rows.append((t, t + 1, "matstream", dataset, int(n_w), int(d), res.n_iter, pre,
                            [float(x) for x in res.sketch_s], res.avg_sketch_s, pre + sum(res.sketch_s),
                            float(res.sigma_k1), float(spec), [float(e) for e in res.errors], change_at))
-    return models, stats_rows
+    return models, stats_rows, S, V
 
 
 def score_by_step(rows: DataFrame, sched: Schedule, models: list, spark: SparkSession) -> DataFrame:
