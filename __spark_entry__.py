@@ -201,6 +201,26 @@ def q_row_max(spark, sf_dir):
     return mo.row_max(_rows(spark, sf_dir)).select(ROW_ID, _r6(F.col("v")).alias("v"))
 
 
+_LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _lineitem_rows(spark, sf_dir):
+    # lineitem has no unique key: order-free operators only (unique, non-dense ids)
+    return from_columns(_t(spark, sf_dir, "lineitem"), _LI_COLS)
+
+
+def q_lineitem_column_stats(spark, sf_dir):
+    st = mo.column_stats(_lineitem_rows(spark, sf_dir), ("mean", "max"))
+    z = st.select(F.posexplode(F.arrays_zip("mean", "max")).alias("j", "s"))
+    return z.select(F.col("j").cast("int").alias("j"), _r6(F.col("s.mean")).alias("mean"),
+                    _r6(F.greatest(F.col("s.max"), F.lit(0.0))).alias("max"))
+
+
+def q_lineitem_sketch_svd(spark, sf_dir):
+    res = sketch_svd(_lineitem_rows(spark, sf_dir), k=1, subsample=2, max_iter=4, seed="validation")
+    return singular_values_frame(spark, res)
+
+
 def q_matrix_sum(spark, sf_dir):
     emb = _t(spark, sf_dir, "embeddings")
     cells = emb.select("label", F.posexplode("embedding").alias("p", "v")).select(
@@ -558,6 +578,10 @@ from (select distinct vec_id::BIGINT as row_id from embeddings) e left join (
     q["expand_windows"] = f"{_sched(BLOCK, STRIDE, 20)} {expand}"
     q["expand_windows_short"] = f"{_sched(97, 41, None)} {expand}"
     q["row_count"] = "select count(*) as n from lineitem"
+    li = " union all ".join(
+        f"select {j}::INTEGER as j, {_r(f'avg({c})')} as mean, {_r(f'greatest(max({c}), 0)')} as max from lineitem"
+        for j, c in enumerate(_LI_COLS))
+    q["lineitem_column_stats"] = li
     q["column_sum"] = f"select j, {_r('sum(v)')} as v from ({_CELLS}) group by j"
     q["column_mean"] = f"select j, {_r('avg(v)')} as v from ({_CELLS}) group by j"
     q["column_abs_sum"] = f"select j, {_r('sum(abs(v))')} as v from ({_CELLS}) group by j"
