@@ -37,6 +37,7 @@ from matstream.plans.sketch import sketch_from_gram
 from matstream.sources.frames import FEATURES, ROW_ID
 
 BROADCAST_MODEL_BYTES = 64 << 20
+DRIVER_STATE_BYTES = 512 << 20
 
 MODEL_SCHEMA = "step INT, comp INT, sigma DOUBLE, v ARRAY<DOUBLE>"
 STATS_SCHEMA = ("step INT, block_num INT, app STRING, dataset STRING, n_rows BIGINT, n_cols INT, n_iter INT, "
@@ -82,17 +83,81 @@ def window_spectral_error(C: np.ndarray, n: int, V: np.ndarray, seed="validation
 
 
 def _chunk_states(rows: DataFrame, d: int) -> dict[int, list]:
-    """Chunk -> [n, mean, within-chunk centred Gram] from two Spark aggregates."""
-    means = (rows.groupBy("chunk")
-             .agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(array_to_vector(FEATURES))).alias("m"))
-             .toArrow())
-    shift = {int(c): np.asarray(m, np.float64) for c, m in
-             zip(means.column("chunk").to_pylist(), means.column("m").to_pylist())}
-    cells = mo.chunk_moments(rows, "chunk", shift=shift)
-    out = {}
-    for c, (n, s1, G) in mo.collect_moments(cells, d).items():
-        out[c] = [n, shift[c] + s1 / n, G - np.outer(s1, s1) / n]
-    return out
+    """Chunk -> [n, mean, within-chunk centred Gram] for every chunk of ``rows`` (small inputs)."""
+    return dict(_ChunkStates(rows, d).load_range(None, None))
+
+
+class _ChunkStates:
+    """Within-chunk centred moments, reduced by Spark, fetched to the driver by ranges of chunk ids.
+
+    Chunk means come from one aggregate and are joined back to the rows in
+    Spark (AQE broadcasts the means table when it is small), so nothing
+    proportional to the number of chunks is broadcast from the driver.  The
+    moment cells are persisted; the recursion fetches them band by band and
+    drops chunks that have left the window, so the driver holds the live
+    chunks only.
+    """
+
+    def __init__(self, rows: DataFrame, d: int):
+        self.d = d
+        means = rows.groupBy("chunk").agg(
+            vector_to_array(Summarizer.mean(array_to_vector(FEATURES))).alias("_m"))
+        centred = rows.join(means, "chunk").select(
+            "chunk", F.zip_with(FEATURES, "_m", lambda x, m: x - m).alias(FEATURES))
+        cells = mo.chunk_moments(centred, "chunk")
+        mean_cells = means.select("chunk", F.lit(-2).alias("i"), F.posexplode("_m").alias("j", "v"))
+        self.cells = cells.unionByName(mean_cells.select("chunk", "i", F.col("j").cast("int").alias("j"), "v")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+
+    def load_range(self, lo: int | None, hi: int | None) -> dict[int, list]:
+        sel = self.cells
+        if lo is not None:
+            sel = sel.where((F.col("chunk") >= F.lit(lo)) & (F.col("chunk") < F.lit(hi)))
+        tbl = sel.toArrow()
+        ch = tbl.column("chunk").to_numpy()
+        ii, jj, vv = (tbl.column(c).to_numpy() for c in ("i", "j", "v"))
+        out = {}
+        d = self.d
+        for key in np.unique(ch).tolist():
+            m = ch == key
+            i, j, v = ii[m], jj[m], vv[m]
+            n = int(round(v[(i == -1) & (j == -1)].sum()))
+            mean = np.zeros(d)
+            mm = i == -2
+            mean[j[mm]] = v[mm]
+            s1 = np.zeros(d)
+            sm = (i == -1) & (j >= 0)
+            s1[j[sm]] = v[sm]
+            G = np.zeros((d, d))
+            gm = i >= 0
+            G[i[gm], j[gm]] = v[gm]
+            G = G + np.triu(G, 1).T
+            out[key] = [n, mean + s1 / n, G - np.outer(s1, s1) / n]
+        return out
+
+    def release(self):
+        self.cells.unpersist(blocking=False)
+
+
+class _BandedStates(dict):
+    """A dict of chunk states filled band by band of entry steps as the recursion asks for them."""
+
+    def __init__(self, source: _ChunkStates, sched: Schedule, band: int):
+        super().__init__()
+        self.source, self.sched, self.band = source, sched, band
+        self.loaded_to = 0   # entry steps [0, loaded_to) are loaded
+        self.width = sched.last + 1
+
+    def ensure(self, t: int):
+        while self.loaded_to <= t:
+            lo, hi = self.loaded_to, min(self.loaded_to + self.band, self.width)
+            # chunk id = first * (T + 1) + last: entry steps [lo, hi) are one id range
+            self.update(self.source.load_range(lo * self.width, hi * self.width))
+            self.loaded_to = hi
+
+    def drop_before(self, t: int, bounds: dict):
+        for c in [c for c in self if bounds[c][1] < t]:
+            del self[c]
 
 
 def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int, max_iter: int = 1,
@@ -119,10 +184,16 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         raise ValueError(f"need k <= d - 3 and block >= k + 3 (k={k}, d={d}, block={block})")
 
     t0 = time.perf_counter()
-    states = _chunk_states(rows, d)
+    source = _ChunkStates(rows, d)
+    # chunk moments reach the driver a band of entry steps at a time (all at once when the run is short)
+    band = sched.last + 1 if (sched.last + 1) * 2 * d * d * 8 <= DRIVER_STATE_BYTES else \
+        max(1, DRIVER_STATE_BYTES // (2 * d * d * 8))
+    states = _BandedStates(source, sched, band)
+    states.ensure(0)
     moments_s = time.perf_counter() - t0
     models, stats_rows = run_recursion(states, sched, d, k, subsample, max_iter, tolerance, calc_error, q,
                                        subsample_norm, seed, dataset, moments_s)
+    source.release()
     S, V = models[-1]
 
     model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
@@ -162,6 +233,9 @@ def advance(states: dict, bounds: dict, steps, d: int, k: int, subsample: int, m
     models, stats_rows = [], []
     for t in steps:
         t0 = time.perf_counter()
+        if isinstance(states, _BandedStates):
+            states.ensure(t)
+            states.drop_before(t, bounds)
         live = [c for c, (first, last) in bounds.items() if first <= t <= last and c in states]
         if t > 0:
             for c in live:  # the whole window is deflated by the current V

@@ -57,3 +57,13 @@ def test_by_key_equals_each_slice(spark):
         a = res.scores.orderBy("row_id").toPandas()
         b = out[out.label == lab].sort_values("row_id")
         assert np.abs(np.array(list(a.scores)) - np.array(list(b.scores))).max() < 1e-10
+
+
+def test_banded_driver_state_gives_same_result(emb_rows, monkeypatch):
+    import matstream.plans.sliding as sl
+
+    a = sliding_pca(emb_rows, k=3, block=97, stride=41, subsample=2, max_iter=2, max_slides=None)
+    monkeypatch.setattr(sl, "DRIVER_STATE_BYTES", 2 * 64 * 64 * 8 * 2)   # two entry steps per band
+    b = sliding_pca(emb_rows, k=3, block=97, stride=41, subsample=2, max_iter=2, max_slides=None)
+    for (S1, V1), (S2, V2) in zip(a.models, b.models):
+        assert np.abs(S1 - S2).max() < 1e-12 and np.abs(V1 - V2).max() < 1e-12
