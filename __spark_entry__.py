@@ -435,6 +435,16 @@ def q_run_summary(spark, sf_dir):
     return report.run_summary(_flagship(spark, sf_dir).stats).select("mean_spectral_error")
 
 
+def q_avg_sketch_time(spark, sf_dir):
+    return report.avg_sketch_time(_flagship(spark, sf_dir).stats)
+
+
+def q_sliding_pca_uncapped(spark, sf_dir):
+    res = sliding_pca(_rows(spark, sf_dir), k=K, block=97, stride=41, subsample=2, max_iter=3, max_slides=None,
+                      seed=7, dataset="embeddings")
+    return res.scores
+
+
 def q_sliding_by_label(spark, sf_dir):
     emb = _t(spark, sf_dir, "embeddings")
     r = emb.select(F.col("vec_id").alias(ROW_ID), F.col("embedding").cast("array<double>").alias(FEATURES), "label")

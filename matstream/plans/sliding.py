@@ -27,7 +27,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matstream.functions import linalg as la
@@ -38,6 +38,7 @@ from matstream.sources.frames import FEATURES, ROW_ID
 
 BROADCAST_MODEL_BYTES = 64 << 20
 DRIVER_STATE_BYTES = 512 << 20
+MAX_KEYS_ONE_TASK = 1_000_000
 
 MODEL_SCHEMA = "step INT, comp INT, sigma DOUBLE, v ARRAY<DOUBLE>"
 STATS_SCHEMA = ("step INT, block_num INT, app STRING, dataset STRING, n_rows BIGINT, n_cols INT, n_iter INT, "
@@ -315,8 +316,13 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     base = df.select(*keys, F.col(order_by).alias("_ord"), F.col(col).cast("array<double>").alias(FEATURES))
     numbered = with_row_id(base, "_ord", id_col=ROW_ID, partition_by=keys)
     # one row per key: the key's count, its dense group id and its schedule bounds
-    per_key = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block)
-    per_key = with_row_id(per_key, keys, id_col="gid")
+    per_key = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    if per_key.count() <= MAX_KEYS_ONE_TASK:
+        # one row per key, and the key count is checked: a single-task dense rank is cheap
+        per_key = per_key.withColumn("gid", (F.dense_rank().over(Window.orderBy(*keys)) - 1).cast("long"))
+    else:
+        per_key = with_row_id(per_key, keys, id_col="gid")
     T, ldh, end = _keyed_schedule_cols(F.col("_n"), block, stride, max_slides)
     per_key = per_key.select(*keys, "gid", "_n", T.alias("_T"), ldh.alias("_ldh"), end.alias("_end")) \
         .persist(StorageLevel.MEMORY_AND_DISK)

@@ -122,3 +122,21 @@ def test_validate_rejects_ragged(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "row_id long, features array<double>")
     with pytest.raises(ValueError):
         validate(df)
+
+
+def test_run_output_writers(spark, emb_rows, tmp_dir):
+    from matstream.plans.sliding import sliding_pca
+
+    res = sliding_pca(emb_rows, k=3, block=100, stride=50, subsample=4, max_iter=2)
+    sinks.write_scores(res.scores, os.path.join(tmp_dir, "scores"), block=100, stride=50, k=3, subsample=4)
+    sinks.write_model(res.model, os.path.join(tmp_dir, "model"), block=100, stride=50, k=3, subsample=4)
+    sinks.write_stats(res.stats, os.path.join(tmp_dir, "stats"), block=100, stride=50)
+    sinks.write_stats(res.stats, os.path.join(tmp_dir, "stats_short"), detail=False, block=100, stride=50)
+    sc = spark.read.parquet(os.path.join(tmp_dir, "scores"))
+    assert sc.count() == 500 and {"block", "stride", "k", "subsample"} <= set(sc.columns)
+    assert spark.read.parquet(os.path.join(tmp_dir, "model")).count() == 9 * 3
+    short = spark.read.parquet(os.path.join(tmp_dir, "stats_short"))
+    assert {"step", "change_at", "mean_run_s", "mean_spectral_error"} <= set(short.columns)
+    # append mode: a second run adds rows
+    sinks.write_model(res.model, os.path.join(tmp_dir, "model"), block=100, stride=50, k=3, subsample=4)
+    assert spark.read.parquet(os.path.join(tmp_dir, "model")).count() == 2 * 9 * 3
