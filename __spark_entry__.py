@@ -544,6 +544,57 @@ _PAIRS_DEFLATED = ("select row_id, j, case when j < 6 then v - avg(v) over (part
                    "else v end as v from (" + _CELLS + ")")
 
 
+def _dfl(x: str) -> str:
+    """Deflate a list by the pairs V: subtract the pair average on the first six positions."""
+    return (f"list_transform(range(len({x})), lambda p: case when p < 6 then {x}[p + 1] - "
+            f"({x}[2 * (p // 2) + 1] + {x}[2 * (p // 2) + 2]) / 2.0 else {x}[p + 1] end)")
+
+
+# residual norm (I2) with s = 2: deflated seed, one round, deflated result, top value rounded half up
+# to 4 decimals; stops when the rounded value repeats
+_RESNORM = """
+cmean as (select j, avg(v) as m from src group by j),
+cc as (select s.row_id, s.j, s.v - cm.m as v from src s join cmean cm using (j)),
+gram as (select a.j as i, b.j as j, sum(a.v * b.v) as g from cc a join cc b on a.row_id = b.row_id group by 1, 2),
+grows as (select i, list(g order by j) as r from gram group by i),
+mat as (select list(r order by i) as m, count(*) as d from grows),
+st(it, b1, b2, s, stop) as (
+  select 0, list_transform(range(d), lambda x: ((x % 10) + 1)::DOUBLE),
+         list_transform(range(d), lambda x: (((x + 1) % 10) + 1)::DOUBLE), 0.0::DOUBLE, false from mat
+  union all
+  select it + 1, n1d, n2d, s_new, s_new = s from (
+    select it, s, n1d, n2d,
+           floor(sqrt((g11 + g22) / 2 + sqrt(((g11 - g22) / 2) ^ 2 + g12 ^ 2)) * 10000 + 0.5) / 10000 as s_new
+    from (
+      select it, s, n1d, n2d, list_inner_product(n1d, n1d) as g11, list_inner_product(n1d, n2d) as g12,
+             list_inner_product(n2d, n2d) as g22
+      from (
+        select it, s, {d_n1} as n1d, {d_n2} as n2d
+        from (
+          select it, s, list_transform(y1, lambda x: x / l11) as n1,
+                 list_transform(range(len(y1)), lambda p: (y2[p + 1] - y1[p + 1] * l21 / l11) / l22) as n2
+          from (
+            select it, s, y1, y2, l11, l21, sqrt(z22 - l21 * l21) as l22
+            from (
+              select it, s, y1, y2, sqrt(z11) as l11, z12 / sqrt(z11) as l21, z22
+              from (
+                select it, s, y1, y2, list_inner_product(e1, y1) as z11, list_inner_product(e1, y2) as z12,
+                       list_inner_product(e2, y2) as z22
+                from (
+                  select it, s, e1, e2, list_transform(m, lambda rr: list_inner_product(rr, e1)) as y1,
+                         list_transform(m, lambda rr: list_inner_product(rr, e2)) as y2
+                  from (select it, s, {d_b1} as e1, {d_b2} as e2 from st where it < {q} and not stop), mat
+                )
+              )
+            )
+          )
+        )
+      )
+    )
+  )
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     seedw = SEED_S
     z = (f"select c.row_id, s.jj as j, sum(c.v * ((c.j + s.jj) % 10 + 1)) as z "
@@ -648,6 +699,9 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     q["sketch_svd_rows"] = q["sketch_svd"]
     first = f"select * from ({_PAIRS_DEFLATED}) where row_id < {BLOCK}"
     q["window_spectral_error"] = sk.format(src=first) + f" select {_r('s0')} as spectral_error from st where it = 10"
+    rn = _RESNORM.format(d_n1=_dfl("n1"), d_n2=_dfl("n2"), d_b1=_dfl("b1"), d_b2=_dfl("b2"), q=10)
+    q["residual_norm"] = (f"with recursive src as ({_CELLS}), {rn} "
+                          f"select s as residual_norm from st order by it desc limit 1")
     q["explained_variance"] = f"""{gram_sql},
 tot as (select sum(v * v) as total from cc),
 ex as (select sum(p * p) as explained from (select row_id, sum(v) / sqrt(2) as p from cc where j < 6 group by row_id, j // 2))
