@@ -23,6 +23,8 @@ from matstream.functions.seeds import make_seed
 from matstream.operators import moments as mo
 from matstream.sources.frames import FEATURES
 
+JVM_GRAM_MAX_D = 16
+
 
 @dataclass
 class SketchResult:
@@ -56,6 +58,19 @@ def window_gram(df: DataFrame, col: str = FEATURES) -> tuple[int, np.ndarray, np
     from pyspark.sql import functions as F
 
     n, mean = mo.mean_vector(df, col)
+    d = mean.shape[0]
+    if d <= JVM_GRAM_MAX_D:
+        # narrow rows: the d(d+1)/2 centred products as plain JVM aggregates (whole-stage codegen, no Python)
+        x = [F.col(col)[i] - F.lit(float(mean[i])) for i in range(d)]
+        aggs = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
+        aggs += [F.sum(x[i]).alias(f"s{i}") for i in range(d)]
+        row = df.agg(*aggs).first()
+        G = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                G[i, j] = G[j, i] = row[f"g{i}_{j}"]
+        s1 = np.array([row[f"s{i}"] for i in range(d)])
+        return n, mean + s1 / n, G - np.outer(s1, s1) / n
     one = df.select(F.lit(0).alias("chunk"), F.col(col))
     cells = mo.chunk_moments(one, "chunk", shift={0: mean}, col=col)
     _, s1, G = mo.collect_moments(cells, mean.shape[0])[0]

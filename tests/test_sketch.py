@@ -73,3 +73,15 @@ def test_window_gram(emb_rows, emb_matrix):
     n, mean, C = window_gram(emb_rows)
     Xc = emb_matrix - emb_matrix.mean(0)
     assert n == 500 and np.allclose(C, Xc.T @ Xc) and np.allclose(mean, emb_matrix.mean(0))
+
+
+def test_narrow_gram_in_jvm_equals_numpy(spark):
+    from matstream.sources.frames import from_columns
+
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    rows = from_columns(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    n, mean, C = window_gram(rows)
+    X = li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax").toPandas().to_numpy(float)
+    Xc = X - X.mean(0)
+    assert n == X.shape[0]
+    assert np.allclose(C, Xc.T @ Xc, rtol=1e-10)
