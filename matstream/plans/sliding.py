@@ -38,6 +38,7 @@ from matstream.sources.frames import FEATURES, ROW_ID
 
 BROADCAST_MODEL_BYTES = 64 << 20
 DRIVER_STATE_BYTES = 512 << 20
+MOMENTS_MAX_D = 1024
 MAX_KEYS_ONE_TASK = 1_000_000
 
 MODEL_SCHEMA = "step INT, comp INT, sigma DOUBLE, v ARRAY<DOUBLE>"
@@ -164,15 +165,21 @@ class _BandedStates(dict):
 def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int, max_iter: int = 1,
                 max_slides: int | None = 20, tolerance: float = 0.05, calc_error: bool = False, q: int = 10,
                 subsample_norm: int = 1, seed="validation", n: int | None = None, dataset: str = "",
-                id_col: str = ROW_ID, col: str = FEATURES) -> SlidingResult:
+                id_col: str = ROW_ID, col: str = FEATURES, method: str = "auto") -> SlidingResult:
     """Principal components kept up to date as a window slides along ``row_id``.
 
     ``df`` is rows form with dense 0-based ids.  Returns the scores of every
     scheduled row (raw rows times the model of their entry step), the model
     per step and the run statistics.
+
+    ``method="moments"`` (``d <= 1024``) runs on chunk moments; ``"rows"``
+    keeps the window as a DataFrame for wide rows (d x s state on the driver):
+    each step appends the entering rows, deflates the window in Arrow batches,
+    cuts the lineage with a reliable checkpoint in the shared checkpoint
+    folder, and runs one distributed sketch pass per round.  Both give the
+    same results.
     """
     spark = df.sparkSession
-    t_run = time.perf_counter()
     base = df.select(F.col(id_col).cast("long").alias(ROW_ID), F.col(col).alias(FEATURES))
     if n is None:
         n = base.count()
@@ -183,6 +190,13 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         k = d - 1
     if k > d - 3 or block < k + 3:
         raise ValueError(f"need k <= d - 3 and block >= k + 3 (k={k}, d={d}, block={block})")
+    if method == "auto":
+        method = "moments" if d <= MOMENTS_MAX_D else "rows"
+    if method == "rows":
+        out = _sliding_rows(rows, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
+                            seed, dataset)
+        rows.unpersist(blocking=False)
+        return out
 
     t0 = time.perf_counter()
     source = _ChunkStates(rows, d)
@@ -206,6 +220,50 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     return SlidingResult(scores, model_df, stats_df, sched, S, V, models, stats_rows)
 
 
+def _sliding_rows(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int,
+                  tolerance: float, calc_error: bool, q: int, subsample_norm: int, seed, dataset: str) -> SlidingResult:
+    """The sliding run with the window kept as a DataFrame (wide rows)."""
+    from matstream.operators.rows import deflate
+    from matstream.plans.sketch import sketch_from_rows
+    from matstream.session import ensure_checkpoint_dir
+
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    rid = F.col(ROW_ID)
+    raw = rows.select(ROW_ID, FEATURES)
+    window = raw.where(rid < F.lit(sched.block)).checkpoint(eager=True)
+    S, V = None, np.zeros((d, k))
+    models, stats_rows = [], []
+    for t in range(sched.last + 1):
+        t0 = time.perf_counter()
+        if t > 0:
+            _, _, drop_hi, enter_lo, enter_hi = sched.steps[t]
+            incoming = raw.where((rid >= F.lit(enter_lo)) & (rid < F.lit(enter_hi)))
+            window = deflate(window.where(rid >= F.lit(drop_hi)).unionByName(incoming), V) \
+                .checkpoint(eager=True)   # lineage cut on the shared checkpoint folder
+        prep = time.perf_counter() - t0
+        res = sketch_from_rows(window, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed,
+                               salt=2 * t)
+        change_at = []
+        if t == 0:
+            S, V = res.S[:k].copy(), res.V.copy()
+        else:
+            S, V, swapped = replace_component(S, V, res.S, res.V, k)
+            if swapped:
+                change_at.append(int(sched.steps[t][3]))
+        spec = sketch_from_rows(deflate(window, V), 1, 1, max_iter=10, seed=seed, salt=2 * t + 1)
+        models.append((S.copy(), V.copy()))
+        pre = prep + res.preprocess_s
+        stats_rows.append((t, t + 1, "matstream", dataset, int(res.n_rows), int(d), res.n_iter, pre,
+                           [float(x) for x in res.sketch_s], res.avg_sketch_s, pre + sum(res.sketch_s),
+                           float(res.sigma_k1), float(spec.S[0]), [float(e) for e in res.errors], change_at))
+    model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
+                  for t, (Sm, Vm) in enumerate(models) for c in range(k)]
+    return SlidingResult(score_by_step(raw, sched, models, spark),
+                         spark.createDataFrame(model_rows, MODEL_SCHEMA),
+                         spark.createDataFrame(stats_rows, STATS_SCHEMA), sched, S, V, models, stats_rows)
+
+
 def run_recursion(states: dict, sched: Schedule, d: int, k: int, subsample: int, max_iter: int = 1,
                   tolerance: float = 0.05, calc_error: bool = False, q: int = 10, subsample_norm: int = 1,
                   seed="validation", dataset: str = "", moments_s: float = 0.0):

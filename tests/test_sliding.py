@@ -67,3 +67,18 @@ def test_banded_driver_state_gives_same_result(emb_rows, monkeypatch):
     b = sliding_pca(emb_rows, k=3, block=97, stride=41, subsample=2, max_iter=2, max_slides=None)
     for (S1, V1), (S2, V2) in zip(a.models, b.models):
         assert np.abs(S1 - S2).max() < 1e-12 and np.abs(V1 - V2).max() < 1e-12
+
+
+def test_rows_path_equals_moments_path(emb_rows):
+    a = sliding_pca(emb_rows, k=3, block=97, stride=41, subsample=2, max_iter=2, max_slides=4, method="moments")
+    b = sliding_pca(emb_rows, k=3, block=97, stride=41, subsample=2, max_iter=2, max_slides=4, method="rows")
+    for (S1, V1), (S2, V2) in zip(a.models, b.models):
+        assert np.abs(S1 - S2).max() < 1e-9
+        assert np.abs(V1 @ V1.T - V2 @ V2.T).max() < 1e-9
+    sa = a.stats.orderBy("step").toPandas()
+    sb = b.stats.orderBy("step").toPandas()
+    assert np.abs(sa.spectral_error.to_numpy() - sb.spectral_error.to_numpy()).max() < 1e-9
+    assert list(sa.change_at.map(list)) == list(sb.change_at.map(list))
+    A = np.array(list(a.scores.orderBy("row_id").toPandas().scores))
+    B = np.array(list(b.scores.orderBy("row_id").toPandas().scores))
+    assert np.abs(A - B).max() < 1e-9
