@@ -445,6 +445,17 @@ def q_sliding_pca_uncapped(spark, sf_dir):
     return res.scores
 
 
+def q_events_sliding_pca(spark, sf_dir):
+    """Sliding PCA over the whole ``events`` table in time order: value plus time features, no slide cap."""
+    ev = _t(spark, sf_dir, "events").select(
+        "ts", "value", "user_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
+        F.dayofweek("ts").alias("dow"))
+    rows = from_columns(ev, ["value", "user_id", "hour", "minute", "dow"], order_by="ts")
+    res = sliding_pca(rows, k=1, block=1000, stride=500, subsample=1, max_iter=3, max_slides=None, seed=3,
+                      dataset="events")
+    return res.scores
+
+
 def q_sliding_by_label(spark, sf_dir):
     emb = _t(spark, sf_dir, "embeddings")
     r = emb.select(F.col("vec_id").alias(ROW_ID), F.col("embedding").cast("array<double>").alias(FEATURES), "label")

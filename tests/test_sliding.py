@@ -82,3 +82,17 @@ def test_rows_path_equals_moments_path(emb_rows):
     A = np.array(list(a.scores.orderBy("row_id").toPandas().scores))
     B = np.array(list(b.scores.orderBy("row_id").toPandas().scores))
     assert np.abs(A - B).max() < 1e-9
+
+
+def test_events_in_time_order_equals_row_by_row(spark):
+    import __spark_entry__ as E
+
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(
+        "ts", "value", "user_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
+        F.dayofweek("ts").alias("dow")).orderBy("ts").toPandas()
+    X = ev[["value", "user_id", "hour", "minute", "dow"]].to_numpy(float)
+    got = E.queries()["events_sliding_pca"](spark, "/root/testdata/sf0.01").orderBy("row_id").toPandas()
+    sc, _, _, _ = sliding_rows(X, 1, 1000, 500, 1, 3, max_slides=None, seed=3)
+    A = np.array(list(got.scores))
+    assert A.shape == sc.shape
+    assert np.abs(A - sc).max() < 1e-8 * max(1.0, np.abs(sc).max())
