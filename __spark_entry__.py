@@ -456,6 +456,22 @@ def q_events_sliding_pca(spark, sf_dir):
     return res.scores
 
 
+def q_events_sliding_head(spark, sf_dir):
+    """Capped sliding PCA (20 slides) over ``events`` in time order without stored ids: only the prefix is numbered."""
+    ev = _t(spark, sf_dir, "events").select(
+        "ts", F.array("value", "user_id", F.hour("ts"), F.minute("ts"), F.dayofweek("ts"))
+        .cast("array<double>").alias(FEATURES))
+    res = sliding_pca(ev, k=1, block=1000, stride=200, subsample=1, max_iter=3, order_by="ts", seed=3,
+                      dataset="events")
+    return res.scores
+
+
+def q_first_rows_by_time(spark, sf_dir):
+    from matstream.operators.rowid import first_rows
+    ev = _t(spark, sf_dir, "events").select("event_id", "ts")
+    return first_rows(ev, "ts", 2500).select("event_id", ROW_ID)
+
+
 def q_sliding_by_label(spark, sf_dir):
     emb = _t(spark, sf_dir, "embeddings")
     r = emb.select(F.col("vec_id").alias(ROW_ID), F.col("embedding").cast("array<double>").alias(FEATURES), "label")
@@ -642,6 +658,8 @@ from (select distinct vec_id::BIGINT as row_id from embeddings) e left join (
   from ({_QCELLS}) where v <> 0 group by row_id) l using (row_id)"""
     q["coo_cells"] = f"select row_id as i, j, {_r('v')} as v from ({_QCELLS}) where v <> 0"
     q["row_id_by_time"] = "select event_id, (row_number() over (order by ts) - 1)::BIGINT as row_id from events"
+    q["first_rows_by_time"] = ("select * from (select event_id, (row_number() over (order by ts) - 1)::BIGINT as row_id "
+                               "from events) where row_id < 2500")
     q["first_block"] = f"select * from ({row_sum}) where row_id < {BLOCK}"
     q["rows_at"] = f"{_sched(BLOCK, STRIDE, 20)} select * from ({row_sum}) where row_id >= (select enter_lo from steps where step = 3) and row_id < (select enter_hi from steps where step = 3)"
     q["window_schedule"] = f"{_sched(BLOCK, STRIDE, 20)} select * from steps"

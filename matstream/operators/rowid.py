@@ -83,3 +83,29 @@ def rows_at(df: DataFrame, ids, id_col: str = ROW_ID) -> DataFrame:
         lo, hi = ids
         return df.where((F.col(id_col) >= F.lit(lo)) & (F.col(id_col) < F.lit(hi)))
     return df.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+def first_rows(df: DataFrame, order_by: str, n_rows: int, id_col: str = ROW_ID, accuracy: int = 100_000,
+               total: int | None = None) -> DataFrame:
+    """The first ``n_rows`` rows in the order of a unique numeric / date / timestamp key, numbered densely.
+
+    Numbering a whole table is a full sort; when only a prefix is read (a
+    capped sliding run) a key threshold is found instead: an approximate
+    quantile (one aggregate) gives a value at or above the ``n_rows``-th key,
+    a filter on it (pushed to the scan) keeps every row up to it, and only
+    those rows are numbered.  All rows below the threshold are kept, so the
+    ids are exact ranks; the threshold is raised until at least ``n_rows`` rows
+    pass.
+    """
+    total = df.count() if total is None else total
+    if n_rows >= total:
+        return with_row_id(df, order_by, id_col)
+    key = F.col(order_by)
+    p = min(1.0, n_rows / total + 2.0 / accuracy)
+    while p < 1.0:
+        thr = df.agg(F.percentile_approx(key, p, accuracy).alias("t")).first()["t"]
+        head = df.where(key <= F.lit(thr))
+        if head.count() >= n_rows:
+            return with_row_id(head, order_by, id_col).where(F.col(id_col) < F.lit(n_rows))
+        p = min(1.0, 2 * p)
+    return with_row_id(df, order_by, id_col).where(F.col(id_col) < F.lit(n_rows))

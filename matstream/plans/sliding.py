@@ -165,10 +165,13 @@ class _BandedStates(dict):
 def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int, max_iter: int = 1,
                 max_slides: int | None = 20, tolerance: float = 0.05, calc_error: bool = False, q: int = 10,
                 subsample_norm: int = 1, seed="validation", n: int | None = None, dataset: str = "",
-                id_col: str = ROW_ID, col: str = FEATURES, method: str = "auto") -> SlidingResult:
+                id_col: str = ROW_ID, col: str = FEATURES, method: str = "auto",
+                order_by: str | None = None) -> SlidingResult:
     """Principal components kept up to date as a window slides along ``row_id``.
 
-    ``df`` is rows form with dense 0-based ids.  Returns the scores of every
+    ``df`` is rows form with dense 0-based ids, or any frame with a unique
+    ``order_by`` column (then a capped run numbers only the prefix it reads,
+    see :func:`first_rows`).  Returns the scores of every
     scheduled row (raw rows times the model of their entry step), the model
     per step and the run statistics.
 
@@ -180,6 +183,18 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     same results.
     """
     spark = df.sparkSession
+    if order_by is not None:
+        # rows not yet numbered: a capped run numbers only the prefix it reads
+        from matstream.operators.rowid import first_rows, with_row_id
+
+        src = df.select(F.col(order_by), F.col(col).alias(FEATURES))
+        n = src.count() if n is None else n
+        if max_slides is not None:
+            need = min(n, block + max_slides * stride)
+            src = first_rows(src, order_by, need, total=n)
+        else:
+            src = with_row_id(src, order_by)
+        df, id_col, col = src, ROW_ID, FEATURES
     base = df.select(F.col(id_col).cast("long").alias(ROW_ID), F.col(col).alias(FEATURES))
     if n is None:
         n = base.count()

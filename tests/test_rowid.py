@@ -28,3 +28,13 @@ def test_block_and_lookup(spark):
     assert sorted(r.row_id for r in rows_at(df, (20, 25)).collect()) == [20, 21, 22, 23, 24]
     ids = spark.createDataFrame([(3,), (7,), (7,)], "row_id long")
     assert sorted(r.row_id for r in rows_at(df, ids).collect()) == [3, 7]
+
+
+def test_first_rows_are_exact_ranks(spark):
+    from matstream.operators.rowid import first_rows
+
+    df = spark.range(0, 20000).select((F.col("id") * 7919 % 20011).alias("k"), F.col("id").alias("v"))
+    got = first_rows(df, "k", 1234).orderBy("row_id").toPandas()
+    want = df.orderBy("k").limit(1234).toPandas()
+    assert list(got.row_id) == list(range(1234))
+    assert list(got.k) == list(want.k)

@@ -96,3 +96,18 @@ def test_events_in_time_order_equals_row_by_row(spark):
     A = np.array(list(got.scores))
     assert A.shape == sc.shape
     assert np.abs(A - sc).max() < 1e-8 * max(1.0, np.abs(sc).max())
+
+
+def test_capped_run_on_unnumbered_rows_reads_a_prefix(spark):
+    from matstream.sources.frames import from_columns
+
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(
+        "ts", F.array("value", "user_id", F.hour("ts"), F.minute("ts"), F.dayofweek("ts"))
+        .cast("array<double>").alias("features"))
+    a = sliding_pca(ev, k=1, block=500, stride=100, subsample=1, max_iter=2, order_by="ts", max_slides=10, seed=1)
+    full = with_row_id(ev, "ts")
+    b = sliding_pca(full, k=1, block=500, stride=100, subsample=1, max_iter=2, max_slides=10, seed=1)
+    A = np.array(list(a.scores.orderBy("row_id").toPandas().scores))
+    B = np.array(list(b.scores.orderBy("row_id").toPandas().scores))
+    assert A.shape == B.shape == (1500, 1)
+    assert np.abs(A - B).max() < 1e-9 * max(1.0, np.abs(B).max())
