@@ -42,6 +42,9 @@ from matstream.session import scratch_path
 from matstream.sources.frames import FEATURES, ROW_ID
 
 
+ROWS_PER_STATE_FILE = 1_000_000
+
+
 # --- ST2 -------------------------------------------------------------------------------------------
 
 def stream_score(stream_df: DataFrame, V: np.ndarray, col: str = FEATURES) -> DataFrame:
@@ -126,12 +129,14 @@ class StreamPCA:
         rows = self.spark.read.parquet(f"{base}/rows")
         return st, rows
 
-    def _save(self, st: _State, rows: DataFrame) -> None:
+    def _save(self, st: _State, rows: DataFrame, n_rows: int) -> None:
         base = f"{self.state_path}/v={st.batch_id}"
-        rows.write.mode("overwrite").parquet(f"{base}/rows")
+        # the stored rows are at most block + stride: a few files sized by their count
+        rows.coalesce(max(1, n_rows // ROWS_PER_STATE_FILE + 1)).write.mode("overwrite").parquet(f"{base}/rows")
         hist = [(int(s), [float(x) for x in st.S] if s == st.t_done else [],
                  [float(x) for x in V.reshape(-1)]) for s, V in st.history.items()]
-        self.spark.createDataFrame(hist, "step INT, sigma ARRAY<DOUBLE>, v ARRAY<DOUBLE>") \
+        # models of the window's steps only: (block / stride + 2) small matrices, one file
+        self.spark.createDataFrame(hist, "step INT, sigma ARRAY<DOUBLE>, v ARRAY<DOUBLE>").coalesce(1) \
             .write.mode("overwrite").parquet(f"{base}/models")
         meta = dict(batch_id=st.batch_id, t_done=st.t_done, next_row_id=st.next_row_id,
                     last_order=st.last_order, late_rows=st.late_rows)
@@ -171,7 +176,8 @@ class StreamPCA:
         if steps:
             end = self.block + steps[-1] * self.stride
             self._run(st, rows, steps, end, batch_id)
-        self._save(st, rows.where(F.col(ROW_ID) >= F.lit(self._window_lo(st.t_done))))
+        lo = self._window_lo(st.t_done)
+        self._save(st, rows.where(F.col(ROW_ID) >= F.lit(lo)), st.next_row_id - lo)
         rows.unpersist(blocking=False)
 
     def _window_lo(self, t: int) -> int:
@@ -207,9 +213,9 @@ class StreamPCA:
         spark = self.spark
         model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
                       for t, (Sm, Vm) in zip(steps, models) for c in range(self.k)]
-        spark.createDataFrame(model_rows, MODEL_SCHEMA).write.mode("overwrite") \
+        spark.createDataFrame(model_rows, MODEL_SCHEMA).coalesce(1).write.mode("overwrite") \
             .parquet(f"{self.out}/model/batch_id={batch_id}")
-        spark.createDataFrame(stats_rows, STATS_SCHEMA).write.mode("overwrite") \
+        spark.createDataFrame(stats_rows, STATS_SCHEMA).coalesce(1).write.mode("overwrite") \
             .parquet(f"{self.out}/stats/batch_id={batch_id}")
         comps = spark.createDataFrame([(t, [[float(x) for x in Vm[:, c]] for c in range(self.k)])
                                        for t, (_, Vm) in zip(steps, models)], "step INT, comps ARRAY<ARRAY<DOUBLE>>")
@@ -238,7 +244,7 @@ class StreamPCA:
         t = st.t_done + 1
         st.batch_id = (st.batch_id + 1) if batch_id is None else batch_id
         self._run(st, stored, [t], sched.end, st.batch_id, sched=sched)
-        self._save(st, stored.where(F.col(ROW_ID) >= F.lit(sched.steps[t][2])))
+        self._save(st, stored.where(F.col(ROW_ID) >= F.lit(sched.steps[t][2])), st.next_row_id - sched.steps[t][2])
 
     # -- outputs --------------------------------------------------------------------------------
     def scores(self) -> DataFrame:
