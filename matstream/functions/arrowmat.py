@@ -11,11 +11,15 @@ def to_matrix(col: pa.Array, d: int | None = None) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
+    if col.null_count:
+        raise ValueError("matrix holds null rows")
+    offsets = col.offsets.to_numpy()
+    widths = np.diff(offsets)
+    if n and (widths.min() != widths.max() or (d is not None and widths[0] != d)):
+        raise ValueError("rows have different widths")
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if d is None:
-        d = flat.size // n if n else 0
-    if flat.size != n * d:
-        raise ValueError("rows have different widths")
+        d = int(widths[0]) if n else 0
     return flat.reshape(n, d)
 
 

@@ -23,6 +23,7 @@ from matstream.functions.arrowmat import to_matrix
 from matstream.sources.frames import FEATURES, ROW_ID
 
 CELLS_SCHEMA = "chunk INT, i INT, j INT, v DOUBLE"
+KERNEL_STATE_BYTES = 256 << 20  # per-task accumulator budget of the chunk-moment kernel
 
 
 # --- column statistics (A1-A4, A12) ------------------------------------------------------
@@ -106,6 +107,18 @@ def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, n
     bshift = spark.sparkContext.broadcast({int(k): np.asarray(v, np.float64) for k, v in shift.items()}) \
         if shift is not None else None
 
+    def flush(acc):
+        for key, (n, s1, G) in acc.items():
+            d = s1.shape[0]
+            iu, ju = np.triu_indices(d)
+            i = np.concatenate([[-1], np.full(d, -1), iu]).astype(np.int32)
+            j = np.concatenate([[-1], np.arange(d), ju]).astype(np.int32)
+            v = np.concatenate([[float(n)], s1, G[iu, ju]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(v), key, np.int64 if key_type == "long" else np.int32)),
+                 pa.array(i), pa.array(j), pa.array(v)],
+                names=["chunk", "i", "j", "v"])
+
     def kernel(batches):
         acc: dict[int, list] = {}
         sh = bshift.value if bshift is not None else None
@@ -114,6 +127,12 @@ def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, n
                 continue
             ch = b.column(0).to_numpy(zero_copy_only=False)
             Y = to_matrix(b.column(1))
+            if not np.isfinite(Y).all():
+                raise ValueError("matrix holds NaN or infinite values")
+            if acc and len(acc) * Y.shape[1] ** 2 * 8 > KERNEL_STATE_BYTES:
+                # many chunks in one partition (unsorted input): emit partial sums early, the aggregate adds them
+                yield from flush(acc)
+                acc = {}
             order = np.argsort(ch, kind="stable")
             keys, starts = np.unique(ch[order], return_index=True)
             ends = np.append(starts[1:], len(order))
@@ -128,16 +147,7 @@ def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, n
                 a[0] += Yg.shape[0]
                 a[1] += Yg.sum(axis=0)
                 a[2] += Yg.T @ Yg
-        for key, (n, s1, G) in acc.items():
-            d = s1.shape[0]
-            iu, ju = np.triu_indices(d)
-            i = np.concatenate([[-1], np.full(d, -1), iu]).astype(np.int32)
-            j = np.concatenate([[-1], np.arange(d), ju]).astype(np.int32)
-            v = np.concatenate([[float(n)], s1, G[iu, ju]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(v), key, np.int64 if key_type == "long" else np.int32)),
-                 pa.array(i), pa.array(j), pa.array(v)],
-                names=["chunk", "i", "j", "v"])
+        yield from flush(acc)
 
     schema = CELLS_SCHEMA if key_type == "int" else "chunk LONG, i INT, j INT, v DOUBLE"
     partial = df.select(F.col(chunk_col).cast(key_type), F.col(col)).mapInArrow(kernel, schema)

@@ -144,10 +144,10 @@ class _ChunkStates:
 class _BandedStates(dict):
     """A dict of chunk states filled band by band of entry steps as the recursion asks for them."""
 
-    def __init__(self, source: _ChunkStates, sched: Schedule, band: int):
+    def __init__(self, source: _ChunkStates, sched: Schedule, band: int, start: int = 0):
         super().__init__()
         self.source, self.sched, self.band = source, sched, band
-        self.loaded_to = 0   # entry steps [0, loaded_to) are loaded
+        self.loaded_to = start   # entry steps [start, loaded_to) are loaded; earlier ones hold no rows
         self.width = sched.last + 1
 
     def ensure(self, t: int):
@@ -162,6 +162,19 @@ class _BandedStates(dict):
             del self[c]
 
 
+def banded_states(rows: DataFrame, sched: Schedule, d: int, start: int = 0):
+    """Chunk moments of ``rows`` (tagged with ``chunk``), served to the recursion a band of entry steps at a time.
+
+    All at once when the run is short; otherwise bands sized so that about
+    ``DRIVER_STATE_BYTES`` of moments are on the driver.
+    """
+    source = _ChunkStates(rows, d)
+    per_step = 2 * d * d * 8
+    band = sched.last + 1 if (sched.last + 1) * per_step <= DRIVER_STATE_BYTES else \
+        max(1, DRIVER_STATE_BYTES // per_step)
+    return source, _BandedStates(source, sched, band, start)
+
+
 def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int, max_iter: int = 1,
                 max_slides: int | None = 20, tolerance: float = 0.05, calc_error: bool = False, q: int = 10,
                 subsample_norm: int = 1, seed="validation", n: int | None = None, dataset: str = "",
@@ -214,11 +227,7 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         return out
 
     t0 = time.perf_counter()
-    source = _ChunkStates(rows, d)
-    # chunk moments reach the driver a band of entry steps at a time (all at once when the run is short)
-    band = sched.last + 1 if (sched.last + 1) * 2 * d * d * 8 <= DRIVER_STATE_BYTES else \
-        max(1, DRIVER_STATE_BYTES // (2 * d * d * 8))
-    states = _BandedStates(source, sched, band)
+    source, states = banded_states(rows, sched, d)
     states.ensure(0)
     moments_s = time.perf_counter() - t0
     models, stats_rows = run_recursion(states, sched, d, k, subsample, max_iter, tolerance, calc_error, q,

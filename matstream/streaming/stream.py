@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from matstream.operators import rows as ro
 from matstream.operators.rowid import with_row_id
 from matstream.operators.windows import window_schedule
-from matstream.plans.sliding import MODEL_SCHEMA, STATS_SCHEMA, _chunk_states, advance
+from matstream.functions.linalg import deflate_gram
+from matstream.plans.sliding import MODEL_SCHEMA, STATS_SCHEMA, advance, banded_states
 from matstream.session import scratch_path
 from matstream.sources.frames import FEATURES, ROW_ID
 
@@ -191,7 +192,8 @@ class StreamPCA:
         tagged = part.select(ROW_ID, FEATURES, sched.chunk(F.col(ROW_ID)).alias("chunk")).persist(
             StorageLevel.MEMORY_AND_DISK)
         d = tagged.select(F.size(FEATURES)).first()[0]
-        states = _chunk_states(tagged, d)
+        source, states = banded_states(tagged, sched, d, start=self._first_step(lo))
+        states.ensure(max(st.t_done, 0))
         bounds = {c: (first, last) for c, _, _, first, last in sched.chunk_bounds()}
         # chunks already in the window carry the deflations of the steps run before
         for c, (first, _) in bounds.items():
@@ -199,7 +201,6 @@ class StreamPCA:
                 for s in range(max(first, 1), st.t_done + 1):
                     Vp = st.history[s - 1]
                     states[c][1] = states[c][1] - Vp @ (Vp.T @ states[c][1])
-                    from matstream.functions.linalg import deflate_gram
                     states[c][2] = deflate_gram(states[c][2], Vp)
         models, stats_rows, S, V = advance(
             states, bounds, steps, d, self.k, self.subsample, self.max_iter, seed=self.seed,
@@ -225,6 +226,7 @@ class StreamPCA:
                                                             F.lit(0.0), lambda acc, x: acc + x))
         entering.join(F.broadcast(comps), "step").select(ROW_ID, "step", scores.alias("scores")) \
             .write.mode("overwrite").parquet(f"{self.out}/scores/batch_id={batch_id}")
+        source.release()
         tagged.unpersist(blocking=False)
 
     def _first_step(self, r: int) -> int:

@@ -111,3 +111,43 @@ def test_capped_run_on_unnumbered_rows_reads_a_prefix(spark):
     B = np.array(list(b.scores.orderBy("row_id").toPandas().scores))
     assert A.shape == B.shape == (1500, 1)
     assert np.abs(A - B).max() < 1e-9 * max(1.0, np.abs(B).max())
+
+
+def test_degenerate_columns_and_duplicate_rows(spark):
+    rng = np.random.default_rng(5)
+    X = rng.standard_normal((300, 8))
+    X[:, 3] = 7.0                      # a constant column
+    X[100:150] = X[100]                # a run of identical rows
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(X)],
+                               "row_id long, features array<double>")
+    res = sliding_pca(df, k=2, block=60, stride=20, subsample=2, max_iter=2, seed=4)
+    sc, specs, _, changes = sliding_rows(X, 2, 60, 20, 2, 2, seed=4)
+    A = np.array(list(res.scores.orderBy("row_id").toPandas().scores))
+    assert np.isfinite(A).all()
+    assert np.abs(A - sc).max() < 1e-8
+    st = res.stats.orderBy("step").toPandas()
+    assert np.abs(st.spectral_error.to_numpy() - np.array(specs)).max() < 1e-8
+
+
+def test_bad_rows_fail_the_job(spark):
+    from matstream.operators import moments as mo
+
+    ragged = spark.createDataFrame([(0, 0, [1.0, 2.0]), (1, 0, [1.0, 2.0, 3.0])],
+                                   "row_id long, chunk int, features array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different widths"):
+        mo.chunk_moments(ragged).collect()
+    nan = spark.createDataFrame([(0, 0, [1.0, float("nan")])], "row_id long, chunk int, features array<double>")
+    with pytest.raises(Exception, match="NaN"):
+        mo.chunk_moments(nan).collect()
+
+
+def test_kernel_flushes_partial_sums(spark, emb_rows, emb_matrix, monkeypatch):
+    from matstream.operators import moments as mo
+    from matstream.operators.windows import window_schedule, with_chunk
+
+    monkeypatch.setattr(mo, "KERNEL_STATE_BYTES", 64 * 64 * 8 * 2)   # flush after two chunks
+    s = window_schedule(500, 97, 41, None)
+    shuffled = with_chunk(emb_rows, s).orderBy(F.rand(3)).coalesce(1)
+    got = mo.collect_moments(mo.chunk_moments(shuffled), 64)
+    for c, lo, hi, _, _ in s.chunk_bounds():
+        assert np.allclose(got[c][2], emb_matrix[lo:hi].T @ emb_matrix[lo:hi])

@@ -70,3 +70,21 @@ def test_stream_score_equals_batch(spark, emb_rows, emb_matrix, tmp_dir):
     q.awaitTermination()
     got = spark.read.parquet(outp).orderBy("row_id").toPandas()
     assert np.allclose(np.array(list(got.scores)), emb_matrix @ V)
+
+
+def test_stream_with_banded_driver_state(spark, tmp_dir, monkeypatch):
+    import matstream.plans.sliding as sl
+
+    monkeypatch.setattr(sl, "DRIVER_STATE_BYTES", 2 * 64 * 64 * 8)   # one entry step per band
+    emb, src = _split(spark, tmp_dir, 250)
+    stream = spark.readStream.schema(emb.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    rows = stream.select(F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("features"))
+    q, runner = stream_pca(rows, "ord", os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state"),
+                           k=2, block=80, stride=30, subsample=2, max_iter=2)
+    q.awaitTermination()
+    runner.finish()
+    got = runner.scores().orderBy("row_id").toPandas()
+    res = sliding_pca(from_array(emb, "embedding", row_id="vec_id"), k=2, block=80, stride=30, subsample=2,
+                      max_iter=2, max_slides=None)
+    want = res.scores.orderBy("row_id").toPandas()
+    assert np.abs(np.array(list(got.scores)) - np.array(list(want.scores))).max() < 1e-10
