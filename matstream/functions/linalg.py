@@ -53,7 +53,7 @@ def sketch_round(yz: np.ndarray, zz: np.ndarray, k: int):
     A = (yz @ Fm).T  # r x d, r <= s
     _, S, Vt = np.linalg.svd(A, full_matrices=False)
     S = np.concatenate([S, np.zeros(s - S.shape[0])])
-    V = Vt.T
+    V = canonical_signs(Vt.T)
     if V.shape[1] < k:
         V = np.hstack([V, np.zeros((V.shape[0], k - V.shape[1]))])
     B = A.T
@@ -62,6 +62,20 @@ def sketch_round(yz: np.ndarray, zz: np.ndarray, k: int):
     return S, V[:, :k], B
 
 
+def canonical_signs(V: np.ndarray) -> np.ndarray:
+    """Flip each column so its largest-magnitude entry (the first on ties) is positive.
+
+    Singular vectors are defined up to sign; fixing it makes scores
+    reproducible across BLAS builds and comparable with other engines.
+    """
+    if V.size == 0:
+        return V
+    idx = np.argmax(np.abs(V), axis=0)
+    signs = np.sign(V[idx, np.arange(V.shape[1])])
+    signs[signs == 0] = 1.0
+    return V * signs
+
+
 def gram_round(C: np.ndarray, B: np.ndarray, k: int):
     """A sketch round when the centred Gram ``C`` of the window is known: ``YtZ = C B``, ``ZtZ = B'C B``."""
     yz = C @ B

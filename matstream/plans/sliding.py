@@ -394,6 +394,9 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     """
     from matstream.operators.rowid import with_row_id
 
+    if max_slides is None:
+        # one key's recursion is one group: its moment table must have a bound (chunks <= 2 * max_slides + 2)
+        raise ValueError("sliding_pca_by_key needs a slide cap (max_slides); run sliding_pca per key otherwise")
     spark = df.sparkSession
     base = df.select(*keys, F.col(order_by).alias("_ord"), F.col(col).cast("array<double>").alias(FEATURES))
     numbered = with_row_id(base, "_ord", id_col=ROW_ID, partition_by=keys)
