@@ -419,6 +419,21 @@ def q_sliding_pca(spark, sf_dir):
     return _flagship(spark, sf_dir).scores
 
 
+def q_sliding_pca_k1(spark, sf_dir):
+    """The sliding run with one component and a 2-wide sketch: the configuration the SQL oracle can follow."""
+    res = sliding_pca(_rows(spark, sf_dir), k=1, block=BLOCK, stride=STRIDE, subsample=1, max_iter=1,
+                      seed="validation", dataset="embeddings")
+    return res.scores.select(ROW_ID, "step", F.posexplode("scores").alias("comp", "v")).select(
+        ROW_ID, "step", F.col("comp").cast("int").alias("comp"), _r6(F.col("v")).alias("v"))
+
+
+def q_sliding_stats_k1(spark, sf_dir):
+    res = sliding_pca(_rows(spark, sf_dir), k=1, block=BLOCK, stride=STRIDE, subsample=1, max_iter=1,
+                      seed="validation", dataset="embeddings")
+    return res.stats.select("step", "n_rows", _r6(F.col("sigma_k1")).alias("sigma_k1"),
+                            _r6(F.col("spectral_error")).alias("spectral_error"))
+
+
 def q_sliding_model(spark, sf_dir):
     return _flagship(spark, sf_dir).model
 
@@ -622,6 +637,130 @@ st(it, b1, b2, s, stop) as (
 )"""
 
 
+def _k1_round(src: str, keep: list[str]) -> str:
+    """One 2-wide sketch round (k=1, subsample=1, validation seed) on a window given as a list of rows ``w``.
+
+    Outputs ``keep..., w, s0, vnew``: the top singular value and its right
+    vector with the canonical sign (largest-magnitude entry positive).
+    """
+    k = ", ".join(keep + ["w"])
+    return f"""(
+  select {k}, s0, s1, list_transform(vv, lambda x: x * sg) as vnew from (
+    select {k}, s0, s1, vv,
+           case when vv[list_position(list_transform(vv, lambda x: abs(x)),
+                                      list_max(list_transform(vv, lambda x: abs(x))))] < 0 then -1.0 else 1.0 end as sg
+    from (
+      select {k}, sqrt(lam) as s0, sqrt(greatest(g11 + g22 - lam, 0)) as s1,
+             list_transform(range(len(n1)), lambda p: (e1 * n1[p + 1] + e2 * n2[p + 1]) / sqrt(e1 * e1 + e2 * e2)
+                                                       / sqrt(lam)) as vv
+      from (
+        select {k}, n1, n2, lam, g11, g22,
+               case when g12 <> 0 then g12 when g11 >= g22 then 1.0 else 0.0 end as e1,
+               case when g12 <> 0 then lam - g11 when g11 >= g22 then 0.0 else 1.0 end as e2
+        from (
+          select {k}, n1, n2, g11, g12, g22, (g11 + g22) / 2 + sqrt(((g11 - g22) / 2) ^ 2 + g12 ^ 2) as lam
+          from (
+            select {k}, n1, n2, list_inner_product(n1, n1) as g11, list_inner_product(n1, n2) as g12,
+                   list_inner_product(n2, n2) as g22
+            from (
+              select {k}, list_transform(y1, lambda x: x / l11) as n1,
+                     list_transform(range(len(y1)), lambda p: (y2[p + 1] - y1[p + 1] * l21 / l11) / l22) as n2
+              from (
+                select {k}, y1, y2, l11, l21, sqrt(z22 - l21 * l21) as l22 from (
+                  select {k}, y1, y2, sqrt(z11) as l11, z12 / sqrt(z11) as l21, z22 from (
+                    select {k}, y1, y2, list_inner_product(b1, y1) as z11, list_inner_product(b1, y2) as z12,
+                           list_inner_product(b2, y2) as z22 from (
+                      select {k}, b1, b2, list_transform(c, lambda rr: list_inner_product(rr, b1)) as y1,
+                             list_transform(c, lambda rr: list_inner_product(rr, b2)) as y2 from (
+                        select {k}, list_transform(range(len(m)), lambda i: list_transform(range(len(m)),
+                                 lambda j: list_sum(list_transform(w, lambda r: (r[i + 1] - m[i + 1]) * (r[j + 1] - m[j + 1])))))
+                                 as c
+                        from (
+                          select {k}, list_transform(range(len(w[1])),
+                                                     lambda j: list_avg(list_transform(w, lambda r: r[j + 1]))) as m
+                          from {src}
+                        )
+                      ), seedb
+                    )
+                  )
+                )
+              )
+            )
+          )
+        )
+      )
+    )
+  )
+)"""
+
+
+def _sliding_k1_ctes(block: int, stride: int, cap: int | None) -> str:
+    """The sliding run (k=1, subsample=1, one round, validation seed) with the window kept as a list of rows."""
+    sched = _sched(block, stride, cap).replace("with nn as", "with recursive nn as", 1)
+    first = (f"(select 0 as t0, list(y order by rid) as w from tab where rid < {block})")
+    slid = ("(select st.t, st.v, st.s, list_transform(list_concat(list_slice(st.w, e.st + 1, len(st.w)), e.rows), "
+            "lambda r: list_transform(range(len(r)), lambda p: r[p + 1] - list_inner_product(r, st.v) * st.v[p + 1])) "
+            "as w from st join entering e on e.step = st.t + 1)")
+    return f"""{sched},
+tab as (select vec_id::BIGINT as rid, list_transform(embedding, lambda x: x::DOUBLE) as y from embeddings),
+dd as (select max(len(y)) as d from tab),
+seedb as (select list_transform(range(d), lambda x: ((x % 10) + 1)::DOUBLE) as b1,
+                 list_transform(range(d), lambda x: (((x + 1) % 10) + 1)::DOUBLE) as b2 from dd),
+entering as (select s.step, list(t.y order by t.rid) as rows, count(*) as st
+             from steps s join tab t on t.rid >= s.enter_lo and t.rid < s.enter_hi where s.step > 0 group by s.step),
+st(t, w, v, s, s1) as (
+  select 0, w, vnew, s0, s1 from {_k1_round(first, ["t0"])}
+  union all
+  select t + 1, w, case when s0 > s then vnew else v end, case when s0 > s then s0 else s end, s1
+  from {_k1_round(slid, ["t", "v", "s"])}
+)"""
+
+
+def _sliding_k1_sql(block: int, stride: int, cap: int | None) -> str:
+    return _sliding_k1_ctes(block, stride, cap) + f"""
+select tab.rid as row_id, st.t::INTEGER as step, 0::INTEGER as comp, {_r('list_inner_product(tab.y, st.v)')} as v
+from tab join st on st.t = (case when tab.rid < {block} then 0 else floor((tab.rid - {block}) / {stride})::INTEGER + 1 end)
+where tab.rid < (select max(enter_hi) from steps)"""
+
+
+def _sliding_k1_stats_sql(block: int, stride: int, cap: int | None) -> str:
+    """Per step: window rows, the (k+1)-th singular value and the spectral error (10 rounds on the deflated window)."""
+    return _sliding_k1_ctes(block, stride, cap) + """,
+sw as (select t, list_transform(w, lambda r: list_transform(range(len(r)),
+               lambda p: r[p + 1] - list_inner_product(r, v) * v[p + 1])) as w from st),
+swm as (select t, w, list_transform(range(len(w[1])), lambda j: list_avg(list_transform(w, lambda r: r[j + 1]))) as mu
+        from sw),
+cm as (select t, list_transform(range(len(mu)), lambda i: list_transform(range(len(mu)),
+         lambda j: list_sum(list_transform(w, lambda r: (r[i + 1] - mu[i + 1]) * (r[j + 1] - mu[j + 1]))))) as m
+       from swm),
+rec(t, it, b1, b2, s0) as (
+  select t, 0, b1, b2, null::DOUBLE from cm, seedb
+  union all
+  select t, it + 1, n1, n2, sqrt((g11 + g22) / 2 + sqrt(((g11 - g22) / 2) ^ 2 + g12 ^ 2)) from (
+    select t, it, n1, n2, list_inner_product(n1, n1) as g11, list_inner_product(n1, n2) as g12,
+           list_inner_product(n2, n2) as g22 from (
+      select t, it, list_transform(y1, lambda x: x / l11) as n1,
+             list_transform(range(len(y1)), lambda p: (y2[p + 1] - y1[p + 1] * l21 / l11) / l22) as n2 from (
+        select t, it, y1, y2, l11, l21, sqrt(z22 - l21 * l21) as l22 from (
+          select t, it, y1, y2, sqrt(z11) as l11, z12 / sqrt(z11) as l21, z22 from (
+            select t, it, y1, y2, list_inner_product(b1, y1) as z11, list_inner_product(b1, y2) as z12,
+                   list_inner_product(b2, y2) as z22 from (
+              select rec.t, rec.it, rec.b1, rec.b2,
+                     list_transform(cm.m, lambda rr: list_inner_product(rr, rec.b1)) as y1,
+                     list_transform(cm.m, lambda rr: list_inner_product(rr, rec.b2)) as y2
+              from rec join cm on cm.t = rec.t where rec.it < 10
+            )
+          )
+        )
+      )
+    )
+  )
+)
+select st.t::INTEGER as step, len(st.w)::BIGINT as n_rows, """ + _r("st.s1") + """ as sigma_k1, """ + \
+        _r("rec.s0") + """ as spectral_error
+from st join rec on rec.t = st.t and rec.it = 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     seedw = SEED_S
     z = (f"select c.row_id, s.jj as j, sum(c.v * ((c.j + s.jj) % 10 + 1)) as z "
@@ -731,6 +870,8 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     rn = _RESNORM.format(d_n1=_dfl("n1"), d_n2=_dfl("n2"), d_b1=_dfl("b1"), d_b2=_dfl("b2"), q=10)
     q["residual_norm"] = (f"with recursive src as ({_CELLS}), {rn} "
                           f"select s as residual_norm from st order by it desc limit 1")
+    q["sliding_pca_k1"] = _sliding_k1_sql(BLOCK, STRIDE, 20)
+    q["sliding_stats_k1"] = _sliding_k1_stats_sql(BLOCK, STRIDE, 20)
     q["explained_variance"] = f"""{gram_sql},
 tot as (select sum(v * v) as total from cc),
 ex as (select sum(p * p) as explained from (select row_id, sum(v) / sqrt(2) as p from cc where j < 6 group by row_id, j // 2))
