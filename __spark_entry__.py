@@ -434,6 +434,21 @@ def q_sliding_stats_k1(spark, sf_dir):
                             _r6(F.col("spectral_error")).alias("spectral_error"))
 
 
+def q_sliding_by_label_k1(spark, sf_dir):
+    emb = _t(spark, sf_dir, "embeddings")
+    r = emb.select(F.col("vec_id").alias(ROW_ID), F.col("embedding").cast("array<double>").alias(FEATURES), "label")
+    out = sliding_pca_by_key(r, ["label"], k=1, block=30, stride=5, subsample=1, max_iter=1)
+    return out.select("label", ROW_ID, "step", F.posexplode("scores").alias("comp", "v")).select(
+        "label", ROW_ID, "step", F.col("comp").cast("int").alias("comp"), _r6(F.col("v")).alias("v"))
+
+
+def q_stream_pca_k1(spark, sf_dir):
+    from matstream.streaming.stream import stream_pca_table
+    out = stream_pca_table(spark, sf_dir, "embeddings", k=1, block=BLOCK, stride=STRIDE, subsample=1, max_iter=1)
+    return out.select(ROW_ID, "step", F.posexplode("scores").alias("comp", "v")).select(
+        ROW_ID, "step", F.col("comp").cast("int").alias("comp"), _r6(F.col("v")).alias("v"))
+
+
 def q_sliding_model(spark, sf_dir):
     return _flagship(spark, sf_dir).model
 
@@ -761,6 +776,46 @@ select st.t::INTEGER as step, len(st.w)::BIGINT as n_rows, """ + _r("st.s1") + "
 from st join rec on rec.t = st.t and rec.it = 10"""
 
 
+def _sliding_k1_by_label_sql(block: int, stride: int, cap: int) -> str:
+    """The k=1 sliding run per ``label``: rows numbered within the label by ``vec_id``, one recursion per label."""
+    first = (f"(select label, list(y order by rid) as w from tab where rid < {block} "
+             f"and label in (select label from nn) group by label)")
+    slid = ("(select st.label, st.t, st.v, st.s, list_transform(list_concat(list_slice(st.w, e.st + 1, len(st.w)), "
+            "e.rows), lambda r: list_transform(range(len(r)), lambda p: r[p + 1] - list_inner_product(r, st.v) * "
+            "st.v[p + 1])) as w from st join entering e on e.label = st.label and e.step = st.t + 1)")
+    return f"""
+with recursive
+tab as (select label, (row_number() over (partition by label order by vec_id) - 1)::BIGINT as rid,
+               list_transform(embedding, lambda x: x::DOUBLE) as y from embeddings),
+nn as (select label, count(*) as n from tab group by label having count(*) >= {block}),
+steps as (
+  select label, 0 as step, {block}::BIGINT as enter_lo, {block}::BIGINT as enter_hi from nn
+  union all
+  select label, t::INTEGER, ({block} + (t - 1) * {stride})::BIGINT,
+         least({block} + (t - 1) * {stride} + {stride}, n)::BIGINT
+  from nn, range(1, n + 1) r(t) where {block} + (t - 1) * {stride} < n and t <= {cap}
+),
+dd as (select max(len(y)) as d from tab),
+seedb as (select list_transform(range(d), lambda x: ((x % 10) + 1)::DOUBLE) as b1,
+                 list_transform(range(d), lambda x: (((x + 1) % 10) + 1)::DOUBLE) as b2 from dd),
+entering as (select s.label, s.step, list(t.y order by t.rid) as rows, count(*) as st
+             from steps s join tab t on t.label = s.label and t.rid >= s.enter_lo and t.rid < s.enter_hi
+             where s.step > 0 group by s.label, s.step),
+st(label, t, w, v, s) as (
+  select label, 0, w, vnew, s0 from {_k1_round(first, ["label"])}
+  union all
+  select label, t + 1, w, case when s0 > s then vnew else v end, case when s0 > s then s0 else s end
+  from {_k1_round(slid, ["label", "t", "v", "s"])}
+),
+ends as (select label, max(enter_hi) as e from steps group by label)
+select tab.label, tab.rid as row_id, st.t::INTEGER as step, 0::INTEGER as comp,
+       {_r('list_inner_product(tab.y, st.v)')} as v
+from tab join ends using (label)
+join st on st.label = tab.label
+  and st.t = (case when tab.rid < {block} then 0 else floor((tab.rid - {block}) / {stride})::INTEGER + 1 end)
+where tab.rid < ends.e"""
+
+
 def oracle_sql() -> dict[str, str]:
     seedw = SEED_S
     z = (f"select c.row_id, s.jj as j, sum(c.v * ((c.j + s.jj) % 10 + 1)) as z "
@@ -872,6 +927,8 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
                           f"select s as residual_norm from st order by it desc limit 1")
     q["sliding_pca_k1"] = _sliding_k1_sql(BLOCK, STRIDE, 20)
     q["sliding_stats_k1"] = _sliding_k1_stats_sql(BLOCK, STRIDE, 20)
+    q["sliding_by_label_k1"] = _sliding_k1_by_label_sql(30, 5, 20)
+    q["stream_pca_k1"] = q["sliding_pca_k1"]
     q["explained_variance"] = f"""{gram_sql},
 tot as (select sum(v * v) as total from cc),
 ex as (select sum(p * p) as explained from (select row_id, sum(v) / sqrt(2) as p from cc where j < 6 group by row_id, j // 2))
