@@ -449,6 +449,26 @@ def q_stream_pca_k1(spark, sf_dir):
         ROW_ID, "step", F.col("comp").cast("int").alias("comp"), _r6(F.col("v")).alias("v"))
 
 
+def _k1_run(spark, sf_dir):
+    return sliding_pca(_rows(spark, sf_dir), k=1, block=BLOCK, stride=STRIDE, subsample=1, max_iter=1,
+                       seed="validation", dataset="embeddings")
+
+
+def q_change_points_k1(spark, sf_dir):
+    return change_points(_k1_run(spark, sf_dir).stats).select("step", F.col(ROW_ID).cast("long").alias(ROW_ID))
+
+
+def q_run_summary_k1(spark, sf_dir):
+    return report.run_summary(_k1_run(spark, sf_dir).stats).select(
+        _r6(F.col("mean_spectral_error")).alias("mean_spectral_error"))
+
+
+def q_sliding_model_k1(spark, sf_dir):
+    m = _k1_run(spark, sf_dir).model
+    return m.select("step", "comp", _r6(F.col("sigma")).alias("sigma"), F.posexplode("v").alias("i", "x")).select(
+        "step", "comp", "sigma", F.col("i").cast("int").alias("i"), _r6(F.col("x")).alias("x"))
+
+
 def q_sliding_model(spark, sf_dir):
     return _flagship(spark, sf_dir).model
 
@@ -738,7 +758,7 @@ from tab join st on st.t = (case when tab.rid < {block} then 0 else floor((tab.r
 where tab.rid < (select max(enter_hi) from steps)"""
 
 
-def _sliding_k1_stats_sql(block: int, stride: int, cap: int | None) -> str:
+def _sliding_k1_stats_sql(block: int, stride: int, cap: int | None, rnd=None) -> str:
     """Per step: window rows, the (k+1)-th singular value and the spectral error (10 rounds on the deflated window)."""
     return _sliding_k1_ctes(block, stride, cap) + """,
 sw as (select t, list_transform(w, lambda r: list_transform(range(len(r)),
@@ -771,8 +791,8 @@ rec(t, it, b1, b2, s0) as (
     )
   )
 )
-select st.t::INTEGER as step, len(st.w)::BIGINT as n_rows, """ + _r("st.s1") + """ as sigma_k1, """ + \
-        _r("rec.s0") + """ as spectral_error
+select st.t::INTEGER as step, len(st.w)::BIGINT as n_rows, """ + (rnd or _r)("st.s1") + """ as sigma_k1, """ + \
+        (rnd or _r)("rec.s0") + """ as spectral_error
 from st join rec on rec.t = st.t and rec.it = 10"""
 
 
@@ -816,6 +836,10 @@ join st on st.label = tab.label
 where tab.rid < ends.e"""
 
 
+def _sliding_k1_tail(select: str) -> str:
+    return _sliding_k1_ctes(BLOCK, STRIDE, 20) + "\n" + select
+
+
 def oracle_sql() -> dict[str, str]:
     seedw = SEED_S
     z = (f"select c.row_id, s.jj as j, sum(c.v * ((c.j + s.jj) % 10 + 1)) as z "
@@ -928,6 +952,15 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     q["sliding_pca_k1"] = _sliding_k1_sql(BLOCK, STRIDE, 20)
     q["sliding_stats_k1"] = _sliding_k1_stats_sql(BLOCK, STRIDE, 20)
     q["sliding_by_label_k1"] = _sliding_k1_by_label_sql(30, 5, 20)
+    q["change_points_k1"] = _sliding_k1_tail(
+        "select st.t::INTEGER as step, steps.enter_lo::BIGINT as row_id from st join st p on p.t = st.t - 1 "
+        "join steps on steps.step = st.t where st.s > p.s")
+    q["sliding_model_k1"] = _sliding_k1_tail(
+        f"select t::INTEGER as step, 0::INTEGER as comp, {_r('s')} as sigma, (i - 1)::INTEGER as i, {_r('x')} as x "
+        f"from (select t, s, unnest(v) as x, unnest(range(1, len(v) + 1)) as i from st)")
+    stats_k1 = _sliding_k1_stats_sql(BLOCK, STRIDE, 20, rnd=lambda x: x)   # average the unrounded values
+    q["run_summary_k1"] = (f"select {_r('avg(spectral_error)')} as mean_spectral_error from ("
+                           + stats_k1.replace("with recursive", "select * from (with recursive", 1) + "))")
     q["stream_pca_k1"] = q["sliding_pca_k1"]
     q["explained_variance"] = f"""{gram_sql},
 tot as (select sum(v * v) as total from cc),
