@@ -154,6 +154,38 @@ def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, n
     return partial.groupBy("chunk", "i", "j").agg(F.sum("v").alias("v"))
 
 
+def unpack_cells(ch: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, d: int):
+    """Yield ``(chunk, n, sum, full symmetric Gram, shift)`` from moment cells.
+
+    Cell layout: ``(-1, -1)`` count, ``(-1, j)`` column sum, ``(i, j)`` with
+    ``i <= j`` the Gram, and optionally ``(-2, j)`` the shift the moments were
+    taken about (zero when absent).
+    """
+    order = np.argsort(ch, kind="stable")
+    keys, starts = np.unique(ch[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    for key, a, b in zip(keys.tolist(), starts, ends):
+        sel = order[a:b]
+        ii, jj, vv = i[sel], j[sel], v[sel]
+        n = int(round(vv[(ii == -1) & (jj == -1)].sum()))
+        s1 = np.zeros(d)
+        m = (ii == -1) & (jj >= 0)
+        s1[jj[m]] = vv[m]
+        shift = np.zeros(d)
+        m = ii == -2
+        shift[jj[m]] = vv[m]
+        G = np.zeros((d, d))
+        m = ii >= 0
+        G[ii[m], jj[m]] = vv[m]
+        yield key, n, s1, G + np.triu(G, 1).T, shift
+
+
+def centred_states(ch, i, j, v, d) -> dict[int, list]:
+    """Chunk -> ``[n, mean, centred Gram]`` from cells of moments taken about a shift."""
+    return {key: [n, shift + s1 / n, G - np.outer(s1, s1) / n]
+            for key, n, s1, G, shift in unpack_cells(ch, i, j, v, d)}
+
+
 def collect_moments(cells: DataFrame, d: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """Chunk moments on the driver: chunk -> (n, sum, full symmetric Gram).
 
@@ -161,24 +193,8 @@ def collect_moments(cells: DataFrame, d: int) -> dict[int, tuple[int, np.ndarray
     fetched as Arrow, not as Python rows.
     """
     tbl = cells.toArrow()
-    ch = tbl.column("chunk").to_numpy()
-    ii = tbl.column("i").to_numpy()
-    jj = tbl.column("j").to_numpy()
-    vv = tbl.column("v").to_numpy()
-    out = {}
-    for key in np.unique(ch).tolist():
-        m = ch == key
-        i, j, v = ii[m], jj[m], vv[m]
-        n = int(round(v[(i == -1) & (j == -1)].sum()))
-        s1 = np.zeros(d)
-        sm = (i == -1) & (j >= 0)
-        s1[j[sm]] = v[sm]
-        G = np.zeros((d, d))
-        gm = i >= 0
-        G[i[gm], j[gm]] = v[gm]
-        G = G + np.triu(G, 1).T
-        out[key] = (n, s1, G)
-    return out
+    cols = [tbl.column(c).to_numpy() for c in ("chunk", "i", "j", "v")]
+    return {key: (n, s1, G) for key, n, s1, G, _ in unpack_cells(*cols, d)}
 
 
 # --- sketch moments (A6-A9) ----------------------------------------------------------------

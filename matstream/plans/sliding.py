@@ -116,26 +116,8 @@ class _ChunkStates:
         if lo is not None:
             sel = sel.where((F.col("chunk") >= F.lit(lo)) & (F.col("chunk") < F.lit(hi)))
         tbl = sel.toArrow()
-        ch = tbl.column("chunk").to_numpy()
-        ii, jj, vv = (tbl.column(c).to_numpy() for c in ("i", "j", "v"))
-        out = {}
-        d = self.d
-        for key in np.unique(ch).tolist():
-            m = ch == key
-            i, j, v = ii[m], jj[m], vv[m]
-            n = int(round(v[(i == -1) & (j == -1)].sum()))
-            mean = np.zeros(d)
-            mm = i == -2
-            mean[j[mm]] = v[mm]
-            s1 = np.zeros(d)
-            sm = (i == -1) & (j >= 0)
-            s1[j[sm]] = v[sm]
-            G = np.zeros((d, d))
-            gm = i >= 0
-            G[i[gm], j[gm]] = v[gm]
-            G = G + np.triu(G, 1).T
-            out[key] = [n, mean + s1 / n, G - np.outer(s1, s1) / n]
-        return out
+        cols = [tbl.column(c).to_numpy() for c in ("chunk", "i", "j", "v")]
+        return mo.centred_states(*cols, self.d)
 
     def release(self):
         self.cells.unpersist(blocking=False)
@@ -426,10 +408,11 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     centred = rows.join(means, "gchunk").select(
         "gchunk", F.zip_with(FEATURES, "_m", lambda x, m: x - m).alias(FEATURES))
     cells = mo.chunk_moments(centred.withColumnRenamed("gchunk", "chunk"), "chunk", key_type="long")
-    cells = cells.join(means.withColumnRenamed("gchunk", "chunk"), "chunk") \
+    mean_cells = means.select(F.col("gchunk").alias("chunk"), F.lit(-2).alias("i"),
+                              F.posexplode("_m").alias("j", "v")).select("chunk", "i", F.col("j").cast("int"), "v")
+    cells = cells.unionByName(mean_cells) \
         .select((F.col("chunk") / F.lit(1 << 31)).cast("long").alias("gid"),
-                (F.col("chunk") % F.lit(1 << 31)).cast("int").alias("chunk"), "i", "j", "v",
-                F.when((F.col("i") == -1) & (F.col("j") == -1), F.col("_m")).alias("m"))
+                (F.col("chunk") % F.lit(1 << 31)).cast("int").alias("chunk"), "i", "j", "v")
     cells = cells.join(per_key.select("gid", "_n"), "gid")
 
     params = dict(k=k, block=block, stride=stride, subsample=subsample, max_iter=max_iter, max_slides=max_slides,
@@ -440,21 +423,9 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
         gid = int(pdf["gid"].iloc[0])
         n_key = int(pdf["_n"].iloc[0])
         sched = window_schedule(n_key, params["block"], params["stride"], params["max_slides"])
-        means_by_chunk = {int(c): np.asarray(m, np.float64) for c, m in
-                          zip(pdf["chunk"], pdf["m"]) if m is not None}
-        d = len(next(iter(means_by_chunk.values())))
-        states = {}
-        for c, g in pdf.groupby("chunk"):
-            i, j, v = g["i"].to_numpy(), g["j"].to_numpy(), g["v"].to_numpy()
-            n = int(round(v[(i == -1) & (j == -1)].sum()))
-            s1 = np.zeros(d)
-            sm = (i == -1) & (j >= 0)
-            s1[j[sm]] = v[sm]
-            G = np.zeros((d, d))
-            gm = i >= 0
-            G[i[gm], j[gm]] = v[gm]
-            G = G + np.triu(G, 1).T
-            states[int(c)] = [n, means_by_chunk[int(c)] + s1 / n, G - np.outer(s1, s1) / n]
+        d = int(pdf.loc[pdf["i"] == -2, "j"].max()) + 1
+        states = mo.centred_states(pdf["chunk"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy(),
+                                   pdf["v"].to_numpy(), d)
         models, _ = run_recursion(states, sched, d, params["k"], params["subsample"], params["max_iter"],
                                   params["tolerance"], params["calc_error"], params["q"],
                                   params["subsample_norm"], params["seed"])
