@@ -140,3 +140,18 @@ def test_run_output_writers(spark, emb_rows, tmp_dir):
     # append mode: a second run adds rows
     sinks.write_model(res.model, os.path.join(tmp_dir, "model"), block=100, stride=50, k=3, subsample=4)
     assert spark.read.parquet(os.path.join(tmp_dir, "model")).count() == 2 * 9 * 3
+
+
+def test_command_line_run(spark, emb_rows, tmp_dir):
+    from matstream import cli
+
+    src = os.path.join(tmp_dir, "in")
+    sinks.write_csv(emb_rows, src)
+    out = os.path.join(tmp_dir, "out")
+    rc = cli.main(["--input", src, "--output", out, "--cols", "64", "--pcs", "3", "--subsample", "4",
+                   "--block-size", "100", "--stride", "50", "--max-iter", "2", "--seed", "validation"])
+    assert rc == 0
+    assert spark.read.parquet(os.path.join(out, "scores")).count() == 500
+    assert spark.read.parquet(os.path.join(out, "stats")).count() == 9
+    assert cli.main(["--input", src, "--output", out, "--cols", "65", "--pcs", "3", "--subsample", "4",
+                     "--block-size", "100", "--stride", "50"]) == 2
