@@ -40,20 +40,18 @@ def centred_gram_cells(df: DataFrame, col: str = FEATURES) -> DataFrame:
 
 
 def explained_variance(df: DataFrame, V: np.ndarray, col: str = FEATURES) -> DataFrame:
-    """Explained, residual and total sums of squares of the centred rows for components ``V``.
+    """Explained, residual and total sums of squares of the centred rows for orthonormal components ``V``.
 
-    ``explained = trace(V' C V)``, ``total = trace(C)``, ``residual = total - explained``
-    for orthonormal ``V``; computed from the centred Gram cells (d^2 numbers).
+    One pass after the mean: every centred row's squared norm (JVM) and its
+    projection on ``V`` (Arrow-batch product), summed by Spark;
+    ``residual = total - explained``.
     """
+    from matstream.operators.rows import center, project
+
     V = np.asarray(V, np.float64)
-    spark = df.sparkSession
-    d, k = V.shape
-    VVt = V @ V.T
-    w = spark.createDataFrame([(int(a), int(b), float(VVt[a, b] * (1.0 if a == b else 2.0)))
-                               for a in range(d) for b in range(a, d)], "a INT, b INT, w DOUBLE")
-    g = centred_gram_cells(df, col)
-    joined = g.join(F.broadcast(w), (g.i == w.a) & (g.j == w.b))
-    explained = F.sum(F.col("v") * F.col("w"))
-    total = F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0))
-    return joined.agg(explained.alias("explained"), total.alias("total")) \
+    _, mean = mo.mean_vector(df, col)
+    sq = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)
+    centred = center(df.select(col), mean, col).withColumn("_sq", sq(F.col(col)))
+    proj = project(centred, V, col, "_p")
+    return proj.agg(F.sum(sq(F.col("_p"))).alias("explained"), F.sum("_sq").alias("total")) \
         .select("explained", (F.col("total") - F.col("explained")).alias("residual"), "total")
