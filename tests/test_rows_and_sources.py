@@ -155,3 +155,23 @@ def test_command_line_run(spark, emb_rows, tmp_dir):
     assert spark.read.parquet(os.path.join(out, "stats")).count() == 9
     assert cli.main(["--input", src, "--output", out, "--cols", "65", "--pcs", "3", "--subsample", "4",
                      "--block-size", "100", "--stride", "50"]) == 2
+
+
+def test_dense_csv_keeps_file_order_across_splits(spark, tmp_dir):
+    rng = np.random.default_rng(11)
+    X = rng.standard_normal((6000, 12))
+    paths = []
+    for f in range(2):
+        p = os.path.join(tmp_dir, f"part{f}.csv")
+        with open(p, "w") as fh:
+            for r in X[f * 3000:(f + 1) * 3000]:
+                fh.write(",".join(repr(float(v)) for v in r) + "\n")
+        paths.append(p)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))   # many splits per file
+    try:
+        back = read_dense_csv(spark, tmp_dir)
+        got = np.array(list(back.orderBy("row_id").toPandas()["features"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert np.array_equal(got, X)
