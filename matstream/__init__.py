@@ -7,14 +7,14 @@ building blocks are ordinary DataFrame functions; the sliding-window PCA in
 """
 
 from matstream.sources.frames import from_array, from_columns, read_dense_csv, parse_dense_lines
-from matstream.operators.rowid import with_row_id, first_block, rows_at
+from matstream.operators.rowid import with_row_id, first_block, first_rows, rows_at
 from matstream.operators.windows import window_schedule, schedule_frame, slide, expand_windows
 from matstream.plans.sketch import sketch_svd, residual_norm, relative_error
 from matstream.plans.sliding import sliding_pca, sliding_pca_by_key, window_spectral_error
 
 __all__ = [
     "from_array", "from_columns", "read_dense_csv", "parse_dense_lines",
-    "with_row_id", "first_block", "rows_at",
+    "with_row_id", "first_block", "first_rows", "rows_at",
     "window_schedule", "schedule_frame", "slide", "expand_windows",
     "sketch_svd", "residual_norm", "relative_error",
     "sliding_pca", "sliding_pca_by_key", "window_spectral_error",

@@ -151,3 +151,19 @@ def test_kernel_flushes_partial_sums(spark, emb_rows, emb_matrix, monkeypatch):
     got = mo.collect_moments(mo.chunk_moments(shuffled), 64)
     for c, lo, hi, _, _ in s.chunk_bounds():
         assert np.allclose(got[c][2], emb_matrix[lo:hi].T @ emb_matrix[lo:hi])
+
+
+def test_by_key_with_a_hot_key(spark):
+    rng = np.random.default_rng(8)
+    n = 900
+    keys = np.where(np.arange(n) % 3 == 0, 0, 1 + np.arange(n) % 4)   # key 0 holds a third of the rows
+    X = rng.standard_normal((n, 6)) + keys[:, None]
+    df = spark.createDataFrame([(int(i), int(k), [float(v) for v in X[i]]) for i, k in enumerate(keys)],
+                               "ord long, key int, features array<double>").repartition(7)
+    out = sliding_pca_by_key(df, ["key"], k=1, block=40, stride=10, subsample=2, max_iter=2,
+                             order_by="ord").toPandas()
+    for key in (0, 2):
+        Xk = X[keys == key]
+        sc, _, _, _ = sliding_rows(Xk, 1, 40, 10, 2, 2, max_slides=20)
+        got = out[out.key == key].sort_values("row_id")
+        assert np.abs(np.array(list(got.scores)) - sc).max() < 1e-9
