@@ -469,6 +469,17 @@ def q_sliding_model_k1(spark, sf_dir):
         "step", "comp", "sigma", F.col("i").cast("int").alias("i"), _r6(F.col("x")).alias("x"))
 
 
+def q_events_sliding_k1(spark, sf_dir):
+    """Uncapped k=1 run over all ``events`` in time order (value, hour, minute, day of week); 4 decimals."""
+    ev = _t(spark, sf_dir, "events").select("ts", "value", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
+                                             F.dayofweek("ts").alias("dow"))
+    rows = from_columns(ev, ["value", "hour", "minute", "dow"], order_by="ts")
+    res = sliding_pca(rows, k=1, block=1000, stride=500, subsample=1, max_iter=1, max_slides=None,
+                      seed="validation", dataset="events")
+    return res.scores.select(ROW_ID, "step", F.posexplode("scores").alias("comp", "v")).select(
+        ROW_ID, "step", F.col("comp").cast("int").alias("comp"), (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
 def q_sliding_model(spark, sf_dir):
     return _flagship(spark, sf_dir).model
 
@@ -729,15 +740,21 @@ def _k1_round(src: str, keep: list[str]) -> str:
 )"""
 
 
-def _sliding_k1_ctes(block: int, stride: int, cap: int | None) -> str:
-    """The sliding run (k=1, subsample=1, one round, validation seed) with the window kept as a list of rows."""
-    sched = _sched(block, stride, cap).replace("with nn as", "with recursive nn as", 1)
+_EMB_TAB = "select vec_id::BIGINT as rid, list_transform(embedding, lambda x: x::DOUBLE) as y from embeddings"
+
+
+def _sliding_k1_ctes(block: int, stride: int, cap: int | None, tab: str = _EMB_TAB) -> str:
+    """The sliding run (k=1, subsample=1, one round, validation seed) with the window kept as a list of rows.
+
+    ``tab`` gives the numbered rows ``rid, y``; the schedule is derived from its row count.
+    """
+    sched = _sched(block, stride, cap).replace("with nn as (select count(*) as n from embeddings)",
+                                               f"with recursive tab as ({tab}),\nnn as (select count(*) as n from tab)", 1)
     first = (f"(select 0 as t0, list(y order by rid) as w from tab where rid < {block})")
     slid = ("(select st.t, st.v, st.s, list_transform(list_concat(list_slice(st.w, e.st + 1, len(st.w)), e.rows), "
             "lambda r: list_transform(range(len(r)), lambda p: r[p + 1] - list_inner_product(r, st.v) * st.v[p + 1])) "
             "as w from st join entering e on e.step = st.t + 1)")
     return f"""{sched},
-tab as (select vec_id::BIGINT as rid, list_transform(embedding, lambda x: x::DOUBLE) as y from embeddings),
 dd as (select max(len(y)) as d from tab),
 seedb as (select list_transform(range(d), lambda x: ((x % 10) + 1)::DOUBLE) as b1,
                  list_transform(range(d), lambda x: (((x + 1) % 10) + 1)::DOUBLE) as b2 from dd),
@@ -751,9 +768,10 @@ st(t, w, v, s, s1) as (
 )"""
 
 
-def _sliding_k1_sql(block: int, stride: int, cap: int | None) -> str:
-    return _sliding_k1_ctes(block, stride, cap) + f"""
-select tab.rid as row_id, st.t::INTEGER as step, 0::INTEGER as comp, {_r('list_inner_product(tab.y, st.v)')} as v
+def _sliding_k1_sql(block: int, stride: int, cap: int | None, tab: str = _EMB_TAB, digits: int = 6) -> str:
+    rnd = _r if digits == 6 else (lambda x: f"round({x}, {digits}) + 0.0")
+    return _sliding_k1_ctes(block, stride, cap, tab) + f"""
+select tab.rid as row_id, st.t::INTEGER as step, 0::INTEGER as comp, {rnd('list_inner_product(tab.y, st.v)')} as v
 from tab join st on st.t = (case when tab.rid < {block} then 0 else floor((tab.rid - {block}) / {stride})::INTEGER + 1 end)
 where tab.rid < (select max(enter_hi) from steps)"""
 
@@ -950,6 +968,10 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     q["residual_norm"] = (f"with recursive src as ({_CELLS}), {rn} "
                           f"select s as residual_norm from st order by it desc limit 1")
     q["sliding_pca_k1"] = _sliding_k1_sql(BLOCK, STRIDE, 20)
+    q["events_sliding_k1"] = _sliding_k1_sql(
+        1000, 500, None, digits=4,
+        tab="select (row_number() over (order by ts) - 1)::BIGINT as rid, "
+            "[value, hour(ts), minute(ts), dayofweek(ts) + 1]::DOUBLE[] as y from events")
     q["sliding_stats_k1"] = _sliding_k1_stats_sql(BLOCK, STRIDE, 20)
     q["sliding_by_label_k1"] = _sliding_k1_by_label_sql(30, 5, 20)
     q["change_points_k1"] = _sliding_k1_tail(
