@@ -63,7 +63,14 @@ def main(argv):
     import __spark_entry__ as E
     from matstream.session import local_session
 
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):
+        # what a bare driver session looks like: no time zone pinning, default AQE / Arrow settings
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8)
     con = duck(sf_dir)
     qs, sql = E.queries(), E.oracle_sql()
     bad = 0
