@@ -359,6 +359,42 @@ def _keyed_schedule_cols(n: "F.Column", block: int, stride: int, max_slides: int
     return T, ldh, end
 
 
+PREFIX_GRID = [min(1.0, 1e-6 * 2 ** i) for i in range(21)]   # quantile levels tried per key
+PREFIX_ACCURACY = 1000
+
+
+def _key_prefixes(base: DataFrame, keys: list[str], need: int):
+    """Trim every key to the rows a capped run reads: those ordered at or below a per-key threshold.
+
+    One aggregate gives each key's count and approximate quantiles at the
+    levels of ``PREFIX_GRID``; the threshold is the lowest level above
+    ``need / n`` plus the sketch's rank error.  A key whose kept rows fall
+    short of ``min(need, n)`` keeps all its rows, so ids stay exact ranks.
+    Returns the trimmed rows and the per-key table ``keys..., _n``.
+    """
+    from pyspark.sql import types as T
+
+    if not isinstance(base.schema["_ord"].dataType, (T.NumericType, T.DateType, T.TimestampType,
+                                                     T.TimestampNTZType)):
+        return base, base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    grid = F.array(*[F.lit(p) for p in PREFIX_GRID])
+    stats = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_ord", PREFIX_GRID, PREFIX_ACCURACY).alias("_qs"))
+    p_need = F.lit(float(need)) / F.col("_n") + F.lit(2.0 / PREFIX_ACCURACY)
+    levels = F.filter(F.arrays_zip(grid.alias("p"), F.col("_qs").alias("q")), lambda z: z["p"] >= p_need)
+    thr = F.when(p_need < 1.0, F.element_at(levels, 1)["q"])
+    stats = stats.select(*keys, "_n", thr.alias("_thr")).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = base.join(stats, keys).where(F.col("_thr").isNull() | (F.col("_ord") <= F.col("_thr")))
+    short = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).join(stats, keys) \
+        .where(F.col("_k") < F.least(F.lit(need), F.col("_n"))).select(*keys)
+    if short.limit(1).count():
+        stats = stats.join(short.withColumn("_short", F.lit(True)), keys, "left") \
+            .select(*keys, "_n", F.when(F.col("_short").isNull(), F.col("_thr")).alias("_thr")).persist()
+        kept = base.join(stats, keys).where(F.col("_thr").isNull() | (F.col("_ord") <= F.col("_thr")))
+    return kept.select(base.columns), stats.select(*keys, "_n")
+
+
 def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, stride: int, subsample: int,
                        max_iter: int = 1, max_slides: int | None = 20, tolerance: float = 0.05,
                        calc_error: bool = False, q: int = 10, subsample_norm: int = 1, seed="validation",
@@ -381,10 +417,11 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
         raise ValueError("sliding_pca_by_key needs a slide cap (max_slides); run sliding_pca per key otherwise")
     spark = df.sparkSession
     base = df.select(*keys, F.col(order_by).alias("_ord"), F.col(col).cast("array<double>").alias(FEATURES))
+    # one row per key: its true row count (the schedule depends on it) and, for orderable keys, a
+    # key threshold below which its first block + max_slides * stride rows lie (the rest is never read)
+    base, per_key = _key_prefixes(base, keys, block + max_slides * stride)
     numbered = with_row_id(base, "_ord", id_col=ROW_ID, partition_by=keys)
-    # one row per key: the key's count, its dense group id and its schedule bounds
-    per_key = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= block) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    per_key = per_key.where(F.col("_n") >= block).persist(StorageLevel.MEMORY_AND_DISK)
     if per_key.count() <= MAX_KEYS_ONE_TASK:
         # one row per key, and the key count is checked: a single-task dense rank is cheap
         per_key = per_key.withColumn("gid", (F.dense_rank().over(Window.orderBy(*keys)) - 1).cast("long"))

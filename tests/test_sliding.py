@@ -167,3 +167,17 @@ def test_by_key_with_a_hot_key(spark):
         sc, _, _, _ = sliding_rows(Xk, 1, 40, 10, 2, 2, max_slides=20)
         got = out[out.key == key].sort_values("row_id")
         assert np.abs(np.array(list(got.scores)) - sc).max() < 1e-9
+
+
+def test_key_prefixes_trim_hot_keys_exactly(spark):
+    from matstream.plans.sliding import _key_prefixes
+
+    rows = [(0, int(o), [float(o)]) for o in range(5000)] + [(1, int(o), [float(o)]) for o in range(100)]
+    df = spark.createDataFrame(rows, "key int, _ord long, features array<double>").repartition(5)
+    kept, per_key = _key_prefixes(df, ["key"], 240)
+    got = kept.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("_ord").alias("mx")).toPandas() \
+        .set_index("key")
+    assert 240 <= got.loc[0, "c"] < 1000      # the hot key is trimmed to a prefix ...
+    assert got.loc[0, "mx"] == got.loc[0, "c"] - 1   # ... that is exactly its first rows in order
+    assert got.loc[1, "c"] == 100             # a small key keeps all its rows
+    assert dict(per_key.toPandas().values.tolist()) == {0: 5000, 1: 100}   # true counts for the schedule
