@@ -394,6 +394,14 @@ def q_sketch_svd_error(spark, sf_dir):
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(res.errors)], "round INT, rel_error DOUBLE")
 
 
+def q_sketch_svd_error_k1(spark, sf_dir):
+    """I1 with the error loop (I2, I3) in the configuration the SQL oracle follows in closed form."""
+    res = sketch_svd(_rows(spark, sf_dir), k=1, subsample=1, max_iter=5, tolerance=0.05, calc_error=True, q=10,
+                     subsample_norm=1, seed="validation")
+    return spark.createDataFrame([(i, round(float(e), 6) + 0.0) for i, e in enumerate(res.errors)],
+                                 "round INT, rel_error DOUBLE")
+
+
 def q_window_spectral_error(spark, sf_dir):
     from matstream.plans.sketch import window_gram
     r = first_block(_rows(spark, sf_dir), BLOCK)
@@ -858,6 +866,83 @@ def _sliding_k1_tail(select: str) -> str:
     return _sliding_k1_ctes(BLOCK, STRIDE, 20) + "\n" + select
 
 
+def _dfl_v(x: str, v: str) -> str:
+    """Deflate list ``x`` by the unit vector ``v``: ``x - v (x . v)``."""
+    return f"list_transform(range(len({x})), lambda p: {x}[p + 1] - {v}[p + 1] * list_inner_product({x}, {v}))"
+
+
+def _round_from(b1: str, b2: str, tail: str) -> str:
+    """SQL columns of one 2-wide round on matrix ``m`` from seed columns ``b1, b2``: y1, y2 -> n1, n2."""
+    return f"""
+        select *, list_transform(y1, lambda x: x / l11) as n1,
+               list_transform(range(len(y1)), lambda p: (y2[p + 1] - y1[p + 1] * l21 / l11) / l22) as n2 from (
+          select *, sqrt(z22 - l21 * l21) as l22 from (
+            select *, sqrt(z11) as l11, z12 / sqrt(z11) as l21 from (
+              select *, list_inner_product({b1}, y1) as z11, list_inner_product({b1}, y2) as z12,
+                     list_inner_product({b2}, y2) as z22 from (
+                select *, list_transform(m, lambda rr: list_inner_product(rr, {b1})) as y1,
+                       list_transform(m, lambda rr: list_inner_product(rr, {b2})) as y2 from (
+                  {tail}
+                )
+              )
+            )
+          )
+        )"""
+
+
+def _sketch_error_k1_sql(max_iter: int, q: int, tol: float) -> str:
+    """I1 with the error loop (I2, I3): k=1, subsample 1, subsample_norm 1, validation seeds, whole ``embeddings``."""
+    main_round = _round_from("b1", "b2", "select main.*, mat.m from main, mat where main.r < " + str(max_iter - 1))
+    norm_round = _round_from("e1", "e2", "select nrm.*, " + _dfl_v("nrm.b1", "main.v") + " as e1, "
+                             + _dfl_v("nrm.b2", "main.v") + " as e2, main.v as vr, mat.m from nrm join main "
+                             "using (r), mat where nrm.it < " + str(q) + " and not nrm.stop")
+    return f"""
+with recursive src as ({_CELLS}),
+cmean as (select j, avg(v) as m from src group by j),
+cc as (select s.row_id, s.j, s.v - cm.m as v from src s join cmean cm using (j)),
+gram as (select a.j as i, b.j as j, sum(a.v * b.v) as g from cc a join cc b on a.row_id = b.row_id group by 1, 2),
+grows as (select i, list(g order by j) as r from gram group by i),
+mat as (select list(r order by i) as m, count(*) as d from grows),
+main(r, b1, b2, s1, v) as (
+  select -1, list_transform(range(d), lambda x: ((x % 10) + 1)::DOUBLE),
+         list_transform(range(d), lambda x: (((x + 1) % 10) + 1)::DOUBLE), null::DOUBLE, null::DOUBLE[] from mat
+  union all
+  select r + 1, n1, n2, sqrt(greatest(g11 + g22 - lam, 0)),
+         list_transform(vv, lambda x: x * (case when vv[list_position(list_transform(vv, lambda y: abs(y)),
+                                           list_max(list_transform(vv, lambda y: abs(y))))] < 0 then -1.0 else 1.0 end))
+  from (
+    select *, list_transform(range(len(n1)), lambda p: (e1 * n1[p + 1] + e2 * n2[p + 1]) / sqrt(e1 * e1 + e2 * e2)
+                                                       / sqrt(lam)) as vv from (
+      select *, case when g12 <> 0 then g12 when g11 >= g22 then 1.0 else 0.0 end as e1,
+             case when g12 <> 0 then lam - g11 when g11 >= g22 then 0.0 else 1.0 end as e2 from (
+        select *, (g11 + g22) / 2 + sqrt(((g11 - g22) / 2) ^ 2 + g12 ^ 2) as lam from (
+          select r, n1, n2, list_inner_product(n1, n1) as g11, list_inner_product(n1, n2) as g12,
+                 list_inner_product(n2, n2) as g22 from ({main_round})
+        )
+      )
+    )
+  )
+),
+nrm(r, it, b1, b2, s, stop) as (
+  select r, 0, list_transform(range(d), lambda x: ((x % 10) + 1)::DOUBLE),
+         list_transform(range(d), lambda x: (((x + 1) % 10) + 1)::DOUBLE), 0.0::DOUBLE, false from main, mat where r >= 0
+  union all
+  select r, it + 1, a1, a2, s_new, s_new = s from (
+    select r, it, s, a1, a2,
+           floor(sqrt((g11 + g22) / 2 + sqrt(((g11 - g22) / 2) ^ 2 + g12 ^ 2)) * 10000 + 0.5) / 10000 as s_new from (
+      select r, it, s, a1, a2, list_inner_product(a1, a1) as g11, list_inner_product(a1, a2) as g12,
+             list_inner_product(a2, a2) as g22 from (
+        select r, it, s, {_dfl_v("n1", "vr")} as a1, {_dfl_v("n2", "vr")} as a2 from ({norm_round})
+      )
+    )
+  )
+),
+spec as (select r, arg_max(s, it) as spec from nrm group by r),
+err as (select main.r, (spec.spec - main.s1) / main.s1 as e from main join spec using (r)),
+last as (select coalesce(min(r) filter (where e <= {tol}), {max_iter - 1}) as rr from err)
+select r::INTEGER as round, {_r('e')} as rel_error from err, last where r <= rr"""
+
+
 def oracle_sql() -> dict[str, str]:
     seedw = SEED_S
     z = (f"select c.row_id, s.jj as j, sum(c.v * ((c.j + s.jj) % 10 + 1)) as z "
@@ -968,6 +1053,7 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     q["residual_norm"] = (f"with recursive src as ({_CELLS}), {rn} "
                           f"select s as residual_norm from st order by it desc limit 1")
     q["sliding_pca_k1"] = _sliding_k1_sql(BLOCK, STRIDE, 20)
+    q["sketch_svd_error_k1"] = _sketch_error_k1_sql(5, 10, 0.05)
     q["events_sliding_k1"] = _sliding_k1_sql(
         1000, 500, None, digits=4,
         tab="select (row_number() over (order by ts) - 1)::BIGINT as rid, "

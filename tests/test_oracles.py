@@ -10,7 +10,7 @@ FAST = ["column_mean", "chunk_moments", "cross_moment", "sketch_gram", "score_fi
         "sketch_svd", "window_spectral_error", "expand_windows_short", "window_schedule_short", "lil_text",
         "project_sparse_nz", "row_id_by_time", "explained_variance", "cells_roundtrip", "residual_norm",
         "sliding_pca_k1", "sliding_stats_k1", "first_rows_by_time", "sliding_by_label_k1", "stream_pca_k1",
-        "change_points_k1", "sliding_model_k1", "run_summary_k1", "events_sliding_k1"]
+        "change_points_k1", "sliding_model_k1", "run_summary_k1", "events_sliding_k1", "sketch_svd_error_k1"]
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +33,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["row_id", "step", "scores"]
     assert df.count() > 0
+
+
+def test_error_loop_stops_like_the_oracle(spark, con):
+    import numpy as np
+
+    from matstream.plans.sketch import sketch_svd
+
+    res = sketch_svd(E._rows(spark, SF), k=1, subsample=1, max_iter=5, tolerance=0.1, calc_error=True, q=10,
+                     subsample_norm=1, seed="validation")
+    want = con.sql(E._sketch_error_k1_sql(5, 10, 0.1)).df().sort_values("round")
+    assert len(res.errors) == len(want) < 5   # stopped early, at the same round
+    assert np.allclose(np.round(res.errors, 6), want.rel_error.to_numpy(), atol=1e-6)
