@@ -85,3 +85,16 @@ def test_narrow_gram_in_jvm_equals_numpy(spark):
     Xc = X - X.mean(0)
     assert n == X.shape[0]
     assert np.allclose(C, Xc.T @ Xc, rtol=1e-10)
+
+
+def test_random_seeds_have_their_distributions(spark):
+    from matstream.functions.seeds import seed_cells, seed_gaussian, seed_uniform
+
+    g = seed_cells(spark, 400, 50, "gaussian", seed=3).toPandas()
+    u = seed_cells(spark, 400, 50, "uniform", seed=3).toPandas()
+    assert len(g) == 20000 and set(g.j) == set(range(50)) and set(g.i) == set(range(400))
+    assert abs(g.v.mean()) < 0.05 and abs(g.v.std() - 1) < 0.05
+    assert 0 <= u.v.min() and u.v.max() < 1 and abs(u.v.mean() - 0.5) < 0.02
+    a, b = seed_gaussian(64, 7, [1, 2]), seed_gaussian(64, 7, [1, 2])
+    assert np.array_equal(a, b) and not np.array_equal(a, seed_gaussian(64, 7, [1, 3]))
+    assert seed_uniform(64, 7, 5).min() >= 0
