@@ -383,8 +383,11 @@ def _key_prefixes(base: DataFrame, keys: list[str], need: int):
         F.percentile_approx("_ord", PREFIX_GRID, PREFIX_ACCURACY).alias("_qs"))
     p_need = F.lit(float(need)) / F.col("_n") + F.lit(2.0 / PREFIX_ACCURACY)
     levels = F.filter(F.arrays_zip(grid.alias("p"), F.col("_qs").alias("q")), lambda z: z["p"] >= p_need)
-    thr = F.when(p_need < 1.0, F.element_at(levels, 1)["q"])
+    level = F.element_at(levels, 1)
+    thr = F.when((p_need < 1.0) & (level["p"] < 1.0), level["q"])   # level 1.0 keeps the whole key
     stats = stats.select(*keys, "_n", thr.alias("_thr")).persist(StorageLevel.MEMORY_AND_DISK)
+    if not stats.where(F.col("_thr").isNotNull()).limit(1).count():
+        return base, stats.select(*keys, "_n")   # no key is long enough to trim
     kept = base.join(stats, keys).where(F.col("_thr").isNull() | (F.col("_ord") <= F.col("_thr")))
     short = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).join(stats, keys) \
         .where(F.col("_k") < F.least(F.lit(need), F.col("_n"))).select(*keys)
