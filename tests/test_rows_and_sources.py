@@ -175,3 +175,11 @@ def test_dense_csv_keeps_file_order_across_splits(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert np.array_equal(got, X)
+
+
+def test_blank_line_fails_the_job(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "blank.csv")
+    with open(p, "w") as fh:
+        fh.write("1,2\n\n3,4\n")
+    with pytest.raises(Exception):
+        read_dense_csv(spark, p).collect()
