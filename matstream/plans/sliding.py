@@ -192,7 +192,12 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         df, id_col, col = src, ROW_ID, FEATURES
     base = df.select(F.col(id_col).cast("long").alias(ROW_ID), F.col(col).alias(FEATURES))
     if n is None:
-        n = base.count()
+        # one aggregate over the id column (pruned scan): count plus the range the ids must span
+        row = base.agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("lo"), F.max(ROW_ID).alias("hi")).first()
+        n = int(row["n"])
+        if n and (row["lo"] != 0 or row["hi"] != n - 1):
+            raise ValueError(f"{id_col} is not dense 0..n-1 (min {row['lo']}, max {row['hi']}, n {n}); "
+                             "pass order_by to number the rows")
     sched = window_schedule(n, block, stride, max_slides)
     rows = with_chunk(base, sched).persist(StorageLevel.MEMORY_AND_DISK)
     d = rows.select(F.size(FEATURES)).first()[0]

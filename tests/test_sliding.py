@@ -181,3 +181,9 @@ def test_key_prefixes_trim_hot_keys_exactly(spark):
     assert got.loc[0, "mx"] == got.loc[0, "c"] - 1   # ... that is exactly its first rows in order
     assert got.loc[1, "c"] == 100             # a small key keeps all its rows
     assert dict(per_key.toPandas().values.tolist()) == {0: 5000, 1: 100}   # true counts for the schedule
+
+
+def test_ids_that_are_not_dense_are_rejected(spark, emb_rows):
+    gappy = emb_rows.withColumn("row_id", F.col("row_id") * 2)
+    with pytest.raises(ValueError, match="not dense"):
+        sliding_pca(gappy, k=2, block=60, stride=20, subsample=2)
