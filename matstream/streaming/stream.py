@@ -178,7 +178,13 @@ class StreamPCA:
             end = self.block + steps[-1] * self.stride
             self._run(st, rows, steps, end, batch_id)
         lo = self._window_lo(st.t_done)
-        self._save(st, rows.where(F.col(ROW_ID) >= F.lit(lo)), st.next_row_id - lo)
+        keep = F.col(ROW_ID) >= F.lit(lo)
+        hi = st.next_row_id
+        if self.max_slides is not None and st.t_done >= self.max_slides:
+            # the capped run is over: rows after its last step are never read, so they are not kept
+            hi = self.block + st.t_done * self.stride
+            keep = keep & (F.col(ROW_ID) < F.lit(hi))
+        self._save(st, rows.where(keep), hi - lo)
         rows.unpersist(blocking=False)
 
     def _window_lo(self, t: int) -> int:

@@ -88,3 +88,17 @@ def test_stream_with_banded_driver_state(spark, tmp_dir, monkeypatch):
                       max_iter=2, max_slides=None)
     want = res.scores.orderBy("row_id").toPandas()
     assert np.abs(np.array(list(got.scores)) - np.array(list(want.scores))).max() < 1e-10
+
+
+def test_capped_stream_keeps_bounded_state(spark, tmp_dir):
+    out, state = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state")
+    r = StreamPCA(spark, out, state, "ord", 1, 30, 10, 1, max_slides=2)
+    rng = np.random.default_rng(1)
+    mk = lambda lo, hi: spark.createDataFrame([(int(o), rng.standard_normal(6).tolist()) for o in range(lo, hi)],
+                                              "ord long, features array<double>")
+    for b, lo in enumerate(range(0, 400, 80)):
+        r.process(mk(lo, lo + 80), b)
+    st, rows = r.load()
+    assert st.t_done == 2 and st.next_row_id == 400
+    assert rows.count() == 30                       # the final window only: rows 20..49
+    assert r.scores().count() == 50                 # block + 2 strides scored, as the batch run with the cap
