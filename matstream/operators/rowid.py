@@ -63,8 +63,15 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
         offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off")).cache()
         offsets.count()
         out = tagged.join(F.broadcast(offsets), "_pid")
-    out = out.withColumn(id_col, (F.col("_off") + F.col("_pos")).cast("long"))
-    return out.drop("_pid", "_pos", "_off")
+    out = out.withColumn(id_col, (F.col("_off") + F.col("_pos")).cast("long")).drop("_pid", "_pos", "_off")
+    out._matstream_cached = [tagged, offsets]   # what release() frees once the ids are no longer needed
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Unpersist what :func:`with_row_id` materialised for ``df`` (call when its results are written)."""
+    for cached in getattr(df, "_matstream_cached", []):
+        cached.unpersist(blocking=False)
 
 
 def first_block(df: DataFrame, block: int, id_col: str = ROW_ID) -> DataFrame:

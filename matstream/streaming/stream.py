@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matstream.operators import rows as ro
-from matstream.operators.rowid import with_row_id
+from matstream.operators.rowid import release, with_row_id
 from matstream.operators.windows import window_schedule
 from matstream.functions.linalg import deflate_gram
 from matstream.plans.sliding import MODEL_SCHEMA, STATS_SCHEMA, advance, banded_states
@@ -157,7 +157,8 @@ class StreamPCA:
                 late.write.mode("overwrite").parquet(f"{self.out}/late/batch_id={batch_id}")
             st.late_rows += n_late
             batch = batch.where(F.col("_ord") >= F.lit(st.last_order))
-        numbered = with_row_id(batch, "_ord").withColumn(ROW_ID, F.col(ROW_ID) + F.lit(st.next_row_id))
+        ided = with_row_id(batch, "_ord")
+        numbered = ided.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(st.next_row_id))
         agg = numbered.agg(F.count(F.lit(1)).alias("n"), F.max("_ord").alias("mx")).first()
         new = numbered.select(ROW_ID, FEATURES, "_ord")
         rows = new if stored is None else stored.unionByName(new)
@@ -186,6 +187,7 @@ class StreamPCA:
             keep = keep & (F.col(ROW_ID) < F.lit(hi))
         self._save(st, rows.where(keep), hi - lo)
         rows.unpersist(blocking=False)
+        release(ided)   # a long-running stream must not accumulate cached batches
 
     def _window_lo(self, t: int) -> int:
         return 0 if t <= 0 else t * self.stride

@@ -102,3 +102,16 @@ def test_capped_stream_keeps_bounded_state(spark, tmp_dir):
     assert st.t_done == 2 and st.next_row_id == 400
     assert rows.count() == 30                       # the final window only: rows 20..49
     assert r.scores().count() == 50                 # block + 2 strides scored, as the batch run with the cap
+
+
+def test_stream_batches_release_their_cache(spark, tmp_dir):
+    out, state = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state")
+    r = StreamPCA(spark, out, state, "ord", 1, 30, 10, 1)
+    rng = np.random.default_rng(2)
+    mk = lambda lo, hi: spark.createDataFrame([(int(o), rng.standard_normal(6).tolist()) for o in range(lo, hi)],
+                                              "ord long, features array<double>")
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    for b, lo in enumerate(range(0, 240, 60)):
+        r.process(mk(lo, lo + 60), b)
+    after = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert after - before <= 2     # nothing per batch is left cached
