@@ -402,6 +402,12 @@ def q_sketch_svd_error_k1(spark, sf_dir):
                                  "round INT, rel_error DOUBLE")
 
 
+def q_lineitem_sketch_svd_k1(spark, sf_dir):
+    """2-wide sketch of the whole ``lineitem`` numerics (steep spectrum, values ~1e7): 2 decimals."""
+    res = sketch_svd(_lineitem_rows(spark, sf_dir), k=1, subsample=1, max_iter=4, seed="validation")
+    return singular_values_frame(spark, res).select("comp", (F.round("sigma", 2) + F.lit(0.0)).alias("sigma"))
+
+
 def q_window_spectral_error(spark, sf_dir):
     from matstream.plans.sketch import window_gram
     r = first_block(_rows(spark, sf_dir), BLOCK)
@@ -1047,6 +1053,11 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
               "union all select 1::INTEGER, {b} from st where it = 10").format(a=_r("s0"), b=_r("s1"))
     q["sketch_svd"] = sk.format(src=_CELLS) + sv_out
     q["sketch_svd_rows"] = q["sketch_svd"]
+    li_cells = ("select row_id, unnest(range(4))::INTEGER as j, unnest(y) as v from (select row_number() over () "
+                "as row_id, [l_quantity, l_extendedprice, l_discount, l_tax]::DOUBLE[] as y from lineitem)")
+    q["lineitem_sketch_svd_k1"] = (("with recursive src as ({src}), " + _SKETCH2.format(iters=4)).format(src=li_cells)
+                                   + " select 0::INTEGER as comp, round(s0, 2) + 0.0 as sigma from st where it = 4"
+                                   " union all select 1::INTEGER, round(s1, 2) + 0.0 from st where it = 4")
     first = f"select * from ({_PAIRS_DEFLATED}) where row_id < {BLOCK}"
     q["window_spectral_error"] = sk.format(src=first) + f" select {_r('s0')} as spectral_error from st where it = 10"
     rn = _RESNORM.format(d_n1=_dfl("n1"), d_n2=_dfl("n2"), d_b1=_dfl("b1"), d_b2=_dfl("b2"), q=10)

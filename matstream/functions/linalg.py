@@ -76,8 +76,23 @@ def canonical_signs(V: np.ndarray) -> np.ndarray:
     return V * signs
 
 
+def orth_cols(B: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns of the seed (same span and rank, so the same sketch subspace).
+
+    Feeding ``YtZ R^-1`` back unnormalised squares the conditioning of
+    ``ZtZ`` once more every round; on a steep spectrum a real direction then
+    falls below the rank tolerance.  Re-orthonormalising keeps ``S`` and ``V``
+    identical in exact arithmetic and the conditioning at ``(s_i / s_1)^2``.
+    """
+    U, sv, _ = np.linalg.svd(B, full_matrices=False)
+    keep = sv > RANK_TOL * max(sv.max(initial=0.0), 1e-300)
+    # the rank of the seed is kept: null directions stay zero columns (the rank fallback drops them)
+    return np.hstack([U[:, keep], np.zeros((B.shape[0], B.shape[1] - int(keep.sum())))])
+
+
 def gram_round(C: np.ndarray, B: np.ndarray, k: int):
     """A sketch round when the centred Gram ``C`` of the window is known: ``YtZ = C B``, ``ZtZ = B'C B``."""
+    B = orth_cols(B)
     yz = C @ B
     zz = B.T @ yz
     return sketch_round(yz, (zz + zz.T) / 2, k)

@@ -113,7 +113,8 @@ def residual_norm_from_gram(C: np.ndarray, V: np.ndarray, subsample_norm: int =
     B = make_seed(seed, d, s, salt)
     S = 0.0
     for _ in range(q):
-        seed_m = B - Vo @ (Vo.T @ B)
+        seed_m = la.orth_cols(B - Vo @ (Vo.T @ B))
+        seed_m = seed_m - Vo @ (Vo.T @ seed_m)
         yz = C @ seed_m
         zz = seed_m.T @ yz
         new_s, B = _norm_round(yz, (zz + zz.T) / 2, Vo, s)
@@ -155,7 +156,7 @@ def sketch_from_rows(df: DataFrame, k: int, subsample: int, max_iter: int = 1, t
     it = 0
     while it < max_iter and prev_err > tolerance:
         t0 = time.perf_counter()
-        _, _, yz, zz = mo.sketch_moments(df, B, mean, col)
+        _, _, yz, zz = mo.sketch_moments(df, la.orth_cols(B), mean, col)
         S, V, B = la.sketch_round(yz, (zz + zz.T) / 2, k)
         res.S, res.V, res.sigma_k1 = S, V, float(S[k])
         res.sketch_s.append(time.perf_counter() - t0)
@@ -177,7 +178,8 @@ def residual_norm_from_rows(df: DataFrame, V: np.ndarray, mean: np.ndarray, subs
     B = make_seed(seed, d, s, salt)
     S = 0.0
     for _ in range(q):
-        seed_m = B - Vo @ (Vo.T @ B)
+        seed_m = la.orth_cols(B - Vo @ (Vo.T @ B))
+        seed_m = seed_m - Vo @ (Vo.T @ seed_m)
         _, _, yz, zz = mo.sketch_moments(df, seed_m, mean, col)
         new_s, B = _norm_round(yz, (zz + zz.T) / 2, Vo, s)
         if new_s == S:

@@ -10,7 +10,8 @@ FAST = ["column_mean", "chunk_moments", "cross_moment", "sketch_gram", "score_fi
         "sketch_svd", "window_spectral_error", "expand_windows_short", "window_schedule_short", "lil_text",
         "project_sparse_nz", "row_id_by_time", "explained_variance", "cells_roundtrip", "residual_norm",
         "sliding_pca_k1", "sliding_stats_k1", "first_rows_by_time", "sliding_by_label_k1", "stream_pca_k1",
-        "change_points_k1", "sliding_model_k1", "run_summary_k1", "events_sliding_k1", "sketch_svd_error_k1"]
+        "change_points_k1", "sliding_model_k1", "run_summary_k1", "events_sliding_k1", "sketch_svd_error_k1",
+        "lineitem_sketch_svd_k1"]
 
 
 @pytest.fixture(scope="module")

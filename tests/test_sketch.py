@@ -98,3 +98,15 @@ def test_random_seeds_have_their_distributions(spark):
     a, b = seed_gaussian(64, 7, [1, 2]), seed_gaussian(64, 7, [1, 2])
     assert np.array_equal(a, b) and not np.array_equal(a, seed_gaussian(64, 7, [1, 3]))
     assert seed_uniform(64, 7, 5).min() >= 0
+
+
+def test_steep_spectrum_keeps_its_second_direction():
+    # singular values 1e7 and 1e3: the seed fed back unnormalised would square the conditioning every round
+    rng = np.random.default_rng(6)
+    U, _ = np.linalg.qr(rng.standard_normal((2000, 4)))
+    W, _ = np.linalg.qr(rng.standard_normal((4, 4)))
+    X = U @ np.diag([1e7, 1e3, 7.0, 5.0]) @ W.T + 5e4
+    Xc = X - X.mean(0)
+    exact = np.linalg.svd(Xc, compute_uv=False)
+    r = sketch_from_gram(Xc.T @ Xc, 2000, 1, 1, max_iter=8, seed="validation")
+    assert np.allclose(r.S[:2], exact[:2], rtol=1e-6)
