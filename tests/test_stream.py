@@ -115,3 +115,18 @@ def test_stream_batches_release_their_cache(spark, tmp_dir):
         r.process(mk(lo, lo + 60), b)
     after = len(spark.sparkContext._jsc.getPersistentRDDs())
     assert after - before <= 2     # nothing per batch is left cached
+
+
+def test_late_rows_with_a_timestamp_order(spark, tmp_dir):
+    import datetime as dt
+
+    out, state = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state")
+    r = StreamPCA(spark, out, state, "ts", 1, 20, 10, 1)
+    rng = np.random.default_rng(4)
+    t0 = dt.datetime(2024, 1, 1)
+    mk = lambda secs: spark.createDataFrame([(t0 + dt.timedelta(seconds=int(x)), rng.standard_normal(5).tolist())
+                                             for x in secs], "ts timestamp_ntz, features array<double>")
+    r.process(mk(range(100, 130)), 0)
+    r.process(mk(list(range(130, 150)) + [3]), 1)
+    st = r.load()[0]
+    assert st.late_rows == 1 and st.next_row_id == 50 and st.t_done == 3
