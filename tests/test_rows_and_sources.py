@@ -183,3 +183,16 @@ def test_blank_line_fails_the_job(spark, tmp_dir):
         fh.write("1,2\n\n3,4\n")
     with pytest.raises(Exception):
         read_dense_csv(spark, p).collect()
+
+
+def test_text_writers_keep_row_order(spark, mat, tmp_dir):
+    import glob
+
+    for writer, first in ((sinks.write_dense_text, "0.0 1.0 0.0 1.0 0.0 "), (sinks.write_lil, "{1:1.0,3:1.0}")):
+        path = os.path.join(tmp_dir, writer.__name__)
+        writer(mat.repartition(3), path, digits=1)
+        lines = [ln.rstrip("\n") for f in sorted(glob.glob(os.path.join(path, "part-*"))) for ln in open(f)]
+        assert len(lines) == 7 and lines[0] == first
+    sinks.write_coo(mat, os.path.join(tmp_dir, "coo"), digits=1)
+    coo = [ln.strip() for f in glob.glob(os.path.join(tmp_dir, "coo", "part-*")) for ln in open(f)]
+    assert sorted(coo)[0] == "0,1,1.0" and len(coo) == 17
