@@ -110,3 +110,13 @@ def test_steep_spectrum_keeps_its_second_direction():
     exact = np.linalg.svd(Xc, compute_uv=False)
     r = sketch_from_gram(Xc.T @ Xc, 2000, 1, 1, max_iter=8, seed="validation")
     assert np.allclose(r.S[:2], exact[:2], rtol=1e-6)
+
+
+def test_error_loop_rows_path_equals_gram_path(emb_rows):
+    a = sketch_svd(emb_rows, k=2, subsample=2, max_iter=3, calc_error=True, q=6, subsample_norm=2,
+                   tolerance=0.01, seed="validation", method="gram")
+    b = sketch_svd(emb_rows, k=2, subsample=2, max_iter=3, calc_error=True, q=6, subsample_norm=2,
+                   tolerance=0.01, seed="validation", method="rows")
+    assert a.n_iter == b.n_iter == len(a.errors) == len(b.errors)
+    assert np.allclose(a.errors, b.errors, atol=1e-9)
+    assert np.allclose(a.S, b.S, atol=1e-9)
