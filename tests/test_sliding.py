@@ -187,3 +187,13 @@ def test_ids_that_are_not_dense_are_rejected(spark, emb_rows):
     gappy = emb_rows.withColumn("row_id", F.col("row_id") * 2)
     with pytest.raises(ValueError, match="not dense"):
         sliding_pca(gappy, k=2, block=60, stride=20, subsample=2)
+
+
+def test_sliding_error_loop_same_on_both_paths(emb_rows):
+    kw = dict(k=2, block=97, stride=41, subsample=2, max_iter=2, max_slides=2, calc_error=True, q=5,
+              tolerance=0.01, subsample_norm=1)
+    a = sliding_pca(emb_rows, method="moments", **kw).stats.orderBy("step").toPandas()
+    b = sliding_pca(emb_rows, method="rows", **kw).stats.orderBy("step").toPandas()
+    assert list(a.n_iter) == list(b.n_iter)
+    for ea, eb in zip(a.errors, b.errors):
+        assert np.allclose(list(ea), list(eb), atol=1e-9)
