@@ -197,3 +197,16 @@ def test_sliding_error_loop_same_on_both_paths(emb_rows):
     assert list(a.n_iter) == list(b.n_iter)
     for ea, eb in zip(a.errors, b.errors):
         assert np.allclose(list(ea), list(eb), atol=1e-9)
+
+
+def test_reports_match_the_stats(emb_rows):
+    from matstream.plans.report import avg_sketch_time, run_summary
+
+    res = sliding_pca(emb_rows, k=2, block=100, stride=50, subsample=2, max_iter=3)
+    st = res.stats.orderBy("step").toPandas()
+    avg = avg_sketch_time(res.stats).orderBy("step").toPandas()
+    assert np.allclose(avg.avg_sketch_s, [np.mean(list(x)) for x in st.sketch_s])
+    summ = run_summary(res.stats).first()
+    assert abs(summ.mean_spectral_error - st.spectral_error.mean()) < 1e-12
+    assert abs(summ.mean_run_s - st.total_s.mean()) < 1e-12
+    assert (st.block_num == st.step + 1).all() and all(len(list(x)) == 3 for x in st.sketch_s)
