@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matstream.llm.common import materialise
+from matstream.llm.common import materialise, small
 
 N = 10
 MAX_BROADCAST_WINDOWS = 1_000_000  # about 100 bytes each
@@ -159,6 +159,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = DROP_SHARE)
         F.col("doc_id").alias("_dc_id"), F.col("text_key").alias("_dc_key"), F.col("covered").alias("_dc_covered"),
         F.col("n_words").alias("_dc_words")).dropDuplicates(["_dc_id", "_dc_key"])
     h = materialise(h, "dc-hit")
+    words = h.agg(F.coalesce(F.sum(F.size("_dc_covered")), F.lit(0))).first()[0]
+    h = small(h) if words <= MAX_BROADCAST_WINDOWS else h
     keyed = docs.withColumn("_dc_text_key", F.xxhash64("text"))
     j = keyed.join(h, F.col("doc_id").eqNullSafe(F.col("_dc_id")) & (F.col("_dc_text_key") == F.col("_dc_key")), "left")
     hit = F.col("_dc_covered").isNotNull()

@@ -11,10 +11,12 @@ coordinates give buckets: a pair at similarity 0.75 shares none with
 probability 5e-6.
 
 Exact copies are one class from the start. Buckets are compared by pivots:
-all members with the bucket's smallest and largest class, then, only in
-buckets that still hold several components, with more and more pivots until no
-pair of different components is left uncompared. So a bucket of copies costs
-linear work, nothing emits all pairs of a group, and no candidate is dropped.
+all members with the bucket's smallest and largest id (unless set sizes rule a
+pair out, or signatures of four bits a coordinate agree in far fewer than any
+similar pair's would). Where a bucket then still holds several components, every
+member outside its largest component is compared with all members, in tiles of
+bounded size. So a bucket of copies costs linear work, nothing emits all pairs
+of a group, and no candidate is dropped.
 Every candidate is confirmed on the full shingle sets.
 
 Defined cases: null or empty text gives an empty set and no link; rows without
@@ -25,7 +27,9 @@ document whose links are those of any of its texts; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matstream.llm import textvec as tv
-from matstream.llm.common import materialise
+from matstream.llm.common import materialise, small
 from matstream.llm.components import connected_components
 
 T = 128
@@ -43,7 +47,15 @@ SHINGLE = 5
 NUM, DEN = 75, 100  # link when DEN * intersection >= NUM * union
 
 _SEEDS = tv.mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SKETCH = "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>"
+_SKETCH = "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>"
+
+#: four bits of every coordinate; a chance agreement has probability 1/16
+SIG_WORDS = T // 16
+_J = NUM / DEN
+_AGREE = T * (_J + (1 - _J) / 16)
+#: five standard deviations below what a pair at the threshold agrees in (a miss has probability 3e-7)
+MIN_AGREE = math.floor(_AGREE - 5 * math.sqrt(_AGREE * (1 - _AGREE / T)))
+_SIG = [f"s{i}" for i in range(SIG_WORDS)]
 
 
 def fast_similarity_sketch(h: np.ndarray, doc: np.ndarray, n_docs: int, t: int = T) -> np.ndarray:
@@ -74,6 +86,20 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def signatures(sketch: np.ndarray) -> np.ndarray:
+    """The low bits of the hash part of 16 coordinates in each long (n_docs x SIG_WORDS)."""
+    n, t = sketch.shape
+    nibbles = tv.mix(sketch) & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(nibbles.reshape(n, t // 16, 16) << shifts, axis=2).view(np.int64)
+
+
+def _lists(rows: np.ndarray, some: np.ndarray) -> pa.ListArray:
+    """A list per document: the next row of ``rows`` where ``some``, else empty."""
+    ends = np.cumsum(np.where(some, rows.shape[1], 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(rows.reshape(-1)))
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = tv.text_buffer(batch.column("text"))
@@ -89,14 +115,11 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 np.add.at(d2, doc, tv.mix(h ^ np.uint64(0x13198A2E03707344)))
             some = count > 0
             place = np.cumsum(some) - 1
-            bands = band_keys(fast_similarity_sketch(h, place[doc], int(some.sum())))
-            sizes = np.where(some, BANDS, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                                             pa.array(bands.reshape(-1)))
+            sketch = fast_similarity_sketch(h, place[doc], int(some.sum()))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(lo, n), keys.slice(lo, n), pa.array(count), pa.array(d1.view(np.int64)),
-                 pa.array(d2.view(np.int64)), lists],
-                names=["doc_id", "text_key", "n_shingles", "d1", "d2", "bands"])
+                 pa.array(d2.view(np.int64)), _lists(band_keys(sketch), some), _lists(signatures(sketch), some)],
+                names=["doc_id", "text_key", "n_shingles", "d1", "d2", "bands", "sig"])
 
 
 def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,14 +164,104 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc ids whose full sets are similar enough."""
-    t = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    with_a = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    t = _texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), docs)
+    with_a = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
 
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _agreement():
+    """In how many coordinates the signatures s0.. and p0.. agree."""
+    total = F.lit(T)
+    for i in range(SIG_WORDS):
+        d = F.col(f"s{i}").bitwiseXOR(F.col(f"p{i}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        total = total - F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def candidate_pairs(left: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Members against the pivots of their bucket: pairs of different components that can be similar.
+
+    The larger set must not exceed the smaller one by more than the threshold allows.
+    """
+    fits = (DEN * F.least("size", "pivot_size") >= NUM * F.greatest("size", "pivot_size"))
+    j = left.join(pivots, "bucket").where((F.col("component") != F.col("pivot_component")) & fits
+                                          & (_agreement() >= MIN_AGREE))
+    return j.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+TILE = 256  # members and pivots of a tile, about
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, text`` of the documents with these ids; no other text moves."""
+    ids = small(materialise(ids.distinct(), "nd-end"))
+    t = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text").join(ids, "id")
+    return materialise(t, "nd-text")
+
+
+def _tile_links(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between the pivots and members of a tile, one for each pair of components that they join."""
+    ids = rows.column("id").to_pylist()
+    comps = rows.column("component").to_pylist()
+    pivot = np.array(rows.column("is_pivot").to_pylist(), dtype=bool)
+    h, doc = _sets(rows.column("text").combine_chunks())
+    size = np.bincount(doc, minlength=len(ids))
+    _, code = np.unique(h, return_inverse=True)
+    bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
+    members = np.flatnonzero(~pivot & (size > 0))
+    parent = {c: c for c in comps}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    a, b = [], []
+    marked = np.zeros(len(code) + 1, dtype=np.int64)
+    for p in np.flatnonzero(pivot & (size > 0)):
+        own = code[bounds[p]:bounds[p + 1]]
+        marked[own] = 1
+        total = np.concatenate([[0], np.cumsum(marked[code])])
+        inter = total[bounds[members + 1]] - total[bounds[members]]
+        marked[own] = 0
+        for m in members[DEN * inter >= NUM * (size[members] + size[p] - inter)]:
+            x, y = root(comps[p]), root(comps[m])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                a.append(ids[p])
+                b.append(ids[m])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _compare_rest(left: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
+    """Links among ``left(bucket, id, component)`` between different components of a bucket.
+
+    Every such pair has a member outside its bucket's largest component: those are the pivots. Members
+    and pivots of a bucket are dealt into tiles of bounded size, and each tile compares whole sets.
+    """
+    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"),
+        (F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > 0)
+    mixed = materialise(mixed, "nd-mixed", tasks)
+    rows = left.join(mixed, "bucket").withColumn("x_blocks", F.ceil(F.col("n") / TILE)).withColumn(
+        "y_blocks", F.ceil(F.col("others") / TILE))
+    deal = F.xxhash64("id", F.lit("tile"))
+    as_member = rows.select("bucket", "id", "component", F.lit(False).alias("is_pivot"),
+                            F.pmod(deal, "x_blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)).alias("y"))
+    as_pivot = rows.where(F.col("component") != F.col("main")).select(
+        "bucket", "id", "component", F.lit(True).alias("is_pivot"),
+        F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), F.pmod(deal, "y_blocks").alias("y"))
+    dealt = materialise(as_member.unionByName(as_pivot), "nd-tile", tasks)
+    with_text = dealt.join(_texts_of(dealt.select("id"), docs), "id")
+    return with_text.groupBy("bucket", "x", "y").applyInArrow(_tile_links, "a long, b long")
+
+
+MEMBERS_PER_TASK = 100_000
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,49 +269,39 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sk = materialise(sketches(docs), "nd-sketch")
     usable = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "nd-class")
-    reps = usable.join(classes, ["d1", "d2"]).where(F.col("doc_id") == F.col("rep"))
+    reps = usable.select("doc_id", "d1", "d2", "bands").join(classes, ["d1", "d2"]).where(F.col("doc_id") == F.col("rep"))
     members = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     shared = materialise(
         members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
         .where(F.col("lo") < F.col("hi")), "nd-bucket")
     members = materialise(members.join(shared, "bucket"), "nd-member")
-    first = members.select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).unionByName(
-        members.select(F.least("id", "hi").alias("a"), F.greatest("id", "hi").alias("b")))
-    pairs = first.where(F.col("a") < F.col("b")).distinct()
-    links = materialise(confirm(pairs, docs), "nd-link")
-    comp = connected_components(links)
+    tasks = math.ceil(max(members.count(), 1) / MEMBERS_PER_TASK)
+    sig = usable.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"),
+                        *[F.get("sig", F.lit(i)).alias(c) for i, c in enumerate(_SIG)])
+    members = materialise(members.distinct().join(sig, "id").withColumn("component", F.col("id")), "nd-signed", tasks)
+    columns = ["bucket", F.col("id").alias("pivot"), F.col("component").alias("pivot_component"),
+               F.col("size").alias("pivot_size"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(_SIG)]]
+    pivots = members.where((F.col("id") == F.col("lo")) | (F.col("id") == F.col("hi"))).select(*columns)
+    pairs = materialise(candidate_pairs(members, pivots), "nd-pair", tasks)
+    comp = None
+    if not pairs.isEmpty():
+        comp = connected_components(materialise(confirm(pairs, docs), "nd-link", tasks))
     # three members have all their pairs among these; only larger buckets can hold uncompared ones
-    left = members.where((F.col("n") > 3) & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi"))).select(
-        "bucket", "id").distinct()
-    pivots_per_bucket = 16
-    while True:
-        left = materialise(_unresolved(left, comp), "nd-left")
-        if left.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("id", F.lit(pivots_per_bucket)), F.lit(pivots_per_bucket))
-        pivots = materialise(left.withColumn("slot", slot).groupBy("bucket", "slot").agg(
-            F.min(F.struct("id", "component")).alias("p")).select(
-            "bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component")), "nd-pivot")
-        pairs = left.join(pivots, "bucket").where(F.col("component") != F.col("pivot_component")).select(
-            *_ordered("id", "pivot")).distinct()
-        more = materialise(confirm(pairs, docs), "nd-link")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = connected_components(links)
-        left = left.select("bucket", "id").join(
-            pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
-        pivots_per_bucket *= 16
-    found = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return sk, materialise(found, "nd-found")
-
-
-def _unresolved(left: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members with their component, of buckets that hold more than one component."""
-    known = left.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = materialise(known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                        .where(F.col("x") < F.col("y")).select("bucket"), "nd-mixed")
-    return known.join(mixed, "bucket")
+    left = members.where((F.col("n") > 3) & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi")))
+    if comp is not None:
+        left = left.drop("component").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    left = materialise(left.select("bucket", "id", "component"), "nd-known", tasks)
+    links = materialise(_compare_rest(left, docs, tasks), "nd-rest", tasks)
+    if not links.isEmpty():
+        # what is known already is a star for each component
+        known = [] if comp is None else [comp.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+        comp = connected_components(functools.reduce(DataFrame.unionByName, known, links))
+    if comp is None:
+        found = classes.select("d1", "d2", F.col("rep").alias("component"))
+    else:
+        found = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
+            "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    return sk.drop("bands", "sig"), materialise(found, "nd-found")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,7 +318,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: the one of smallest doc_id; repeated rows go too."""
     keep_cols = docs.columns
     rows = materialise(near_duplicates(docs), "nd-rows")
-    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key")).distinct()
+    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key"))
+    gone = small(materialise(gone.distinct(), "nd-gone"))
     keyed = docs.withColumn("_nd_text_key", F.xxhash64("text"))
     cond = (F.col("doc_id") == F.col("_nd_id")) & (F.col("_nd_text_key") == F.col("_nd_key"))
     kept = keyed.join(gone, cond, "left_anti")

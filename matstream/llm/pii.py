@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matstream.llm.common import materialise
+from matstream.llm.common import materialise, small
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -251,6 +251,7 @@ _CAND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
                                   ("base", pa.bool_()), ("votes", pa.list_(pa.int32())),
                                   ("features", pa.list_(pa.int32()))]))
 ACCEPT = 0.5
+MAX_BROADCAST_SPANS = 500_000  # under 100 bytes each
 
 
 def candidates_of(text: str | None) -> list[dict]:
@@ -340,6 +341,8 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = personal_data(docs).where(F.size("found") > 0).select(
         F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("found").alias("_pii_found"))
     spans = materialise(spans.dropDuplicates(["_pii_id", "_pii_key"]), "pii-span")
+    n = spans.agg(F.coalesce(F.sum(F.size("_pii_found")), F.lit(0))).first()[0]
+    spans = small(spans) if n <= MAX_BROADCAST_SPANS else spans
     keyed = docs.withColumn("_pii_text_key", F.xxhash64("text"))
     j = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_text_key") == F.col("_pii_key")),
                    "left")
