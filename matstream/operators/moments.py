@@ -77,7 +77,10 @@ def row_max(df: DataFrame, col: str = FEATURES) -> DataFrame:
 def mean_vector(df: DataFrame, col: str = FEATURES) -> tuple[int, np.ndarray]:
     """``(n, column means)`` on the driver (d numbers)."""
     row = column_stats(df, ("count", "mean"), col).first()
-    return int(row["count"]), np.asarray(row["mean"], dtype=np.float64)
+    mean = np.asarray(row["mean"], dtype=np.float64)
+    if not np.isfinite(mean).all():
+        raise ValueError("matrix holds NaN or infinite values")
+    return int(row["count"]), mean
 
 
 def matrix_sum(cells: DataFrame, by: str | None = None) -> DataFrame:

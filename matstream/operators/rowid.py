@@ -23,7 +23,7 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
                 num_partitions: int | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add a dense 0-based ``id_col`` in the order of ``order_by``.
 
-    The key must be unique (add tie-breaking columns otherwise): then the
+    A null in the key fails the job.  The key must be unique (add tie-breaking columns otherwise): then the
     numbering is deterministic and a recomputed partition after an executor
     loss gets the same ids.  The numbered frame is persisted (memory and
     disk) so the count job and the offset join read one materialisation.
@@ -36,6 +36,8 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
     """
     groups = list(partition_by)
     keys = groups + ([order_by] if isinstance(order_by, str) else list(order_by))
+    for c in keys[len(groups):]:  # a null has no place in the order
+        df = df.withColumn(c, F.coalesce(F.col(c), F.raise_error(F.lit(f"null in the order key {c}"))))
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
@@ -108,6 +110,8 @@ def first_rows(df: DataFrame, order_by: str, n_rows: int, id_col: str = ROW_ID,
     if n_rows >= total:
         return with_row_id(df, order_by, id_col)
     key = F.col(order_by)
+    if not df.where(key.isNull()).isEmpty():
+        raise ValueError(f"null in the order key {order_by}")
     p = min(1.0, n_rows / total + 2.0 / accuracy)
     while p < 1.0:
         thr = df.agg(F.percentile_approx(key, p, accuracy).alias("t")).first()["t"]

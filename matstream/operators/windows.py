@@ -29,7 +29,7 @@ class Schedule:
     n: int
     block: int
     stride: int
-    max_slides: int | None = 20
+    max_slides: int | None = None
     steps: list = field(default_factory=list, compare=False)
 
     @property
@@ -74,7 +74,7 @@ class Schedule:
         return out
 
 
-def window_schedule(n: int, block: int, stride: int, max_slides: int | None = 20) -> Schedule:
+def window_schedule(n: int, block: int, stride: int, max_slides: int | None = None) -> Schedule:
     """The step table as a small driver-side object (bounded by ``max_slides``)."""
     if block < 2 or n < block:
         raise ValueError(f"need n >= block >= 2 (n={n}, block={block})")
@@ -91,7 +91,7 @@ def window_schedule(n: int, block: int, stride: int, max_slides: int | None = 20
 
 
 def schedule_frame(spark: SparkSession, n: int, block: int, stride: int,
-                   max_slides: int | None = 20) -> DataFrame:
+                   max_slides: int | None = None) -> DataFrame:
     """The step table ``step, drop_lo, drop_hi, enter_lo, enter_hi`` from ``spark.range``."""
     sched = window_schedule(n, block, stride, max_slides)
     T = sched.last

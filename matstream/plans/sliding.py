@@ -158,7 +158,7 @@ def banded_states(rows: DataFrame, sched: Schedule, d: int, start: int = 0):
 
 
 def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int, max_iter: int = 1,
-                max_slides: int | None = 20, tolerance: float = 0.05, calc_error: bool = False, q: int = 10,
+                max_slides: int | None = None, tolerance: float = 0.05, calc_error: bool = False, q: int = 10,
                 subsample_norm: int = 1, seed="validation", n: int | None = None, dataset: str = "",
                 id_col: str = ROW_ID, col: str = FEATURES, method: str = "auto",
                 order_by: str | None = None) -> SlidingResult:
@@ -404,7 +404,7 @@ def _key_prefixes(base: DataFrame, keys: list[str], need: int):
 
 
 def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, stride: int, subsample: int,
-                       max_iter: int = 1, max_slides: int | None = 20, tolerance: float = 0.05,
+                       max_iter: int = 1, max_slides: int | None = None, tolerance: float = 0.05,
                        calc_error: bool = False, q: int = 10, subsample_norm: int = 1, seed="validation",
                        order_by: str = ROW_ID, col: str = FEATURES) -> DataFrame:
     """:func:`sliding_pca` run independently for every key (the scale-out form).
@@ -421,8 +421,9 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     from matstream.operators.rowid import with_row_id
 
     if max_slides is None:
-        # one key's recursion is one group: its moment table must have a bound (chunks <= 2 * max_slides + 2)
-        raise ValueError("sliding_pca_by_key needs a slide cap (max_slides); run sliding_pca per key otherwise")
+        # no key is cut: as many slides as the largest key has (its moments are one group, 2 * slides + 2 chunks)
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        max_slides = max(1, -(-max(0, largest - block) // stride))
     spark = df.sparkSession
     base = df.select(*keys, F.col(order_by).alias("_ord"), F.col(col).cast("array<double>").alias(FEATURES))
     # one row per key: its true row count (the schedule depends on it) and, for orderable keys, a

@@ -280,7 +280,7 @@ def stream_pca(stream_df: DataFrame, order_by: str, out_path: str, state_path: s
 
 
 def stream_pca_table(spark: SparkSession, sf_dir: str, table: str, k: int, block: int, stride: int,
-                     subsample: int, max_iter: int = 1, max_slides: int | None = 20) -> DataFrame:
+                     subsample: int, max_iter: int = 1, max_slides: int | None = None) -> DataFrame:
     """ST1 over a table read as a file stream, finished at the end; returns the scores."""
     src = _table_stream(spark, sf_dir, table)
     rows = src.select(F.col("vec_id").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias(FEATURES))

@@ -16,7 +16,7 @@ def plan(df) -> str:
 def test_scheduled_range_reaches_the_scan_and_scoring_stays_in_the_jvm(spark):
     emb = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = from_array(emb, "embedding", row_id="vec_id")
-    res = sliding_pca(rows, k=3, block=100, stride=50, subsample=4, max_iter=1)
+    res = sliding_pca(rows, k=3, block=100, stride=50, subsample=4, max_iter=1, max_slides=20)
     p = plan(res.scores)
     assert "LessThan(vec_id,1100)" in p            # only the rows the 20 slides read are scanned
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p   # the model table, size checked
