@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from matstream.functions.arrowmat import to_matrix
 from matstream.sources.frames import FEATURES, ROW_ID
 
-CELLS_SCHEMA = "chunk INT, i INT, j INT, v DOUBLE"
+CELLS_SCHEMA = "chunk BIGINT, i INT, j INT, v DOUBLE"
 KERNEL_STATE_BYTES = 256 << 20  # per-task accumulator budget of the chunk-moment kernel
 
 
@@ -97,7 +97,7 @@ def total_variance(gram_cells: DataFrame) -> DataFrame:
 # --- chunk moments (A10) -------------------------------------------------------------------
 
 def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, np.ndarray] | None = None,
-                  col: str = FEATURES, key_type: str = "int") -> DataFrame:
+                  col: str = FEATURES) -> DataFrame:
     """A10: per chunk ``n``, column sum and upper-triangle Gram ``Y'Y`` as cells.
 
     Cells ``chunk, i, j, v``: ``(-1, -1)`` is the count, ``(-1, j)`` the
@@ -118,7 +118,7 @@ def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, n
             j = np.concatenate([[-1], np.arange(d), ju]).astype(np.int32)
             v = np.concatenate([[float(n)], s1, G[iu, ju]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(v), key, np.int64 if key_type == "long" else np.int32)),
+                [pa.array(np.full(len(v), key, np.int64)),
                  pa.array(i), pa.array(j), pa.array(v)],
                 names=["chunk", "i", "j", "v"])
 
@@ -152,8 +152,7 @@ def chunk_moments(df: DataFrame, chunk_col: str = "chunk", shift: Mapping[int, n
                 a[2] += Yg.T @ Yg
         yield from flush(acc)
 
-    schema = CELLS_SCHEMA if key_type == "int" else "chunk LONG, i INT, j INT, v DOUBLE"
-    partial = df.select(F.col(chunk_col).cast(key_type), F.col(col)).mapInArrow(kernel, schema)
+    partial = df.select(F.col(chunk_col).cast("long"), F.col(col)).mapInArrow(kernel, CELLS_SCHEMA)
     return partial.groupBy("chunk", "i", "j").agg(F.sum("v").alias("v"))
 
 

@@ -14,8 +14,10 @@ are plain arithmetic on ``row_id``, so no join is needed to place a row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,23 +26,56 @@ from matstream.sources.frames import ROW_ID
 SCHEDULE_COLUMNS = ["step", "drop_lo", "drop_hi", "enter_lo", "enter_hi"]
 
 
+class _Steps(Sequence):
+    """The tuples ``(step, drop_lo, drop_hi, enter_lo, enter_hi)``, computed when asked for (nothing is stored)."""
+
+    def __init__(self, sched: "Schedule"):
+        self._s = sched
+
+    def __len__(self) -> int:
+        return self._s.last + 1
+
+    def __getitem__(self, t: int) -> tuple[int, int, int, int, int]:
+        s = self._s
+        if not -len(self) <= t < len(self):
+            raise IndexError(t)
+        t %= len(self)
+        if t == 0:
+            return 0, 0, 0, 0, s.block
+        lo = (t - 1) * s.stride
+        i = s.block + lo
+        st = min(s.stride, s.n - i)
+        return t, lo, lo + st, i, i + st
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other)
+
+
 @dataclass(frozen=True)
 class Schedule:
     n: int
     block: int
     stride: int
     max_slides: int | None = None
-    steps: list = field(default_factory=list, compare=False)
+
+    @property
+    def steps(self) -> _Steps:
+        return _Steps(self)
 
     @property
     def last(self) -> int:
-        return len(self.steps) - 1
+        slides = -(-(self.n - self.block) // self.stride)
+        return slides if self.max_slides is None else min(slides, self.max_slides)
 
     @property
     def end(self) -> int:
         """One past the last row that any step reads."""
         return self.steps[-1][4]
 
+    def first_step_of(self, r: int) -> int:
+        """The step at which row ``r`` enters."""
+        return 0 if r < self.block else (r - self.block) // self.stride + 1
+
     def window(self, t: int) -> tuple[int, int]:
         s = self.steps[t]
         return s[2], s[4]
@@ -58,36 +93,35 @@ class Schedule:
         return F.when(rid >= F.lit(last_drop_hi), F.lit(T)).otherwise(full)
 
     def chunk(self, rid: Column) -> Column:
-        """Chunk id ``first * (T + 1) + last``; increasing along the rows."""
-        return (self.first_step(rid) * F.lit(self.last + 1) + self.last_step(rid)).cast("int")
-
-    def chunk_bounds(self) -> list[tuple[int, int, int, int, int]]:
-        """Driver-side list ``(chunk, lo, hi, first, last)`` of the non-empty chunks."""
-        cuts = sorted({0, self.end} | {s[2] for s in self.steps} | {s[4] for s in self.steps})
-        out = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if hi <= lo:
-                continue
-            first = next(t for t, s in enumerate(self.steps) if s[4] > lo)
-            last = max(t for t, s in enumerate(self.steps) if s[2] <= lo)
-            out.append((first * (self.last + 1) + last, lo, hi, first, last))
-        return out
+        """Chunk id ``first * (T + 1) + last`` (BIGINT); increasing along the rows."""
+        return self.first_step(rid).cast("long") * F.lit(self.last + 1) + self.last_step(rid)
+
+    def chunk_bounds(self, start: int = 0) -> list[tuple[int, int, int, int, int]]:
+        """Driver-side list ``(chunk, lo, hi, first, last)`` of the non-empty chunks from row ``start`` on.
+
+        ``start`` is 0 or the first row of a chunk.  Linear in the steps whose
+        rows reach ``start`` or lie behind it.
+        """
+        t0 = min(self.first_step_of(start), self.last)
+        t = np.arange(t0, self.last + 1)
+        enter_hi = np.minimum(self.block + t * self.stride, self.n)
+        drop_hi = np.where(t > 0, enter_hi - self.block, 0)
+        cuts = np.unique(np.concatenate([[start, self.end], enter_hi, drop_hi]))
+        cuts = cuts[cuts >= start]
+        lo, hi = cuts[:-1], cuts[1:]
+        first = t0 + np.searchsorted(enter_hi, lo, side="right")
+        last = t0 + np.searchsorted(drop_hi, lo, side="right") - 1
+        ids = first * (self.last + 1) + last
+        return list(zip(ids.tolist(), lo.tolist(), hi.tolist(), first.tolist(), last.tolist()))
 
 
 def window_schedule(n: int, block: int, stride: int, max_slides: int | None = None) -> Schedule:
-    """The step table as a small driver-side object (bounded by ``max_slides``)."""
+    """The step table as a driver-side object of constant size."""
     if block < 2 or n < block:
         raise ValueError(f"need n >= block >= 2 (n={n}, block={block})")
     if stride < 1 or stride > block:
         raise ValueError(f"need 1 <= stride <= block (stride={stride}, block={block})")
-    steps = [(0, 0, 0, 0, block)]
-    i, lo = block, 0
-    while i < n and (max_slides is None or len(steps) - 1 < max_slides):
-        st = min(stride, n - i)
-        steps.append((len(steps), lo, lo + st, i, i + st))
-        lo += st
-        i += st
-    return Schedule(n, block, stride, max_slides, steps)
+    return Schedule(n, block, stride, max_slides)
 
 
 def schedule_frame(spark: SparkSession, n: int, block: int, stride: int,

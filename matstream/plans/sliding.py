@@ -27,7 +27,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matstream.functions import linalg as la
@@ -38,8 +38,8 @@ from matstream.sources.frames import FEATURES, ROW_ID
 
 BROADCAST_MODEL_BYTES = 64 << 20
 DRIVER_STATE_BYTES = 512 << 20
+LIVE_STATE_BYTES = 2 << 30
 MOMENTS_MAX_D = 1024
-MAX_KEYS_ONE_TASK = 1_000_000
 
 MODEL_SCHEMA = "step INT, comp INT, sigma DOUBLE, v ARRAY<DOUBLE>"
 STATS_SCHEMA = ("step INT, block_num INT, app STRING, dataset STRING, n_rows BIGINT, n_cols INT, n_iter INT, "
@@ -139,17 +139,24 @@ class _BandedStates(dict):
             self.update(self.source.load_range(lo * self.width, hi * self.width))
             self.loaded_to = hi
 
-    def drop_before(self, t: int, bounds: dict):
-        for c in [c for c in self if bounds[c][1] < t]:
-            del self[c]
+
+def live_state_bytes(sched: Schedule, d: int) -> int:
+    """Driver memory of the moments of one window: a chunk for each entry and each drop that cuts it."""
+    chunks = min(2 * -(-sched.block // sched.stride) + 2, 2 * sched.last + 2)
+    return chunks * d * d * 8
 
 
 def banded_states(rows: DataFrame, sched: Schedule, d: int, start: int = 0):
     """Chunk moments of ``rows`` (tagged with ``chunk``), served to the recursion a band of entry steps at a time.
 
-    All at once when the run is short; otherwise bands sized so that about
-    ``DRIVER_STATE_BYTES`` of moments are on the driver.
+    All at once when the run is short; otherwise in bands of about
+    ``DRIVER_STATE_BYTES`` of moments on top of the live chunks, whose size
+    (:func:`live_state_bytes`) is checked here.
     """
+    need = live_state_bytes(sched, d)
+    if need > LIVE_STATE_BYTES:
+        raise ValueError(f"the chunks of a window take {need >> 20} MB of moments on the driver (limit "
+                         f"{LIVE_STATE_BYTES >> 20} MB): use method='rows' or a larger stride")
     source = _ChunkStates(rows, d)
     per_step = 2 * d * d * 8
     band = sched.last + 1 if (sched.last + 1) * per_step <= DRIVER_STATE_BYTES else \
@@ -206,7 +213,7 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     if k > d - 3 or block < k + 3:
         raise ValueError(f"need k <= d - 3 and block >= k + 3 (k={k}, d={d}, block={block})")
     if method == "auto":
-        method = "moments" if d <= MOMENTS_MAX_D else "rows"
+        method = "moments" if d <= MOMENTS_MAX_D and live_state_bytes(sched, d) <= LIVE_STATE_BYTES else "rows"
     if method == "rows":
         out = _sliding_rows(rows, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
                             seed, dataset)
@@ -297,16 +304,23 @@ def advance(states: dict, bounds: dict, steps, d: int, k: int, subsample: int, m
     """Run the given steps of the recursion from ``(S, V)``; ``bounds``: chunk -> (first, last) step.
 
     Chunk states must already carry the deflations of the steps before the
-    first one run here.  Returns ``(models, stats_rows, S, V)``.
+    first one run here; chunks that left the window are dropped from
+    ``states``.  Returns ``(models, stats_rows, S, V)``.
     """
     V = np.zeros((d, k)) if V is None else V
     models, stats_rows = [], []
+    order = sorted(bounds)   # along the rows both ends only grow, so the live chunks are one moving range
+    lo = hi = 0
     for t in steps:
         t0 = time.perf_counter()
         if isinstance(states, _BandedStates):
             states.ensure(t)
-            states.drop_before(t, bounds)
-        live = [c for c, (first, last) in bounds.items() if first <= t <= last and c in states]
+        while hi < len(order) and bounds[order[hi]][0] <= t:
+            hi += 1
+        while lo < hi and bounds[order[lo]][1] < t:
+            states.pop(order[lo], None)   # left the window
+            lo += 1
+        live = [c for c in order[lo:hi] if c in states]
         if t > 0:
             for c in live:  # the whole window is deflated by the current V
                 st = states[c]
@@ -430,15 +444,14 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     # key threshold below which its first block + max_slides * stride rows lie (the rest is never read)
     base, per_key = _key_prefixes(base, keys, block + max_slides * stride)
     numbered = with_row_id(base, "_ord", id_col=ROW_ID, partition_by=keys)
-    per_key = per_key.where(F.col("_n") >= block).persist(StorageLevel.MEMORY_AND_DISK)
-    if per_key.count() <= MAX_KEYS_ONE_TASK:
-        # one row per key, and the key count is checked: a single-task dense rank is cheap
-        per_key = per_key.withColumn("gid", (F.dense_rank().over(Window.orderBy(*keys)) - 1).cast("long"))
-    else:
-        per_key = with_row_id(per_key, keys, id_col="gid")
+    per_key = with_row_id(per_key.where(F.col("_n") >= block), keys, id_col="gid")
     T, ldh, end = _keyed_schedule_cols(F.col("_n"), block, stride, max_slides)
     per_key = per_key.select(*keys, "gid", "_n", T.alias("_T"), ldh.alias("_ldh"), end.alias("_end")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    n_keys, t_max = per_key.agg(F.count(F.lit(1)), F.coalesce(F.max("_T"), F.lit(0))).first()
+    span = (t_max + 1) ** 2   # chunk ids of one key
+    if n_keys * span >= 1 << 63:
+        raise ValueError(f"{n_keys} keys of up to {t_max} slides: chunk ids would not fit into a BIGINT")
     rid = F.col(ROW_ID)
     first = F.when(rid < F.lit(block), F.lit(0)).otherwise(
         F.floor((rid - F.lit(block)) / F.lit(stride)).cast("int") + F.lit(1))
@@ -446,19 +459,18 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
         F.least(F.floor(rid / F.lit(stride)).cast("int"), F.greatest(F.col("_T") - 1, F.lit(0))))
     rows = (numbered.join(per_key, keys).where(rid < F.col("_end"))
             .select(*keys, "gid", ROW_ID, FEATURES, first.alias("step"),
-                    (F.col("gid") * F.lit(1 << 31) + first * (F.col("_T") + 1) + last).alias("gchunk"))
+                    (F.col("gid") * F.lit(span) + first.cast("long") * (F.col("_T") + 1) + last).alias("gchunk"))
             .persist(StorageLevel.MEMORY_AND_DISK))
 
     # chunk means (rows of a chunk are contiguous ids of one key), then within-chunk centred Grams
     means = rows.groupBy("gchunk").agg(vector_to_array(Summarizer.mean(array_to_vector(FEATURES))).alias("_m"))
     centred = rows.join(means, "gchunk").select(
         "gchunk", F.zip_with(FEATURES, "_m", lambda x, m: x - m).alias(FEATURES))
-    cells = mo.chunk_moments(centred.withColumnRenamed("gchunk", "chunk"), "chunk", key_type="long")
+    cells = mo.chunk_moments(centred.withColumnRenamed("gchunk", "chunk"), "chunk")
     mean_cells = means.select(F.col("gchunk").alias("chunk"), F.lit(-2).alias("i"),
                               F.posexplode("_m").alias("j", "v")).select("chunk", "i", F.col("j").cast("int"), "v")
     cells = cells.unionByName(mean_cells) \
-        .select((F.col("chunk") / F.lit(1 << 31)).cast("long").alias("gid"),
-                (F.col("chunk") % F.lit(1 << 31)).cast("int").alias("chunk"), "i", "j", "v")
+        .select(F.expr(f"chunk div {span}").alias("gid"), (F.col("chunk") % F.lit(span)).alias("chunk"), "i", "j", "v")
     cells = cells.join(per_key.select("gid", "_n"), "gid")
 
     params = dict(k=k, block=block, stride=stride, subsample=subsample, max_iter=max_iter, max_slides=max_slides,

@@ -6,7 +6,7 @@ fixed model (the same Arrow-batch product as P11 on a streaming frame).
 ST1 :class:`StreamPCA` runs the sliding PCA over arriving rows in
 ``foreachBatch``.  Order is the micro-batch, then ``order_by`` within it.
 The state is small and kept as Parquet in a versioned folder (one version
-per batch id): the raw rows of the current window and the rows not yet in a
+per batch id, the last two kept): the raw rows of the current window and the rows not yet in a
 full step (at most ``block + stride`` rows), the model, and the models of
 the steps whose deflations the window rows still carry.  Each batch:
 
@@ -20,7 +20,9 @@ the steps whose deflations the window rows still carry.  Each batch:
    partition (overwrite: a replay after a crash rewrites the same rows), then
    the new state version is written last.
 
-The short last step runs only on :meth:`StreamPCA.finish`.
+The short last step runs only on :meth:`StreamPCA.finish`, which ends the run:
+its outputs have a partition of their own, and a later batch that holds rows
+raises instead of being taken for a replay.
 """
 
 from __future__ import annotations
@@ -31,19 +33,30 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matstream.operators import rows as ro
 from matstream.operators.rowid import release, with_row_id
 from matstream.operators.windows import window_schedule
 from matstream.functions.linalg import deflate_gram
-from matstream.plans.sliding import MODEL_SCHEMA, STATS_SCHEMA, advance, banded_states
+from matstream.plans.sliding import BROADCAST_MODEL_BYTES, MODEL_SCHEMA, STATS_SCHEMA, advance, banded_states
 from matstream.session import scratch_path
 from matstream.sources.frames import FEATURES, ROW_ID
 
 
 ROWS_PER_STATE_FILE = 1_000_000
+FINAL_PARTITION = -1   # output partition of the short last step
+KEPT_VERSIONS = 2
+
+
+def _order_text(c: Column, kind: str) -> Column:
+    """An order key as text that does not depend on any time zone (timestamps: epoch microseconds)."""
+    return (F.unix_micros(c) if kind == "timestamp" else c).cast("string")
+
+
+def _order_literal(text: str, kind: str) -> Column:
+    return F.timestamp_micros(F.lit(int(text))) if kind == "timestamp" else F.lit(text).cast(kind)
 
 
 # --- ST2 -------------------------------------------------------------------------------------------
@@ -77,11 +90,16 @@ class _State:
     batch_id: int = -1
     t_done: int = -1
     next_row_id: int = 0
-    last_order: object = None
+    last_order: str | None = None   # see _order_text
     S: np.ndarray | None = None
     V: np.ndarray | None = None
     history: dict = field(default_factory=dict)   # step -> V after that step
     late_rows: int = 0
+    finished: bool = False
+
+    @property
+    def version(self) -> int:
+        return 2 * self.batch_id + self.finished
 
 
 class StreamPCA:
@@ -112,6 +130,13 @@ class StreamPCA:
                 out.append(int(name[2:]))
         return sorted(out)
 
+    def _forget_old_versions(self) -> None:
+        """Delete all but the last committed versions (what a replay may still read is kept)."""
+        sc = self.spark.sparkContext
+        for v in self._versions()[:-KEPT_VERSIONS]:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.state_path}/v={v}")
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
     def load(self) -> tuple[_State, DataFrame | None]:
         vs = self._versions()
         if not vs:
@@ -119,7 +144,7 @@ class StreamPCA:
         base = f"{self.state_path}/v={vs[-1]}"
         meta = json.loads(self.spark.read.text(f"{base}/meta").first()[0])
         st = _State(meta["batch_id"], meta["t_done"], meta["next_row_id"], meta["last_order"],
-                    late_rows=meta.get("late_rows", 0))
+                    late_rows=meta["late_rows"], finished=meta["finished"])
         if meta["t_done"] >= 0:
             mats = {r["step"]: r for r in self.spark.read.parquet(f"{base}/models").collect()}  # window's steps only
             for step, r in mats.items():
@@ -131,7 +156,7 @@ class StreamPCA:
         return st, rows
 
     def _save(self, st: _State, rows: DataFrame, n_rows: int) -> None:
-        base = f"{self.state_path}/v={st.batch_id}"
+        base = f"{self.state_path}/v={st.version}"
         # the stored rows are at most block + stride: a few files sized by their count
         rows.coalesce(max(1, n_rows // ROWS_PER_STATE_FILE + 1)).write.mode("overwrite").parquet(f"{base}/rows")
         hist = [(int(s), [float(x) for x in st.S] if s == st.t_done else [],
@@ -140,32 +165,39 @@ class StreamPCA:
         self.spark.createDataFrame(hist, "step INT, sigma ARRAY<DOUBLE>, v ARRAY<DOUBLE>").coalesce(1) \
             .write.mode("overwrite").parquet(f"{base}/models")
         meta = dict(batch_id=st.batch_id, t_done=st.t_done, next_row_id=st.next_row_id,
-                    last_order=st.last_order, late_rows=st.late_rows)
+                    last_order=st.last_order, late_rows=st.late_rows, finished=st.finished)
         self.spark.createDataFrame([(json.dumps(meta),)], "value STRING").coalesce(1) \
             .write.mode("overwrite").text(f"{base}/meta")   # written last: the commit
+        self._forget_old_versions()
 
     # -- one micro-batch --------------------------------------------------------------------------
     def process(self, batch: DataFrame, batch_id: int) -> None:
         st, stored = self.load()
         if batch_id <= st.batch_id:
             return  # replayed batch: already committed
+        if st.finished:
+            if batch.isEmpty():
+                return
+            raise ValueError("the stream was finished; start a new state folder for further rows")
+        kind = batch.schema[self.order_by].dataType.simpleString()
         batch = batch.select(F.col(self.order_by).alias("_ord"), F.col(self.col).cast("array<double>").alias(FEATURES))
         if st.last_order is not None:
-            late = batch.where(F.col("_ord") < F.lit(st.last_order))
+            seen = _order_literal(st.last_order, kind)
+            late = batch.where(F.col("_ord") < seen)
             n_late = late.count()
             if n_late:
                 late.write.mode("overwrite").parquet(f"{self.out}/late/batch_id={batch_id}")
             st.late_rows += n_late
-            batch = batch.where(F.col("_ord") >= F.lit(st.last_order))
+            batch = batch.where(F.col("_ord").isNull() | (F.col("_ord") >= seen))   # a null is refused by the numbering
         ided = with_row_id(batch, "_ord")
         numbered = ided.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(st.next_row_id))
-        agg = numbered.agg(F.count(F.lit(1)).alias("n"), F.max("_ord").alias("mx")).first()
+        agg = numbered.agg(F.count(F.lit(1)).alias("n"), _order_text(F.max("_ord"), kind).alias("mx")).first()
         new = numbered.select(ROW_ID, FEATURES, "_ord")
         rows = new if stored is None else stored.unionByName(new)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         st.next_row_id += int(agg["n"])
         if agg["mx"] is not None:
-            st.last_order = agg["mx"] if not hasattr(agg["mx"], "isoformat") else agg["mx"].isoformat()
+            st.last_order = agg["mx"]
         steps = []
         t = st.t_done + 1
         while self.max_slides is None or t <= self.max_slides:
@@ -200,9 +232,9 @@ class StreamPCA:
         tagged = part.select(ROW_ID, FEATURES, sched.chunk(F.col(ROW_ID)).alias("chunk")).persist(
             StorageLevel.MEMORY_AND_DISK)
         d = tagged.select(F.size(FEATURES)).first()[0]
-        source, states = banded_states(tagged, sched, d, start=self._first_step(lo))
+        source, states = banded_states(tagged, sched, d, start=sched.first_step_of(lo))
         states.ensure(max(st.t_done, 0))
-        bounds = {c: (first, last) for c, _, _, first, last in sched.chunk_bounds()}
+        bounds = {c: (first, last) for c, _, _, first, last in sched.chunk_bounds(lo)}
         # chunks already in the window carry the deflations of the steps run before
         for c, (first, _) in bounds.items():
             if c in states and first <= st.t_done:
@@ -216,7 +248,7 @@ class StreamPCA:
         for t, (Sm, Vm) in zip(steps, models):
             st.history[t] = Vm
         st.S, st.V, st.t_done = S, V, steps[-1]
-        keep_from = max(self._first_step(self._window_lo(st.t_done)), 1) - 1
+        keep_from = max(sched.first_step_of(self._window_lo(st.t_done)), 1) - 1
         st.history = {s: v for s, v in st.history.items() if s >= keep_from}
         # outputs of this batch's steps, in the batch's own partition
         spark = self.spark
@@ -228,22 +260,22 @@ class StreamPCA:
             .parquet(f"{self.out}/stats/batch_id={batch_id}")
         comps = spark.createDataFrame([(t, [[float(x) for x in Vm[:, c]] for c in range(self.k)])
                                        for t, (_, Vm) in zip(steps, models)], "step INT, comps ARRAY<ARRAY<DOUBLE>>")
-        entering = tagged.select(ROW_ID, FEATURES, sched.first_step(F.col(ROW_ID)).alias("step")) \
-            .where(F.col("step").isin(steps))
+        enter_lo, enter_hi = sched.steps[steps[0]][3], sched.steps[steps[-1]][4]
+        entering = tagged.where((F.col(ROW_ID) >= F.lit(enter_lo)) & (F.col(ROW_ID) < F.lit(enter_hi))) \
+            .select(ROW_ID, FEATURES, sched.first_step(F.col(ROW_ID)).alias("step"))
+        if len(models) * self.k * d * 8 <= BROADCAST_MODEL_BYTES:
+            comps = F.broadcast(comps)
         scores = F.transform("comps", lambda v: F.aggregate(F.zip_with(FEATURES, v, lambda a, b: a * b),
                                                             F.lit(0.0), lambda acc, x: acc + x))
-        entering.join(F.broadcast(comps), "step").select(ROW_ID, "step", scores.alias("scores")) \
+        entering.join(comps, "step").select(ROW_ID, "step", scores.alias("scores")) \
             .write.mode("overwrite").parquet(f"{self.out}/scores/batch_id={batch_id}")
         source.release()
         tagged.unpersist(blocking=False)
 
-    def _first_step(self, r: int) -> int:
-        return 0 if r < self.block else (r - self.block) // self.stride + 1
-
-    def finish(self, batch_id: int | None = None) -> None:
-        """Run the short last step over the rows left after the last full step."""
+    def finish(self) -> None:
+        """Run the short last step over the rows left after the last full step; the run is over then."""
         st, stored = self.load()
-        if stored is None or st.t_done < 0:
+        if stored is None or st.t_done < 0 or st.finished:
             return
         if self.max_slides is not None and st.t_done >= self.max_slides:
             return
@@ -252,8 +284,8 @@ class StreamPCA:
             return
         sched = window_schedule(st.next_row_id, self.block, self.stride, None)
         t = st.t_done + 1
-        st.batch_id = (st.batch_id + 1) if batch_id is None else batch_id
-        self._run(st, stored, [t], sched.end, st.batch_id, sched=sched)
+        self._run(st, stored, [t], sched.end, FINAL_PARTITION, sched=sched)
+        st.finished = True
         self._save(st, stored.where(F.col(ROW_ID) >= F.lit(sched.steps[t][2])), st.next_row_id - sched.steps[t][2])
 
     # -- outputs --------------------------------------------------------------------------------

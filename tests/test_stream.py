@@ -3,6 +3,7 @@ import os
 import shutil
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from matstream.plans.sliding import sliding_pca
@@ -130,3 +131,43 @@ def test_late_rows_with_a_timestamp_order(spark, tmp_dir):
     r.process(mk(list(range(130, 150)) + [3]), 1)
     st = r.load()[0]
     assert st.late_rows == 1 and st.next_row_id == 50 and st.t_done == 3
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_late_rows_do_not_depend_on_the_session_zone(spark, tmp_dir, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    rng = np.random.default_rng(1)
+
+    def mk(seconds):
+        rows = [(1_700_000_000 + s, rng.standard_normal(8).tolist()) for s in seconds]
+        return spark.createDataFrame(rows, "s long, features array<double>").select(
+            F.timestamp_seconds("s").alias("ts"), "features")
+
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        r = StreamPCA(spark, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state"), "ts", 2, 30, 10, 2)
+        r.process(mk(range(0, 70)), 0)
+        r.process(mk([*range(70, 140), *range(0, 10)]), 1)
+        st = r.load()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert (st.next_row_id, st.late_rows) == (140, 10)
+
+
+def test_rows_after_finish_raise_and_old_state_goes(spark, tmp_dir):
+    out, state = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state")
+    r = StreamPCA(spark, out, state, "ord", 2, 30, 10, 2)
+    rng = np.random.default_rng(2)
+    mk = lambda ords: spark.createDataFrame([(int(o), rng.standard_normal(8).tolist()) for o in ords],
+                                            "ord long, features array<double>")
+    for b in range(4):
+        r.process(mk(range(20 * b, 20 * b + 20)), b)
+    r.process(mk(range(80, 85)), 4)
+    r.finish()
+    r.finish()
+    assert sorted(x.row_id for x in r.scores().select("row_id").collect()) == list(range(85))
+    assert len(glob.glob(f"{state}/v=*")) == 2
+    r.process(mk(range(80, 85)), 4)       # a replay is still nothing
+    r.process(mk([]), 5)                  # nor is an empty batch
+    with pytest.raises(ValueError, match="finished"):
+        r.process(mk(range(85, 120)), 5)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +58,16 @@ def test_chunks_and_memberships(spark, n, block, stride, cap):
             steps_of_r = sorted(t for t, rr in mem if rr == r)
             assert steps_of_r == list(range(first, last + 1))
     assert max(chunks) == s.end - 1
+
+
+def test_long_schedules_stay_linear_and_wide(spark):
+    s = window_schedule(100_050, 50, 1)
+    t0 = time.perf_counter()
+    bounds = s.chunk_bounds()
+    assert time.perf_counter() - t0 < 2
+    assert s.last == 100_000 and len(bounds) == 100_050
+    tail = s.chunk_bounds(99_000)
+    assert tail == [b for b in bounds if b[1] >= 99_000]
+    df = spark.range(100_000, 100_050).withColumnRenamed("id", "row_id")
+    ids = {r.row_id: r.chunk for r in with_chunk(df, s).collect()}   # beyond 2^31
+    assert ids == {lo: c for c, lo, _, _, _ in bounds[100_000:]} and max(ids.values()) > 1 << 31
