@@ -2,8 +2,7 @@
 
 Every query reads the given tables whole, but for those whose feature is a
 prefix or range of rows (``first_block``, ``rows_at``, ``slide_window``,
-``first_rows_by_time``, ``window_spectral_error``, ``events_sliding_head``) and
-the seed queries, which read a table's width.  Computed columns are aliased identically on both
+``first_rows_by_time``, ``window_spectral_error``, ``events_sliding_head``).  Computed columns are aliased identically on both
 sides; doubles are rounded to 6 decimals (plus 0.0, so -0.0 cannot differ);
 ids are BIGINT and positions INT on both sides.
 
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matstream.functions.seeds import seed_cells, seed_validation
+from matstream.functions.seeds import seed_gaussian, seed_uniform, seed_validation
 from matstream.operators import moments as mo
 from matstream.operators import rows as ro
 from matstream.operators.rowid import first_block, rows_at, with_row_id
@@ -34,9 +33,10 @@ from matstream.operators.windows import (expand_windows, schedule_frame, slide,
                                          with_chunk)
 from matstream.plans import report
 from matstream.plans.sketch import singular_values_frame, sketch_svd
-from matstream.plans.sliding import change_points, sliding_pca, sliding_pca_by_key, window_spectral_error
+from matstream.plans.sliding import change_points, skipped_keys, sliding_pca, sliding_pca_by_key, window_spectral_error
 from matstream.sources import sinks
-from matstream.sources.frames import FEATURES, ROW_ID, from_array, from_columns, parse_dense_lines
+from matstream.session import scratch_path
+from matstream.sources.frames import FEATURES, ROW_ID, from_array, from_columns, parse_dense_lines, read_dense_csv
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -107,6 +107,13 @@ def q_dense_csv_roundtrip(spark, sf_dir):
     return _cells_out(back)
 
 
+def q_dense_csv_file(spark, sf_dir):
+    """The rows written as text files and read back in file order."""
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(_rows(spark, sf_dir), path)
+    return _cells_out(read_dense_csv(spark, path))
+
+
 def q_dense_text(spark, sf_dir):
     return sinks.dense_text_lines(_rows(spark, sf_dir), digits=6)
 
@@ -365,19 +372,21 @@ def q_sample_rows(spark, sf_dir):
     return ro.sample_rows(r, 0.3, draw=ro.hash_draw(F.col(ROW_ID))).select(ROW_ID)
 
 
-def q_seed_validation(spark, sf_dir):
-    d = _width(_rows(spark, sf_dir))
-    return seed_cells(spark, d, SEED_S, "validation")
+def q_project_gaussian(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    return _cells_out(ro.project(r, seed_gaussian(_width(r), SEED_S, 7)))
 
 
-def q_seed_gaussian(spark, sf_dir):
-    d = _width(_rows(spark, sf_dir))
-    return seed_cells(spark, d, SEED_S, "gaussian", seed=7)
+def q_project_uniform(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    return _cells_out(ro.project(r, seed_uniform(_width(r), SEED_S, 7)))
 
 
-def q_seed_uniform(spark, sf_dir):
-    d = _width(_rows(spark, sf_dir))
-    return seed_cells(spark, d, SEED_S, "uniform", seed=7)
+def q_sparse_sketch(spark, sf_dir):
+    """A7 and A8 from the cells of the quantised rows."""
+    q = _quantised(spark, sf_dir)
+    out = mo.sparse_sketch_cells(ro.to_cells(q), seed_validation(_width(q), SEED_S), _n(q))
+    return out.select("part", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), _r6(F.col("v")).alias("v"))
 
 
 # --- iterative analytics -------------------------------------------------------------------------
@@ -487,6 +496,43 @@ def q_sliding_model_k1(spark, sf_dir):
         "step", "comp", "sigma", F.col("i").cast("int").alias("i"), _r6(F.col("x")).alias("x"))
 
 
+def q_residual_norm_rows(spark, sf_dir):
+    from matstream.plans.sketch import residual_norm
+    r = _rows(spark, sf_dir)
+    val = residual_norm(r, _pairs_v(_width(r)), subsample_norm=1, q=10, seed="validation", method="rows")
+    return spark.createDataFrame([(val,)], "residual_norm DOUBLE")
+
+
+def q_scores_sink(spark, sf_dir):
+    """The scores of the k1 run written with their settings and read back."""
+    path = scratch_path(spark, "scores")
+    sinks.write_scores(_k1_run(spark, sf_dir).scores, path, block=BLOCK, stride=STRIDE)
+    return spark.read.parquet(path).select(ROW_ID, "step", F.posexplode("scores").alias("comp", "v"), "block", "stride").select(
+        ROW_ID, "step", F.col("comp").cast("int").alias("comp"), _r6(F.col("v")).alias("v"), "block", "stride")
+
+
+def q_model_sink(spark, sf_dir):
+    """The model of the k1 run, as for the scores."""
+    path = scratch_path(spark, "model")
+    sinks.write_model(_k1_run(spark, sf_dir).model, path, block=BLOCK, stride=STRIDE)
+    m = spark.read.parquet(path)
+    return m.select("step", "comp", _r6(F.col("sigma")).alias("sigma"), F.posexplode("v").alias("i", "x"), "block", "stride").select(
+        "step", "comp", "sigma", F.col("i").cast("int").alias("i"), _r6(F.col("x")).alias("x"), "block", "stride")
+
+
+def q_stats_sink(spark, sf_dir):
+    """The statistics of the k1 run, as for the scores."""
+    path = scratch_path(spark, "stats")
+    sinks.write_stats(_k1_run(spark, sf_dir).stats, path, block=BLOCK, stride=STRIDE)
+    return spark.read.parquet(path).select("step", "n_rows", _r6(F.col("sigma_k1")).alias("sigma_k1"),
+                                           _r6(F.col("spectral_error")).alias("spectral_error"), "block", "stride")
+
+
+def q_skipped_keys(spark, sf_dir):
+    """Customers with too few orders for a block of 10."""
+    return skipped_keys(_t(spark, sf_dir, "orders"), ["o_custkey"], 10)
+
+
 def q_events_sliding_k1(spark, sf_dir):
     """Uncapped k=1 run over all ``events`` in time order (value, hour, minute, day of week); 4 decimals."""
     ev = _t(spark, sf_dir, "events").select("ts", "value", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
@@ -987,7 +1033,7 @@ lastc as (select max(step) as T, max(drop_hi) filter (where step = (select max(s
 ch as (
   select c.row_id, c.j, c.v,
     ((case when c.row_id < {BLOCK} then 0 else floor((c.row_id - {BLOCK}) / {STRIDE})::INTEGER + 1 end) * (T + 1)
-     + case when c.row_id >= ldh then T else least(floor(c.row_id / {STRIDE})::INTEGER, greatest(T - 1, 0)) end)::INTEGER
+     + case when c.row_id >= ldh then T else least(floor(c.row_id / {STRIDE})::INTEGER, greatest(T - 1, 0)) end)::BIGINT
       as chunk
   from ({_CELLS}) c, lastc
   where c.row_id < (select max(enter_hi) from steps)
@@ -1001,6 +1047,8 @@ with o as (select o_totalprice, o_custkey, (row_number() over (order by o_orderk
 select row_id, 0::INTEGER as j, {_r('o_totalprice::DOUBLE')} as v from o
 union all select row_id, 1::INTEGER as j, {_r('o_custkey::DOUBLE')} as v from o"""
     q["dense_csv_roundtrip"] = f"select row_id, j, {_r('v')} as v from ({_CELLS})"
+    q["dense_csv_file"] = q["dense_csv_roundtrip"]
+    q["skipped_keys"] = "select o_custkey, count(*) as n_rows from orders group by o_custkey having count(*) < 10"
     q["dense_text"] = ("select vec_id::BIGINT as row_id, array_to_string(list_transform(embedding, "
                        "lambda x: printf('%.6f', x::DOUBLE)), ' ') || ' ' as line from embeddings")
     q["lil_text"] = f"""
@@ -1071,8 +1119,23 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     q["stream_score"] = q["score_fixed_v"]
     q["cells_roundtrip"] = f"select row_id, j, {_r('v')} as v from ({_QCELLS})"
     q["sample_rows"] = "select vec_id::BIGINT as row_id from embeddings where ((vec_id * 7919) % 1000) / 1000.0 > 0.3"
-    q["seed_validation"] = (f"select i::INTEGER as i, j::INTEGER as j, ((i + j) % 10 + 1)::DOUBLE as v "
-                            f"from range((select max(len(embedding)) from embeddings)) a(i), range({seedw}) b(j)")
+    hashed = "select i, j, (i * 1000003 + j * 7919 + 7 * 104729 + 12345) % 2147483647 as x " \
+             f"from range((select max(len(embedding)) from embeddings)) a(i), range({2 * seedw}) b(j)"
+    for _ in range(3):
+        hashed = f"select i, j, (x * x + x * 48271 + 11) % 2147483647 as x from ({hashed})"
+    on_seed = "with h as ({h}), w as ({w}) select row_id, c::INTEGER as j, {v} as v from ({cells}) s join w on w.i = s.j group by row_id, c"
+    q["project_uniform"] = on_seed.format(
+        h=hashed, w=f"select i, j as c, x / 2147483647.0::DOUBLE as m from h where j < {seedw}", v=_r("sum(v * m)"), cells=_CELLS)
+    q["project_gaussian"] = on_seed.format(
+        h=hashed, v=_r("sum(v * m)"), cells=_CELLS,
+        w="select a.i, a.j // 2 as c, sqrt(-2 * ln((a.x + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (b.x / 2147483647.0::DOUBLE)) as m "
+          "from h a join h b on a.i = b.i and b.j = a.j + 1 where a.j % 2 = 0")
+    sparse_ctes = sketch_ctes.replace(_CELLS, _QCELLS)
+    stored = f"(select distinct j from ({_QCELLS}) where v <> 0)"
+    q["sparse_sketch"] = (f"{sparse_ctes} select 'yz' as part, yc.j::INTEGER as i, zc.j::INTEGER as j, {_r('sum(yc.v * zc.z)')} as v "
+                          f"from yc join zc using (row_id) where yc.j in {stored} group by 2, 3 union all "
+                          f"select 'zz', a.j::INTEGER, b.j::INTEGER, {_r('sum(a.z * b.z)')} "
+                          f"from zc a join zc b using (row_id) group by 2, 3")
     sk = "with recursive src as ({src}), " + _SKETCH2.format(iters=10)
     sv_out = (" select 0::INTEGER as comp, {a} as sigma from st where it = 10 "
               "union all select 1::INTEGER, {b} from st where it = 10").format(a=_r("s0"), b=_r("s1"))
@@ -1088,6 +1151,7 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     rn = _RESNORM.format(d_n1=_dfl("n1"), d_n2=_dfl("n2"), d_b1=_dfl("b1"), d_b2=_dfl("b2"), q=10)
     q["residual_norm"] = (f"with recursive src as ({_CELLS}), {rn} "
                           f"select s as residual_norm from st order by it desc limit 1")
+    q["residual_norm_rows"] = q["residual_norm"]
     q["sliding_pca_k1"] = _sliding_k1_sql(BLOCK, STRIDE, 1_000_000_000)
     q["sketch_svd_error_k1"] = _sketch_error_k1_sql(5, 10, 0.05)
     q["events_sliding_k1"] = _sliding_k1_sql(
@@ -1106,6 +1170,8 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     q["run_summary_k1"] = (f"select {_r('avg(spectral_error)')} as mean_spectral_error from ("
                            + stats_k1.replace("with recursive", "select * from (with recursive", 1) + "))")
     q["stream_pca_k1"] = q["sliding_pca_k1"]
+    for sink, run in (("scores_sink", "sliding_pca_k1"), ("model_sink", "sliding_model_k1"), ("stats_sink", "sliding_stats_k1")):
+        q[sink] = f"select *, {BLOCK} as block, {STRIDE} as stride from ({q[run]})"
     q["explained_variance"] = f"""{gram_sql},
 tot as (select sum(v * v) as total from cc),
 ex as (select sum(p * p) as explained from (select row_id, sum(v) / sqrt(2) as p from cc where j < 6 group by row_id, j // 2))

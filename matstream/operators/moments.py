@@ -297,3 +297,30 @@ def sketch_moments(df: DataFrame, omega: np.ndarray, mean: np.ndarray, col: str
     yz -= np.outer(ym, sz - n * zm)
     zz -= np.outer(zm, sz - n * zm)
     return n, sz, yz, zz
+
+
+def sparse_sketch_cells(cells: DataFrame, omega: np.ndarray, n_rows: int) -> DataFrame:
+    """A7/A8 of sparse rows (cells ``row_id, j, v``), never made dense: ``part, i, j, v`` for parts ``yz``, ``zz``.
+
+    ``n_rows`` counts all rows, those without a stored cell included.  Sums run over stored cells only;
+    the means enter at the end: ``YtZ = sum y z' - (sum y)(sum z)' / n``, and the same with ``z`` twice.
+    """
+    from matstream.operators.rows import project_sparse
+
+    n = F.lit(float(n_rows))
+    z = project_sparse(cells, omega).select("row_id", F.col("c").alias("j"), F.col("v").alias("z"))
+    wide = z.groupBy("row_id").agg(F.collect_list(F.struct("j", "z")).alias("zs"))  # s numbers a row
+    z_sum = z.groupBy("j").agg(F.sum("z").alias("sz"))  # s rows
+    y_sum = cells.groupBy(F.col("j").alias("i")).agg(F.sum("v").alias("sy"))
+    pairs = cells.select("row_id", F.col("j").alias("i"), "v").join(wide, "row_id").select(
+        "i", "v", F.inline("zs"))
+    yz = pairs.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("z")).alias("v"))
+    # a row with a stored cell has all s values of z, so every stored column has its s pairs
+    yz = yz.join(y_sum, "i").join(F.broadcast(z_sum), "j").select(
+        F.lit("yz").alias("part"), "i", "j", (F.col("v") - F.col("sy") * F.col("sz") / n).alias("v"))
+    both = wide.select("zs", F.inline("zs")).select(F.col("j").alias("i"), F.col("z").alias("zi"), F.inline("zs"))
+    zz = both.groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("z")).alias("v"))
+    left = F.broadcast(z_sum.select(F.col("j").alias("i"), F.col("sz").alias("si")))
+    zz = zz.join(left, "i").join(F.broadcast(z_sum), "j").select(
+        F.lit("zz").alias("part"), "i", "j", (F.col("v") - F.col("si") * F.col("sz") / n).alias("v"))
+    return yz.unionByName(zz)

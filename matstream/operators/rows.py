@@ -79,6 +79,9 @@ def score(df: DataFrame, V: np.ndarray, col: str = FEATURES) -> DataFrame:
     return _dense_map(df, _Product(V, "right"), col, "scores")
 
 
+BROADCAST_CELLS = 2_000_000  # of 16 bytes
+
+
 def matrix_cells(spark, M: np.ndarray, names=("j", "c", "m")) -> DataFrame:
     """A small driver matrix as cells (its size is known: d x m)."""
     M = np.asarray(M, np.float64)
@@ -89,9 +92,11 @@ def matrix_cells(spark, M: np.ndarray, names=("j", "c", "m")) -> DataFrame:
 def project_sparse(cells: DataFrame, M: np.ndarray, drop_zeros: bool = False) -> DataFrame:
     """Sparse rows (cells ``row_id, j, v``) times a matrix: sums over stored cells only.
 
-    Output cells ``row_id, c, v``; with ``drop_zeros`` results equal to 0 are dropped.
+    Output cells ``row_id, c, v``; with ``drop_zeros`` results equal to 0 are dropped.  The matrix is
+    broadcast up to ``BROADCAST_CELLS`` cells and joined by shuffle beyond.
     """
-    mc = F.broadcast(matrix_cells(cells.sparkSession, M))
+    mc = matrix_cells(cells.sparkSession, M)
+    mc = F.broadcast(mc) if np.size(M) <= BROADCAST_CELLS else mc
     out = cells.join(mc, "j").groupBy(ROW_ID, "c").agg(F.sum(F.col("v") * F.col("m")).alias("v"))
     return out.where(F.col("v") != 0) if drop_zeros else out
 
@@ -107,8 +112,11 @@ def center(df: DataFrame, mean, col: str = FEATURES) -> DataFrame:
 
 
 def center_sparse(cells: DataFrame, mean_cells: DataFrame) -> DataFrame:
-    """Subtract the mean only where a cell is stored (``mean_cells``: ``j, v``; d rows, broadcast)."""
-    mc = F.broadcast(mean_cells.select("j", F.col("v").alias("_m")))
+    """Subtract the mean only where a cell is stored (``mean_cells``: ``j, v``; d rows).
+
+    Catalyst broadcasts the mean if its size allows and shuffles by ``j`` otherwise.
+    """
+    mc = mean_cells.select("j", F.col("v").alias("_m"))
     return cells.join(mc, "j").select(ROW_ID, "j", (F.col("v") - F.col("_m")).alias("v"))
 
 

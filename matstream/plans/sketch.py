@@ -212,10 +212,24 @@ def sketch_svd(df: DataFrame, k: int, subsample: int, max_iter: int = 1, toleran
 
 
 def residual_norm(df: DataFrame, V: np.ndarray, subsample_norm: int = 1, q: int = 10, seed="validation",
-                  col: str = FEATURES) -> float:
-    """I2 on rows: spectral norm of the centred rows outside ``span(V)``, rounded to 4 decimals."""
+                  col: str = FEATURES, method: str = "auto") -> float:
+    """I2 on rows: spectral norm of the centred rows outside ``span(V)``, rounded to 4 decimals.
+
+    ``method="gram"`` (``d <= 1024``) needs d x d numbers on the driver; ``"rows"`` makes one distributed
+    sketch pass per round and holds d x s.
+    """
+    V = np.asarray(V, np.float64)
+    if method == "auto":
+        method = "gram" if V.shape[0] <= 1024 else "rows"
+    if method == "rows":
+        df = df.select(col).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _, mean = mo.mean_vector(df, col)
+            return residual_norm_from_rows(df, V, mean, subsample_norm, q, seed, col=col)
+        finally:
+            df.unpersist()
     n, _, C = window_gram(df, col)
-    return residual_norm_from_gram(C, np.asarray(V, np.float64), subsample_norm, q, seed)
+    return residual_norm_from_gram(C, V, subsample_norm, q, seed)
 
 
 def singular_values_frame(spark: SparkSession, res: SketchResult, digits: int | None = None) -> DataFrame:

@@ -20,6 +20,8 @@ slides and rounds.
 
 from __future__ import annotations
 
+import functools
+import operator
 import time
 from dataclasses import dataclass
 
@@ -417,6 +419,16 @@ def _key_prefixes(base: DataFrame, keys: list[str], need: int):
     return kept.select(base.columns), stats.select(*keys, "_n")
 
 
+MAX_BROADCAST_KEYS = 500_000  # of five numbers and the key
+
+
+def skipped_keys(df: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """The keys that :func:`sliding_pca_by_key` cannot run (too few rows for a block, or a null key): ``keys..., n_rows``."""
+    some_null = functools.reduce(operator.or_, [F.col(c).isNull() for c in keys])
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return n.where((F.col("n_rows") < block) | some_null)
+
+
 def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, stride: int, subsample: int,
                        max_iter: int = 1, max_slides: int | None = None, tolerance: float = 0.05,
                        calc_error: bool = False, q: int = 10, subsample_norm: int = 1, seed="validation",
@@ -429,7 +441,7 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     Spark (cells keyed by ``gid, chunk, i, j``).  Every key's recursion runs
     in ``applyInPandas`` over its moment table of ``chunks * d^2`` numbers, so
     a hot key costs more rows in the distributed pass only.  Keys with fewer
-    than ``block`` rows are skipped.  Output: the scores ``keys..., row_id,
+    than ``block`` rows or a null in them have no run; :func:`skipped_keys` names them with their rows.  Output: the scores ``keys..., row_id,
     step, scores`` of every scheduled row (``row_id`` dense within the key).
     """
     from matstream.operators.rowid import with_row_id
@@ -457,7 +469,8 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
         F.floor((rid - F.lit(block)) / F.lit(stride)).cast("int") + F.lit(1))
     last = F.when(rid >= F.col("_ldh"), F.col("_T")).otherwise(
         F.least(F.floor(rid / F.lit(stride)).cast("int"), F.greatest(F.col("_T") - 1, F.lit(0))))
-    rows = (numbered.join(per_key, keys).where(rid < F.col("_end"))
+    few = F.broadcast(per_key) if n_keys <= MAX_BROADCAST_KEYS else per_key  # a hot key's rows then stay where they are
+    rows = (numbered.join(few, keys).where(rid < F.col("_end"))
             .select(*keys, "gid", ROW_ID, FEATURES, first.alias("step"),
                     (F.col("gid") * F.lit(span) + first.cast("long") * (F.col("_T") + 1) + last).alias("gchunk"))
             .persist(StorageLevel.MEMORY_AND_DISK))

@@ -53,12 +53,13 @@ def parse_dense_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Parse comma-separated numeric text lines into an ``ARRAY<DOUBLE>``.
 
     The line is trimmed, trailing commas are dropped (as a Java ``split``
-    does), every field is cast to double.  Under ANSI mode a blank or
-    malformed field fails the job instead of becoming null.
+    does), every field is cast to double.  A blank or malformed field fails
+    the job, whatever the session's ANSI mode.
     """
     stripped = F.regexp_replace(F.trim(F.col(value_col)), ",+$", "")
     fields = F.split(stripped, ",")
-    parsed = F.transform(fields, lambda x: F.trim(x).cast("double"))
+    parsed = F.transform(fields, lambda x: F.coalesce(
+        F.trim(x).try_cast("double"), F.raise_error(F.concat(F.lit("not a number: '"), x, F.lit("'"))).cast("double")))
     return lines.withColumn(FEATURES, parsed)
 
 

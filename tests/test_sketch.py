@@ -95,6 +95,8 @@ def test_random_seeds_have_their_distributions(spark):
     assert len(g) == 20000 and set(g.j) == set(range(50)) and set(g.i) == set(range(400))
     assert abs(g.v.mean()) < 0.05 and abs(g.v.std() - 1) < 0.05
     assert 0 <= u.v.min() and u.v.max() < 1 and abs(u.v.mean() - 0.5) < 0.02
+    for got, want in ((g, seed_gaussian(400, 50, 3)), (u, seed_uniform(400, 50, 3))):  # the same in every form
+        assert np.allclose(got.sort_values(["i", "j"]).v.to_numpy(), want.reshape(-1), rtol=1e-12, atol=1e-12)
     a, b = seed_gaussian(64, 7, [1, 2]), seed_gaussian(64, 7, [1, 2])
     assert np.array_equal(a, b) and not np.array_equal(a, seed_gaussian(64, 7, [1, 3]))
     assert seed_uniform(64, 7, 5).min() >= 0
