@@ -196,3 +196,34 @@ def test_text_writers_keep_row_order(spark, mat, tmp_dir):
     sinks.write_coo(mat, os.path.join(tmp_dir, "coo"), digits=1)
     coo = [ln.strip() for f in glob.glob(os.path.join(tmp_dir, "coo", "part-*")) for ln in open(f)]
     assert sorted(coo)[0] == "0,1,1.0" and len(coo) == 17
+
+
+def test_malformed_field_fails_without_ansi_mode(spark):
+    from matstream.sources.frames import parse_dense_lines
+
+    lines = spark.createDataFrame([("1,x,3",)], "value string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="not a number"):
+            parse_dense_lines(lines).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_sparse_sketch_equals_the_dense_one(spark):
+    import numpy as np
+
+    from matstream.functions.seeds import seed_validation
+    from matstream.operators import moments as mo
+
+    X = np.zeros((6, 5))
+    X[0, 1], X[2, 3], X[2, 4], X[5, 1] = 2, -1, 3, 4  # rows 1, 3, 4 have no cell, columns 0 and 2 none
+    cells = spark.createDataFrame([(int(i), int(j), float(X[i, j])) for i, j in zip(*np.nonzero(X))],
+                                  "row_id long, j int, v double")
+    M = seed_validation(5, 3)
+    Xc = X - X.mean(0)
+    want = {"yz": Xc.T @ (Xc @ M), "zz": (Xc @ M).T @ (Xc @ M)}
+    got = mo.sparse_sketch_cells(cells, M, 6).collect()
+    assert len(got) == 3 * 3 + 3 * 3
+    assert all(abs(r["v"] - want[r["part"]][r["i"], r["j"]]) < 1e-9 for r in got)

@@ -210,3 +210,11 @@ def test_reports_match_the_stats(emb_rows):
     assert abs(summ.mean_spectral_error - st.spectral_error.mean()) < 1e-12
     assert abs(summ.mean_run_s - st.total_s.mean()) < 1e-12
     assert (st.block_num == st.step + 1).all() and all(len(list(x)) == 3 for x in st.sketch_s)
+
+
+def test_keys_without_a_run_are_named(spark):
+    from matstream.plans.sliding import skipped_keys
+
+    df = spark.createDataFrame([("a", 1)] * 5 + [("b", 1)] * 4 + [(None, 1)] * 9, "k string, x int")
+    assert sorted(map(tuple, skipped_keys(df, ["k"], 5).collect()), key=str) == [("b", 4), (None, 9)]
+    assert skipped_keys(df.where("k = 'a'"), ["k"], 5).isEmpty()
