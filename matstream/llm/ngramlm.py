@@ -1,19 +1,21 @@
 """Operator 8: language-model scores from a log-frequency Bloom filter.
 
-Words (A-Z lower-cased) and an end token are 64-bit hashes. One scan of the
-training texts counts words exactly; another counts words and bigrams, dealt to
-filter blocks by their hash, and every n-gram of count ``c`` is inserted once for
-each level ``1 .. 1 + floor(log2 c)``. An entry sets ``BITS_PER_ENTRY`` bits of
-one 64-bit word of its block. The filter is broadcast; a count is read back by
+Words (A-Z lower-cased) and an end token are 64-bit hashes. Every n-gram of
+training count ``c`` is inserted once for each level ``1 .. 1 + floor(log2 c)``;
+an entry sets ``BITS_PER_ENTRY`` bits of one 64-bit word. A count is read back by
 probing level after level until one is missing. Bigram probabilities are
 smoothed towards the unigram's: ``(c(hw) + MU p(w)) / (c(h) + MU)``.
 
-The filter has ``BITS_PER_TOKEN`` bits for each training token up to
-``MAX_FILTER_BYTES``. Where the n-grams' levels don't fit (judged from the full
-counts of a hash sample of n-grams), the rarest n-grams are left to the unigram.
-The base score needs exact counts: the vocabulary is broadcast in shards
-of at most ``SHARD_WORDS`` words, one scan of the texts each, so its memory is
-bounded as well.
+The texts are coded once, as chunks of token indexes with the chunk's distinct
+words. Each chunk deals its distinct words and bigrams, with their training
+counts, to groups by the top bits of the hash. A group adds the counts up,
+builds its own part of the filter with ``FILTER_BITS`` bits for every entry, and
+answers each chunk with the exact word counts (for the base score) and the
+levels that the filter gives. A chunk and its answers make the scores.
+
+Groups are as many as it takes for ``GROUP_KEYS`` hashes each, so a group's memory is
+bounded, the filter grows with the n-grams, none is left out, and neither
+filter nor vocabulary passes through the driver.
 
 Defined cases: null or empty text has the end token alone; a null doc_id counts
 as training; without training rows N = V = 0 and a token's base probability is
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,73 +38,30 @@ from matstream.llm.common import materialise, training_part
 
 HELD_OUT_OF = 5
 MU = 8.0
-BITS_PER_TOKEN = 10
-MAX_FILTER_BYTES = 64 << 20
-BLOCKS = 1024
+BLOCKS = 1024  # groups at least, and the default blocks of a filter
 BITS_PER_ENTRY = 4
-MIN_BITS_AN_ENTRY = 7  # below, the rarest n-grams are left out
-SHARD_WORDS = 4_000_000
-SAMPLE_OF = 64  # one n-gram hash in so many is counted to size the filter
-EMIT_ROWS = 1 << 16
+FILTER_BITS = 24  # of the filter for each entry
+GROUP_KEYS = 2_000_000  # hashes of all chunks in a group, on average at most
+CODED_BYTES = 4 << 20  # of text in a chunk
 
 END = np.uint64(0x5DEECE66D1F3A5C7)
 START = np.uint64(0x2545F4914F6CDD1D)
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def token_stream(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes with an end token behind each text, bigram hashes, first token of each text and the total)."""
+def token_stream(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes with an end token behind each text, first token of each text and the total)."""
     n = w.hi - w.lo
     first = w.first + np.arange(n + 1)
     tok = np.full(first[-1], END, np.uint64)
     at = np.arange(len(w.hashes)) + w.doc
     tok[at] = w.hashes
-    prev = np.empty_like(tok)
-    prev[1:] = tok[:-1]
-    prev[first[:-1]] = START
-    with np.errstate(over="ignore"):
-        pair = tv.mix(prev * _K1 + tok * _K2)
-    return tok, pair, first
-
-
-def _chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    raw, off = tv.text_buffer(col)
-    for lo, hi in tv.chunks(off):
-        yield lo, hi, *token_stream(tv.words(raw, off, lo, hi))
-
-
-def _counted(parts: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    for keys, order in parts:
-        k, c = np.unique(keys, return_counts=True)
-        for a in range(0, len(k), EMIT_ROWS):
-            kk = k[a:a + EMIT_ROWS]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kk.view(np.int64)), pa.array(np.full(len(kk), order, np.int32)),
-                 pa.array(c[a:a + EMIT_ROWS].astype(np.int64))], names=["key", "n_order", "n"])
+    return tok, first
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and of the sampled bigrams."""
-    for batch in batches:
-        words, pairs = [], []
-        for _, _, tok, pair, _ in _chunks(batch.column("text")):
-            words.append(tok)
-            pairs.append(pair[pair % np.uint64(SAMPLE_OF) == 0])
-        if words:
-            yield from _counted([(np.concatenate(words), 1), (np.concatenate(pairs), 2)])
-
-
-def _all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, pairs = [], []
-        for _, _, tok, pair, _ in _chunks(batch.column("text")):
-            words.append(tok)
-            pairs.append(pair)
-        if words:
-            yield from _counted([(np.concatenate(words), 1), (np.concatenate(pairs), 2)])
-
-
-_COUNTS = "key long, n_order int, n long"
+def pair_hash(prev: np.ndarray, tok: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return tv.mix(prev * _K1 + tok * _K2)
 
 
 def _levels(c: np.ndarray) -> np.ndarray:
@@ -111,8 +71,23 @@ def _levels(c: np.ndarray) -> np.ndarray:
 class LogFrequencyFilter:
     """Quantised n-gram counts in blocked Bloom words."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words  # uint64, BLOCKS equal parts
+    def __init__(self, words: np.ndarray, blocks: int = BLOCKS):
+        self.words = words  # uint64, in equal blocks
+        self.blocks = blocks
+
+    @classmethod
+    def of(cls, key: np.ndarray, count: np.ndarray) -> LogFrequencyFilter:
+        """A filter of one block with every key, sized by its entries."""
+        level = _levels(count)
+        words = np.zeros(max(1, math.ceil(int(level.sum()) * FILTER_BITS / 64)), np.uint64)
+        step = 1
+        while len(key):
+            at, mask = cls.place(key, step, len(words))
+            np.bitwise_or.at(words, at, mask)
+            step += 1
+            more = level >= step
+            key, level = key[more], level[more]
+        return cls(words, 1)
 
     @staticmethod
     def place(key: np.ndarray, level: int | np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +99,11 @@ class LogFrequencyFilter:
             mask |= np.uint64(1) << ((x >> np.uint64(6 * i)) & np.uint64(63))
         return ((x >> np.uint64(24)) % np.uint64(part)).astype(np.int64), mask
 
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """Quantised counts (0: not there) of the n-gram hashes."""
-        part = len(self.words) // BLOCKS
-        base = block_of(key) * part
-        level = np.zeros(len(key), np.int64)
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """Levels (0: not there) of the n-gram hashes."""
+        part = len(self.words) // self.blocks
+        base = block_of(key) * part if self.blocks > 1 else np.zeros(len(key), np.int64)
+        level = np.zeros(len(key), np.uint8)
         active = np.arange(len(key))
         step = 1
         while len(active) and step < 64:
@@ -137,118 +112,129 @@ class LogFrequencyFilter:
             active = active[there]
             level[active] = step
             step += 1
-        return np.where(level > 1, 1.25 * 2.0 ** (level - 1), level.astype(np.float64))
+        return level
+
+    def counts(self, key: np.ndarray) -> np.ndarray:
+        """Quantised counts (0: not there) of the n-gram hashes."""
+        return quantised(self.levels(key))
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    level = level.astype(np.float64)
+    return np.where(level > 1, 1.25 * 2.0 ** (level - 1), level)
 
 
 def block_of(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(54)).astype(np.int64) % BLOCKS
 
 
-def build_filter(train: DataFrame, n_tokens: int, least: tuple[int, int], filter_words: int) -> LogFrequencyFilter:
-    """Count all n-grams of ``train(text)`` and insert those of at least ``least[order - 1]`` occurrences."""
-    part = filter_words // BLOCKS
-    counts = train.select("text").mapInArrow(_all_counts, _COUNTS)
-    block = F.shiftrightunsigned("key", 54).alias("block")
-    whole = counts.select(block, "key", "n_order", "n").repartition("block").groupBy("block", "key", "n_order").agg(
-        F.sum("n").alias("n"))
+def _packed(parts: list[np.ndarray]) -> pa.Array:
+    """Numbers as bytes: all first bytes, then all second ones and so on, which compresses."""
+    return pa.array([np.ascontiguousarray(p).view(np.uint8).reshape(len(p), -1).T.tobytes() if len(p) else b""
+                     for p in parts], pa.binary())
+
 
-    def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
+def _unpacked(col: pa.Array | pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    width = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(width, -1).T).view(kind).ravel() for x in col]
+
+
+_CODED = ("chunk long, doc_id array<long>, held_out array<boolean>, size binary, words binary, at binary, "
+          "n_train long, n_keys long")
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts as distinct words and each token's index into them."""
+    chunk = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        raw, off = tv.text_buffer(batch.column("text"))
+        for lo, hi in tv.chunks(off, CODED_BYTES):
+            tok, first = token_stream(tv.words(raw, off, lo, hi))
+            word, at = np.unique(tok, return_inverse=True)
+            size = np.diff(first)
+            held = batch.column("held_out").slice(lo, hi - lo)
+            n = int(size[~held.to_numpy(zero_copy_only=False).astype(bool)].sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk]), pa.array([batch.column("doc_id").slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
+                 pa.array([held.to_pylist()], pa.list_(pa.bool_())), _packed([size.astype(np.int64)]), _packed([word]),
+                 _packed([at.astype(np.int32)]), pa.array([n], pa.int64()), pa.array([len(word) + len(tok)], pa.int64())],
+                names=["chunk", "doc_id", "held_out", "size", "words", "at", "n_train", "n_keys"])
+            chunk += 1
+
+
+def _pairs(word: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct bigram hashes, each token's index into them)."""
+    tok = word[at]
+    prev = np.empty_like(tok)
+    prev[1:] = tok[:-1]
+    prev[first[:-1]] = START
+    return np.unique(pair_hash(prev, tok), return_inverse=True)
+
+
+def _first(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size)])
+
+
+def _dealt(key: np.ndarray, groups: int) -> np.ndarray:
+    """Offsets of each group's part of the sorted hashes."""
+    low = np.arange(groups, dtype=np.uint64) << np.uint64(64 - groups.bit_length() + 1)
+    return np.append(np.searchsorted(key, low), len(key))
+
+
+_REQUEST = "block int, chunk long, words binary, word_n binary, pairs binary, pair_n binary"
+
+
+def _deal(groups: int):
+    """Arrow function: the distinct words and bigrams of each chunk with their training counts, by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("key").to_numpy().view(np.uint64)
-            n = batch.column("n").to_numpy()
-            order = batch.column("n_order").to_numpy()
-            keep = n >= np.where(order == 1, least[0], least[1])
-            key, level = key[keep], _levels(n[keep])
-            own = block_of(key)
-            for b in np.unique(own):
-                blocks.setdefault(int(b), np.zeros(part, np.uint64))
-            step = 1
-            while len(key):
-                at, mask = LogFrequencyFilter.place(key, step, part)
-                order_b = np.argsort(own, kind="stable")
-                for b, rows in zip(*_groups(own[order_b]), strict=True):
-                    ix = order_b[rows]
-                    np.bitwise_or.at(blocks[int(b)], at[ix], mask[ix])
-                step += 1
-                more = level >= step
-                key, level, own = key[more], level[more], own[more]
-        for b, bits in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([bits.tobytes()], pa.binary())],
-                                             names=["block", "bits"])
-
-    made = materialise(whole.select("key", "n_order", "n").mapInArrow(insert, "block int, bits binary"), "lm-filter")
-    words = np.zeros(filter_words, np.uint64)
-    for row in made.toLocalIterator():  # MAX_FILTER_BYTES in all
-        words[row["block"] * part:(row["block"] + 1) * part] |= np.frombuffer(bytes(row["bits"]), np.uint64)
-    return LogFrequencyFilter(words)
-
-
-def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, list[slice]]:
-    keys, first = np.unique(sorted_keys, return_index=True)
-    ends = np.append(first[1:], len(sorted_keys))
-    return keys, [slice(a, z) for a, z in zip(first, ends, strict=True)]
-
-
-def _least_counts(sampled: DataFrame, vocabulary: int, n_words_bits: int) -> tuple[int, int]:
-    """Smallest counts inserted (words, bigrams), so that an entry has MIN_BITS_AN_ENTRY bits."""
-    level = F.floor(F.log2(F.col("n").cast("double"))).cast("int") + 1
-    hist = dict(sampled.groupBy(level.alias("level")).agg(F.count("*")).collect())
-    room = n_words_bits / MIN_BITS_AN_ENTRY - 2.0 * vocabulary
-    level = 1
-    while level < 63 and sum(SAMPLE_OF * c * k for k, c in hist.items() if k >= level) > max(room, 0):
-        level += 1
-    return 1, 1 << (level - 1)
-
-
-def score(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    part = training_part("doc_id", HELD_OUT_OF)
-    rows = docs.select("doc_id", "text", (part == 1).alias("held_out"))
-    train = rows.where(~F.col("held_out")).select("text")
-    counted = materialise(train.mapInArrow(_word_counts, _COUNTS).groupBy("n_order", "key").agg(
-        F.sum("n").alias("n")), "lm-count")
-    vocabulary = counted.where(F.col("n_order") == 1)
-    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(MAX_FILTER_BYTES * 8, max(1 << 20, 1 << math.ceil(math.log2(max(1, BITS_PER_TOKEN * n)))))
-    least = _least_counts(counted.where(F.col("n_order") == 2), v, bits)
-    lm = build_filter(train, n, least, bits // 64)
-    shared = docs.sparkSession.sparkContext.broadcast(lm.words)
-    shards = max(1, math.ceil(v / shard_words))
-    table = vocabulary.select("key", "n")
-    if shards == 1:
-        return rows.mapInArrow(_scorer(shared, _shard(table), n, v), _SCORED).drop("text_key")
-    # more words than one broadcast may hold: each scan adds up the words of its shard
-    keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    parts = []
-    for s in range(shards):
-        own = _shard(table.where(F.pmod("key", F.lit(shards)) == s))
-        got = keyed.mapInArrow(_scorer(shared if s == 0 else None, own, n, v, s, shards), _SCORED)
-        parts.append(materialise(got.withColumn("shard", F.lit(s)), "lm-shard"))
-    each = parts[0]
-    for p in parts[1:]:
-        each = each.unionByName(p)
-    keys = ["doc_id", "text_key", "held_out"]
-    by_shard = each.groupBy(*keys, "shard").agg(
-        F.count("*").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
-        F.max("base_score").alias("base_score"), F.max("score").alias("score"))
-    done = by_shard.groupBy(*keys).agg(
-        F.max("rows").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
-                       copies.alias("copy")).drop("copy")
-
-
-def _shard(table: DataFrame):
-    """A vocabulary shard as sorted arrays, broadcast (at most SHARD_WORDS rows, 64 MB)."""
-    t = table.toArrow()
-    key = t.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    return table.sparkSession.sparkContext.broadcast((key[order], t.column("n").to_numpy()[order]))
-
-
-_SCORED = ("doc_id long, text_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                size, = _unpacked(row.column("size"), np.int64)
+                word, = _unpacked(row.column("words"), np.uint64)
+                at, = _unpacked(row.column("at"), np.int32)
+                pair, pair_at = _pairs(word, at, _first(size))
+                train = np.repeat(~np.array(row.column("held_out")[0].as_py(), bool), size)
+                cols: list[list[np.ndarray]] = []
+                for key, where in ((word, at), (pair, pair_at)):
+                    n = np.bincount(where[train], minlength=len(key)).astype(np.int32)
+                    cut = _dealt(key, groups)
+                    cols += [[x[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)] for x in (key, n)]
+                some = [g for g in range(groups) if len(cols[0][g]) or len(cols[2][g])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array(np.full(len(some), row.column("chunk")[0].as_py(), np.int64)),
+                     *[_packed([c[g] for g in some]) for c in cols]],
+                    names=["block", "chunk", "words", "word_n", "pairs", "pair_n"])
+
+    return run
+
+
+_ANSWER = "block int, chunk long, word_n binary, word_level binary, pair_level binary, v long"
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, their counts of all chunks, each hash's index)."""
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64), at
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """Counts and filter levels of a group's n-grams, for every chunk that asked."""
+    words, pairs = _unpacked(t.column("words"), np.uint64), _unpacked(t.column("pairs"), np.uint64)
+    word, n, word_at = _added(words, _unpacked(t.column("word_n"), np.int32))
+    pair, m, pair_at = _added(pairs, _unpacked(t.column("pair_n"), np.int32))
+    lm = LogFrequencyFilter.of(np.concatenate([word[n > 0], pair[m > 0]]), np.concatenate([n[n > 0], m[m > 0]]))
+
+    def each(x: np.ndarray, of: list[np.ndarray]) -> pa.Array:
+        return _packed(np.split(x, np.cumsum([len(k) for k in of])[:-1]))
+
+    return pa.table([t.column("block"), t.column("chunk"), each(n[word_at], words), each(lm.levels(word)[word_at], words),
+                     each(lm.levels(pair)[pair_at], pairs), pa.array(np.full(len(t), (n > 0).sum(), np.int64))],
+                    names=["block", "chunk", "word_n", "word_level", "pair_level", "v"])
+
+
+_SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
            "base_score double, score double")
 
 
@@ -256,37 +242,45 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-def _scorer(filter_words, vocabulary, n: int, v: int, shard: int = 0, shards: int = 1):
-    """Arrow function: exact base sums of the shard's words, and the model's score if a filter is given."""
+def _scorer(n: int, v: int):
+    """Arrow function of a coded chunk and its answers: exact base sums and the model's score."""
     floor = 0.5 * (v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_n = vocabulary.value
-        lm = LogFrequencyFilter(filter_words.value) if filter_words is not None else None
-        for batch in batches:
-            for lo, hi, tok, pair, first in _chunks(batch.column("text")):
-                word, where = np.unique(tok, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-                c = np.where(known[at] == word, known_n[at], 0) if len(known) else np.zeros(len(word), np.int64)
-                base = np.log10((c + 0.5) / (n + floor))
-                if shards > 1:
-                    base = np.where(word.view(np.int64) % shards == shard, base, 0.0)
-                total = np.zeros(hi - lo)
-                if lm is not None:
-                    c1 = lm.counts(word)
-                    p1 = (c1 + 0.5) / (n + floor)
-                    p1 = np.minimum(p1, 1.0)
-                    before = np.empty(len(tok))
-                    before[1:] = c1[where[:-1]]
-                    before[first[:-1]] = c1[np.searchsorted(word, END)]  # a text begins as often as one ends
-                    two = np.minimum(lm.counts(pair), before)
-                    total = _sums(np.log10((two + MU * p1[where]) / (before + MU)), first)
-                m = hi - lo
-                keys = batch.column("text_key").slice(lo, m) if "text_key" in batch.schema.names else pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, m), keys, batch.column("held_out").slice(lo, m),
-                     pa.array(np.diff(first)), pa.array(_sums((c > 0)[where].astype(np.int64), first).astype(np.int64)),
-                     pa.array(np.full(m, n, np.int64)), pa.array(_sums(base[where], first)), pa.array(total)],
-                    names=["doc_id", "text_key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
+        size, = _unpacked(coded.column("size"), np.int64)
+        word, = _unpacked(coded.column("words"), np.uint64)
+        at, = _unpacked(coded.column("at"), np.int32)
+        first = _first(size)
+        _, pair_at = _pairs(word, at, first)
+        answers = answers.sort_by("block")  # groups are ranges of the hashes
+        c = np.concatenate(_unpacked(answers.column("word_n"), np.int64))
+        c1 = quantised(np.concatenate(_unpacked(answers.column("word_level"), np.uint8)))
+        c2 = quantised(np.concatenate(_unpacked(answers.column("pair_level"), np.uint8)))
+        base = np.log10((c + 0.5) / (n + floor))
+        p1 = np.minimum((c1 + 0.5) / (n + floor), 1.0)
+        before = np.empty(len(at))
+        before[1:] = c1[at[:-1]]
+        before[first[:-1]] = c1[np.searchsorted(word, END)]  # a text begins as often as one ends
+        two = np.minimum(c2[pair_at], before)
+        total = _sums(np.log10((two + MU * p1[at]) / (before + MU)), first)
+        return pa.table(
+            [coded.column("doc_id").chunk(0).flatten(), coded.column("held_out").chunk(0).flatten(), pa.array(size),
+             pa.array(_sums((c > 0)[at].astype(np.int64), first).astype(np.int64)),
+             pa.array(np.full(len(size), n, np.int64)), pa.array(_sums(base[at], first)), pa.array(total)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
+
+
+def score(docs: DataFrame, group_keys: int = GROUP_KEYS) -> DataFrame:
+    """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    part = training_part("doc_id", HELD_OUT_OF)
+    rows = docs.select("doc_id", "text", (part == 1).alias("held_out"))
+    coded = materialise(rows.mapInArrow(_code, _CODED), "lm-coded")
+    n, keys = coded.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    groups = max(BLOCKS, 1 << math.ceil(math.log2(max(1, keys / group_keys))))
+    asked = coded.select("chunk", "held_out", "size", "words", "at").mapInArrow(_deal(groups), _REQUEST)
+    answers = materialise(asked.groupBy("block").applyInArrow(_answer, _ANSWER), "lm-answers")
+    v = answers.groupBy("block").agg(F.max("v").alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    own = coded.select("chunk", "doc_id", "held_out", "size", "words", "at").groupBy("chunk")
+    return own.cogroup(answers.drop("v").groupBy("chunk")).applyInArrow(_scorer(n, v), _SCORED)

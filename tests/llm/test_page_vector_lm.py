@@ -159,6 +159,33 @@ def test_lm_prefers_likely_text(spark, docs):
     assert ngramlm.score(docs.limit(0)).count() == 0
 
 
+def naive_score(data):
+    toks = [(t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split() + [None]
+            for _, t in data]
+    train = [w for (i, _), w in zip(data, toks, strict=True) if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    one, two = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([0, *w], w, strict=False))
+    n, v = sum(one.values()), len(one)
+    q = lambda c: c if c < 2 else 1.25 * 2.0 ** math.floor(math.log2(c))
+    out = []
+    for w in toks:
+        before = [q(one[x]) for x in [None, *w[:-1]]]
+        out.append(sum(math.log10((min(q(two[p]), b) + 8 * min((q(one[p[1]]) + 0.5) / (n + 0.5 * (v + 1)), 1)) / (b + 8))
+                       for p, b in zip(zip([0, *w], w, strict=False), before, strict=True)) / len(w))
+    return out
+
+
+@pytest.mark.parametrize("size", [10**6, 7])
+def test_lm_keeps_every_ngram(spark, monkeypatch, size):
+    """The model's score is that of all n-grams, however little room a filter of fixed size would have."""
+    monkeypatch.setattr(ngramlm, "MAX_FILTER_BYTES", 1 << 14, raising=False)
+    monkeypatch.setattr(ngramlm, "CODED_BYTES", 5000, raising=False)
+    rng = np.random.default_rng(4)
+    data = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 150) % 4000)) for i in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in ngramlm.score(df, size).collect()}
+    assert np.abs([got[i] - s for (i, _), s in zip(data, naive_score(data), strict=True)]).mean() < 0.002
+
+
 def test_filter_counts():
     rng = np.random.default_rng(9)
     key = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
