@@ -4,8 +4,11 @@ Base spans come from three fixed patterns. Beside them, every run of 20 or more
 token characters is a candidate: for each character class a window slides over
 the run, its Shannon entropy kept up to date from the counts of the character
 that enters and the one that leaves, and windows over the class's threshold are
-merged to spans. An allow-list suppresses what only looks random: UUIDs,
-placeholders, alphabet runs, and digests named as such. Base spans are never
+merged to spans. Beside hex digits, windows that read like words are left out:
+each pair of neighbours weighs for words (a common letter pair, a separator) or
+for chance (a rare letter pair, a capital or digit behind a letter). An allow-list
+suppresses what only looks random: UUIDs, numbers, placeholders, alphabet runs,
+and digests named as such. Base spans are never
 suppressed, and an added span inside a base span says nothing new.
 
 Defined cases: null or empty text has no span; offsets are code points, end
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_upper", "entropy_lower", "entropy_mixed")
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,9 +37,43 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: class -> (characters, window, least entropy in bits)
 CLASSES = {
     "entropy_hex": (frozenset("0123456789abcdefABCDEF"), 20, 2.9),
-    "entropy_mixed": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 3.9),
+    "entropy_upper": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.1),  # and base32
+    "entropy_lower": (frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.1),
+    "entropy_mixed": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.5),
 }
 
+# letter pairs common in words of Latin script, and the weights of a pair for words (positive) or chance (fixed values)
+_COMMON = frozenset((
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro "
+    "ri io ic ne me li co ce ll ma om el la ch di ec us ho ta tr ee un ut be ca em ns no ge ss wh ow il ie so pe po pr ct ai "
+    "rs ac ad ul lo ol mo ke ni pl am ir id ag ab ap av ep im op os ot ov sh tu ci fi fo fr gr ga ig iv ki lu mi mp nc nn na "
+    "nu oc od oo pa pi qu rd rm rn rt ru sc sp su sm sk tt ty ts tw ue ui um up va vi wa we wi wo ye bl bo br bu by cl cr cu "
+    "da do dr du ef ei eu ev ew ex ey fe fa fl ff go gl gu gh ht ia if ja je ju ka kt lt ly ls mb mm nk nf ny ob pp ph ps rc "
+    "rg rk rl rr ry au ah ak ay ck eh ft fs hl hr ks kr ok pf sg tz ud ug ze zu").split())
+_PAIR, _RARE, _CAPITAL, _DIGIT, _SEPARATOR = 1.0, -2.5, -0.8, -1.5, 0.5
+
+
+def _pair_weight(x: str, y: str) -> float:
+    if x.isalpha() and y.isalpha():
+        if x.islower() and y.isupper():
+            return _CAPITAL
+        return _PAIR if (x + y).lower() in _COMMON else _RARE
+    if x in "-_/" or y in "-_/":
+        return _SEPARATOR
+    return _DIGIT if x.isalpha() and y.isdigit() or x.isdigit() and y.isalpha() else 0.0
+
+
+_TOKEN = "".join(sorted(CLASSES["entropy_mixed"][0]))
+_WEIGHT = {x + y: _pair_weight(x, y) for x in _TOKEN for y in _TOKEN}
+
+
+def word_weights(run: str) -> list[float]:
+    """Sums of the pair weights before each character of the run."""
+    out = [0.0]
+    for i in range(len(run) - 1):
+        out.append(out[-1] + _WEIGHT[run[i:i + 2]])
+    return out
+
 # allow-list (fixed values)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|placeholder|changeme|your[_-]|dummy|xxxx|abcdefgh|12345678|01234567")
@@ -50,10 +87,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def high_entropy(run: str, chars: frozenset, width: int, least: float) -> Iterator[tuple[int, int]]:
+def high_entropy(run: str, chars: frozenset, width: int, least: float,
+                 words: list[float] | None = None) -> Iterator[tuple[int, int]]:
     """Merged spans of ``run`` whose windows of ``width`` characters of the class reach ``least`` bits.
 
-    Holds counts and the sum of c * log2(c); a step changes two counts.
+    With ``words`` (the run's ``word_weights``) windows that read like words don't count. Holds counts and the sum of c * log2(c); a step changes two counts.
     """
     weight = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     bits = math.log2(width)
@@ -74,7 +112,7 @@ def high_entropy(run: str, chars: frozenset, width: int, least: float) -> Iterat
             counts[old] = c - 1
             total += weight[c - 1] - weight[c]
             size = width
-        if size == width and bits - total / width >= least:
+        if size == width and bits - total / width >= least and (words is None or words[i] - words[i - width + 1] <= 0):
             at = i - width + 1
             if span and at <= span[1]:
                 span = (span[0], i + 1)
@@ -88,11 +126,8 @@ def high_entropy(run: str, chars: frozenset, width: int, least: float) -> Iterat
 
 def _allowed(text: str, start: int, end: int, span: str) -> bool:
     """Whether a high-entropy span is known to be harmless."""
-    kinds = (any(c.isdigit() for c in span), any(c.isupper() for c in span), any(c.islower() for c in span))
-    if not kinds[0] or sum(kinds) < 2:
-        return True  # words, or numbers alone
-    if sum(c.isdigit() for c in span) < 3 or "/" in span and span.count("/") * 8 > len(span):
-        return True  # few digits, or a path
+    if not any(c.isalpha() for c in span):
+        return True  # numbers alone
     around = text[max(0, start - 36):end + 36]
     if any(m.start() + max(0, start - 36) <= start and end <= m.end() + max(0, start - 36) for m in _UUID.finditer(around)):
         return True
@@ -103,13 +138,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     found: list[tuple[int, int, str]] = []
     for m in _CANDIDATE.finditer(text):
         run = m.group()
-        if not any(c.isdigit() for c in run):
-            continue
+        words = word_weights(run)
         for kind, (chars, width, least) in CLASSES.items():
-            for a, z in high_entropy(run, chars, width, least):
+            for a, z in high_entropy(run, chars, width, least, None if kind == "entropy_hex" else words):
                 a, z = a + m.start(), z + m.start()
                 if _allowed(text, a, z, text[a:z]):
                     continue
+                if kind == "entropy_mixed":  # one span for a token, the widest
+                    found = [f for f in found if not (f[2] in ("entropy_upper", "entropy_lower") and a <= f[0] and f[1] <= z)]
                 if not any(s <= a and z <= e for s, e, _ in base) and not any(s <= a and z <= e for s, e, _ in found):
                     found.append((a, z, kind))
     return found
@@ -135,7 +171,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n[k].append(sum(s[2] == k for s in every))
             digest.append(hashlib.sha256(_joined(base).encode()).hexdigest())
             spans.append(_joined(every))
-        added = [a + b for a, b in zip(n["entropy_hex"], n["entropy_mixed"], strict=True)]
+        added = [sum(x) for x in zip(*[n[k] for k in CLASSES], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array(n[k], pa.int64()) for k in ("assign", "access", "hex")],
              pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())],

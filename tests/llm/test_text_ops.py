@@ -69,6 +69,26 @@ def test_added_secrets_and_allow_list():
     assert not spans(f'token = "{key}"')  # inside a base span
 
 
+@pytest.mark.parametrize("alphabet", [
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_tokens_are_found(alphabet):
+    import random
+    rnd = random.Random(11)
+    for n in (20, 22, 24, 28, 32, 40):
+        texts = ["key " + "".join(rnd.choice(alphabet) for _ in range(n)) + " end" for _ in range(500)]
+        assert sum(not secrets.base_spans(t) + secrets.added_spans(t, secrets.base_spans(t)) for t in texts) <= 10
+
+
+@pytest.mark.parametrize("text", [
+    "internationalization-and-localization-guidelines", "getUserAccountInformationFromDatabase", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS",
+    "src/main/java/org/apache/commons/lang/StringUtils", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement",
+    "quarterly_report_2019_final_version_2", "2019-01-01-12-30-45-123456-789", "12345 98765432109876543210987"])
+def test_words_are_no_secrets(text):
+    assert not secrets.added_spans(text, secrets.base_spans(text))
+
+
 def test_secrets_on_odd_rows(odd, no_docs, docs):
     got = rows(secrets.secret_spans(odd))
     assert len(got) == odd.count() and all(r.base_sha256 == SHA_EMPTY and r.spans == "" for r in got)
