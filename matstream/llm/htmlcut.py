@@ -2,7 +2,9 @@
 
 A page is read into blocks, each with its path of open elements. A fixed linear
 classifier gives every block log-odds of being content; they become the block's
-terminal capacities. Neighbouring blocks, and successive blocks of the same
+terminal capacities. A form, or an element whose class or id names something
+beside the text, is evidence against its blocks that fades with its share of the
+page's text; an article or main element inside that holds text lifts it. Neighbouring blocks, and successive blocks of the same
 parent, are joined by smoothness edges whose capacity falls with their distance
 in the tree and across semantic containers. The minimum cut labels the blocks.
 Blocks whose own evidence outweighs all their edges are settled first, which
@@ -37,7 +39,7 @@ _ATTR = re.compile(r"""([a-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var br img wbr input picture source".split())
-NEVER = frozenset("nav footer aside form menu dialog fieldset".split())
+NEVER = frozenset("nav footer aside menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
 WORDS_AGAINST = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
                           "consent gdpr notice popup modal overlay menu nav navbar navigation sidebar aside widget footer "
@@ -45,13 +47,31 @@ WORDS_AGAINST = frozenset("ad ads advert advertisement advertising sponsor spons
                           "respond share sharing social related recommended subscribe newsletter signup login search "
                           "toolbar copyright legal disclaimer".split())
 WORDS_FOR = frozenset("article content post entry story body main text".split())
-ROLES_AGAINST = frozenset("navigation banner contentinfo complementary dialog alertdialog search menu menubar form".split())
+ROLES_AGAINST = frozenset("navigation banner contentinfo complementary dialog alertdialog search menu menubar".split())
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[-_]\S+")  # a class that tells what else is on the page
 _CLOSES_P = frozenset("p div article section ul ol li dl dt dd table h1 h2 h3 h4 h5 h6 header footer nav aside form "
                       "blockquote pre hr main figure figcaption address details".split())
 _CLOSED_BY_SAME = {"li": "ul ol menu".split(), "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["tr", "table"],
                    "th": ["tr", "table"], "option": ["select"]}
 
 
+#: shares of the page's text from which a mark fades, and with which it is gone
+FADES, GONE = 0.2, 0.6
+#: the same for the lift by an article inside
+LIFTS, LIFTED = 0.05, 0.2
+
+
+@dataclass(eq=False)
+class Mark:
+    """An element that speaks against its blocks, or an article or main inside such a one."""
+
+    outer: Mark | None
+    depth: int
+    lifts: str  # element name, or "" for evidence against
+    chars: int = 0
+    weight: float = 1.0  # of the blocks' own evidence; the rest is evidence against them
+
+
 @dataclass
 class Element:
     name: str
@@ -60,6 +80,11 @@ class Element:
     against: bool  # a container that holds no main text
     article: bool
     favoured: bool
+    mark: Mark | None = None
+
+    @property
+    def apart(self) -> bool:
+        return self.against or self.mark is not None and self.mark.weight < 0.5
 
 
 @dataclass
@@ -71,22 +96,53 @@ class Block:
 
 def _element(name: str, attrs: str, parent: Element) -> Element:
     words: set[str] = set()
-    hidden = False
+    hidden, form = False, name == "form"
     if attrs and not attrs.isspace():
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id"):
-                words.update(w for w in re.split(r"[^a-z]+", value) if w)
+                words.update(w for w in re.split(r"[^a-z]+", _LAYOUT.sub("", value)) if w)
             elif key == "role":
                 hidden = hidden or value in ROLES_AGAINST
+                form = form or value == "form"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(
                     r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
     named = bool(words & WORDS_AGAINST) and name not in ("body", "html", "article", "main", "h1")
     page_header = name == "header" and not parent.article
-    against = parent.against or hidden or name in NEVER or named or page_header
+    against = parent.against or hidden or name in NEVER or page_header
     article = parent.article or name in ARTICLE
-    return Element(name, parent, parent.depth + 1, against, article, parent.favoured or bool(words & WORDS_FOR))
+    mark = parent.mark
+    if named or form:
+        mark = Mark(mark, parent.depth + 1, "")
+    elif mark is not None and name in ARTICLE and not words & WORDS_AGAINST:
+        mark = Mark(mark, parent.depth + 1, name)
+    return Element(name, parent, parent.depth + 1, against, article, parent.favoured or bool(words & WORDS_FOR), mark)
+
+
+def weigh_marks(blocks: list[Block]) -> None:
+    """Set the marks' weights from their shares of the page's text."""
+    marks: dict[int, Mark] = {}
+    total = 0
+    for b in blocks:
+        if b.element.against:
+            continue
+        total += len(b.text)
+        m = b.element.mark
+        if m is not None:
+            m.chars += len(b.text)
+        while m is not None and id(m) not in marks:
+            marks[id(m)] = m
+            m = m.outer
+    inner_last = sorted(marks.values(), key=lambda m: m.depth)
+    for m in reversed(inner_last):
+        if m.outer is not None:
+            m.outer.chars += m.chars
+    for m in inner_last:
+        low, high = (LIFTS, LIFTED) if m.lifts else (FADES, GONE)
+        own = min(max((m.chars / total - low) / (high - low), 0.0), 1.0)
+        before = m.outer.weight if m.outer is not None else 1.0
+        m.weight = 1.0 if m.lifts == "main" else max(before, own) if m.lifts else min(before, own)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -191,6 +247,12 @@ def log_odds(b: Block, has_article: bool) -> float:
     e = b.element
     if e.against:
         return -8.0
+    own = e.mark.weight if e.mark is not None else 1.0
+    return own * _own_odds(b, has_article) - 8.0 * (1.0 - own)
+
+
+def _own_odds(b: Block, has_article: bool) -> float:
+    e = b.element
     share = b.linked / max(len(b.text), 1)
     score = -0.2
     if has_article:
@@ -214,7 +276,7 @@ SMOOTHNESS = 1.0
 
 def _proximity(a: Element, b: Element) -> float:
     """Edge capacity: halves with every element between the blocks, a tenth across containers of other kind."""
-    weight = SMOOTHNESS * (1.0 if (a.against, a.article) == (b.against, b.article) else 0.1)
+    weight = SMOOTHNESS * (1.0 if (a.apart, a.article) == (b.apart, b.article) else 0.1)
     steps = 0
     while a is not b and steps < 12:
         if a.depth >= b.depth:
@@ -293,7 +355,8 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    has_article = any(b.element.article and not b.element.against for b in blocks)
+    weigh_marks(blocks)
+    has_article = any(b.element.article and not b.element.apart for b in blocks)
     unary = [log_odds(b, has_article) for b in blocks]
     edges: dict[tuple[int, int], float] = {}
     last_of: dict[int, int] = {}

@@ -30,6 +30,36 @@ def test_main_text():
         "Head & shoulders\nFirst paragraph goes here.\nSecond <one> with a link.\nitem one\nitem two")
 
 
+TEXT = ["The river rose in the night and the lower fields were under water by dawn.",
+        "Nobody in the village had seen a flood like it since the bridge was built.",
+        "By noon the boats had come, and the children were carried to the school."]
+BODY = "".join(f"<p>{t}</p>" for t in TEXT)
+SIDE = '<div class="sidebar"><p>More stories you may like to read.</p></div>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="layout with-sidebar"><article>{BODY}</article>{SIDE}</div>',
+    f'<div class="sidebar-layout"><article>{BODY}</article>{SIDE}</div>',
+    f'<div class="content has-comments">{BODY}</div><div class="comments"><p>I disagree.</p></div>',
+    f'<div class="page-with-social">{BODY}</div>',
+    f'<form id="aspnetForm"><div class="post">{BODY}</div>{SIDE}<form><p>Mail</p></form></form>',
+    f'<form><nav>Home</nav><main>{BODY}</main><footer>2020</footer></form>',
+    f'<div class="widget"><div class="sidebar">Tags and dates.</div><article>{BODY}<div class="ad">Buy now.</div></article></div>',
+    f'<main>{BODY}</main><section class="related"><article><p>Ten things.</p></article></section>',
+    f'<div class="post">{BODY}</div><section id="comments"><article class="comment"><p>I disagree.</p></article></section>',
+])
+def test_wrappers_named_like_boilerplate_keep_their_text(page):
+    assert htmlcut.main_text(f"<html><body>{page}</body></html>") == "\n".join(TEXT)
+
+
+def test_marks_cost_is_linear():
+    import time
+    page = '<div class="ad">x y z' * 20_000
+    t = time.perf_counter()
+    htmlcut.main_text(page)
+    assert time.perf_counter() - t < 20
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</p></div>", "<script>never closed <p>x", "<!-- open <p>x"])
 def test_pages_without_text(page):
     assert htmlcut.main_text(page) in ("", "<", "<p")
