@@ -216,6 +216,17 @@ def test_lm_keeps_every_ngram(spark, monkeypatch, size):
     assert np.abs([got[i] - s for (i, _), s in zip(data, naive_score(data), strict=True)]).mean() < 0.002
 
 
+def test_lm_sends_no_table_through_the_driver(spark, docs, monkeypatch):
+    def refuse(*args, **kw):
+        raise AssertionError("vocabulary or filter through the driver")
+
+    few = docs.limit(20)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(few), name, refuse)
+    ngramlm.score(few)
+
+
 def test_filter_counts():
     rng = np.random.default_rng(9)
     key = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
