@@ -58,4 +58,26 @@ a as (select o.*, (case when size = 0 then 0 else whole + case when stop <= rest
 select doc_id, source, size, source_size, target, copies, (copies * size)::bigint as taken from a
 """
 
-ORACLES = {"op6_decontamination": _OP6, "op3_source_mixing": _OP3}
+_OP12 = r"""
+with d as (select doc_id, row_number() over () as rid,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+i as (select item_id, row_number() over () as iid,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+      from (select distinct item_id, text from benchmark where text is not null)),
+it as (select iid, t, count(*) as c from (select iid, unnest(ts) as t from i) group by iid, t),
+c as (select count(*)::bigint as n_docs, sum(len(ts))::bigint as n_words from d where len(ts) > 0),
+tf as (select rid, t, count(*)::bigint as tf from (select rid, unnest(ts) as t from d)
+       where t in (select t from it) group by rid, t),
+w as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w
+      from (select t, count(*) as df from tf group by t), c),
+m as (select rid, doc_id, 75 + ((25 * len(ts)::bigint * n_docs) // n_words) as m from d, c where len(ts) > 0),
+s as (select iid, rid, sum(it.c * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m)))::bigint as score
+      from it join tf using (t) join w using (t) join m using (rid) group by iid, rid),
+r as (select iid, rid, score, doc_id, row_number() over (partition by iid order by score desc, doc_id nulls last) as rank
+      from s join m using (rid) where score > 0)
+select i.item_id, r.rank::integer as rank, r.doc_id, r.score from r join i using (iid) where r.rank <= 20
+"""
+
+ORACLES = {"op6_decontamination": _OP6, "op3_source_mixing": _OP3, "op12_lexical_search": _OP12}

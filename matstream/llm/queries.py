@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matstream.llm import decontam, htmlcut, langid, mixing, neardup, ngramlm, pii, secrets, vecdup, warc
+from matstream.llm import (bytebpe, decontam, htmlcut, langid, lexrank, mixing, neardup, ngramlm, pii, secrets, vecdup,
+                           warc, whitening)
 from matstream.llm.common import table
 
 
@@ -75,6 +77,23 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bytebpe.decode(encoded, ranks).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexrank.rank_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_source_mixing, op4_html_text, op5_language_id,
                                    op6_decontamination, op7_vector_dedup, op8_lm_score, op9_warc_revisits,
-                                   op10_minhash_dedup)}
+                                   op10_minhash_dedup, op11_byte_bpe, op12_lexical_search,
+                                   op13_embedding_whitening)}
