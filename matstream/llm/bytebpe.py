@@ -36,7 +36,7 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-from functools import lru_cache
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -76,16 +76,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Remembered(dict):
-    """A function's results, forgotten together when there are many."""
+    """A function's results; when there are many, those not asked for since the last time are forgotten."""
 
     def __init__(self, fn, limit: int):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.older = fn, limit // 2, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(key) <= CACHED_LENGTH:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -264,20 +267,26 @@ class Codec:
         return self.decode(code[:half]) + self.decode(code[half:])
 
 
-@lru_cache(maxsize=2)
-def _codec(key: int, pattern: str, table) -> Codec:
-    return Codec(table.value, pattern)
+_CODECS: dict[str, Codec] = {}   # of this worker process, by the call that made the broadcast
+
+
+def _codec(call: str, pattern: str, table) -> Codec:
+    """The call's codec, kept with what it remembers for the worker's later tasks."""
+    if call not in _CODECS:
+        _CODECS.clear()
+        _CODECS[call] = Codec(table.value, pattern)
+    return _CODECS[call]
 
 
 def _mapped(df: DataFrame, cols: list[str], name: str, ranks_path: str, pattern: str, kind: str) -> DataFrame:
     """``cols`` and a binary column ``name`` made from the last of them by the codec's ``kind``."""
     table = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    key = hash((ranks_path, table._jbroadcast.id() if table._jbroadcast is not None else id(table)))
+    call = uuid.uuid4().hex
     schema = T.StructType([df.schema[c] for c in cols] + [T.StructField(name, T.BinaryType())])
     source, kept = cols[-1], cols
 
     def run(batches):
-        codec = _codec(key, pattern, table)
+        codec = _codec(call, pattern, table)
         for b in batches:
             values = b.column(b.schema.get_field_index(source))
             first, size, out = 0, 0, []
