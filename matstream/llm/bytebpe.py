@@ -273,7 +273,8 @@ _CODECS: dict[str, Codec] = {}   # of this worker process, by the call that made
 def _codec(call: str, pattern: str, table) -> Codec:
     """The call's codec, kept with what it remembers for the worker's later tasks."""
     if call not in _CODECS:
-        _CODECS.clear()
+        if len(_CODECS) >= 4:
+            _CODECS.clear()
         _CODECS[call] = Codec(table.value, pattern)
     return _CODECS[call]
 
