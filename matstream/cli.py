@@ -32,7 +32,7 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("--calculate-error", action="store_true", help="estimate the error after every round")
     p.add_argument("--block-size", type=int, required=True, help="window size")
     p.add_argument("--stride", type=int, required=True, help="rows entering per step")
-    p.add_argument("--max-slides", type=int, default=20, help="slide cap; 0 for none")
+    p.add_argument("--max-slides", type=int, default=0, help="slide cap; 0 for none (the reference stops after 20)")
     p.add_argument("--seed", default="0", help="'validation' or an integer for Gaussian seeds")
     p.add_argument("--rows", type=int, default=None, help="accepted, not used")
     p.add_argument("--singular-value", type=float, default=None, help="accepted, not used")

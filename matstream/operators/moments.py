@@ -10,6 +10,7 @@ merge is spread over many reducers even when one key holds most rows.
 
 from __future__ import annotations
 
+import itertools
 from typing import Mapping
 
 import numpy as np
@@ -199,6 +200,137 @@ def collect_moments(cells: DataFrame, d: int) -> dict[int, tuple[int, np.ndarray
     return {key: (n, s1, G) for key, n, s1, G, _ in unpack_cells(*cols, d)}
 
 
+# --- centred chunk moments in one scan (A10, pooled) -------------------------------------------------
+
+MOMENTS_SCHEMA = "chunk BIGINT, part INT, n BIGINT, mean ARRAY<DOUBLE>, w ARRAY<DOUBLE>"
+PART_CELLS = 1 << 15   # Gram cells of a moments row: wide rows have several rows a chunk
+OUT_BYTES = 8 << 20    # of moments sent in one Arrow batch
+
+
+def pool_into(acc: list, n: int, mean: np.ndarray, w: np.ndarray) -> None:
+    """Add a part's ``n, mean, centred Gram`` to ``acc`` by the pooling identity, in place."""
+    total = acc[0] + n
+    delta = mean - acc[1]
+    acc[2] += w
+    acc[2] += np.outer(delta * (acc[0] * n / total), delta)
+    acc[1] = acc[1] + delta * (n / total)
+    acc[0] = total
+
+
+def _moment_batches(rows):
+    """Arrow batches of about ``OUT_BYTES`` from ``(chunk, part, n, mean, w)`` rows."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += row[3].nbytes + row[4].nbytes
+        if size >= OUT_BYTES:
+            yield _moment_batch(held)
+            held, size = [], 0
+    if held:
+        yield _moment_batch(held)
+
+
+def _moment_batch(rows) -> pa.RecordBatch:
+    def lists(k):
+        ends = np.cumsum([0] + [len(r[k]) for r in rows]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[k] for r in rows])))
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+         pa.array([r[2] for r in rows], pa.int64()), lists(3), lists(4)], names=["chunk", "part", "n", "mean", "w"])
+
+
+def moment_rows(batches):
+    """``(chunk, part, n, mean, w)`` of the rows of moments batches, arrays as numpy views."""
+    for b in batches:
+        ch, part, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        mean, w = b.column(3), b.column(4)
+        m_at, w_at = mean.offsets.to_numpy(), w.offsets.to_numpy()
+        m, v = mean.values.to_numpy(zero_copy_only=False), w.values.to_numpy(zero_copy_only=False)
+        for r in range(b.num_rows):
+            yield int(ch[r]), int(part[r]), int(n[r]), m[m_at[r]:m_at[r + 1]], v[w_at[r]:w_at[r + 1]]
+
+
+def pooled_moments(df: DataFrame, chunk_col: str = "chunk", col: str = FEATURES) -> DataFrame:
+    """A10 centred, in one scan: ``chunk, part, n, mean, w`` with the within-chunk centred Gram's upper triangle.
+
+    A task centres its rows of a chunk about their own mean; the parts of a
+    chunk meet sorted by (chunk, part) and are added one after another by the
+    pooling identity, so neither the chunk means nor a second scan are needed and a
+    chunk that most tasks hold is folded in constant memory. A Gram of
+    more than ``PART_CELLS`` cells is cut into rows that travel and fold on their own.
+    """
+    def scan(batches):
+        acc: dict[int, list] = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            ch = b.column(0).to_numpy(zero_copy_only=False)
+            Y = to_matrix(b.column(1))
+            if not np.isfinite(Y).all():
+                raise ValueError("matrix holds NaN or infinite values")
+            if acc and len(acc) * Y.shape[1] ** 2 * 8 > KERNEL_STATE_BYTES:
+                yield from _moment_batches(_parts(acc))
+                acc = {}
+            order = np.argsort(ch, kind="stable")
+            keys, starts = np.unique(ch[order], return_index=True)
+            for key, at in zip(keys.tolist(), np.split(order, starts[1:])):
+                Yg = Y[at]
+                mean = Yg.mean(axis=0)
+                Yc = Yg - mean
+                w = Yc.T @ Yc
+                if key in acc:
+                    if len(acc[key][1]) != len(mean):
+                        raise ValueError("rows have different widths")
+                    pool_into(acc[key], len(at), mean, w)
+                else:
+                    acc[key] = [len(at), mean, w]
+        yield from _moment_batches(_parts(acc))
+
+    def fold(batches):
+        def merged():
+            held, cells = None, None
+            for chunk, part, n, mean, w in moment_rows(batches):
+                if held is not None and held[:2] == [chunk, part]:
+                    if len(mean) != len(held[3]):
+                        raise ValueError("rows have different widths")
+                    if cells is None:
+                        iu, ju = np.triu_indices(len(mean))
+                        cells = iu[part * PART_CELLS:][:len(w)], ju[part * PART_CELLS:][:len(w)]
+                    total, delta = held[2] + n, mean - held[3]
+                    held[4] = held[4] + w + delta[cells[0]] * delta[cells[1]] * (held[2] * n / total)
+                    held[3] = held[3] + delta * (n / total)
+                    held[2] = total
+                else:
+                    if held is not None:
+                        yield held
+                    held, cells = [chunk, part, n, mean, w], None
+            if held is not None:
+                yield held
+
+        yield from _moment_batches(merged())
+
+    partial = df.select(F.col(chunk_col).cast("long"), F.col(col)).mapInArrow(scan, MOMENTS_SCHEMA)
+    return partial.repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(fold, MOMENTS_SCHEMA)
+
+
+def _parts(acc: dict[int, list]):
+    for key, (n, mean, w) in acc.items():
+        flat = w[np.triu_indices(len(mean))]
+        for part, at in enumerate(range(0, len(flat), PART_CELLS)):
+            yield key, part, n, mean, flat[at:at + PART_CELLS]
+
+
+def whole_states(rows):
+    """``(chunk, [n, mean, centred Gram])`` from moments rows ordered by (chunk, part)."""
+    for chunk, group in itertools.groupby(rows, key=lambda r: r[0]):
+        parts = list(group)
+        n, mean = parts[0][2], np.array(parts[0][3])
+        W = np.zeros((len(mean), len(mean)))
+        W[np.triu_indices(len(mean))] = np.concatenate([r[4] for r in parts])
+        yield chunk, [n, mean, W + np.triu(W, 1).T]
+
+
 # --- sketch moments (A6-A9) ----------------------------------------------------------------
 
 def sketch_pass(df: DataFrame, omega: np.ndarray, mean: np.ndarray, col: str = FEATURES) -> DataFrame:

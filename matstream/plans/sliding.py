@@ -4,8 +4,8 @@ Plan of :func:`sliding_pca`:
 
 1. rows read by the schedule (``row_id < end``, pushed to the scan when ids
    are stored) are tagged with their chunk by arithmetic on ``row_id``;
-2. one Spark aggregate gives each chunk's count and mean, a second the
-   within-chunk centred Gram (``mapInArrow`` block products, summed as cells);
+2. one scan gives each chunk's count, mean and within-chunk centred Gram
+   (``mapInArrow`` block products, pooled by (chunk, part) after one shuffle);
 3. the recursion over steps runs on the driver on chunk moments only
    (``chunks * d^2`` numbers, bounded by the schedule): deflation acts on
    moments (``mean -> P mean``, ``W -> P W P``), a window is the pooled
@@ -14,21 +14,22 @@ Plan of :func:`sliding_pca`:
    at (broadcast when the model table is small, checked) and takes the dot
    products in the JVM.
 
-So a run costs three scans of the scheduled rows, whatever the number of
+So a run costs two scans of the scheduled rows, whatever the number of
 slides and rounds.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
+import itertools
 import operator
 import time
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from matstream.functions import linalg as la
 from matstream.operators import moments as mo
 from matstream.operators.windows import Schedule, window_schedule, with_chunk
 from matstream.plans.sketch import sketch_from_gram
+from matstream.session import drop_path, scratch_path, written
 from matstream.sources.frames import FEATURES, ROW_ID
 
 BROADCAST_MODEL_BYTES = 64 << 20
@@ -86,60 +88,49 @@ def window_spectral_error(C: np.ndarray, n: int, V: np.ndarray, seed="validation
     return float(res.S[0])
 
 
-def _chunk_states(rows: DataFrame, d: int) -> dict[int, list]:
-    """Chunk -> [n, mean, within-chunk centred Gram] for every chunk of ``rows`` (small inputs)."""
-    return dict(_ChunkStates(rows, d).load_range(None, None))
-
-
 class _ChunkStates:
-    """Within-chunk centred moments, reduced by Spark, fetched to the driver by ranges of chunk ids.
-
-    Chunk means come from one aggregate and are joined back to the rows in
-    Spark (AQE broadcasts the means table when it is small), so nothing
-    proportional to the number of chunks is broadcast from the driver.  The
-    moment cells are persisted; the recursion fetches them band by band and
-    drops chunks that have left the window, so the driver holds the live
-    chunks only.
+    """Within-chunk centred moments, reduced by Spark in one scan, fetched to the driver by bands of entry steps.
+
+    A run of one band fetches them once; longer runs write them once, a folder
+    a band, so every band reads its own files only.  Chunks that have left
+    the window are dropped, so the driver holds the live chunks and one band.
     """
 
-    def __init__(self, rows: DataFrame, d: int):
-        self.d = d
-        means = rows.groupBy("chunk").agg(
-            vector_to_array(Summarizer.mean(array_to_vector(FEATURES))).alias("_m"))
-        centred = rows.join(means, "chunk").select(
-            "chunk", F.zip_with(FEATURES, "_m", lambda x, m: x - m).alias(FEATURES))
-        cells = mo.chunk_moments(centred, "chunk")
-        mean_cells = means.select("chunk", F.lit(-2).alias("i"), F.posexplode("_m").alias("j", "v"))
-        self.cells = cells.unionByName(mean_cells.select("chunk", "i", F.col("j").cast("int").alias("j"), "v")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-
-    def load_range(self, lo: int | None, hi: int | None) -> dict[int, list]:
-        sel = self.cells
-        if lo is not None:
-            sel = sel.where((F.col("chunk") >= F.lit(lo)) & (F.col("chunk") < F.lit(hi)))
-        tbl = sel.toArrow()
-        cols = [tbl.column(c).to_numpy() for c in ("chunk", "i", "j", "v")]
-        return mo.centred_states(*cols, self.d)
+    def __init__(self, rows: DataFrame, width: int, band: int, start: int):
+        self.spark, self.width, self.band, self.start = rows.sparkSession, width, band, start
+        self.path = None
+        moments = mo.pooled_moments(rows)
+        if start + band < width:
+            at = F.floor((F.floor(F.col("chunk") / F.lit(width)) - F.lit(start)) / F.lit(band)).cast("int")
+            self.path = scratch_path(self.spark, "moments")
+            moments.withColumn("band", at).write.partitionBy("band").parquet(self.path)
+            moments = self.spark.read.parquet(self.path)
+        self.moments = moments
+
+    def load_band(self, number: int) -> dict[int, list]:
+        rows = self.moments if self.path is None else self.moments.where(F.col("band") == number).drop("band")
+        tbl = rows.toArrow().sort_by([("chunk", "ascending"), ("part", "ascending")]).combine_chunks()
+        return dict(mo.whole_states(mo.moment_rows(tbl.to_batches())))
 
     def release(self):
-        self.cells.unpersist(blocking=False)
+        if self.path is not None:
+            drop_path(self.spark, self.path)
 
 
 class _BandedStates(dict):
     """A dict of chunk states filled band by band of entry steps as the recursion asks for them."""
 
-    def __init__(self, source: _ChunkStates, sched: Schedule, band: int, start: int = 0):
+    def __init__(self, source: _ChunkStates):
         super().__init__()
-        self.source, self.sched, self.band = source, sched, band
-        self.loaded_to = start   # entry steps [start, loaded_to) are loaded; earlier ones hold no rows
-        self.width = sched.last + 1
+        self.source = source
+        self.loaded_to = source.start   # entry steps before this one are loaded or hold no rows
+        self.bands = 0
 
     def ensure(self, t: int):
         while self.loaded_to <= t:
-            lo, hi = self.loaded_to, min(self.loaded_to + self.band, self.width)
-            # chunk id = first * (T + 1) + last: entry steps [lo, hi) are one id range
-            self.update(self.source.load_range(lo * self.width, hi * self.width))
-            self.loaded_to = hi
+            self.update(self.source.load_band(self.bands))
+            self.bands += 1
+            self.loaded_to += self.source.band
 
 
 def live_state_bytes(sched: Schedule, d: int) -> int:
@@ -159,11 +150,11 @@ def banded_states(rows: DataFrame, sched: Schedule, d: int, start: int = 0):
     if need > LIVE_STATE_BYTES:
         raise ValueError(f"the chunks of a window take {need >> 20} MB of moments on the driver (limit "
                          f"{LIVE_STATE_BYTES >> 20} MB): use method='rows' or a larger stride")
-    source = _ChunkStates(rows, d)
     per_step = 2 * d * d * 8
-    band = sched.last + 1 if (sched.last + 1) * per_step <= DRIVER_STATE_BYTES else \
-        max(1, DRIVER_STATE_BYTES // per_step)
-    return source, _BandedStates(source, sched, band, start)
+    width = sched.last + 1
+    band = width if width * per_step <= DRIVER_STATE_BYTES else max(1, DRIVER_STATE_BYTES // per_step)
+    source = _ChunkStates(rows, width, band, start)
+    return source, _BandedStates(source)
 
 
 def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int, max_iter: int = 1,
@@ -208,7 +199,7 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
             raise ValueError(f"{id_col} is not dense 0..n-1 (min {row['lo']}, max {row['hi']}, n {n}); "
                              "pass order_by to number the rows")
     sched = window_schedule(n, block, stride, max_slides)
-    rows = with_chunk(base, sched).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = with_chunk(base, sched)
     d = rows.select(F.size(FEATURES)).first()[0]
     if k == d:
         k = d - 1
@@ -217,10 +208,8 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     if method == "auto":
         method = "moments" if d <= MOMENTS_MAX_D and live_state_bytes(sched, d) <= LIVE_STATE_BYTES else "rows"
     if method == "rows":
-        out = _sliding_rows(rows, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
-                            seed, dataset)
-        rows.unpersist(blocking=False)
-        return out
+        return _sliding_rows(rows, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
+                             seed, dataset)
 
     t0 = time.perf_counter()
     source, states = banded_states(rows, sched, d)
@@ -236,7 +225,6 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     model_df = spark.createDataFrame(model_rows, MODEL_SCHEMA)
     stats_df = spark.createDataFrame(stats_rows, STATS_SCHEMA)
     scores = score_by_step(rows, sched, models, spark)
-    rows.unpersist(blocking=False)
     return SlidingResult(scores, model_df, stats_df, sched, S, V, models, stats_rows)
 
 
@@ -250,7 +238,7 @@ def _sliding_rows(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: i
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     rid = F.col(ROW_ID)
-    raw = rows.select(ROW_ID, FEATURES)
+    raw = rows.select(ROW_ID, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)   # read again at every step
     window = raw.where(rid < F.lit(sched.block)).checkpoint(eager=True)
     S, V = None, np.zeros((d, k))
     models, stats_rows = [], []
@@ -277,9 +265,10 @@ def _sliding_rows(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: i
         stats_rows.append((t, t + 1, "matstream", dataset, int(res.n_rows), int(d), res.n_iter, pre,
                            [float(x) for x in res.sketch_s], res.avg_sketch_s, pre + sum(res.sketch_s),
                            float(res.sigma_k1), float(spec.S[0]), [float(e) for e in res.errors], change_at))
+    raw.unpersist(blocking=False)
     model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
                   for t, (Sm, Vm) in enumerate(models) for c in range(k)]
-    return SlidingResult(score_by_step(raw, sched, models, spark),
+    return SlidingResult(score_by_step(rows, sched, models, spark),
                          spark.createDataFrame(model_rows, MODEL_SCHEMA),
                          spark.createDataFrame(stats_rows, STATS_SCHEMA), sched, S, V, models, stats_rows)
 
@@ -309,26 +298,67 @@ def advance(states: dict, bounds: dict, steps, d: int, k: int, subsample: int, m
     first one run here; chunks that left the window are dropped from
     ``states``.  Returns ``(models, stats_rows, S, V)``.
     """
-    V = np.zeros((d, k)) if V is None else V
-    models, stats_rows = [], []
     order = sorted(bounds)   # along the rows both ends only grow, so the live chunks are one moving range
-    lo = hi = 0
-    for t in steps:
-        t0 = time.perf_counter()
+    at = [0, 0]
+
+    def live(t):
         if isinstance(states, _BandedStates):
             states.ensure(t)
-        while hi < len(order) and bounds[order[hi]][0] <= t:
-            hi += 1
-        while lo < hi and bounds[order[lo]][1] < t:
-            states.pop(order[lo], None)   # left the window
-            lo += 1
-        live = [c for c in order[lo:hi] if c in states]
+        while at[1] < len(order) and bounds[order[at[1]]][0] <= t:
+            at[1] += 1
+        while at[0] < at[1] and bounds[order[at[0]]][1] < t:
+            states.pop(order[at[0]], None)   # left the window
+            at[0] += 1
+        return [states[c] for c in order[at[0]:at[1]] if c in states]
+
+    models, stats_rows = [], []
+    for S, V, row in iter_steps(live, steps, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed,
+                                S, V, enter_lo, dataset, moments_s):
+        models.append((S.copy(), V.copy()))
+        stats_rows.append(row)
+    return models, stats_rows, S, V
+
+
+class StreamedChunks:
+    """The live chunks of a window, taken from an iterator of ``(chunk, state)`` in chunk order as steps need them.
+
+    Chunk ids are ``first * width + last`` (:meth:`Schedule.chunk`), so a
+    chunk's first and last step are read off its id and only live chunks are held.
+    """
+
+    def __init__(self, chunks, width: int):
+        self.chunks, self.width = chunks, width
+        self.window: collections.deque = collections.deque()
+        self.ahead = next(chunks, None)
+
+    def __call__(self, t: int) -> list:
+        while self.ahead is not None and self.ahead[0] // self.width <= t:
+            if self.window and self.window[-1][0] >= self.ahead[0]:
+                raise ValueError("chunks are out of order")
+            self.window.append(self.ahead)
+            self.ahead = next(self.chunks, None)
+        while self.window and self.window[0][0] % self.width < t:
+            self.window.popleft()
+        return [state for _, state in self.window]
+
+
+def iter_steps(live, steps, d: int, k: int, subsample: int, max_iter: int = 1, tolerance: float = 0.05,
+               calc_error: bool = False, q: int = 10, subsample_norm: int = 1, seed="validation", S=None, V=None,
+               enter_lo=None, dataset: str = "", moments_s: float = 0.0):
+    """Run steps one by one from ``(S, V)``: yields ``(S, V, stats row)`` after each and keeps nothing behind it.
+
+    ``live(t)`` gives the states ``[n, mean, centred Gram]`` of the chunks in the window of step ``t``, in
+    row order; they are deflated in place.
+    """
+    V = np.zeros((d, k)) if V is None else V
+    for t in steps:
+        t0 = time.perf_counter()
+        window = live(t)
         if t > 0:
-            for c in live:  # the whole window is deflated by the current V
-                st = states[c]
+            for st in window:  # the whole window is deflated by the current V
                 st[1] = la.deflate_vec(st[1], V)
                 st[2] = la.deflate_gram(st[2], V)
-        n_w, _, C = la.pooled_gram([states[c] for c in live])
+        n_w, _, C = la.pooled_gram(window)
         prep = time.perf_counter() - t0
         res = sketch_from_gram(C, n_w, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
                                seed, salt=2 * t)
@@ -340,12 +370,10 @@ def advance(states: dict, bounds: dict, steps, d: int, k: int, subsample: int, m
             if swapped:
                 change_at.append(int(enter_lo(t)))
         spec = window_spectral_error(C, n_w, V, seed, salt=2 * t + 1)
-        models.append((S.copy(), V.copy()))
         pre = prep + (moments_s if t == 0 else 0.0)
-        stats_rows.append((t, t + 1, "matstream", dataset, int(n_w), int(d), res.n_iter, pre,
-                           [float(x) for x in res.sketch_s], res.avg_sketch_s, pre + sum(res.sketch_s),
-                           float(res.sigma_k1), float(spec), [float(e) for e in res.errors], change_at))
-    return models, stats_rows, S, V
+        yield S, V, (t, t + 1, "matstream", dataset, int(n_w), int(d), res.n_iter, pre,
+                     [float(x) for x in res.sketch_s], res.avg_sketch_s, pre + sum(res.sketch_s),
+                     float(res.sigma_k1), float(spec), [float(e) for e in res.errors], change_at)
 
 
 def score_by_step(rows: DataFrame, sched: Schedule, models: list, spark: SparkSession) -> DataFrame:
@@ -391,7 +419,8 @@ def _key_prefixes(base: DataFrame, keys: list[str], need: int):
     levels of ``PREFIX_GRID``; the threshold is the lowest level above
     ``need / n`` plus the sketch's rank error.  A key whose kept rows fall
     short of ``min(need, n)`` keeps all its rows, so ids stay exact ranks.
-    Returns the trimmed rows and the per-key table ``keys..., _n``.
+    Rows with a null order key are kept for the numbering to reject.  Returns
+    the trimmed rows and the per-key table ``keys..., _n``.
     """
     from pyspark.sql import types as T
 
@@ -406,16 +435,16 @@ def _key_prefixes(base: DataFrame, keys: list[str], need: int):
     levels = F.filter(F.arrays_zip(grid.alias("p"), F.col("_qs").alias("q")), lambda z: z["p"] >= p_need)
     level = F.element_at(levels, 1)
     thr = F.when((p_need < 1.0) & (level["p"] < 1.0), level["q"])   # level 1.0 keeps the whole key
-    stats = stats.select(*keys, "_n", thr.alias("_thr")).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = written(stats.select(*keys, "_n", thr.alias("_thr")), "key-prefix")
     if not stats.where(F.col("_thr").isNotNull()).limit(1).count():
         return base, stats.select(*keys, "_n")   # no key is long enough to trim
-    kept = base.join(stats, keys).where(F.col("_thr").isNull() | (F.col("_ord") <= F.col("_thr")))
+    kept = base.join(stats, keys).where(F.col("_thr").isNull() | F.col("_ord").isNull() | (F.col("_ord") <= F.col("_thr")))
     short = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).join(stats, keys) \
         .where(F.col("_k") < F.least(F.lit(need), F.col("_n"))).select(*keys)
     if short.limit(1).count():
         stats = stats.join(short.withColumn("_short", F.lit(True)), keys, "left") \
-            .select(*keys, "_n", F.when(F.col("_short").isNull(), F.col("_thr")).alias("_thr")).persist()
-        kept = base.join(stats, keys).where(F.col("_thr").isNull() | (F.col("_ord") <= F.col("_thr")))
+            .select(*keys, "_n", F.when(F.col("_short").isNull(), F.col("_thr")).alias("_thr"))
+        kept = base.join(stats, keys).where(F.col("_thr").isNull() | F.col("_ord").isNull() | (F.col("_ord") <= F.col("_thr")))
     return kept.select(base.columns), stats.select(*keys, "_n")
 
 
@@ -438,28 +467,26 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     Rows are numbered within each key by ``order_by`` (range partitioning on
     ``(key, order)``, so a hot key is spread over many tasks), tagged with
     chunk ids from the key's own schedule, and reduced to chunk moments by
-    Spark (cells keyed by ``gid, chunk, i, j``).  Every key's recursion runs
-    in ``applyInPandas`` over its moment table of ``chunks * d^2`` numbers, so
-    a hot key costs more rows in the distributed pass only.  Keys with fewer
+    Spark in one scan (:func:`pooled_moments`).  The moments of a key, sorted by
+    chunk, stream through its recursion, which holds the window's live chunks
+    only and sends every step's model on: task memory doesn't grow with the
+    key's rows or slides, however many steps it has.  Keys with fewer
     than ``block`` rows or a null in them have no run; :func:`skipped_keys` names them with their rows.  Output: the scores ``keys..., row_id,
     step, scores`` of every scheduled row (``row_id`` dense within the key).
     """
     from matstream.operators.rowid import with_row_id
 
-    if max_slides is None:
-        # no key is cut: as many slides as the largest key has (its moments are one group, 2 * slides + 2 chunks)
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        max_slides = max(1, -(-max(0, largest - block) // stride))
-    spark = df.sparkSession
     base = df.select(*keys, F.col(order_by).alias("_ord"), F.col(col).cast("array<double>").alias(FEATURES))
-    # one row per key: its true row count (the schedule depends on it) and, for orderable keys, a
-    # key threshold below which its first block + max_slides * stride rows lie (the rest is never read)
-    base, per_key = _key_prefixes(base, keys, block + max_slides * stride)
+    if max_slides is None:
+        per_key = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        # one row per key: its true row count (the schedule depends on it) and, for orderable keys, a
+        # key threshold below which its first block + max_slides * stride rows lie (the rest is never read)
+        base, per_key = _key_prefixes(base, keys, block + max_slides * stride)
     numbered = with_row_id(base, "_ord", id_col=ROW_ID, partition_by=keys)
     per_key = with_row_id(per_key.where(F.col("_n") >= block), keys, id_col="gid")
     T, ldh, end = _keyed_schedule_cols(F.col("_n"), block, stride, max_slides)
-    per_key = per_key.select(*keys, "gid", "_n", T.alias("_T"), ldh.alias("_ldh"), end.alias("_end")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    per_key = written(per_key.select(*keys, "gid", "_n", T.alias("_T"), ldh.alias("_ldh"), end.alias("_end")), "keys")
     n_keys, t_max = per_key.agg(F.count(F.lit(1)), F.coalesce(F.max("_T"), F.lit(0))).first()
     span = (t_max + 1) ** 2   # chunk ids of one key
     if n_keys * span >= 1 << 63:
@@ -472,40 +499,51 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
     few = F.broadcast(per_key) if n_keys <= MAX_BROADCAST_KEYS else per_key  # a hot key's rows then stay where they are
     rows = (numbered.join(few, keys).where(rid < F.col("_end"))
             .select(*keys, "gid", ROW_ID, FEATURES, first.alias("step"),
-                    (F.col("gid") * F.lit(span) + first.cast("long") * (F.col("_T") + 1) + last).alias("gchunk"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-
-    # chunk means (rows of a chunk are contiguous ids of one key), then within-chunk centred Grams
-    means = rows.groupBy("gchunk").agg(vector_to_array(Summarizer.mean(array_to_vector(FEATURES))).alias("_m"))
-    centred = rows.join(means, "gchunk").select(
-        "gchunk", F.zip_with(FEATURES, "_m", lambda x, m: x - m).alias(FEATURES))
-    cells = mo.chunk_moments(centred.withColumnRenamed("gchunk", "chunk"), "chunk")
-    mean_cells = means.select(F.col("gchunk").alias("chunk"), F.lit(-2).alias("i"),
-                              F.posexplode("_m").alias("j", "v")).select("chunk", "i", F.col("j").cast("int"), "v")
-    cells = cells.unionByName(mean_cells) \
-        .select(F.expr(f"chunk div {span}").alias("gid"), (F.col("chunk") % F.lit(span)).alias("chunk"), "i", "j", "v")
-    cells = cells.join(per_key.select("gid", "_n"), "gid")
-
-    params = dict(k=k, block=block, stride=stride, subsample=subsample, max_iter=max_iter, max_slides=max_slides,
-                  tolerance=tolerance, calc_error=calc_error, q=q, subsample_norm=subsample_norm, seed=seed)
-
-    def per_group(pdf):
-        import pandas as pd
-        gid = int(pdf["gid"].iloc[0])
-        n_key = int(pdf["_n"].iloc[0])
-        sched = window_schedule(n_key, params["block"], params["stride"], params["max_slides"])
-        d = int(pdf.loc[pdf["i"] == -2, "j"].max()) + 1
-        states = mo.centred_states(pdf["chunk"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy(),
-                                   pdf["v"].to_numpy(), d)
-        models, _ = run_recursion(states, sched, d, params["k"], params["subsample"], params["max_iter"],
-                                  params["tolerance"], params["calc_error"], params["q"],
-                                  params["subsample_norm"], params["seed"])
-        return pd.DataFrame({"gid": [gid] * len(models), "step": list(range(len(models))),
-                             "comps": [[list(map(float, Vm[:, c])) for c in range(Vm.shape[1])]
-                                       for _, Vm in models]})
-
-    models = cells.groupBy("gid").applyInPandas(per_group, "gid LONG, step INT, comps ARRAY<ARRAY<DOUBLE>>")
+                    (F.col("gid") * F.lit(span) + first.cast("long") * (F.col("_T") + 1) + last).alias("gchunk")))
+    moments = mo.pooled_moments(rows, "gchunk").select(F.expr(f"chunk div {span}").alias("gid"),
+                                                       (F.col("chunk") % F.lit(span)).alias("chunk"), "part", "n", "mean", "w")
+    few = per_key.select("gid", "_n")
+    moments = moments.join(F.broadcast(few) if n_keys <= MAX_BROADCAST_KEYS else few, "gid") \
+        .select("gid", "_n", "chunk", "part", "n", "mean", "w")
+    params = dict(k=k, subsample=subsample, max_iter=max_iter, tolerance=tolerance, calc_error=calc_error, q=q,
+                  subsample_norm=subsample_norm, seed=seed)
+
+    def by_key(batches):
+        def rows_of():
+            for b in batches:
+                gid, n_key = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                part = pa.RecordBatch.from_arrays([b.column(c) for c in range(2, 7)],
+                                                  names=["chunk", "part", "n", "mean", "w"])
+                for r, row in enumerate(mo.moment_rows([part])):
+                    yield int(gid[r]), int(n_key[r]), row
+
+        held = []
+        for (gid, n_key), group in itertools.groupby(rows_of(), key=lambda r: r[:2]):
+            sched = window_schedule(n_key, block, stride, max_slides)
+            chunks = StreamedChunks(mo.whole_states(r[2] for r in group), sched.last + 1)
+            width = len(chunks.ahead[1][1])
+            for _, V, row in iter_steps(chunks, range(sched.last + 1), width, enter_lo=lambda t: 0, **params):
+                held.append((gid, row[0], V.T.tolist()))
+                if len(held) * width * k >= MODEL_BATCH_CELLS:
+                    yield _models_batch(held)
+                    held = []
+        if held:
+            yield _models_batch(held)
+
+    models = moments.repartition("gid").sortWithinPartitions("gid", "chunk", "part").mapInArrow(
+        by_key, "gid LONG, step INT, comps ARRAY<ARRAY<DOUBLE>>")
+    # written once: the scores read the models of a long key by a join that adaptive execution can split
+    models = written(models, "key-models")
     joined = rows.join(models, ["gid", "step"])
     scores = F.transform("comps", lambda v: F.aggregate(F.zip_with(FEATURES, v, lambda a, b: a * b),
                                                         F.lit(0.0), lambda acc, x: acc + x))
     return joined.select(*keys, ROW_ID, "step", scores.alias("scores"))
+
+
+MODEL_BATCH_CELLS = 1 << 20
+
+
+def _models_batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+         pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.float64())))], names=["gid", "step", "comps"])

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "matstream") -> SparkSession:
@@ -52,7 +52,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_made: list[str] = []   # scratch folders of this process that nobody has dropped yet
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
+    """A fresh sub-folder of the shared checkpoint folder (freed by :func:`drop_path` or :func:`clear_scratch`)."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    _made.append(os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}"))
+    return _made[-1]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: fixed rows, no lineage, nothing cached."""
+    spark, schema = df.sparkSession, df.schema
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder; its tables can't be read any more."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder made so far (call when the results are written); returns how many."""
+    paths = list(_made)
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
