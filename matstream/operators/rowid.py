@@ -1,19 +1,19 @@
 """Row numbering and look-up (O1-O3).
 
 ``with_row_id`` gives dense 0-based ids in the order of a key without a
-global single-partition window: the rows are range-partitioned and sorted
-within partitions, each partition is counted, and the running offsets (one
-row per partition, a bounded table) are broadcast back.
+global single-partition window: the rows are range-partitioned, sorted and
+written, each partition is counted, and the running offsets (one row per
+partition, a bounded table) are broadcast back.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matstream.session import drop_path, scratch_path
 from matstream.sources.frames import ROW_ID
 
 _POS_BITS = 33  # monotonically_increasing_id: partition id << 33 | record number
@@ -23,10 +23,15 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
                 num_partitions: int | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Add a dense 0-based ``id_col`` in the order of ``order_by``.
 
-    A null in the key fails the job.  The key must be unique (add tie-breaking columns otherwise): then the
-    numbering is deterministic and a recomputed partition after an executor
-    loss gets the same ids.  The numbered frame is persisted (memory and
-    disk) so the count job and the offset join read one materialisation.
+    The rows are range-partitioned on the key, sorted and written to the shared
+    folder with their partition and position; the ids add the counts of the
+    partitions before.  Nothing is cached, and a lost executor finds the same rows
+    again.  The folder is freed by :func:`release` or, for all of a session, by
+    ``matstream.session.clear_scratch``.
+
+    A null in the key fails the job, and so do two rows of an equal key (add
+    tie-breaking columns): the rows of a key are in one partition, in order, so
+    the count per key costs no further shuffle.
 
     With ``partition_by`` the ids are dense within each group.  The range
     partitioning is on ``(group, order)``, so a group holding a third of all
@@ -40,15 +45,19 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
         df = df.withColumn(c, F.coalesce(F.col(c), F.raise_error(F.lit(f"null in the order key {c}"))))
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    sorted_rows = (
         df.repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_mid", F.when(same == 1, F.monotonically_increasing_id()).otherwise(
+            F.raise_error(F.lit(f"rows of equal order key {', '.join(keys)}")).cast("long")))
         .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
         .drop("_mid")
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    path = scratch_path(spark, "rowid")
+    sorted_rows.write.parquet(path)
+    tagged = spark.read.schema(sorted_rows.schema).parquet(path)
     if groups:
         # rows of one group inside one partition are contiguous and sorted, so
         # position within the group = position in partition - first position of the group there
@@ -56,24 +65,23 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
         running = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("_pid", *groups, (F.coalesce(F.sum("_n").over(running), F.lit(0))
                                                   - F.col("_p0")).alias("_off"))
-        offsets = offsets.persist(StorageLevel.MEMORY_AND_DISK)
         out = tagged.join(offsets, ["_pid", *groups])
     else:
         # one row per partition: a table whose size is bounded by the partition count
         counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off")).cache()
-        offsets.count()
+        offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))
         out = tagged.join(F.broadcast(offsets), "_pid")
     out = out.withColumn(id_col, (F.col("_off") + F.col("_pos")).cast("long")).drop("_pid", "_pos", "_off")
-    out._matstream_cached = [tagged, offsets]   # what release() frees once the ids are no longer needed
+    out._matstream_scratch = path
     return out
 
 
 def release(df: DataFrame) -> None:
-    """Unpersist what :func:`with_row_id` materialised for ``df`` (call when its results are written)."""
-    for cached in getattr(df, "_matstream_cached", []):
-        cached.unpersist(blocking=False)
+    """Delete what :func:`with_row_id` wrote for ``df`` (call when its results are written)."""
+    path = getattr(df, "_matstream_scratch", None)
+    if path is not None:
+        drop_path(df.sparkSession, path)
 
 
 def first_block(df: DataFrame, block: int, id_col: str = ROW_ID) -> DataFrame:
