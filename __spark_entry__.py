@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import sliding_oracle
 from matstream.functions.seeds import seed_gaussian, seed_uniform, seed_validation
 from matstream.operators import moments as mo
 from matstream.operators import rows as ro
@@ -33,7 +34,7 @@ from matstream.operators.windows import (expand_windows, schedule_frame, slide,
                                          with_chunk)
 from matstream.plans import report
 from matstream.plans.sketch import singular_values_frame, sketch_svd
-from matstream.plans.sliding import change_points, skipped_keys, sliding_pca, sliding_pca_by_key, window_spectral_error
+from matstream.plans.sliding import change_points, skipped_keys, sliding_pca, sliding_pca_by_key, window_spectral_error, window_spectral_errors
 from matstream.sources import sinks
 from matstream.session import scratch_path
 from matstream.sources.frames import FEATURES, ROW_ID, from_array, from_columns, parse_dense_lines, read_dense_csv
@@ -496,6 +497,66 @@ def q_sliding_model_k1(spark, sf_dir):
         "step", "comp", "sigma", F.col("i").cast("int").alias("i"), _r6(F.col("x")).alias("x"))
 
 
+def _k2_run(spark, sf_dir, **more):
+    """Two components and a 3-wide sketch: the widest configuration that SQL follows in closed form."""
+    return sliding_pca(_rows(spark, sf_dir), k=2, block=BLOCK, stride=STRIDE, subsample=1, max_iter=1,
+                       seed="validation", dataset="embeddings", **more)
+
+
+def _score_cells(scores: DataFrame, *keys: str) -> DataFrame:
+    return scores.select(*keys, ROW_ID, "step", F.posexplode("scores").alias("comp", "v")).select(
+        *keys, ROW_ID, "step", F.col("comp").cast("int").alias("comp"), _r6(F.col("v")).alias("v"))
+
+
+def q_sliding_pca_k2(spark, sf_dir):
+    return _score_cells(_k2_run(spark, sf_dir).scores)
+
+
+def q_sliding_pca_k2_rows(spark, sf_dir):
+    """The same run with the window kept as a DataFrame."""
+    return _score_cells(_k2_run(spark, sf_dir, method="rows").scores)
+
+
+def q_sliding_model_k2(spark, sf_dir):
+    m = _k2_run(spark, sf_dir).model
+    return m.select("step", "comp", _r6(F.col("sigma")).alias("sigma"), F.posexplode("v").alias("i", "x")).select(
+        "step", "comp", "sigma", F.col("i").cast("int").alias("i"), _r6(F.col("x")).alias("x"))
+
+
+def q_sliding_stats_k2(spark, sf_dir):
+    return _k2_run(spark, sf_dir).stats.select("step", "n_rows", _r6(F.col("sigma_k1")).alias("sigma_k1"),
+                                               _r6(F.col("spectral_error")).alias("spectral_error"))
+
+
+def q_change_points_k2(spark, sf_dir):
+    return change_points(_k2_run(spark, sf_dir).stats).select("step", F.col(ROW_ID).cast("long").alias(ROW_ID))
+
+
+def q_run_summary_k2(spark, sf_dir):
+    return report.run_summary(_k2_run(spark, sf_dir).stats).select(
+        _r6(F.col("mean_spectral_error")).alias("mean_spectral_error"))
+
+
+def q_sliding_by_label_k2(spark, sf_dir):
+    emb = _t(spark, sf_dir, "embeddings")
+    r = emb.select(F.col("vec_id").alias(ROW_ID), F.col("embedding").cast("array<double>").alias(FEATURES), "label")
+    return _score_cells(sliding_pca_by_key(r, ["label"], k=2, block=30, stride=5, subsample=1, max_iter=1), "label")
+
+
+def q_stream_pca_k2(spark, sf_dir):
+    """The run over a stream of five ordered micro-batches, the third delivered twice."""
+    from matstream.streaming.stream import stream_pca_table
+    return _score_cells(stream_pca_table(spark, sf_dir, "embeddings", k=2, block=BLOCK, stride=STRIDE, subsample=1,
+                                         max_iter=1, batches=5, replay=2))
+
+
+def q_window_spectral_errors(spark, sf_dir):
+    """I4 for every window of the schedule, from the moments of its chunks."""
+    r = _rows(spark, sf_dir)
+    return window_spectral_errors(r, _pairs_v(_width(r)), BLOCK, STRIDE).select(
+        "step", _r6(F.col("spectral_error")).alias("spectral_error"))
+
+
 def q_residual_norm_rows(spark, sf_dir):
     from matstream.plans.sketch import residual_norm
     r = _rows(spark, sf_dir)
@@ -1170,6 +1231,17 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     q["run_summary_k1"] = (f"select {_r('avg(spectral_error)')} as mean_spectral_error from ("
                            + stats_k1.replace("with recursive", "select * from (with recursive", 1) + "))")
     q["stream_pca_k1"] = q["sliding_pca_k1"]
+    one = "select 0 as label, rid, y from (" + _EMB_TAB + ")"
+    by_label = ("select label, (row_number() over (partition by label order by vec_id) - 1)::BIGINT as rid, "
+                "list_transform(embedding, lambda x: x::DOUBLE) as y from embeddings")
+    q["sliding_pca_k2"] = sliding_oracle.scores(BLOCK, STRIDE, one)
+    q["sliding_pca_k2_rows"] = q["stream_pca_k2"] = q["sliding_pca_k2"]
+    q["sliding_model_k2"] = sliding_oracle.model(BLOCK, STRIDE, one)
+    q["sliding_stats_k2"] = sliding_oracle.stats(BLOCK, STRIDE, one)
+    q["change_points_k2"] = sliding_oracle.changes(BLOCK, STRIDE, one)
+    q["run_summary_k2"] = sliding_oracle.mean_error(BLOCK, STRIDE, one)
+    q["sliding_by_label_k2"] = sliding_oracle.scores(30, 5, by_label, label=True)
+    q["window_spectral_errors"] = sliding_oracle.window_errors(BLOCK, STRIDE, one, _dfl("y"))
     for sink, run in (("scores_sink", "sliding_pca_k1"), ("model_sink", "sliding_model_k1"), ("stats_sink", "sliding_stats_k1")):
         q[sink] = f"select *, {BLOCK} as block, {STRIDE} as stride from ({q[run]})"
     q["explained_variance"] = f"""{gram_sql},

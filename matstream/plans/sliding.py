@@ -44,6 +44,7 @@ BROADCAST_MODEL_BYTES = 64 << 20
 DRIVER_STATE_BYTES = 512 << 20
 LIVE_STATE_BYTES = 2 << 30
 MOMENTS_MAX_D = 1024
+ERROR_ROWS = 10_000
 
 MODEL_SCHEMA = "step INT, comp INT, sigma DOUBLE, v ARRAY<DOUBLE>"
 STATS_SCHEMA = ("step INT, block_num INT, app STRING, dataset STRING, n_rows BIGINT, n_cols INT, n_iter INT, "
@@ -88,6 +89,32 @@ def window_spectral_error(C: np.ndarray, n: int, V: np.ndarray, seed="validation
     return float(res.S[0])
 
 
+def window_spectral_errors(df: DataFrame, V: np.ndarray, block: int, stride: int, max_slides: int | None = None,
+                           seed="validation", id_col: str = ROW_ID, col: str = FEATURES) -> DataFrame:
+    """I4 for every window of the schedule: ``step, spectral_error`` of the raw window without a fixed ``V``.
+
+    One scan to chunk moments, sorted by chunk and streamed through one sequence of windows that holds
+    the live chunks only; nothing goes to the driver but the row count.
+    """
+    base = df.select(F.col(id_col).cast("long").alias(ROW_ID), F.col(col).alias(FEATURES))
+    sched = window_schedule(base.count(), block, stride, max_slides)
+    moments = mo.pooled_moments(with_chunk(base, sched)).repartition(1).sortWithinPartitions("chunk", "part")
+
+    def errors(batches):
+        live = StreamedChunks(mo.whole_states(mo.moment_rows(batches)), sched.last + 1)
+        held = []
+        for t in range(sched.last + 1):
+            n, _, C = la.pooled_gram(live(t))
+            held.append((t, window_spectral_error(C, n, V, seed, salt=2 * t + 1)))
+            if len(held) == ERROR_ROWS or t == sched.last:
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()),
+                                                  pa.array([h[1] for h in held], pa.float64())],
+                                                 names=["step", "spectral_error"])
+                held = []
+
+    return moments.mapInArrow(errors, "step INT, spectral_error DOUBLE")
+
+
 class _ChunkStates:
     """Within-chunk centred moments, reduced by Spark in one scan, fetched to the driver by bands of entry steps.
 

@@ -72,6 +72,18 @@ def _table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int =
             .option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", max_files).load(sf_dir))
 
 
+def _ordered_stream(spark: SparkSession, sf_dir: str, table: str, batches: int, key: str = "vec_id") -> DataFrame:
+    """A table as a stream of ``batches`` files along a key: files are written one after another, each is a batch."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    path = scratch_path(spark, "stream-source")
+    step = -(-(hi - lo + 1) // batches)
+    for b in range(batches):
+        part = df.where((F.col(key) >= lo + b * step) & (F.col(key) < lo + (b + 1) * step))
+        part.sort(key).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.format("parquet").schema(df.schema).option("maxFilesPerTrigger", 1).load(path)
+
+
 def stream_score_table(spark: SparkSession, sf_dir: str, table: str, V: np.ndarray) -> DataFrame:
     """Score the ``embeddings``-like table read as a file stream; results go to a Parquet sink."""
     src = _table_stream(spark, sf_dir, table)
@@ -312,13 +324,25 @@ def stream_pca(stream_df: DataFrame, order_by: str, out_path: str, state_path: s
 
 
 def stream_pca_table(spark: SparkSession, sf_dir: str, table: str, k: int, block: int, stride: int,
-                     subsample: int, max_iter: int = 1, max_slides: int | None = None) -> DataFrame:
-    """ST1 over a table read as a file stream, finished at the end; returns the scores."""
-    src = _table_stream(spark, sf_dir, table)
+                     subsample: int, max_iter: int = 1, max_slides: int | None = None, batches: int | None = None,
+                     replay: int | None = None) -> DataFrame:
+    """ST1 over a table read as a file stream, finished at the end; returns the scores.
+
+    With ``batches`` the table arrives as that many files in the order of ``vec_id``, one a micro-batch;
+    batch ``replay`` is then delivered a second time under its own id, as after a crash before the commit.
+    """
+    src = _table_stream(spark, sf_dir, table) if batches is None else _ordered_stream(spark, sf_dir, table, batches)
     rows = src.select(F.col("vec_id").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias(FEATURES))
     base = scratch_path(spark, "stream-pca")
-    q, runner = stream_pca(rows, "ord", base + "/out", base + "/state", k, block, stride, subsample, max_iter,
-                           max_slides)
+    runner = StreamPCA(spark, base + "/out", base + "/state", "ord", k, block, stride, subsample, max_iter, max_slides)
+
+    def process(df, batch_id):
+        runner.process(df, batch_id)
+        if batch_id == replay:
+            runner.process(df, batch_id)
+
+    q = (rows.writeStream.foreachBatch(process).option("checkpointLocation", base + "/state/_ckpt")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     runner.finish()
     return runner.scores().select(ROW_ID, "step", "scores")
