@@ -23,7 +23,7 @@ from d left join pos using (rid) left join it using (rid)
 """
 
 _OP3 = r"""
-with d as (select doc_id, source, md5(coalesce(text, '')) as text_md5,
+with recursive d as (select doc_id, source, md5(coalesce(text, '')) as text_md5,
              len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 k as (select *, u / (1.0::double - u) / sqrt(greatest(size, 1)::double) as z
       from (select *, ((('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, ''), text_md5,
@@ -44,17 +44,25 @@ t as (select source, source_size, coalesce(least((select final from f) * weight,
 p as (select *, floor(target / greatest(source_size, 1) + 1e-12) as whole from t),
 r as (select *, target - whole * source_size as rest from p),
 o as (select k.*, r.source_size, r.target, r.whole, r.rest,
-        sum(size) over (partition by k.source order by z, doc_id, text_md5 rows unbounded preceding) as stop,
-        row_number() over (partition by k.source order by z, doc_id, text_md5) as rk
+        row_number() over (partition by k.source order by z, doc_id nulls first, text_md5) as rk
       from k join r on k.source is not distinct from r.source),
-g as (select source, any_value(rest) - coalesce(max(stop) filter (stop <= rest), 0) as gap from o group by source),
-c as (select o.doc_id, o.text_md5, o.source, row_number() over (partition by o.source
-        order by abs(size - gap), z, o.doc_id, text_md5) as first
-      from o join g on o.source is not distinct from g.source
-      where stop > rest and size > 0 and abs(size - gap) < gap),
-a as (select o.*, (case when size = 0 then 0 else whole + case when stop <= rest or exists (
-        select 1 from c where c.first = 1 and c.doc_id is not distinct from o.doc_id and c.text_md5 = o.text_md5
-          and c.source is not distinct from o.source) then 1 else 0 end end)::bigint as copies from o)
+walk(source, rk, gap, took) as (
+  select source, 0::bigint, rest, false from r
+  union all
+  select o.source, o.rk, case when o.size > 0 and o.size <= walk.gap then walk.gap - o.size else walk.gap end,
+         o.size > 0 and o.size <= walk.gap
+  from walk join o on o.source is not distinct from walk.source and o.rk = walk.rk + 1),
+g as (select source, min(gap) as gap from walk group by source),
+ow as (select o.*, walk.took, g.gap from o join walk on o.source is not distinct from walk.source and o.rk = walk.rk
+       join g on o.source is not distinct from g.source),
+used as (select source, size as a, max(rk) as give, any_value(gap) as gap from ow where took group by source, size
+         union all select source, 0, null, gap from g where gap > 0),
+free as (select source, size as b, min(rk) as add from ow where size > 0 and not took group by source, size),
+x as (select u.source, give, add, row_number() over (partition by u.source order by abs(b - (a + gap)), a, b) as first
+      from used u join free f on u.source is not distinct from f.source where abs(b - (a + gap)) < gap),
+a as (select ow.*, (case when size = 0 then 0 else whole + case when (took and rk is distinct from x.give) or rk = x.add
+                         then 1 else 0 end end)::bigint as copies
+      from ow left join x on x.first = 1 and ow.source is not distinct from x.source)
 select doc_id, source, size, source_size, target, copies, (copies * size)::bigint as taken from a
 """
 
