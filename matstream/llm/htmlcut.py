@@ -2,9 +2,11 @@
 
 A page is read into blocks, each with its path of open elements. A fixed linear
 classifier gives every block log-odds of being content; they become the block's
-terminal capacities. A form, or an element whose class or id names something
-beside the text, is evidence against its blocks that fades with its share of the
-page's text; an article or main element inside that holds text lifts it. Neighbouring blocks, and successive blocks of the same
+terminal capacities. A form, or an element whose class or id names a part of a layout,
+is evidence against its blocks that fades with its share of the page's text, as such names
+are also given to wrappers; an article or main element inside that holds text lifts it. Names
+of what readers, advertisers and the site's notices add (``STRICT``) are
+evidence at every share, unless such an element holds the page's only article or first heading. Neighbouring blocks, and successive blocks of the same
 parent, are joined by smoothness edges whose capacity falls with their distance
 in the tree and across semantic containers. The minimum cut labels the blocks.
 Blocks whose own evidence outweighs all their edges are settled first, which
@@ -13,8 +15,10 @@ the rest.
 
 Defined cases: null or empty html gives an empty text; unclosed, misnested and
 stray tags are read as browsers mostly do; a page without markup is one block;
-scripts, styles, comments and the head never become text; repeated pages each
-get their row; extra columns are ignored.
+scripts, styles, comments and the head never become text; an element without text of
+its own that is never closed (``<svg/>``, ``<object ... />``, a stray ``<button>``) hides nothing behind it;
+very long pages, with any number of unclosed or stray tags, take time in proportion; repeated pages each
+get their row; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|head|select|button|canvas|math)\b[^>]*>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|head|select|button|canvas|math)(?=[\s/>])[^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>"
     r"|<[!?][^>]*>", re.IGNORECASE | re.DOTALL)
 _ATTR = re.compile(r"""([a-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -46,9 +50,14 @@ WORDS_AGAINST = frozenset("ad ads advert advertisement advertising sponsor spons
                           "masthead breadcrumb breadcrumbs pagination pager comment comments disqus reply replies "
                           "respond share sharing social related recommended subscribe newsletter signup login search "
                           "toolbar copyright legal disclaimer".split())
+#: of these, what is never the text, however much there is of it
+STRICT = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice "
+                   "popup modal overlay comment comments disqus reply replies respond subscribe newsletter signup login".split())
 WORDS_FOR = frozenset("article content post entry story body main text".split())
 ROLES_AGAINST = frozenset("navigation banner contentinfo complementary dialog alertdialog search menu menubar".split())
 _LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[-_]\S+")  # a class that tells what else is on the page
+_TO_THE_END = frozenset("script style textarea iframe noscript template".split())  # unclosed, they hide the rest
+_NOT_NESTED = frozenset("button select".split())
 _CLOSES_P = frozenset("p div article section ul ol li dl dt dd table h1 h2 h3 h4 h5 h6 header footer nav aside form "
                       "blockquote pre hr main figure figcaption address details".split())
 _CLOSED_BY_SAME = {"li": "ul ol menu".split(), "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["tr", "table"],
@@ -68,6 +77,9 @@ class Mark:
     outer: Mark | None
     depth: int
     lifts: str  # element name, or "" for evidence against
+    strict: bool = False  # evidence against at every share
+    within: bool = False  # inside a strict one, or one itself
+    holds: bool = False  # an article or first heading with text
     chars: int = 0
     weight: float = 1.0  # of the blocks' own evidence; the rest is evidence against them
 
@@ -113,22 +125,30 @@ def _element(name: str, attrs: str, parent: Element) -> Element:
     against = parent.against or hidden or name in NEVER or page_header
     article = parent.article or name in ARTICLE
     mark = parent.mark
+    inside = mark is not None and mark.within
     if named or form:
-        mark = Mark(mark, parent.depth + 1, "")
+        strict = named and bool(words & STRICT)
+        mark = Mark(mark, parent.depth + 1, "", strict, strict or inside)
     elif mark is not None and name in ARTICLE and not words & WORDS_AGAINST:
-        mark = Mark(mark, parent.depth + 1, name)
+        mark = Mark(mark, parent.depth + 1, name, False, inside)
     return Element(name, parent, parent.depth + 1, against, article, parent.favoured or bool(words & WORDS_FOR), mark)
 
 
 def weigh_marks(blocks: list[Block]) -> None:
-    """Set the marks' weights from their shares of the page's text."""
+    """Set the marks' weights from what they hold and their shares of the page's text."""
     marks: dict[int, Mark] = {}
     total = 0
+    elsewhere = False   # is there an article, main or first heading outside the strict marks?
     for b in blocks:
         if b.element.against:
             continue
         total += len(b.text)
         m = b.element.mark
+        head = b.element.name == "h1"
+        if m is None or not m.within:
+            elsewhere = elsewhere or head or b.element.article
+        elif head or m.lifts:
+            m.holds = True
         if m is not None:
             m.chars += len(b.text)
         while m is not None and id(m) not in marks:
@@ -138,7 +158,14 @@ def weigh_marks(blocks: list[Block]) -> None:
     for m in reversed(inner_last):
         if m.outer is not None:
             m.outer.chars += m.chars
+            m.outer.holds = m.outer.holds or m.holds
     for m in inner_last:
+        if m.strict or m.lifts == "article" and m.within:   # no share decides here
+            before = m.outer.weight if m.outer is not None else 1.0
+            m.weight = before if m.holds and not elsewhere else 0.0
+            if m.lifts and m.holds and not elsewhere:
+                m.weight = 1.0
+            continue
         low, high = (LIFTS, LIFTED) if m.lifts else (FADES, GONE)
         own = min(max((m.chars / total - low) / (high - low), 0.0), 1.0)
         before = m.outer.weight if m.outer is not None else 1.0
@@ -152,6 +179,18 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     out: list[Block] = []
+    opened: dict[str, int] = {}     # open elements by name
+    unclosed: dict[str, int] = {}
+
+    def leave(e: Element) -> None:
+        """Close everything up to and including an open element."""
+        nonlocal here, links
+        while True:
+            links -= here.name == "a"
+            opened[here.name] -= 1
+            here = here.parent
+            if here is e.parent:
+                return
 
     def block_element(e: Element) -> Element:
         while e.name in INLINE and e.parent is not None:
@@ -179,13 +218,9 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         raw = m["raw"]
         if raw:
-            end = re.compile(rf"</{raw}\s*>", re.IGNORECASE).search(page, at)
-            if raw.lower() == "head" and not end:
-                body = re.compile(r"<body\b", re.IGNORECASE).search(page, at)
-                at = body.start() if body else at
-            else:
-                at = end.end() if end else len(page)
-            if raw.lower() not in ("svg", "math", "button", "canvas"):
+            raw = raw.lower()
+            at = _behind(page, raw, at, m.group().endswith("/>"), unclosed)
+            if raw not in ("svg", "math", "button", "canvas"):
                 flush(here)
             continue
         name = m["name"]
@@ -193,6 +228,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m["close"]:
+            if not opened.get(name):   # nothing to close
+                if name not in INLINE:
+                    flush(here)
+                continue
             e = here
             while e is not root and e.name != name:
                 # a closing tag of an inline element doesn't reach beyond its block
@@ -203,11 +242,7 @@ def blocks_of(page: str) -> list[Block]:
             if name not in INLINE:
                 flush(here)
             if e is not root:
-                while here is not e:
-                    links -= here.name == "a"
-                    here = here.parent
-                links -= e.name == "a"
-                here = e.parent
+                leave(e)
             continue
         if name == "br":
             parts.append(" ")
@@ -223,25 +258,41 @@ def blocks_of(page: str) -> list[Block]:
                 while e.name in INLINE:
                     e = e.parent
                 if e.name == "p":
-                    while here is not e:
-                        links -= here.name == "a"
-                        here = here.parent
-                    here = e.parent
+                    leave(e)
             if name in _CLOSED_BY_SAME:
                 e = here
                 while e is not root and e.name != name and e.name not in _CLOSED_BY_SAME[name]:
                     e = e.parent
                 if e.name == name:
-                    while here is not e:
-                        links -= here.name == "a"
-                        here = here.parent
-                    here = e.parent
+                    leave(e)
         here = _element(name, m["attrs"], here)
+        opened[name] = opened.get(name, 0) + 1
         links += name == "a"
     flush(here)
     return out
 
 
+def _behind(page: str, raw: str, at: int, empty: bool, unclosed: dict[str, int]) -> int:
+    """Where reading goes on behind an opening tag (ending at ``at``) whose content is no text.
+
+    ``unclosed`` remembers names of which no closing tag follows, so that the page is searched once for each.
+    """
+    if empty and raw not in _TO_THE_END:
+        return at
+    if raw not in unclosed:
+        again = rf"|<(?={raw}[\s/>])" if raw in _NOT_NESTED else ""
+        end = re.compile(rf"</{raw}\s*>{again}", re.IGNORECASE).search(page, at)
+        if end and end.group() != "<":
+            return end.end()
+        if end:
+            return at      # another one opens before this is closed
+        unclosed[raw] = len(page) if raw in _TO_THE_END else 0
+        if raw == "head":
+            body = re.compile(r"<body\b", re.IGNORECASE).search(page, at)
+            unclosed[raw] = body.start() if body else 0
+    return max(at, unclosed[raw])
+
+
 def log_odds(b: Block, has_article: bool) -> float:
     """Evidence that a block is content (positive) or not."""
     e = b.element

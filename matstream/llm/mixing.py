@@ -119,7 +119,7 @@ def pareto_mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     plan = materialise(plan.join(_exchange(lean, plan, of_source), F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c"),
                        "mix-last")
-    gives, adds = (F.coalesce(_KEY == F.col(c), F.lit(False)) for c in ("give", "add"))
+    gives, adds = (F.coalesce(_key() == F.col(c), F.lit(False)) for c in ("give", "add"))
     counted = F.least(_extra(), F.col("rows")) - gives.cast("long") + adds.cast("long")
 
     out = of_source(base, plan)
@@ -138,16 +138,20 @@ def pareto_mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                       *[f"k_{c}" for c in keep or []])
 
 
-_KEY = F.struct("z", "doc_id", "text_md5")
 _ROUNDS = "array<struct<gap:double,cross:struct<z:double,doc_id:bigint,text_md5:string>,part:bigint>>"
 
 
+def _key() -> Column:
+    """The place in the ranks of a source's documents."""
+    return F.struct("z", "doc_id", "text_md5")
+
+
 def _extra() -> Column:
     """Of a row of ``lean`` (or a document) with its source's plan: how many of its equal rows the rounds take."""
     def take(acc, r):
         fits = F.col("size") <= r["gap"]
-        return F.when(fits & (r["cross"].isNull() | (_KEY < r["cross"])), F.lit(_ALL)).when(
-            fits & (_KEY == r["cross"]), F.greatest(acc, r["part"])).otherwise(acc)
+        return F.when(fits & (r["cross"].isNull() | (_key() < r["cross"])), F.lit(_ALL)).when(
+            fits & (_key() == r["cross"]), F.greatest(acc, r["part"])).otherwise(acc)
 
     return F.aggregate(F.coalesce("rounds", F.array().cast(_ROUNDS)), F.lit(0).cast("long"), take)
 
@@ -159,7 +163,7 @@ def _round(lean: DataFrame, plan: DataFrame, of_source) -> DataFrame:
     """One round of every source: ``_c, round, next_gap`` where a document fits into the gap."""
     rows = of_source(lean.where(F.col("size") > 0), plan.where(F.col("gap") >= 1))
     prev = F.element_at("rounds", -1)["cross"]   # behind the last crossing document; none crossed: all that fit are taken
-    rows = rows.where((F.col("size") <= F.col("gap")) & (F.col("rounds").isNull() | (_KEY > prev)))
+    rows = rows.where((F.col("size") <= F.col("gap")) & (F.col("rounds").isNull() | (_key() > prev)))
     # monotone in z at every step, also in rounded arithmetic
     slot = F.floor((F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("z") * F.col("scale"))) * F.col("slots"))
     rows = rows.select("source", "doc_id", "text_md5", "size", "rows", "z", "gap", slot.alias("slot"))
@@ -179,7 +183,7 @@ def _round(lean: DataFrame, plan: DataFrame, of_source) -> DataFrame:
     here = here.where((F.col("start") <= F.col("gap")) & (F.col("gap") < F.col("start") + F.col("size") * F.col("rows")))
     part = F.floor((F.col("gap") - F.col("start")) / F.col("size"))
     crossed = here.select(
-        F.col("source").alias("_c"), F.struct("gap", _KEY.alias("cross"), part.alias("part")).alias("round"),
+        F.col("source").alias("_c"), F.struct("gap", _key().alias("cross"), part.alias("part")).alias("round"),
         (F.col("gap") - F.col("start") - part * F.col("size")).alias("next_gap"))
     return crossed.unionByName(all_fit)
 
@@ -191,8 +195,8 @@ def _exchange(lean: DataFrame, plan: DataFrame, of_source) -> DataFrame:
     looks for the next free size below and above it.
     """
     rows = of_source(lean.where(F.col("size") > 0), plan).withColumn("used", F.least(_extra(), F.col("rows")))
-    free = rows.where(F.col("used") < F.col("rows")).groupBy("source", "size").agg(F.min(_KEY).alias("key"))
-    used = rows.where(F.col("used") > 0).groupBy("source", "size").agg(F.max(_KEY).alias("key"), F.max("gap").alias("gap"))
+    free = rows.where(F.col("used") < F.col("rows")).groupBy("source", "size").agg(F.min(_key()).alias("key"))
+    used = rows.where(F.col("used") > 0).groupBy("source", "size").agg(F.max(_key()).alias("key"), F.max("gap").alias("gap"))
     none = plan.where(F.col("gap") > 0).select(F.col("_s").alias("source"), F.lit(0).cast("long").alias("size"),
                                                F.lit(None).cast(used.schema["key"].dataType).alias("key"), "gap")
     asks = used.unionByName(none).select("source", (F.col("size") + F.col("gap")).alias("at"), "gap",
