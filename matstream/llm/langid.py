@@ -7,11 +7,14 @@ count every training text. Per language, spherical k-means on a bounded sample
 up to ``CENTROIDS`` centroids; a text gets the language of the centroid of
 highest cosine. A text farther from every centroid than ``reject_below`` is
 rejected: that bound is half the lowest ``REJECT_QUANTILE`` cosine of the
-sampled texts to their own language, so only text unlike all training text goes.
+sampled texts to their own language, so only text unlike all training text goes. A text
+of fewer than ``ENOUGH`` trigrams says too little to be rejected by its distance.
 
 Defined cases: null text or text without a letter is ``und`` with score 0 and
 counts as rejected; ties go to the language first by name; with no training
-rows every text is ``und``; repeated rows each get their row.
+rows every text is ``und``; repeated rows each get their row; very long texts are read
+whole, in blocks of bounded size; an empty table gives an empty one; columns are kept
+under a prefix inside, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ SAMPLE_PER_LANG = 1500
 KMEANS_ROUNDS = 8
 MAX_LANGS = 500  # bounds the centroid table (32 MB) that goes to every task
 REJECT_QUANTILE = 0.001
+ENOUGH = 24
 DOCS_AT_ONCE = 256  # rows of the dense count matrix
 
 _LETTER = np.full(256, 0x20, dtype=np.uint8)
@@ -43,14 +47,16 @@ _LETTER[128:] = np.arange(128, 256)
 
 def trigram_counts(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """Hashed trigram counts (texts x DIM, float32) of the texts lo..hi-1."""
-    b = _LETTER[raw[offsets[lo]:offsets[hi]]].astype(np.uint32)
-    off = offsets[lo:hi + 1] - offsets[lo]
     n = hi - lo
+    doc = np.repeat(np.arange(n), np.diff(offsets[lo:hi + 1]) + 2)  # a gap before and behind every text
+    b = np.full(len(doc), 0x20, np.uint32)
+    own = np.arange(offsets[hi] - offsets[lo])
+    own += 2 * np.repeat(np.arange(n), np.diff(offsets[lo:hi + 1])) + 1
+    b[own] = _LETTER[raw[offsets[lo]:offsets[hi]]]
     if len(b) < 3:
         return np.zeros((n, DIM), np.float32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     dim = ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
-    doc = np.repeat(np.arange(n), np.diff(off))
     inside = (doc[:-2] == doc[2:]) & (b[1:-1] != 0x20)  # centred on a letter, within one text
     return np.bincount(doc[:-2][inside] * DIM + dim[inside], minlength=n * DIM).reshape(n, DIM).astype(np.float32)
 
@@ -124,6 +130,7 @@ class LanguageModel:
         self.langs, self.centroids, self.idf, self.reject_below = langs, centroids, idf, reject_below
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the language and the cosine of every row of counts; -1 where nothing is learned."""
         if not self.langs:
             return np.full(len(x), -1), np.zeros(len(x))
         cos = _weighted(x, self.idf) @ self.centroids.T
@@ -169,15 +176,16 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
         names = np.array([*m.langs, "und"], dtype=object)
         for batch in batches:
             n = batch.num_rows
-            best, score = np.full(n, -1), np.zeros(n)
+            best, score, far = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
             for a, z, x in _blocks(batch.column(text)):
                 best[a:z], score[a:z] = m.predict(x)
+                far[a:z] = (score[a:z] < m.reject_below) & (x.sum(axis=1) >= ENOUGH)
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             best[~letters], score[~letters] = -1, 0.0
             cols = [batch.column(f"k_{c}") for c in keep]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(names[best], pa.string()), pa.array(score),
-                 pa.array((best < 0) | (score < m.reject_below))],
+                 pa.array((best < 0) | far)],
                 names=[*[f"k_{c}" for c in keep], "lang_pred", "score", "rejected"])
 
     out = rows.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
