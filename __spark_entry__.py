@@ -550,6 +550,32 @@ def q_stream_pca_k2(spark, sf_dir):
                                          max_iter=1, batches=5, replay=2))
 
 
+def q_sliding_pca_k2_window(spark, sf_dir):
+    """The same run over the rows in order, the window's rows held by one task."""
+    return _score_cells(_k2_run(spark, sf_dir, method="window").scores)
+
+
+def q_sliding_pca_k2_bands(spark, sf_dir):
+    """The same run written in bands of three steps."""
+    return _score_cells(_k2_run(spark, sf_dir, run_path=scratch_path(spark, "bands"), band_steps=3).scores)
+
+
+def q_sketch_svd_cells(spark, sf_dir):
+    """I1 from the cells of the quantised rows, never dense."""
+    from matstream.plans.sketch import sketch_svd_cells
+    r = _quantised(spark, sf_dir)
+    res = sketch_svd_cells(ro.to_cells(r), _n(r), _width(r), k=1, subsample=1, max_iter=3, seed="validation")
+    return singular_values_frame(spark, res, 6)
+
+
+def q_residual_norm_cells(spark, sf_dir):
+    """I2 from the cells of the quantised rows."""
+    from matstream.plans.sketch import residual_norm_cells
+    r = _quantised(spark, sf_dir)
+    val = residual_norm_cells(ro.to_cells(r), _n(r), _pairs_v(_width(r)), subsample_norm=1, q=3, seed="validation")
+    return spark.createDataFrame([(val,)], "residual_norm DOUBLE")
+
+
 def q_window_spectral_errors(spark, sf_dir):
     """I4 for every window of the schedule, from the moments of its chunks."""
     r = _rows(spark, sf_dir)
@@ -1235,7 +1261,12 @@ union all select a.chunk, a.j, b.j, {_r('sum(a.v * b.v)')} from ch a join ch b
     by_label = ("select label, (row_number() over (partition by label order by vec_id) - 1)::BIGINT as rid, "
                 "list_transform(embedding, lambda x: x::DOUBLE) as y from embeddings")
     q["sliding_pca_k2"] = sliding_oracle.scores(BLOCK, STRIDE, one)
-    q["sliding_pca_k2_rows"] = q["stream_pca_k2"] = q["sliding_pca_k2"]
+    for same in ("sliding_pca_k2_rows", "sliding_pca_k2_window", "sliding_pca_k2_bands", "stream_pca_k2"):
+        q[same] = q["sliding_pca_k2"]
+    q["sketch_svd_cells"] = ("with recursive src as (" + _QCELLS + "), " + _SKETCH2.format(iters=3)
+                             + sv_out.replace("it = 10", "it = 3"))
+    few = _RESNORM.format(d_n1=_dfl("n1"), d_n2=_dfl("n2"), d_b1=_dfl("b1"), d_b2=_dfl("b2"), q=3)
+    q["residual_norm_cells"] = f"with recursive src as ({_QCELLS}), {few} select s as residual_norm from st order by it desc limit 1"
     q["sliding_model_k2"] = sliding_oracle.model(BLOCK, STRIDE, one)
     q["sliding_stats_k2"] = sliding_oracle.stats(BLOCK, STRIDE, one)
     q["change_points_k2"] = sliding_oracle.changes(BLOCK, STRIDE, one)

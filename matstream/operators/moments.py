@@ -314,6 +314,15 @@ def pooled_moments(df: DataFrame, chunk_col: str = "chunk", col: str = FEATURES)
     return partial.repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(fold, MOMENTS_SCHEMA)
 
 
+MOMENTS_ARROW = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("mean", pa.list_(pa.float64())),
+                           ("w", pa.list_(pa.float64()))])
+
+
+def state_batches(states: dict[int, list]) -> list[pa.RecordBatch]:
+    """Chunk states as moments batches."""
+    return [b.cast(MOMENTS_ARROW) for b in _moment_batches(_parts(states))]
+
+
 def _parts(acc: dict[int, list]):
     for key, (n, mean, w) in acc.items():
         flat = w[np.triu_indices(len(mean))]

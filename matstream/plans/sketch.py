@@ -232,6 +232,66 @@ def residual_norm(df: DataFrame, V: np.ndarray, subsample_norm: int = 1, q: int
     return residual_norm_from_gram(C, V, subsample_norm, q, seed)
 
 
+# --- sparse rows ------------------------------------------------------------------------------
+
+def _cells_moments(cells: DataFrame, omega: np.ndarray, n_rows: int):
+    """``YtZ, ZtZ`` of sparse rows on the driver (d x s numbers); columns without a stored cell are zero."""
+    d, s = omega.shape
+    yz, zz = np.zeros((d, s)), np.zeros((s, s))
+    for r in mo.sparse_sketch_cells(cells, omega, n_rows).toArrow().to_pylist():
+        (yz if r["part"] == "yz" else zz)[r["i"], r["j"]] = r["v"]
+    return yz, (zz + zz.T) / 2
+
+
+def sketch_svd_cells(cells: DataFrame, n_rows: int, d: int, k: int, subsample: int, max_iter: int = 1,
+                     tolerance: float = 0.05, calc_error: bool = False, q: int = 10, subsample_norm: int = 1,
+                     seed="validation") -> SketchResult:
+    """I1 on cells ``row_id, j, v`` (zeros absent): one sparse sketch pass a round, rows never made dense.
+
+    ``n_rows`` counts all rows, those without a stored cell included.
+    """
+    _check(k, subsample, d)
+    t0 = time.perf_counter()
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        s = k + subsample
+        res = SketchResult(np.zeros(s), np.zeros((d, k)), n_rows, 0.0, preprocess_s=time.perf_counter() - t0)
+        B = make_seed(seed, d, s, 0)
+        err = tolerance + 1
+        for _ in range(max_iter):
+            if err <= tolerance:
+                break
+            t0 = time.perf_counter()
+            yz, zz = _cells_moments(cells, la.orth_cols(B), n_rows)
+            S, V, B = la.sketch_round(yz, zz, k)
+            res.S, res.V, res.sigma_k1 = S, V, float(S[k])
+            res.sketch_s.append(time.perf_counter() - t0)
+            if calc_error:
+                res.n_iter += 1
+                err = relative_error(residual_norm_cells(cells, n_rows, V, subsample_norm, q, seed), res.sigma_k1)
+                res.errors.append(err)
+        return res
+    finally:
+        cells.unpersist()
+
+
+def residual_norm_cells(cells: DataFrame, n_rows: int, V: np.ndarray, subsample_norm: int = 1, q: int = 10,
+                        seed="validation") -> float:
+    """I2 on cells: the rounds of :func:`residual_norm` with the sparse sketch pass."""
+    Vo = la.orth_basis(V)
+    s = 1 + subsample_norm
+    B = make_seed(seed, V.shape[0], s, 1)
+    S = 0.0
+    for _ in range(q):
+        seed_m = la.orth_cols(B - Vo @ (Vo.T @ B))
+        seed_m = seed_m - Vo @ (Vo.T @ seed_m)
+        new_s, B = _norm_round(*_cells_moments(cells, seed_m, n_rows), Vo, s)
+        if new_s == S:
+            break
+        S = new_s
+    return S
+
+
 def singular_values_frame(spark: SparkSession, res: SketchResult, digits: int | None = None) -> DataFrame:
     """``comp, sigma`` for all s values of a result."""
     vals = [float(x) if digits is None else round(float(x), digits) for x in res.S]

@@ -23,6 +23,7 @@ from __future__ import annotations
 import collections
 import functools
 import itertools
+import json
 import operator
 import time
 from dataclasses import dataclass
@@ -34,15 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matstream.functions import linalg as la
+from matstream.functions.arrowmat import to_matrix
 from matstream.operators import moments as mo
 from matstream.operators.windows import Schedule, window_schedule, with_chunk
 from matstream.plans.sketch import sketch_from_gram
-from matstream.session import drop_path, scratch_path, written
+from matstream.session import drop_path, path_exists, scratch_path, written
 from matstream.sources.frames import FEATURES, ROW_ID
 
 BROADCAST_MODEL_BYTES = 64 << 20
 DRIVER_STATE_BYTES = 512 << 20
 LIVE_STATE_BYTES = 2 << 30
+WINDOW_STATE_BYTES = 256 << 20
 MOMENTS_MAX_D = 1024
 ERROR_ROWS = 10_000
 
@@ -188,7 +191,8 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
                 max_slides: int | None = None, tolerance: float = 0.05, calc_error: bool = False, q: int = 10,
                 subsample_norm: int = 1, seed="validation", n: int | None = None, dataset: str = "",
                 id_col: str = ROW_ID, col: str = FEATURES, method: str = "auto",
-                order_by: str | None = None) -> SlidingResult:
+                order_by: str | None = None, run_path: str | None = None,
+                band_steps: int | None = None) -> SlidingResult:
     """Principal components kept up to date as a window slides along ``row_id``.
 
     ``df`` is rows form with dense 0-based ids, or any frame with a unique
@@ -201,8 +205,18 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     keeps the window as a DataFrame for wide rows (d x s state on the driver):
     each step appends the entering rows, deflates the window in Arrow batches,
     cuts the lineage with a reliable checkpoint in the shared checkpoint
-    folder, and runs one distributed sketch pass per round.  Both give the
-    same results.
+    folder, and runs one distributed sketch pass per round.  ``"window"`` (chosen
+    for strides below ``d / 2``, where a chunk's Gram is larger than its
+    rows) sends the rows in order through one task that holds the window's
+    rows only and scores as it goes.  All give the same results.
+
+    With ``run_path`` a run of any length goes band by band (``band_steps``
+    steps): model, statistics and the state of every band are written there and the
+    driver keeps one band.  Called again with the same path and settings, a
+    run that was stopped goes on behind its last whole band.
+
+    ``k == d`` becomes ``d - 1``, as in the reference; then ``k + subsample <=
+    min(block - 1, d - k)``, ``k <= d - 3`` and ``block >= k + 3`` are checked.
     """
     spark = df.sparkSession
     if order_by is not None:
@@ -232,8 +246,21 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         k = d - 1
     if k > d - 3 or block < k + 3:
         raise ValueError(f"need k <= d - 3 and block >= k + 3 (k={k}, d={d}, block={block})")
+    if k + subsample > min(block - 1, d - k):
+        raise ValueError(f"need k + subsample <= min(block - 1, d - k) (k={k}, subsample={subsample}, d={d}, "
+                         f"block={block}): a deflated window has no higher rank")
     if method == "auto":
         method = "moments" if d <= MOMENTS_MAX_D and live_state_bytes(sched, d) <= LIVE_STATE_BYTES else "rows"
+        if 2 * stride < d <= MOMENTS_MAX_D and block * d * 8 <= WINDOW_STATE_BYTES:
+            method = "window"   # rows are smaller than the moments of their chunks
+    if run_path is not None:
+        if method != "moments":
+            raise ValueError("run_path needs method='moments'")
+        return _sliding_long(rows, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed,
+                             dataset, run_path, band_steps)
+    if method == "window":
+        return _sliding_window(rows, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed,
+                               dataset)
     if method == "rows":
         return _sliding_rows(rows, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
                              seed, dataset)
@@ -255,6 +282,124 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     return SlidingResult(scores, model_df, stats_df, sched, S, V, models, stats_rows)
 
 
+_STEP_SCHEMA = ("step INT, sigma ARRAY<DOUBLE>, v ARRAY<ARRAY<DOUBLE>>, lo BIGINT, scores ARRAY<ARRAY<DOUBLE>>, "
+                "n_rows BIGINT, n_iter INT, preprocess_s DOUBLE, sketch_s ARRAY<DOUBLE>, sigma_k1 DOUBLE, "
+                "spectral_error DOUBLE, errors ARRAY<DOUBLE>, change_at ARRAY<BIGINT>")
+
+
+def _sliding_window(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int, tolerance: float,
+                    calc_error: bool, q: int, subsample_norm: int, seed, dataset: str) -> SlidingResult:
+    """The sliding run over rows in order, for strides whose chunks are smaller than their moments.
+
+    The steps follow each other row by row, so one task reads the sorted rows as a stream; it holds
+    ``block x d`` numbers and sends on a row a step with the model, the statistics and the entering rows' scores.
+    """
+    ordered = rows.select(ROW_ID, FEATURES).repartition(1).sortWithinPartitions(ROW_ID)
+
+    def run(batches):
+        def matrices():
+            at = 0
+            for b in batches:
+                if b.num_rows:
+                    ids = b.column(0).to_numpy(zero_copy_only=False)
+                    if ids[0] != at or (np.diff(ids) != 1).any():
+                        raise ValueError("row ids are not dense")
+                    at += len(ids)
+                    Y = to_matrix(b.column(1), d)
+                    if not np.isfinite(Y).all():
+                        raise ValueError("matrix holds NaN or infinite values")
+                    yield Y
+
+        window = WindowRows(matrices(), sched)
+        held = []
+        for S, V, row in iter_steps(window, range(sched.last + 1), d, k, subsample, max_iter, tolerance, calc_error, q,
+                                    subsample_norm, seed, enter_lo=lambda t: sched.steps[t][3]):
+            t = row[0]
+            held.append((t, S[:k].tolist(), V.T.tolist(), sched.steps[t][3], (window.entering @ V).tolist(), row[4], row[6],
+                         row[7], row[8], row[11], row[12], row[13], row[14]))
+            if len(held) * d * k >= MODEL_BATCH_CELLS or t == sched.last:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h)) for h in held], schema)
+                held = []
+
+    numbers = pa.list_(pa.float64())
+    schema = pa.schema([("step", pa.int32()), ("sigma", numbers), ("v", pa.list_(numbers)), ("lo", pa.int64()),
+                        ("scores", pa.list_(numbers)), ("n_rows", pa.int64()), ("n_iter", pa.int32()), ("preprocess_s", pa.float64()),
+                        ("sketch_s", numbers), ("sigma_k1", pa.float64()), ("spectral_error", pa.float64()),
+                        ("errors", numbers), ("change_at", pa.list_(pa.int64()))])
+    steps = written(ordered.mapInArrow(run, _STEP_SCHEMA), "window-run")
+    model = steps.select("step", F.posexplode(F.arrays_zip("sigma", "v")).alias("comp", "c")).select(
+        "step", "comp", F.col("c.sigma").alias("sigma"), F.col("c.v").alias("v"))
+    scores = steps.select("step", "lo", F.posexplode("scores").alias("at", "scores")).select(
+        (F.col("lo") + F.col("at")).alias(ROW_ID), "step", "scores")
+    spent = F.aggregate("sketch_s", F.lit(0.0), lambda a, x: a + x)
+    stats = steps.select(
+        "step", (F.col("step") + 1).alias("block_num"), F.lit("matstream").alias("app"), F.lit(dataset).alias("dataset"), "n_rows",
+        F.lit(d).alias("n_cols"), "n_iter", "preprocess_s", "sketch_s",
+        F.when(F.size("sketch_s") > 0, spent / F.size("sketch_s")).otherwise(F.lit(0.0)).alias("avg_sketch_s"),
+        (F.col("preprocess_s") + spent).alias("total_s"), "sigma_k1", "spectral_error", "errors", "change_at")
+    last = steps.where(F.col("step") == sched.last).select("sigma", "v").first()
+    return SlidingResult(scores, model, stats, sched, np.array(last["sigma"]), np.array(last["v"]).T, [], [])
+
+
+def _sliding_long(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int, tolerance: float,
+                  calc_error: bool, q: int, subsample_norm: int, seed, dataset: str, run_path: str,
+                  band_steps: int | None) -> SlidingResult:
+    """The sliding run on chunk moments, written band by band under ``run_path`` and resumed from its last whole band."""
+    spark = rows.sparkSession
+    if live_state_bytes(sched, d) > LIVE_STATE_BYTES:
+        raise ValueError("the chunks of a window do not fit on the driver: use a larger stride")
+    band = band_steps or max(1, DRIVER_STATE_BYTES // (2 * d * d * 8))
+    width = sched.last + 1
+    settings = json.dumps([sched.n, sched.block, sched.stride, sched.max_slides, d, k, subsample, max_iter, tolerance, calc_error, q,
+                           subsample_norm, str(seed), band])
+    if path_exists(spark, f"{run_path}/settings/_SUCCESS"):
+        if spark.read.text(f"{run_path}/settings").first()[0] != settings:
+            raise ValueError(f"{run_path} holds a run with other settings")
+    else:
+        spark.createDataFrame([(settings,)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{run_path}/settings")
+    moments_path = f"{run_path}/moments"
+    if not path_exists(spark, f"{moments_path}/_SUCCESS"):
+        at = F.floor(F.floor(F.col("chunk") / F.lit(width)) / F.lit(band)).cast("int")
+        mo.pooled_moments(rows).withColumn("band", at).write.mode("overwrite").partitionBy("band").parquet(moments_path)
+    moments = spark.read.parquet(moments_path)
+
+    def fetch(df):
+        tbl = df.select("chunk", "part", "n", "mean", "w").toArrow().sort_by([("chunk", "ascending"), ("part", "ascending")])
+        return dict(mo.whole_states(mo.moment_rows(tbl.combine_chunks().to_batches())))
+
+    def saved(kind, b):
+        return f"{run_path}/{kind}/band={b}"
+
+    bands = -(-width // band)
+    done = 0
+    while done < bands and path_exists(spark, f"{saved('state', done)}/_SUCCESS"):
+        done += 1
+    states, S, V = {}, None, None
+    if done:
+        last = spark.read.parquet(saved("model", done - 1)).where(F.col("step") == min(done * band, width) - 1) \
+            .orderBy("comp").collect()
+        S, V = np.array([r["sigma"] for r in last]), np.array([r["v"] for r in last]).T
+        states = fetch(spark.read.parquet(saved("state", done - 1)))
+    for b in range(done, bands):
+        states |= fetch(moments.where(F.col("band") == b))
+        bounds = {c: (c // width, c % width) for c in states}
+        steps = range(b * band, min((b + 1) * band, width))
+        models, stats, S, V = advance(states, bounds, steps, d, k, subsample, max_iter, tolerance, calc_error, q,
+                                      subsample_norm, seed, S, V, enter_lo=lambda t: int(sched.steps[t][3]), dataset=dataset)
+        model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]]) for t, (Sm, Vm) in zip(steps, models) for c in range(k)]
+        spark.createDataFrame(model_rows, MODEL_SCHEMA).write.mode("overwrite").parquet(saved("model", b))
+        spark.createDataFrame(stats, STATS_SCHEMA).write.mode("overwrite").parquet(saved("stats", b))
+        # the state commits the band
+        spark.createDataFrame(pa.Table.from_batches(mo.state_batches(states), mo.MOMENTS_ARROW)).write.mode("overwrite") \
+            .parquet(saved("state", b))
+    model = spark.read.schema(MODEL_SCHEMA).parquet(*[saved("model", b) for b in range(bands)])
+    stats = spark.read.schema(STATS_SCHEMA).parquet(*[saved("stats", b) for b in range(bands)])
+    comps = model.groupBy("step").agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "v"))), lambda c: c["v"]).alias("comps"))
+    if width * d * k * 8 <= BROADCAST_MODEL_BYTES:
+        comps = F.broadcast(comps)
+    return SlidingResult(_scored(rows, sched, comps), model, stats, sched, S, V, [], [])
+
+
 def _sliding_rows(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int,
                   tolerance: float, calc_error: bool, q: int, subsample_norm: int, seed, dataset: str) -> SlidingResult:
     """The sliding run with the window kept as a DataFrame (wide rows)."""
@@ -339,7 +484,7 @@ def advance(states: dict, bounds: dict, steps, d: int, k: int, subsample: int, m
         return [states[c] for c in order[at[0]:at[1]] if c in states]
 
     models, stats_rows = [], []
-    for S, V, row in iter_steps(live, steps, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed,
+    for S, V, row in iter_steps(chunk_grams(live), steps, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed,
                                 S, V, enter_lo, dataset, moments_s):
         models.append((S.copy(), V.copy()))
         stats_rows.append(row)
@@ -369,23 +514,65 @@ class StreamedChunks:
         return [state for _, state in self.window]
 
 
-def iter_steps(live, steps, d: int, k: int, subsample: int, max_iter: int = 1, tolerance: float = 0.05,
+def chunk_grams(live):
+    """``gram(t, V)`` of :func:`iter_steps` over chunk moments; ``live(t)`` gives the window's chunk states in row order."""
+    def gram(t, V):
+        window = live(t)
+        if t > 0:
+            for st in window:  # the whole window is deflated by the current V
+                st[1] = la.deflate_vec(st[1], V)
+                st[2] = la.deflate_gram(st[2], V)
+        n, _, C = la.pooled_gram(window)
+        return n, C
+
+    return gram
+
+
+class WindowRows:
+    """``gram(t, V)`` of :func:`iter_steps` over rows in order: holds the window's deflated rows and nothing else.
+
+    ``entering`` keeps the raw rows of the step for their scores.
+    """
+
+    def __init__(self, batches, sched: Schedule):
+        self.batches, self.sched = batches, sched
+        self.window = self.entering = None
+        self.ahead: list[np.ndarray] = []
+
+    def _take(self, n: int) -> np.ndarray:
+        have = sum(len(a) for a in self.ahead)
+        while have < n:
+            rows = next(self.batches)
+            have += len(rows)
+            self.ahead.append(rows)
+        all_rows = np.concatenate(self.ahead) if len(self.ahead) > 1 else self.ahead[0]
+        self.ahead = [all_rows[n:]]
+        return all_rows[:n]
+
+    def __call__(self, t: int, V: np.ndarray):
+        _, drop_lo, drop_hi, enter_lo, enter_hi = self.sched.steps[t]
+        self.entering = self._take(enter_hi - enter_lo)
+        if t == 0:
+            self.window = self.entering.copy()
+        else:
+            self.window = np.concatenate([self.window[drop_hi - drop_lo:], self.entering])
+            self.window -= (self.window @ V) @ V.T
+        Yc = self.window - self.window.mean(axis=0)
+        return len(Yc), Yc.T @ Yc
+
+
+def iter_steps(gram, steps, d: int, k: int, subsample: int, max_iter: int = 1, tolerance: float = 0.05,
                calc_error: bool = False, q: int = 10, subsample_norm: int = 1, seed="validation", S=None, V=None,
                enter_lo=None, dataset: str = "", moments_s: float = 0.0):
     """Run steps one by one from ``(S, V)``: yields ``(S, V, stats row)`` after each and keeps nothing behind it.
 
-    ``live(t)`` gives the states ``[n, mean, centred Gram]`` of the chunks in the window of step ``t``, in
-    row order; they are deflated in place.
+    ``gram(t, V)`` moves the window to step ``t``, deflates it by ``V`` (not at step 0) and gives its
+    row count and centred Gram.
     """
     V = np.zeros((d, k)) if V is None else V
     for t in steps:
         t0 = time.perf_counter()
-        window = live(t)
-        if t > 0:
-            for st in window:  # the whole window is deflated by the current V
-                st[1] = la.deflate_vec(st[1], V)
-                st[2] = la.deflate_gram(st[2], V)
-        n_w, _, C = la.pooled_gram(window)
+        n_w, C = gram(t, V)
         prep = time.perf_counter() - t0
         res = sketch_from_gram(C, n_w, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
                                seed, salt=2 * t)
@@ -411,8 +598,12 @@ def score_by_step(rows: DataFrame, sched: Schedule, models: list, spark: SparkSe
     size = len(models) * d * k * 8
     if size <= BROADCAST_MODEL_BYTES:   # the model table is (steps x d x k) doubles: size known here
         table = F.broadcast(table)
+    return _scored(rows, sched, table)
+
+
+def _scored(rows: DataFrame, sched: Schedule, comps: DataFrame) -> DataFrame:
     entered = rows.select(ROW_ID, FEATURES, sched.first_step(F.col(ROW_ID)).alias("step"))
-    joined = entered.join(table, "step")
+    joined = entered.join(comps, "step")
     scores = F.transform("comps", lambda v: F.aggregate(F.zip_with(FEATURES, v, lambda a, b: a * b),
                                                         F.lit(0.0), lambda acc, x: acc + x))
     return joined.select(ROW_ID, "step", scores.alias("scores"))
@@ -549,7 +740,7 @@ def sliding_pca_by_key(df: DataFrame, keys: list[str], k: int, block: int, strid
             sched = window_schedule(n_key, block, stride, max_slides)
             chunks = StreamedChunks(mo.whole_states(r[2] for r in group), sched.last + 1)
             width = len(chunks.ahead[1][1])
-            for _, V, row in iter_steps(chunks, range(sched.last + 1), width, enter_lo=lambda t: 0, **params):
+            for _, V, row in iter_steps(chunk_grams(chunks), range(sched.last + 1), width, enter_lo=lambda t: 0, **params):
                 held.append((gid, row[0], V.T.tolist()))
                 if len(held) * width * k >= MODEL_BATCH_CELLS:
                     yield _models_batch(held)

@@ -79,6 +79,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
         _made.remove(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete every scratch folder made so far (call when the results are written); returns how many."""
     paths = list(_made)

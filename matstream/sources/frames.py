@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matstream.session import written
+
+MAX_BROADCAST_SPLITS = 500_000   # a path and two numbers each
 ROW_ID = "row_id"
 FEATURES = "features"
 
@@ -67,19 +70,25 @@ def read_dense_csv(spark: SparkSession, path: str, min_partitions: int = 4) -> D
     """Read a headerless dense comma-separated numeric file as rows form.
 
     Text carries no order column, so rows are numbered in file order: file
-    path, split start offset, then position within the split.
-    ``min_partitions`` is kept for the reference's signature; Spark plans the
+    path, split start offset, then position within the split.  The lines of each
+    split are counted first (one row a split); a line's id is its place in
+    its split plus the lines of the splits before, so no line is sorted or
+    shuffled.  ``min_partitions`` is kept for the reference's signature; Spark plans the
     file splits itself (``spark.sql.files.maxPartitionBytes``).
     """
-    from matstream.operators.rowid import with_row_id
-
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_pos"),
+        F.monotonically_increasing_id().alias("_mid"),   # grows by one from line to line of a split
         F.col("value"))
-    parsed = parse_dense_lines(lines).select("_file", "_blk", "_pos", FEATURES)
-    return with_row_id(parsed, ["_file", "_blk", "_pos"]).select(ROW_ID, FEATURES)
+    before = Window.orderBy("_file", "_blk").rowsBetween(Window.unboundedPreceding, -1)   # over splits, not lines
+    splits = lines.groupBy("_file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    splits = written(splits.select("_file", "_blk", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+                                   .alias("_off")), "splits")
+    if splits.count() <= MAX_BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    numbered = lines.join(splits, ["_file", "_blk"]).withColumn(ROW_ID, F.col("_off") + F.col("_mid"))
+    return parse_dense_lines(numbered).select(ROW_ID, FEATURES)
 
 
 def validate(df: DataFrame, col: str = FEATURES) -> int:
