@@ -3,7 +3,7 @@
 Benchmark items become windows of ``N`` consecutive normalised words (an item
 of fewer is one window). Their distinct windows, hashed, form a table that is
 broadcast after its rows were counted (``MAX_BROADCAST_WINDOWS``; a larger
-table is joined by shuffle instead, with the same result). Every document
+table meets the documents' hashes and positions by shuffle instead, with the same result). Every document
 window is probed by hash inside one generate-and-join stage; a hit is verified
 against the window's words. Window hashes are built by doubling (pairs, fours,
 eights), so a word is hashed once and each window costs a few combinations.
@@ -27,6 +27,7 @@ MAX_BROADCAST_WINDOWS = 1_000_000  # about 100 bytes each
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on lower-cased text
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # separators, then a word
+SALTS = 8
 _END = -1  # hash of the mark behind a document's windows
 
 
@@ -87,22 +88,20 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document row: ``doc_id, text_key, n_words, covered`` (sorted hit word positions) and ``items``."""
     windows, lengths = benchmark_windows(benchmark)
+    windows = materialise(windows.select("hash", F.col("length").cast("int").alias("length"), "words", "items"), "dc-known")
     t = docs.select("doc_id", F.xxhash64("text").alias("text_key"), tokens(F.col("text")).alias("tokens"))
     if lengths:
         t = _window_hashes(t, lengths)
-        probes = F.concat(*[F.col(f"w_{x}") for x in lengths], F.array(F.lit(_END).cast("long")))
-    else:
-        probes = F.array(F.lit(_END).cast("long"))
+    if lengths and windows.count() > MAX_BROADCAST_WINDOWS:
+        return _hits_by_shuffle(t, windows, lengths)
+    probes = F.concat(*[F.col(f"w_{x}") for x in lengths], F.array(F.lit(_END).cast("long")))
     t = t.select("doc_id", "text_key", "tokens", probes.alias("probes"))
     # outer: ``probes`` is never empty, and no filter on its size is inferred and pushed below the hashing
     t = t.select("doc_id", "text_key", "tokens", F.size("probes").alias("n_probes"),
                  F.posexplode_outer("probes").alias("at", "hash"))
-    end = docs.sparkSession.range(1).select(F.lit(_END).cast("long").alias("hash"), F.lit(0).alias("length"),
-                                            F.lit("").alias("words"), F.array().cast("array<long>").alias("items"))
-    windows = windows.select("hash", F.col("length").cast("int").alias("length"), "words",
-                             F.col("items").cast("array<long>").alias("items"))
-    known = materialise(windows.unionByName(end), "dc-known")
-    known = F.broadcast(known) if known.count() <= MAX_BROADCAST_WINDOWS else known.hint("shuffle_hash")
+    end = docs.sparkSession.range(1).select(F.lit(_END).cast("long").alias("hash"), F.lit(0).alias("length"), F.lit("").alias("words"),
+                                            F.array().cast(windows.schema["items"].dataType).alias("items"))
+    known = F.broadcast(materialise(windows.unionByName(end), "dc-probe"))
     n_words = F.size("tokens")
     # windows of the shorter lengths come first in ``probes``
     before, shift = F.lit(0), F.lit(0)
@@ -119,13 +118,43 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     grouped = found.groupBy("doc_id", "text_key", "n_words").agg(
         F.collect_set("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
         F.count("row").alias("rows"))
-    covered = F.sort_array(F.array_distinct(F.flatten(F.transform(
-        "hits", lambda h: F.sequence(h["first"], h["first"] + h["length"] - 1)))))
-    out = grouped.select("doc_id", "text_key", "n_words", covered.alias("covered"), "items", "rows")
+    out = grouped.select("doc_id", "text_key", "n_words", _covered("hits").alias("covered"), "items", "rows")
     # equal rows were probed as one group: give each its row back
     return out.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy", "rows")
 
 
+def _covered(hits: str) -> Column:
+    """Sorted word positions inside the hits ``(first, length, ...)``."""
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(
+        hits, lambda h: F.sequence(h["first"], h["first"] + h["length"] - 1)))))
+
+
+def _hits_by_shuffle(t: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The result of :func:`hits` for window tables too large to broadcast.
+
+    Only hashes and positions meet the windows, in ``SALTS`` parts so that a passage most documents hold
+    is spread; what is found goes back to its document, once, and is verified there against its words.
+    """
+    rows = t.select("doc_id", "text_key", "tokens")
+    before, shift = F.lit(0), F.lit(0)
+    for x in lengths:
+        shift = F.when(F.col("length") == x, before).otherwise(shift)
+        before = before + F.greatest(F.col("n_words") - F.lit(x - 1), F.lit(0))
+    lean = t.select("doc_id", "text_key", F.size("tokens").alias("n_words"), F.concat(*[F.col(f"w_{x}") for x in lengths]).alias("probes"))
+    lean = lean.select("doc_id", "text_key", "n_words", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).alias("salt"),
+                       F.posexplode("probes").alias("at", "hash"))
+    known = windows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    found = lean.join(known.hint("shuffle_hash"), ["hash", "salt"]).withColumn("first", F.col("at") - shift).where(F.col("first") >= 0)
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.collect_set(F.struct("first", "length", "words", "items")).alias("found"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    real = F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), lambda h: F.array_join(
+        F.slice("tokens", h["first"] + 1, h["length"]), " ") == h["words"])
+    out = rows.join(found, same, "left").withColumn("real", real)
+    items = F.array_distinct(F.flatten(F.transform("real", lambda h: h["items"])))
+    return out.select("doc_id", "text_key", F.size("tokens").alias("n_words"), _covered("real").alias("covered"), items.alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: words, hit words, benchmark items found."""
     h = hits(docs, benchmark)
