@@ -37,6 +37,7 @@ KMEANS_ROUNDS = 8
 MAX_LANGS = 500  # bounds the centroid table (32 MB) that goes to every task
 REJECT_QUANTILE = 0.001
 ENOUGH = 24
+POSITIONS_AT_ONCE = 1 << 19  # bounds the arrays of a very long text
 DOCS_AT_ONCE = 256  # rows of the dense count matrix
 
 _LETTER = np.full(256, 0x20, dtype=np.uint8)
@@ -48,17 +49,21 @@ _LETTER[128:] = np.arange(128, 256)
 def trigram_counts(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """Hashed trigram counts (texts x DIM, float32) of the texts lo..hi-1."""
     n = hi - lo
-    doc = np.repeat(np.arange(n), np.diff(offsets[lo:hi + 1]) + 2)  # a gap before and behind every text
-    b = np.full(len(doc), 0x20, np.uint32)
-    own = np.arange(offsets[hi] - offsets[lo])
-    own += 2 * np.repeat(np.arange(n), np.diff(offsets[lo:hi + 1])) + 1
-    b[own] = _LETTER[raw[offsets[lo]:offsets[hi]]]
-    if len(b) < 3:
-        return np.zeros((n, DIM), np.float32)
-    code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    dim = ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
-    inside = (doc[:-2] == doc[2:]) & (b[1:-1] != 0x20)  # centred on a letter, within one text
-    return np.bincount(doc[:-2][inside] * DIM + dim[inside], minlength=n * DIM).reshape(n, DIM).astype(np.float32)
+    size = np.diff(offsets[lo:hi + 1]) + 2   # a gap before and behind every text
+    start = np.concatenate([[0], np.cumsum(size)])
+    b = np.full(start[-1], 0x20, np.uint8)
+    for i in range(n):
+        b[start[i] + 1:start[i + 1] - 1] = _LETTER[raw[offsets[lo + i]:offsets[lo + i + 1]]]
+    doc = np.repeat(np.arange(n, dtype=np.uint16), size)
+    counts = np.zeros(n * DIM, np.float32)
+    for at in range(0, len(b) - 2, POSITIONS_AT_ONCE):
+        c = b[at:at + POSITIONS_AT_ONCE + 2].astype(np.uint32)
+        own = doc[at:at + POSITIONS_AT_ONCE + 2]
+        code = (c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]
+        inside = (own[:-2] == own[2:]) & (c[1:-1] != 0x20)  # centred on a letter, within one text
+        dim = ((code[inside] * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+        counts += np.bincount(own[:-2][inside].astype(np.int64) * DIM + dim, minlength=n * DIM)
+    return counts.reshape(n, DIM)
 
 
 def _blocks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
