@@ -15,14 +15,16 @@ all members with the bucket's smallest and largest id (unless set sizes rule a
 pair out, or signatures of four bits a coordinate agree in far fewer than any
 similar pair's would). Where a bucket then still holds several components, every
 member outside its largest component is compared with all members, in tiles of
-bounded size. So a bucket of copies costs linear work, nothing emits all pairs
-of a group, and no candidate is dropped.
+bounded size: first by wider signatures of ``WIDE`` coordinates, then whole texts of those alone that have
+a possible partner in their tile. So a bucket of copies costs linear work, nothing emits all pairs
+of a group, documents that only share a template move no text, and no candidate is dropped.
 Every candidate is confirmed on the full shingle sets.
 
 Defined cases: null or empty text gives an empty set and no link; rows without
 a doc_id link with nothing, keep ``component_id`` null and are kept; repeated
 rows share their result; rows sharing a doc_id but not the text count as one
-document whose links are those of any of its texts; extra columns are ignored.
+document whose links are those of any of its texts; an empty table gives an empty
+result; very long texts are taken whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,15 +48,23 @@ BANDS = 32
 SHINGLE = 5
 NUM, DEN = 75, 100  # link when DEN * intersection >= NUM * union
 
-_SEEDS = tv.mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+WIDE = 512  # coordinates of the wider signatures
+WIDE_DOCS = 2048  # sketched together
+
+_SEEDS = tv.mix(np.arange(1, 2 * WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SKETCH = "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>"
 
 #: four bits of every coordinate; a chance agreement has probability 1/16
 SIG_WORDS = T // 16
-_J = NUM / DEN
-_AGREE = T * (_J + (1 - _J) / 16)
-#: five standard deviations below what a pair at the threshold agrees in (a miss has probability 3e-7)
-MIN_AGREE = math.floor(_AGREE - 5 * math.sqrt(_AGREE * (1 - _AGREE / T)))
+
+
+def least_agreement(t: int) -> int:
+    """Five standard deviations below what a pair at the threshold agrees in (a miss has probability 3e-7)."""
+    mean = t * (NUM / DEN + (1 - NUM / DEN) / 16)
+    return math.floor(mean - 5 * math.sqrt(mean * (1 - mean / t)))
+
+
+MIN_AGREE, MIN_WIDE = least_agreement(T), least_agreement(WIDE)
 _SIG = [f"s{i}" for i in range(SIG_WORDS)]
 
 
@@ -62,13 +72,14 @@ def fast_similarity_sketch(h: np.ndarray, doc: np.ndarray, n_docs: int, t: int =
     """Sketches (n_docs x t, uint64) of the sets given as distinct hashes grouped by document."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sketch = np.full(n_docs * t, empty, np.uint64)
+    round_bits = (2 * t - 1).bit_length()
     with np.errstate(over="ignore"):
         for i in range(2 * t):
             if not len(h):
                 break
             x = tv.mix(h ^ _SEEDS[i])
             bins = (x & np.uint64(t - 1)).astype(np.int64) if i < t else np.full(len(h), i - t)
-            value = (np.uint64(i) << np.uint64(56)) | (x >> np.uint64(8))
+            value = (np.uint64(i) << np.uint64(64 - round_bits)) | (x >> np.uint64(round_bits))
             np.minimum.at(sketch, doc * t + bins, value)
             open_docs = (sketch.reshape(n_docs, t) == empty).any(axis=1)
             more = open_docs[doc]
@@ -237,11 +248,69 @@ def _tile_links(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _wide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, size`` and the wide signature of every text with a shingle."""
+    for batch in batches:
+        raw, off = tv.text_buffer(batch.column("text"))
+        for lo, hi in tv.chunks(off):
+            h, doc = tv.distinct_per_doc(*tv.shingles(tv.words(raw, off, lo, hi), SHINGLE), hi - lo)
+            for a in range(0, hi - lo, WIDE_DOCS):
+                n = min(WIDE_DOCS, hi - lo - a)
+                first, last = np.searchsorted(doc, [a, a + n])
+                own = doc[first:last] - a
+                size = np.bincount(own, minlength=n).astype(np.int64)
+                some = np.flatnonzero(size)
+                place = np.cumsum(size > 0) - 1
+                sig = signatures(fast_similarity_sketch(h[first:last], place[own], len(some), WIDE))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo + a, n).take(pa.array(some)), pa.array(size[some]),
+                     pa.array([row.tobytes() for row in sig], pa.binary())], names=["id", "size", "wide"])
+
+
+def _agreements(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row of ``sig`` agrees with ``one``."""
+    d = sig ^ one
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return sig.shape[1] * 16 - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+_DEALT = "bucket long, x long, y long, id long, component long, is_pivot boolean"
+
+
+def _tile_possible(rows: pa.Table) -> pa.Table:
+    """The rows of a tile with a partner of another component in it that size and wide signature allow."""
+    sig = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(len(rows), WIDE // 16)
+    size, comp = rows.column("size").to_numpy(), rows.column("component").to_numpy()
+    pivot = np.array(rows.column("is_pivot").to_pylist(), dtype=bool)
+    members = np.flatnonzero(~pivot)
+    keep = np.zeros(len(rows), dtype=bool)
+    for p in np.flatnonzero(pivot):
+        fits = DEN * np.minimum(size[members], size[p]) >= NUM * np.maximum(size[members], size[p])
+        near = members[fits & (comp[members] != comp[p])]
+        near = near[_agreements(sig[near], sig[p]) >= MIN_WIDE]
+        keep[near] = True
+        keep[p] = len(near) > 0
+    return rows.select(["bucket", "x", "y", "id", "component", "is_pivot"]).filter(pa.array(keep))
+
+
+def possible_rows(dealt: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of the tiles ``dealt(bucket, x, y, id, component, is_pivot)`` whose texts have to be compared.
+
+    Only wide signatures (WIDE / 2 bytes) move; a tile sends on rows, never pairs.
+    """
+    ids = small(materialise(dealt.select("id").distinct(), "nd-dealt"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text").join(ids, "id")
+    wide = materialise(texts.mapInArrow(_wide_batches, "id long, size long, wide binary"), "nd-wide")
+    return dealt.join(wide, "id").groupBy("bucket", "x", "y").applyInArrow(_tile_possible, _DEALT).distinct()
+
+
 def _compare_rest(left: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
     """Links among ``left(bucket, id, component)`` between different components of a bucket.
 
     Every such pair has a member outside its bucket's largest component: those are the pivots. Members
-    and pivots of a bucket are dealt into tiles of bounded size, and each tile compares whole sets.
+    and pivots of a bucket are dealt into tiles of bounded size; a tile compares the whole sets of its
+    possible rows.
     """
     parts = left.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(
@@ -257,6 +326,9 @@ def _compare_rest(left: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
         "bucket", "id", "component", F.lit(True).alias("is_pivot"),
         F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), F.pmod(deal, "y_blocks").alias("y"))
     dealt = materialise(as_member.unionByName(as_pivot), "nd-tile", tasks)
+    if dealt.isEmpty():
+        return dealt.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    dealt = materialise(possible_rows(dealt, docs), "nd-possible")
     with_text = dealt.join(_texts_of(dealt.select("id"), docs), "id")
     return with_text.groupBy("bucket", "x", "y").applyInArrow(_tile_links, "a long, b long")
 
