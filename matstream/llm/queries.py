@@ -40,7 +40,7 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramlm.score(table(spark, sf_dir, "documents"))
+    return ngramlm.score(table(spark, sf_dir, "documents"), broadcast_bytes=ngramlm.BROADCAST_BYTES)
 
 
 def captures(pages: DataFrame) -> DataFrame:
