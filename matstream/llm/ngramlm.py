@@ -9,14 +9,15 @@ smoothed towards the unigram's: ``(c(hw) + MU p(w)) / (c(h) + MU)``.
 The texts are coded once, as chunks of token indexes with the chunk's distinct
 words. Each chunk deals its distinct words and bigrams, with their training
 counts, to groups by the top bits of the hash (of a bigram the next 32 bits go along). A
-group adds the counts up and becomes one shard of the model, stored in the shared
-folder: a filter of ``FILTER_BITS`` bits for every entry, and the exact counts of
-words, which the base score needs. Bigram counts live in the filters alone.
+group adds the counts up and becomes one shard of the model, a row stored in the shared
+folder: a filter of ``FILTER_BITS`` bits for every entry, the exact counts of
+words, which the base score needs, and the hashes that chunks ask for. Bigram counts
+live in the filters alone.
 
 Texts are scored by probing the stored shards. If their counted bytes are within
 ``broadcast_bytes`` they are broadcast whole and each chunk probes them in place;
-a larger model stays in its shards, and a chunk's hashes go to each shard and its levels
-come back by shuffle. Both ways probe the same bits, so the scores are the same.
+a larger model stays in its shards, which answer the hashes stored with them, and the
+levels go back to their chunks by shuffle. Both ways probe the same bits, so the scores are the same.
 
 Groups are as many as it takes for ``GROUP_KEYS`` hashes each, so a shard's memory is
 bounded, the filter grows with the n-grams and none is left out.
@@ -201,12 +202,11 @@ def _chunk(row: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
     return size, word, at, *_pairs(word, at, _first(size))
 
 
-_ASK = "block int, chunk long, words binary, pairs binary"
-_REQUEST = _ASK + ", word_n binary, pair_n binary"
+_REQUEST = "block int, chunk long, words binary, pairs binary, word_n binary, pair_n binary"
 
 
-def _deal(groups: int, counts: bool):
-    """Arrow function: the distinct words and bigrams of each chunk by group, with their training counts or without."""
+def _deal(groups: int):
+    """Arrow function: the distinct words and bigrams of each chunk with their training counts, by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,20 +215,20 @@ def _deal(groups: int, counts: bool):
                 size, word, at, pair, pair_at = _chunk(row)
                 cuts = _dealt(word, groups), _dealt(pair, groups)
                 some = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
-                sent = [(word, cuts[0]), (_within(pair, groups), cuts[1])]
-                if counts:
-                    train = np.repeat(~np.array(row.column("held_out")[0].as_py(), bool), size)
-                    sent += [(np.bincount(where[train], minlength=len(key)).astype(np.int32), cut)
-                             for key, where, cut in ((word, at, cuts[0]), (pair, pair_at, cuts[1]))]
+                train = np.repeat(~np.array(row.column("held_out")[0].as_py(), bool), size)
+                sent = [(word, cuts[0]), (_within(pair, groups), cuts[1]),
+                        *[(np.bincount(where[train], minlength=len(key)).astype(np.int32), cut)
+                          for key, where, cut in ((word, at, cuts[0]), (pair, pair_at, cuts[1]))]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array(np.full(len(some), row.column("chunk")[0].as_py(), np.int64)),
                      *[_packed([x[cut[g]:cut[g + 1]] for g in some]) for x, cut in sent]],
-                    names=["block", "chunk", "words", "pairs", "word_n", "pair_n"][:4 if not counts else 6])
+                    names=["block", "chunk", "words", "pairs", "word_n", "pair_n"])
 
     return run
 
 
-_SHARD = "block int, bits binary, words binary, word_n binary, v long"
+_SHARD = ("block int, bits binary, words binary, word_n binary, v long, "
+          "chunk array<long>, ask_words array<binary>, ask_pairs array<binary>")
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,12 +239,14 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _shard(t: pa.Table) -> pa.Table:
-    """A group's shard of the model: the filter of its words and bigrams, and the words' exact counts."""
+    """A group's shard of the model: the filter of its words and bigrams, the words' exact counts, and who asks for what."""
     word, n = _added(_unpacked(t.column("words"), np.uint64), _unpacked(t.column("word_n"), np.int32))
     pair, m = _added(_unpacked(t.column("pairs"), np.uint32), _unpacked(t.column("pair_n"), np.int32))
     lm = LogFrequencyFilter.of(np.concatenate([word, _pair_key(pair)]), np.concatenate([n, m]))
     return pa.table([t.column("block").slice(0, 1), pa.array([lm.words.tobytes()], pa.binary()), _packed([word]), _packed([n]),
-                     pa.array([len(n)], pa.int64())], names=["block", "bits", "words", "word_n", "v"])
+                     pa.array([len(n)], pa.int64()), *[pa.array([t.column(x).to_pylist()], pa.list_(kind)) for x, kind in (
+                         ("chunk", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()))]],
+                    names=["block", "bits", "words", "word_n", "v", "chunk", "ask_words", "ask_pairs"])
 
 
 def _pair_key(pair: np.ndarray) -> np.ndarray:
@@ -276,21 +278,20 @@ class Shards:
 _ANSWER = "block int, chunk long, word_n binary, word_level binary, pair_level binary"
 
 
-def _answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
-    """What a shard says of the hashes of every chunk that asked."""
-    words, pairs = _unpacked(asked.column("words"), np.uint64), _unpacked(asked.column("pairs"), np.uint32)
-    if not words:
-        return pa.table([[]] * 5, names=["block", "chunk", "word_n", "word_level", "pair_level"]).cast(pa.schema(
-            [("block", pa.int32()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in ("word_n", "word_level", "pair_level")]]))
-    word, pair = np.concatenate(words), np.concatenate(pairs)
-    block = asked.column("block")[0].as_py()
-    n, one, two = Shards(shard).probe(word, np.full(len(word), block), pair, np.full(len(pair), block))
-
-    def each(x: np.ndarray, of: list[np.ndarray]) -> pa.Array:
-        return _packed(np.split(x, np.cumsum([len(k) for k in of])[:-1]))
-
-    return pa.table([asked.column("block"), asked.column("chunk"), each(n, words), each(one, words), each(two, pairs)],
-                    names=["block", "chunk", "word_n", "word_level", "pair_level"])
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each stored shard says of the hashes of every chunk that asked."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = pa.Table.from_batches([batch.slice(i, 1)])
+            words = _unpacked(row.column("ask_words").chunk(0).flatten(), np.uint64)
+            pairs = _unpacked(row.column("ask_pairs").chunk(0).flatten(), np.uint32)
+            word, pair = np.concatenate(words), np.concatenate(pairs)
+            block = row.column("block")[0].as_py()
+            n, one, two = Shards(row).probe(word, np.full(len(word), block), pair, np.full(len(pair), block))
+            parts = [_packed(np.split(x, np.cumsum([len(k) for k in of])[:-1])) for x, of in ((n, words), (one, words), (two, pairs))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(words), block, np.int32)), row.column("chunk").chunk(0).flatten(), *parts],
+                names=["block", "chunk", "word_n", "word_level", "pair_level"])
 
 
 _SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -361,13 +362,12 @@ def score(docs: DataFrame, group_keys: int = GROUP_KEYS, broadcast_bytes: int =
     n, keys = coded.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
     groups = max(BLOCKS, 1 << math.ceil(math.log2(max(1, keys / group_keys))))
     own = coded.select("chunk", "doc_id", "held_out", "size", "words", "at")
-    dealt = own.select("chunk", "held_out", "size", "words", "at").mapInArrow(_deal(groups, True), _REQUEST)
+    dealt = own.select("chunk", "held_out", "size", "words", "at").mapInArrow(_deal(groups), _REQUEST)
     shards = materialise(dealt.groupBy("block").applyInArrow(_shard, _SHARD), "lm-shards")
     width = F.octet_length("bits") + F.octet_length("words") + F.octet_length("word_n")
     v, size = shards.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum(width), F.lit(0))).first()
     if size <= broadcast_bytes:
-        model = docs.sparkSession.sparkContext.broadcast(Shards(shards.toArrow()))
+        model = docs.sparkSession.sparkContext.broadcast(Shards(shards.select("block", "bits", "words", "word_n").toArrow()))
         return own.mapInArrow(_by_broadcast(model, groups, n, v), _SCORED)
-    asked = own.select("chunk", "size", "words", "at").mapInArrow(_deal(groups, False), _ASK)
-    answers = asked.groupBy("block").cogroup(shards.drop("v").groupBy("block")).applyInArrow(_answer, _ANSWER)
+    answers = shards.drop("v").mapInArrow(_answer, _ANSWER)
     return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_by_answers(n, v), _SCORED)

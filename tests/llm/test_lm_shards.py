@@ -23,7 +23,7 @@ def corpus(spark, n=120):
     return data, spark.createDataFrame(data, "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("group_keys", [ngramlm.GROUP_KEYS, 5])
+@pytest.mark.parametrize("group_keys", [ngramlm.GROUP_KEYS, 500])
 def test_broadcast_and_asked_shards_give_the_same_rows(spark, docs, odd, no_docs, group_keys):
     for df in (docs.limit(60), odd, no_docs, odd.where("doc_id = 2")):
         df = spark.createDataFrame(df.select("doc_id", "text").collect(), "doc_id long, text string")
