@@ -12,18 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, tasks: int | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor cannot make earlier stages run again,
     and non-deterministic inputs are fixed.  ``tasks`` bounds the tasks of the
-    last stage, for tables whose size is known to be small.
+    last stage, for tables whose size is known to be small; ``codec`` names a
+    compression other than the session's.
     """
     df = df.coalesce(tasks) if tasks else df
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -358,12 +358,12 @@ def score(docs: DataFrame, group_keys: int = GROUP_KEYS, broadcast_bytes: int =
     """
     part = training_part("doc_id", HELD_OUT_OF)
     rows = docs.select("doc_id", "text", (part == 1).alias("held_out"))
-    coded = materialise(rows.mapInArrow(_code, _CODED), "lm-coded")
+    coded = materialise(rows.mapInArrow(_code, _CODED), "lm-coded", codec="zstd")
     n, keys = coded.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
     groups = max(BLOCKS, 1 << math.ceil(math.log2(max(1, keys / group_keys))))
     own = coded.select("chunk", "doc_id", "held_out", "size", "words", "at")
     dealt = own.select("chunk", "held_out", "size", "words", "at").mapInArrow(_deal(groups), _REQUEST)
-    shards = materialise(dealt.groupBy("block").applyInArrow(_shard, _SHARD), "lm-shards")
+    shards = materialise(dealt.groupBy("block").applyInArrow(_shard, _SHARD), "lm-shards", codec="zstd")
     width = F.octet_length("bits") + F.octet_length("words") + F.octet_length("word_n")
     v, size = shards.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum(width), F.lit(0))).first()
     if size <= broadcast_bytes:

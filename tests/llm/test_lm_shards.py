@@ -54,10 +54,10 @@ def test_scoring_reads_shards_only(spark, monkeypatch, broadcast_bytes):
     want = scored(df, broadcast_bytes=broadcast_bytes)
     real = ngramlm.materialise
 
-    def emptied(frame: DataFrame, name, tasks=None):
+    def emptied(frame: DataFrame, name, **kw):
         if name == "lm-shards":
             frame = frame.withColumn("bits", F.unhex(F.lit("0" * 16)))
-        return real(frame, name, tasks)
+        return real(frame, name, **kw)
 
     monkeypatch.setattr(ngramlm, "materialise", emptied)
     got = scored(df, broadcast_bytes=broadcast_bytes)
