@@ -66,10 +66,14 @@ def stream_score(stream_df: DataFrame, V: np.ndarray, col: str = FEATURES) -> Da
     return ro.score(stream_df, V, col)
 
 
-def _table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
+def _table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, one file or a folder of files, as a stream whose first micro-batch holds all of them.
+
+    Files of a folder are in no order of any key: a batch a file would make rows of later files late.
+    """
     schema = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).schema
-    return (spark.readStream.format("parquet").schema(schema)
-            .option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", max_files).load(sf_dir))
+    # a pattern stands for a file as well as for a folder; a plain path has to be a folder
+    return spark.readStream.schema(schema).parquet(os.path.join(sf_dir, f"{table}.parque[t]"))
 
 
 def _ordered_stream(spark: SparkSession, sf_dir: str, table: str, batches: int, key: str = "vec_id") -> DataFrame:

@@ -171,3 +171,24 @@ def test_rows_after_finish_raise_and_old_state_goes(spark, tmp_dir):
     r.process(mk([]), 5)                  # nor is an empty batch
     with pytest.raises(ValueError, match="finished"):
         r.process(mk(range(85, 120)), 5)
+
+
+def test_a_table_in_a_folder_of_unordered_files_streams_whole(spark, emb_matrix, tmp_dir):
+    from matstream.streaming.stream import stream_pca_table, stream_score_table
+
+    rows = [(int(i), emb_matrix[i].tolist()) for i in np.random.default_rng(3).permutation(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    folder, one = os.path.join(tmp_dir, "folder"), os.path.join(tmp_dir, "one")
+    df.repartition(5).write.parquet(os.path.join(folder, "embeddings.parquet"))
+    df.coalesce(1).write.parquet(os.path.join(tmp_dir, "written"))
+    os.makedirs(one)
+    shutil.copy(glob.glob(os.path.join(tmp_dir, "written", "*.parquet"))[0], os.path.join(one, "embeddings.parquet"))
+    want = sliding_pca(from_array(df, "embedding", row_id="vec_id"), k=2, block=60, stride=20, subsample=2) \
+        .scores.orderBy("row_id").toPandas()
+    V = np.linalg.qr(np.random.default_rng(9).standard_normal((64, 2)))[0]
+    for at in (folder, one):
+        got = stream_pca_table(spark, at, "embeddings", k=2, block=60, stride=20, subsample=2).orderBy("row_id").toPandas()
+        assert list(got.row_id) == list(want.row_id)
+        assert np.abs(np.array(list(got.scores)) - np.array(list(want.scores))).max() < 1e-10
+        got = stream_score_table(spark, at, "embeddings", V).orderBy("row_id").toPandas()
+        assert np.allclose(np.array(list(got.scores)), emb_matrix[:300] @ V)
