@@ -132,7 +132,7 @@ def q_coo_cells(spark, sf_dir):
 
 def q_row_id_by_time(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").select("event_id", "ts")
-    return with_row_id(ev, "ts").select("event_id", ROW_ID)
+    return with_row_id(ev, "ts", ties=["event_id"]).select("event_id", ROW_ID)
 
 
 def _row_sums(df):
@@ -622,9 +622,9 @@ def q_skipped_keys(spark, sf_dir):
 
 def q_events_sliding_k1(spark, sf_dir):
     """Uncapped k=1 run over all ``events`` in time order (value, hour, minute, day of week); 4 decimals."""
-    ev = _t(spark, sf_dir, "events").select("ts", "value", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
+    ev = _t(spark, sf_dir, "events").select("ts", "event_id", "value", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
                                              F.dayofweek("ts").alias("dow"))
-    rows = from_columns(ev, ["value", "hour", "minute", "dow"], order_by="ts")
+    rows = from_columns(ev, ["value", "hour", "minute", "dow"], order_by="ts", ties=["event_id"])
     res = sliding_pca(rows, k=1, block=1000, stride=500, subsample=1, max_iter=1, max_slides=None,
                       seed="validation", dataset="events")
     return res.scores.select(ROW_ID, "step", F.posexplode("scores").alias("comp", "v")).select(
@@ -660,9 +660,9 @@ def q_sliding_pca_uncapped(spark, sf_dir):
 def q_events_sliding_pca(spark, sf_dir):
     """Sliding PCA over the whole ``events`` table in time order: value plus time features, no slide cap."""
     ev = _t(spark, sf_dir, "events").select(
-        "ts", "value", "user_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
+        "ts", "event_id", "value", "user_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
         F.dayofweek("ts").alias("dow"))
-    rows = from_columns(ev, ["value", "user_id", "hour", "minute", "dow"], order_by="ts")
+    rows = from_columns(ev, ["value", "user_id", "hour", "minute", "dow"], order_by="ts", ties=["event_id"])
     res = sliding_pca(rows, k=1, block=1000, stride=500, subsample=1, max_iter=3, max_slides=None, seed=3,
                       dataset="events")
     return res.scores
@@ -671,17 +671,17 @@ def q_events_sliding_pca(spark, sf_dir):
 def q_events_sliding_head(spark, sf_dir):
     """Capped sliding PCA (20 slides) over ``events`` in time order without stored ids: only the prefix is numbered."""
     ev = _t(spark, sf_dir, "events").select(
-        "ts", F.array("value", "user_id", F.hour("ts"), F.minute("ts"), F.dayofweek("ts"))
+        "ts", "event_id", F.array("value", "user_id", F.hour("ts"), F.minute("ts"), F.dayofweek("ts"))
         .cast("array<double>").alias(FEATURES))
     res = sliding_pca(ev, k=1, block=1000, stride=200, subsample=1, max_slides=20, max_iter=3, order_by="ts", seed=3,
-                      dataset="events")
+                      dataset="events", ties=("event_id",))
     return res.scores
 
 
 def q_first_rows_by_time(spark, sf_dir):
     from matstream.operators.rowid import first_rows
     ev = _t(spark, sf_dir, "events").select("event_id", "ts")
-    return first_rows(ev, "ts", 2500).select("event_id", ROW_ID)
+    return first_rows(ev, "ts", 2500, ties=["event_id"]).select("event_id", ROW_ID)
 
 
 def q_sliding_by_label(spark, sf_dir):

@@ -20,7 +20,8 @@ _POS_BITS = 33  # monotonically_increasing_id: partition id << 33 | record numbe
 
 
 def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_ID,
-                num_partitions: int | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+                num_partitions: int | None = None, partition_by: Sequence[str] = (),
+                ties: Sequence[str] = ()) -> DataFrame:
     """Add a dense 0-based ``id_col`` in the order of ``order_by``.
 
     The rows are range-partitioned on the key, sorted and written to the shared
@@ -33,6 +34,9 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
     tie-breaking columns): the rows of a key are in one partition, in order, so
     the count per key costs no further shuffle.
 
+    Rows of an equal key are put in the order of ``ties``, nulls first. Where key and
+    ties are all the columns, rows equal in them are the same and may repeat.
+
     With ``partition_by`` the ids are dense within each group.  The range
     partitioning is on ``(group, order)``, so a group holding a third of all
     rows is still spread over many partitions; the offsets are per (group,
@@ -43,14 +47,18 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], id_col: str = ROW_
     keys = groups + ([order_by] if isinstance(order_by, str) else list(order_by))
     for c in keys[len(groups):]:  # a null has no place in the order
         df = df.withColumn(c, F.coalesce(F.col(c), F.raise_error(F.lit(f"null in the order key {c}"))))
+    keys += [c for c in ties if c not in keys]
+    whole = bool(ties) and set(df.columns) <= set(keys)
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    same = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    mid = F.monotonically_increasing_id()
+    if not whole:
+        same = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        mid = F.when(same == 1, mid).otherwise(F.raise_error(F.lit(f"rows of equal order key {', '.join(keys)}")).cast("long"))
     sorted_rows = (
         df.repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_mid", F.when(same == 1, F.monotonically_increasing_id()).otherwise(
-            F.raise_error(F.lit(f"rows of equal order key {', '.join(keys)}")).cast("long")))
+        .withColumn("_mid", mid)
         .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
         .drop("_mid")
@@ -103,8 +111,10 @@ def rows_at(df: DataFrame, ids, id_col: str = ROW_ID) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order_by: str, n_rows: int, id_col: str = ROW_ID, accuracy: int = 100_000,
-               total: int | None = None) -> DataFrame:
-    """The first ``n_rows`` rows in the order of a unique numeric / date / timestamp key, numbered densely.
+               total: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """The first ``n_rows`` rows in the order of a numeric / date / timestamp key, numbered densely.
+
+    The key is unique or made so by ``ties`` (see :func:`with_row_id`).
 
     Numbering a whole table is a full sort; when only a prefix is read (a
     capped sliding run) a key threshold is found instead: an approximate
@@ -116,7 +126,7 @@ def first_rows(df: DataFrame, order_by: str, n_rows: int, id_col: str = ROW_ID,
     """
     total = df.count() if total is None else total
     if n_rows >= total:
-        return with_row_id(df, order_by, id_col)
+        return with_row_id(df, order_by, id_col, ties=ties)
     key = F.col(order_by)
     if not df.where(key.isNull()).isEmpty():
         raise ValueError(f"null in the order key {order_by}")
@@ -125,6 +135,6 @@ def first_rows(df: DataFrame, order_by: str, n_rows: int, id_col: str = ROW_ID,
         thr = df.agg(F.percentile_approx(key, p, accuracy).alias("t")).first()["t"]
         head = df.where(key <= F.lit(thr))
         if head.count() >= n_rows:
-            return with_row_id(head, order_by, id_col).where(F.col(id_col) < F.lit(n_rows))
+            return with_row_id(head, order_by, id_col, ties=ties).where(F.col(id_col) < F.lit(n_rows))
         p = min(1.0, 2 * p)
-    return with_row_id(df, order_by, id_col).where(F.col(id_col) < F.lit(n_rows))
+    return with_row_id(df, order_by, id_col, ties=ties).where(F.col(id_col) < F.lit(n_rows))

@@ -192,12 +192,13 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
                 subsample_norm: int = 1, seed="validation", n: int | None = None, dataset: str = "",
                 id_col: str = ROW_ID, col: str = FEATURES, method: str = "auto",
                 order_by: str | None = None, run_path: str | None = None,
-                band_steps: int | None = None) -> SlidingResult:
+                band_steps: int | None = None, ties: tuple[str, ...] = ()) -> SlidingResult:
     """Principal components kept up to date as a window slides along ``row_id``.
 
     ``df`` is rows form with dense 0-based ids, or any frame with a unique
     ``order_by`` column (then a capped run numbers only the prefix it reads,
-    see :func:`first_rows`).  Returns the scores of every
+    see :func:`first_rows`; with ``ties`` rows of an equal key are ordered by those
+    columns, then by their features).  Returns the scores of every
     scheduled row (raw rows times the model of their entry step), the model
     per step and the run statistics.
 
@@ -223,13 +224,14 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
         # rows not yet numbered: a capped run numbers only the prefix it reads
         from matstream.operators.rowid import first_rows, with_row_id
 
-        src = df.select(F.col(order_by), F.col(col).alias(FEATURES))
+        src = df.select(F.col(order_by), *ties, F.col(col).alias(FEATURES))
+        by = [*ties, FEATURES] if ties else ()
         n = src.count() if n is None else n
         if max_slides is not None:
             need = min(n, block + max_slides * stride)
-            src = first_rows(src, order_by, need, total=n)
+            src = first_rows(src, order_by, need, total=n, ties=by)
         else:
-            src = with_row_id(src, order_by)
+            src = with_row_id(src, order_by, ties=by)
         df, id_col, col = src, ROW_ID, FEATURES
     base = df.select(F.col(id_col).cast("long").alias(ROW_ID), F.col(col).alias(FEATURES))
     if n is None:

@@ -19,16 +19,17 @@ FEATURES = "features"
 
 
 def from_columns(df: DataFrame, cols: Sequence[str], order_by: str | Sequence[str] | None = None,
-                 row_id: str | None = None, keep: Iterable[str] = ()) -> DataFrame:
+                 row_id: str | None = None, keep: Iterable[str] = (), ties: Sequence[str] = ()) -> DataFrame:
     """Rows form from numeric columns of a table.
 
     ``row_id`` names a column that already holds dense 0-based ids (used as
     is, so a range predicate on it reaches the Parquet scan); otherwise the
-    rows are numbered by ``order_by`` with :func:`with_row_id`.  With
+    rows are numbered by ``order_by`` with :func:`with_row_id`, rows of an
+    equal key by ``ties``, then by the numbers themselves.  With
     neither, ids are unique but not dense (for order-free aggregates).
     """
     feats = F.array(*[F.col(c).cast("double") for c in cols])
-    return _rows(df, feats, order_by, row_id, keep)
+    return _rows(df, feats, order_by, row_id, keep, ties)
 
 
 def from_array(df: DataFrame, col: str, order_by: str | Sequence[str] | None = None,
@@ -37,7 +38,7 @@ def from_array(df: DataFrame, col: str, order_by: str | Sequence[str] | None = N
     return _rows(df, F.col(col).cast("array<double>"), order_by, row_id, keep)
 
 
-def _rows(df: DataFrame, feats: Column, order_by, row_id, keep) -> DataFrame:
+def _rows(df: DataFrame, feats: Column, order_by, row_id, keep, ties=()) -> DataFrame:
     keep = list(keep)
     if row_id is not None:
         return df.select(F.col(row_id).cast("long").alias(ROW_ID), feats.alias(FEATURES), *keep)
@@ -47,8 +48,9 @@ def _rows(df: DataFrame, feats: Column, order_by, row_id, keep) -> DataFrame:
     from matstream.operators.rowid import with_row_id
 
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    base = df.select(*keys, feats.alias(FEATURES), *[k for k in keep if k not in keys])
-    numbered = with_row_id(base, keys)
+    more = [c for c in ties if c not in keys]
+    base = df.select(*keys, *more, feats.alias(FEATURES), *[k for k in keep if k not in keys + more])
+    numbered = with_row_id(base, keys, ties=[*more, FEATURES] if ties else ())
     return numbered.select(ROW_ID, FEATURES, *keep)
 
 
