@@ -147,22 +147,43 @@ def sketch_from_rows(df: DataFrame, k: int, subsample: int, max_iter: int = 1, t
                      salt: int = 0, col: str = FEATURES) -> SketchResult:
     t0 = time.perf_counter()
     n, mean = mo.mean_vector(df, col)
-    d = mean.shape[0]
+    return _rounds(lambda omega: mo.sketch_moments(df, omega, mean, col)[2:], n, mean.shape[0], time.perf_counter() - t0, k,
+                   subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed, salt)
+
+
+def sketch_from_matrix(Y: np.ndarray, k: int, subsample: int, max_iter: int = 1, tolerance: float = 0.05,
+                       calc_error: bool = False, q: int = 10, subsample_norm: int = 1, seed="validation",
+                       salt: int = 0) -> SketchResult:
+    """:func:`sketch_from_rows` of the rows ``Y`` that a task holds; nothing of d x d."""
+    t0 = time.perf_counter()
+    Yc = Y - Y.mean(axis=0)
+
+    def one_pass(omega):
+        Z = Yc @ omega
+        return Yc.T @ Z, Z.T @ Z
+
+    return _rounds(one_pass, *Y.shape, time.perf_counter() - t0, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm,
+                   seed, salt)
+
+
+def _rounds(one_pass, n: int, d: int, preprocess_s: float, k: int, subsample: int, max_iter: int, tolerance: float,
+            calc_error: bool, q: int, subsample_norm: int, seed, salt: int) -> SketchResult:
+    """The rounds of a sketch; ``one_pass(omega)`` gives the centred ``YtZ, ZtZ`` of the rows with ``Z = Y omega``."""
     _check(k, subsample, d)
     s = k + subsample
-    res = SketchResult(np.zeros(s), np.zeros((d, k)), n, 0.0, preprocess_s=time.perf_counter() - t0)
+    res = SketchResult(np.zeros(s), np.zeros((d, k)), n, 0.0, preprocess_s=preprocess_s)
     B = make_seed(seed, d, s, salt * 2)
     prev_err = tolerance + 1
     it = 0
     while it < max_iter and prev_err > tolerance:
         t0 = time.perf_counter()
-        _, _, yz, zz = mo.sketch_moments(df, la.orth_cols(B), mean, col)
+        yz, zz = one_pass(la.orth_cols(B))
         S, V, B = la.sketch_round(yz, (zz + zz.T) / 2, k)
         res.S, res.V, res.sigma_k1 = S, V, float(S[k])
         res.sketch_s.append(time.perf_counter() - t0)
         if calc_error:
             res.n_iter += 1
-            spec = residual_norm_from_rows(df, V, mean, subsample_norm, q, seed, salt * 2 + 1, col)
+            spec = _residual_rounds(one_pass, V, subsample_norm, q, seed, salt * 2 + 1)
             err = relative_error(spec, res.sigma_k1)
             res.errors.append(err)
             prev_err = err
@@ -172,7 +193,11 @@ def sketch_from_rows(df: DataFrame, k: int, subsample: int, max_iter: int = 1, t
 
 def residual_norm_from_rows(df: DataFrame, V: np.ndarray, mean: np.ndarray, subsample_norm: int = 1, q: int = 10,
                             seed="validation", salt: int = 1, col: str = FEATURES) -> float:
-    d = mean.shape[0]
+    return _residual_rounds(lambda omega: mo.sketch_moments(df, omega, mean, col)[2:], V, subsample_norm, q, seed, salt)
+
+
+def _residual_rounds(one_pass, V: np.ndarray, subsample_norm: int, q: int, seed, salt: int) -> float:
+    d = V.shape[0]
     s = 1 + subsample_norm
     Vo = la.orth_basis(V)
     B = make_seed(seed, d, s, salt)
@@ -180,7 +205,7 @@ def residual_norm_from_rows(df: DataFrame, V: np.ndarray, mean: np.ndarray, subs
     for _ in range(q):
         seed_m = la.orth_cols(B - Vo @ (Vo.T @ B))
         seed_m = seed_m - Vo @ (Vo.T @ seed_m)
-        _, _, yz, zz = mo.sketch_moments(df, seed_m, mean, col)
+        yz, zz = one_pass(seed_m)
         new_s, B = _norm_round(yz, (zz + zz.T) / 2, Vo, s)
         if new_s == S:
             break

@@ -35,17 +35,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matstream.functions import linalg as la
-from matstream.functions.arrowmat import to_matrix
+from matstream.functions.arrowmat import from_matrix, to_matrix
 from matstream.operators import moments as mo
 from matstream.operators.windows import Schedule, window_schedule, with_chunk
-from matstream.plans.sketch import sketch_from_gram
-from matstream.session import drop_path, path_exists, scratch_path, written
+from matstream.plans.sketch import sketch_from_gram, sketch_from_matrix
+from matstream.session import drop_path, folder_names, path_exists, scratch_path, written
 from matstream.sources.frames import FEATURES, ROW_ID
 
 BROADCAST_MODEL_BYTES = 64 << 20
 DRIVER_STATE_BYTES = 512 << 20
 LIVE_STATE_BYTES = 2 << 30
 WINDOW_STATE_BYTES = 256 << 20
+ROW_BAND_BYTES = 64 << 20    # rows entering in the steps that one task runs
+BAND_READ_BYTES = 64 << 20   # moments fetched at once
+COMMIT_S = 20                # whole bands wait at most so long to be written together
+COMMIT_STATE_BYTES = 64 << 20
 MOMENTS_MAX_D = 1024
 ERROR_ROWS = 10_000
 
@@ -206,15 +210,17 @@ def sliding_pca(df: DataFrame, k: int, block: int, stride: int, subsample: int,
     keeps the window as a DataFrame for wide rows (d x s state on the driver):
     each step appends the entering rows, deflates the window in Arrow batches,
     cuts the lineage with a reliable checkpoint in the shared checkpoint
-    folder, and runs one distributed sketch pass per round.  ``"window"`` (chosen
+    folder, and runs one distributed sketch pass per round; a window that fits
+    into a task goes there with the rows of many steps, then back to the folder.  ``"window"`` (chosen
     for strides below ``d / 2``, where a chunk's Gram is larger than its
     rows) sends the rows in order through one task that holds the window's
     rows only and scores as it goes.  All give the same results.
 
     With ``run_path`` a run of any length goes band by band (``band_steps``
-    steps): model, statistics and the state of every band are written there and the
-    driver keeps one band.  Called again with the same path and settings, a
-    run that was stopped goes on behind its last whole band.
+    steps): model and statistics of every band are written there with the state of the
+    last, the bands of ``COMMIT_S`` seconds together.  Called again with the same path
+    and settings, a run that was stopped goes on behind its last whole band (one that
+    was killed, behind the last written).
 
     ``k == d`` becomes ``d - 1``, as in the reference; then ``k + subsample <=
     min(block - 1, d - k)``, ``k <= d - 3`` and ``block >= k + 3`` are checked.
@@ -289,6 +295,20 @@ _STEP_SCHEMA = ("step INT, sigma ARRAY<DOUBLE>, v ARRAY<ARRAY<DOUBLE>>, lo BIGIN
                 "spectral_error DOUBLE, errors ARRAY<DOUBLE>, change_at ARRAY<BIGINT>")
 
 
+def _dense_rows(batches, at: int, d: int):
+    """The matrices of batches ``row_id, features`` whose ids go on by one from ``at``."""
+    for b in batches:
+        if b.num_rows:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            if ids[0] != at or (np.diff(ids) != 1).any():
+                raise ValueError("row ids are not dense")
+            at += len(ids)
+            Y = to_matrix(b.column(1), d)
+            if not np.isfinite(Y).all():
+                raise ValueError("matrix holds NaN or infinite values")
+            yield Y
+
+
 def _sliding_window(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int, tolerance: float,
                     calc_error: bool, q: int, subsample_norm: int, seed, dataset: str) -> SlidingResult:
     """The sliding run over rows in order, for strides whose chunks are smaller than their moments.
@@ -299,20 +319,7 @@ def _sliding_window(rows: DataFrame, sched: Schedule, d: int, k: int, subsample:
     ordered = rows.select(ROW_ID, FEATURES).repartition(1).sortWithinPartitions(ROW_ID)
 
     def run(batches):
-        def matrices():
-            at = 0
-            for b in batches:
-                if b.num_rows:
-                    ids = b.column(0).to_numpy(zero_copy_only=False)
-                    if ids[0] != at or (np.diff(ids) != 1).any():
-                        raise ValueError("row ids are not dense")
-                    at += len(ids)
-                    Y = to_matrix(b.column(1), d)
-                    if not np.isfinite(Y).all():
-                        raise ValueError("matrix holds NaN or infinite values")
-                    yield Y
-
-        window = WindowRows(matrices(), sched)
+        window = WindowRows(_dense_rows(batches, 0, d), sched)
         held = []
         for S, V, row in iter_steps(window, range(sched.last + 1), d, k, subsample, max_iter, tolerance, calc_error, q,
                                     subsample_norm, seed, enter_lo=lambda t: sched.steps[t][3]):
@@ -351,9 +358,10 @@ def _sliding_long(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: i
     if live_state_bytes(sched, d) > LIVE_STATE_BYTES:
         raise ValueError("the chunks of a window do not fit on the driver: use a larger stride")
     band = band_steps or max(1, DRIVER_STATE_BYTES // (2 * d * d * 8))
+    at_once = max(1, BAND_READ_BYTES // (band * 2 * d * d * 8))   # bands whose moments are read together
     width = sched.last + 1
     settings = json.dumps([sched.n, sched.block, sched.stride, sched.max_slides, d, k, subsample, max_iter, tolerance, calc_error, q,
-                           subsample_norm, str(seed), band])
+                           subsample_norm, str(seed), band, at_once])
     if path_exists(spark, f"{run_path}/settings/_SUCCESS"):
         if spark.read.text(f"{run_path}/settings").first()[0] != settings:
             raise ValueError(f"{run_path} holds a run with other settings")
@@ -361,41 +369,72 @@ def _sliding_long(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: i
         spark.createDataFrame([(settings,)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{run_path}/settings")
     moments_path = f"{run_path}/moments"
     if not path_exists(spark, f"{moments_path}/_SUCCESS"):
-        at = F.floor(F.floor(F.col("chunk") / F.lit(width)) / F.lit(band)).cast("int")
-        mo.pooled_moments(rows).withColumn("band", at).write.mode("overwrite").partitionBy("band").parquet(moments_path)
+        at = F.floor(F.floor(F.col("chunk") / F.lit(width)) / F.lit(band * at_once)).cast("int")
+        mo.pooled_moments(rows).withColumn("bands", at).write.mode("overwrite").partitionBy("bands").parquet(moments_path)
     moments = spark.read.parquet(moments_path)
 
     def fetch(df):
         tbl = df.select("chunk", "part", "n", "mean", "w").toArrow().sort_by([("chunk", "ascending"), ("part", "ascending")])
         return dict(mo.whole_states(mo.moment_rows(tbl.combine_chunks().to_batches())))
 
-    def saved(kind, b):
-        return f"{run_path}/{kind}/band={b}"
-
-    bands = -(-width // band)
-    done = 0
-    while done < bands and path_exists(spark, f"{saved('state', done)}/_SUCCESS"):
-        done += 1
+    def saved(kind, bands):
+        return f"{run_path}/{kind}/bands={bands[0]}-{bands[1]}"
+
+    n_bands = -(-width // band)
+    # runs of bands written together, by the first; a state is written last, so it commits its run
+    runs = {bands[0]: bands for bands in (tuple(map(int, name[6:].split("-"))) for name in folder_names(spark, f"{run_path}/state"))
+            if path_exists(spark, f"{saved('state', bands)}/_SUCCESS")}
+    done, kept = 0, []
+    while done in runs:
+        kept.append(runs[done])
+        done = runs[done][1] + 1
     states, S, V = {}, None, None
     if done:
-        last = spark.read.parquet(saved("model", done - 1)).where(F.col("step") == min(done * band, width) - 1) \
+        last = spark.read.parquet(saved("model", kept[-1])).where(F.col("step") == min(done * band, width) - 1) \
             .orderBy("comp").collect()
         S, V = np.array([r["sigma"] for r in last]), np.array([r["v"] for r in last]).T
-        states = fetch(spark.read.parquet(saved("state", done - 1)))
-    for b in range(done, bands):
-        states |= fetch(moments.where(F.col("band") == b))
-        bounds = {c: (c // width, c % width) for c in states}
-        steps = range(b * band, min((b + 1) * band, width))
-        models, stats, S, V = advance(states, bounds, steps, d, k, subsample, max_iter, tolerance, calc_error, q,
-                                      subsample_norm, seed, S, V, enter_lo=lambda t: int(sched.steps[t][3]), dataset=dataset)
-        model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]]) for t, (Sm, Vm) in zip(steps, models) for c in range(k)]
-        spark.createDataFrame(model_rows, MODEL_SCHEMA).write.mode("overwrite").parquet(saved("model", b))
-        spark.createDataFrame(stats, STATS_SCHEMA).write.mode("overwrite").parquet(saved("stats", b))
-        # the state commits the band
-        spark.createDataFrame(pa.Table.from_batches(mo.state_batches(states), mo.MOMENTS_ARROW)).write.mode("overwrite") \
-            .parquet(saved("state", b))
-    model = spark.read.schema(MODEL_SCHEMA).parquet(*[saved("model", b) for b in range(bands)])
-    stats = spark.read.schema(STATS_SCHEMA).parquet(*[saved("stats", b) for b in range(bands)])
+        states = fetch(spark.read.parquet(saved("state", kept[-1])))
+    wait = COMMIT_S if live_state_bytes(sched, d) <= COMMIT_STATE_BYTES else 0   # a large state is not held twice
+    model_rows, stats_rows, held, ahead, read = [], [], None, {}, -1
+
+    def commit():
+        nonlocal held
+        if held is not None:
+            bands = (done, held[0])
+            spark.createDataFrame(model_rows, MODEL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(saved("model", bands))
+            spark.createDataFrame(stats_rows, STATS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(saved("stats", bands))
+            spark.createDataFrame(pa.Table.from_batches(mo.state_batches(held[1]), mo.MOMENTS_ARROW)).write.mode("overwrite") \
+                .parquet(saved("state", bands))
+            kept.append(bands)
+            model_rows.clear()
+            stats_rows.clear()
+            held = None
+        return kept[-1][1] + 1 if kept else 0
+
+    since = time.perf_counter()
+    try:
+        for b in range(done, n_bands):
+            if b // at_once != read:
+                read = b // at_once
+                ahead = collections.deque(sorted(fetch(moments.where(F.col("bands") == read)).items()))
+                while ahead and ahead[0][0] // width < b * band:   # of bands that are done
+                    ahead.popleft()
+            steps = range(b * band, min((b + 1) * band, width))
+            while ahead and ahead[0][0] // width < steps.stop:
+                c, state = ahead.popleft()
+                states[c] = state
+            bounds = {c: (c // width, c % width) for c in states}
+            models, stats, S, V = advance(states, bounds, steps, d, k, subsample, max_iter, tolerance, calc_error, q,
+                                          subsample_norm, seed, S, V, enter_lo=lambda t: int(sched.steps[t][3]), dataset=dataset)
+            model_rows += [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]]) for t, (Sm, Vm) in zip(steps, models) for c in range(k)]
+            stats_rows += stats
+            held = b, {c: list(state) for c, state in states.items()}   # steps put new arrays into a state
+            if time.perf_counter() - since >= wait:
+                done, since = commit(), time.perf_counter()
+    finally:
+        commit()
+    model = spark.read.schema(MODEL_SCHEMA).parquet(*[saved("model", bands) for bands in kept])
+    stats = spark.read.schema(STATS_SCHEMA).parquet(*[saved("stats", bands) for bands in kept])
     comps = model.groupBy("step").agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "v"))), lambda c: c["v"]).alias("comps"))
     if width * d * k * 8 <= BROADCAST_MODEL_BYTES:
         comps = F.broadcast(comps)
@@ -404,15 +443,113 @@ def _sliding_long(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: i
 
 def _sliding_rows(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int,
                   tolerance: float, calc_error: bool, q: int, subsample_norm: int, seed, dataset: str) -> SlidingResult:
-    """The sliding run with the window kept as a DataFrame (wide rows)."""
+    """The sliding run with the window kept as a DataFrame (wide rows).
+
+    A window that fits into a task goes through one with the rows of the next steps, ``ROW_BAND_BYTES``
+    of them; a larger one is read by distributed passes at every step.
+    """
+    spark = rows.sparkSession
+    raw = rows.select(ROW_ID, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)   # read again at every step or band
+    run = _row_bands if sched.block * d * 8 <= WINDOW_STATE_BYTES else _row_passes
+    models, stats_rows = run(raw, sched, d, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed, dataset)
+    S, V = models[-1]
+    raw.unpersist(blocking=False)
+    model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
+                  for t, (Sm, Vm) in enumerate(models) for c in range(k)]
+    return SlidingResult(score_by_step(rows, sched, models, spark),
+                         spark.createDataFrame(model_rows, MODEL_SCHEMA),
+                         spark.createDataFrame(stats_rows, STATS_SCHEMA), sched, S, V, models, stats_rows)
+
+
+def _row_bands(raw: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int, tolerance: float,
+               calc_error: bool, q: int, subsample_norm: int, seed, dataset: str):
+    """Models and statistics, step by step, from bands of steps: a task gets the window and the band's rows in order.
+
+    It deflates and sketches the rows themselves (nothing of d x d) and sends on the steps' models and the
+    window, which is written to the shared folder for the next band.
+    """
+    spark, rid = raw.sparkSession, F.col(ROW_ID)
+    band = max(1, ROW_BAND_BYTES // (sched.stride * d * 8))
+    numbers = pa.list_(pa.float64())
+    schema = pa.schema([(ROW_ID, pa.int64()), (FEATURES, numbers), ("step", pa.int32()), ("s", numbers), ("v", numbers),
+                        ("n_rows", pa.int64()), ("n_iter", pa.int32()), ("preprocess_s", pa.float64()), ("sketch_s", numbers),
+                        ("sigma_k1", pa.float64()), ("spectral_error", pa.float64()), ("errors", numbers),
+                        ("change_at", pa.list_(pa.int64()))])
+    sql = (f"{ROW_ID} BIGINT, {FEATURES} ARRAY<DOUBLE>, step INT, s ARRAY<DOUBLE>, v ARRAY<DOUBLE>, n_rows BIGINT, n_iter INT, "
+           "preprocess_s DOUBLE, sketch_s ARRAY<DOUBLE>, sigma_k1 DOUBLE, spectral_error DOUBLE, errors ARRAY<DOUBLE>, "
+           "change_at ARRAY<BIGINT>")
+
+    def run(steps, at, S, V):
+        def of(batches):
+            window = WindowRows(_dense_rows(batches, at, d), sched)
+            if steps[0]:
+                lo, hi = sched.window(steps[0] - 1)
+                window.hold(hi - lo)
+            made, model = [], (S, V)
+            for t in steps:
+                t0 = time.perf_counter()
+                window.move(t, model[1])
+                prep = time.perf_counter() - t0
+                res = sketch_from_matrix(window.window, k, subsample, max_iter, tolerance, calc_error, q, subsample_norm, seed,
+                                         salt=2 * t)
+                change_at = []
+                if t == 0:
+                    model = res.S[:k].copy(), res.V.copy()
+                else:
+                    *model, swapped = replace_component(*model, res.S, res.V, k)
+                    if swapped:
+                        change_at.append(int(sched.steps[t][3]))
+                rest = window.window - (window.window @ model[1]) @ model[1].T
+                spec = sketch_from_matrix(rest, 1, 1, max_iter=10, seed=seed, salt=2 * t + 1)
+                made.append((None, None, t, model[0].tolist(), model[1].reshape(-1).tolist(), int(res.n_rows), res.n_iter,
+                             prep + res.preprocess_s, [float(x) for x in res.sketch_s], float(res.sigma_k1), float(spec.S[0]),
+                             [float(e) for e in res.errors], change_at))
+                if len(made) * d * k >= MODEL_BATCH_CELLS or t == steps[-1]:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in made], schema)
+                    made = []
+            first, n = sched.window(steps[-1])[0], max(1, MODEL_BATCH_CELLS // d)
+            for i in range(0, len(window.window), n):
+                Y = window.window[i:i + n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(first + i, first + i + len(Y))), from_matrix(Y),
+                     *[pa.nulls(len(Y), field.type) for field in list(schema)[2:]]], schema=schema)
+
+        return of
+
+    S, V = None, np.zeros((d, k))
+    models, stats_rows, window, path = [], [], None, None
+    for t0 in range(0, sched.last + 1, band):
+        steps = range(t0, min(t0 + band, sched.last + 1))
+        lo, hi = sched.steps[steps[0]][3], sched.steps[steps[-1]][4]
+        part = raw.where((rid >= F.lit(lo)) & (rid < F.lit(hi)))
+        part = part if window is None else window.unionByName(part)
+        at = sched.window(t0 - 1)[0] if t0 else 0
+        before, path = path, scratch_path(spark, "row-band")
+        part.repartition(1).sortWithinPartitions(ROW_ID).mapInArrow(run(steps, at, S, V), sql).write.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        out = spark.read.schema(sql).parquet(path)
+        for r in out.where(F.col("step").isNotNull()).orderBy("step").drop(ROW_ID, FEATURES).collect():
+            S, V = np.array(r["s"]), np.array(r["v"]).reshape(d, k)
+            models.append((S, V))
+            stats_rows.append((r["step"], r["step"] + 1, "matstream", dataset, r["n_rows"], int(d), r["n_iter"], r["preprocess_s"],
+                               r["sketch_s"], sum(r["sketch_s"]) / len(r["sketch_s"]) if r["sketch_s"] else 0.0,
+                               r["preprocess_s"] + sum(r["sketch_s"]), r["sigma_k1"], r["spectral_error"], r["errors"],
+                               r["change_at"]))
+        window = out.where(F.col("step").isNull()).select(ROW_ID, FEATURES)
+    drop_path(spark, path)
+    return models, stats_rows
+
+
+def _row_passes(raw: DataFrame, sched: Schedule, d: int, k: int, subsample: int, max_iter: int, tolerance: float,
+                calc_error: bool, q: int, subsample_norm: int, seed, dataset: str):
+    """Models and statistics, step by step, from distributed passes over the window of every step."""
     from matstream.operators.rows import deflate
     from matstream.plans.sketch import sketch_from_rows
     from matstream.session import ensure_checkpoint_dir
 
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(raw.sparkSession)
     rid = F.col(ROW_ID)
-    raw = rows.select(ROW_ID, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)   # read again at every step
     window = raw.where(rid < F.lit(sched.block)).checkpoint(eager=True)
     S, V = None, np.zeros((d, k))
     models, stats_rows = [], []
@@ -439,12 +576,7 @@ def _sliding_rows(rows: DataFrame, sched: Schedule, d: int, k: int, subsample: i
         stats_rows.append((t, t + 1, "matstream", dataset, int(res.n_rows), int(d), res.n_iter, pre,
                            [float(x) for x in res.sketch_s], res.avg_sketch_s, pre + sum(res.sketch_s),
                            float(res.sigma_k1), float(spec.S[0]), [float(e) for e in res.errors], change_at))
-    raw.unpersist(blocking=False)
-    model_rows = [(t, c, float(Sm[c]), [float(x) for x in Vm[:, c]])
-                  for t, (Sm, Vm) in enumerate(models) for c in range(k)]
-    return SlidingResult(score_by_step(rows, sched, models, spark),
-                         spark.createDataFrame(model_rows, MODEL_SCHEMA),
-                         spark.createDataFrame(stats_rows, STATS_SCHEMA), sched, S, V, models, stats_rows)
+    return models, stats_rows
 
 
 def run_recursion(states: dict, sched: Schedule, d: int, k: int, subsample: int, max_iter: int = 1,
@@ -551,7 +683,11 @@ class WindowRows:
         self.ahead = [all_rows[n:]]
         return all_rows[:n]
 
-    def __call__(self, t: int, V: np.ndarray):
+    def hold(self, n: int) -> None:
+        """Take the next ``n`` rows for the window of the step before, as they are."""
+        self.window = self._take(n)
+
+    def move(self, t: int, V: np.ndarray) -> None:
         _, drop_lo, drop_hi, enter_lo, enter_hi = self.sched.steps[t]
         self.entering = self._take(enter_hi - enter_lo)
         if t == 0:
@@ -559,6 +695,9 @@ class WindowRows:
         else:
             self.window = np.concatenate([self.window[drop_hi - drop_lo:], self.entering])
             self.window -= (self.window @ V) @ V.T
+
+    def __call__(self, t: int, V: np.ndarray):
+        self.move(t, V)
         Yc = self.window - self.window.mean(axis=0)
         return len(Yc), Yc.T @ Yc
 

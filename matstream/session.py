@@ -85,6 +85,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared file system, none if it isn't there."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete every scratch folder made so far (call when the results are written); returns how many."""
     paths = list(_made)

@@ -216,3 +216,38 @@ def test_command_line_has_no_slide_cap_unless_asked():
 
     need = "--input a --output b --cols 5 --pcs 1 --subsample 1 --block-size 10 --stride 2".split()
     assert parse(need).max_slides == 0 and parse(need + ["--max-slides", "20"]).max_slides == 20
+
+
+def test_many_bands_are_written_together(spark, emb_rows, monkeypatch):
+    from matstream.plans import sliding
+
+    settings = dict(k=2, block=100, stride=5, subsample=1, method="moments")
+    want = sliding_pca(emb_rows, **settings)
+    jobs = spark.sparkContext.statusTracker()
+    monkeypatch.setattr(sliding, "BAND_READ_BYTES", 8 * 2 * 64 * 64 * 8)   # several reads of moments
+    spark.sparkContext.setJobGroup("bands", "bands")
+    got = sliding_pca(emb_rows, run_path=scratch_path(spark, "long"), band_steps=1, **settings)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs.getJobIdsForGroup("bands")) < want.stats.count()   # 81 bands of one step
+    assert np.allclose(by_row(got.scores), by_row(want.scores), atol=1e-9)
+    assert got.model.count() == want.model.count() and got.stats.count() == want.stats.count()
+
+
+def test_window_as_a_dataframe_in_bands(spark, emb_rows, monkeypatch):
+    from matstream.plans import sliding
+
+    settings = dict(k=2, block=97, stride=10, subsample=2, max_iter=2)
+    want = sliding_pca(emb_rows, method="moments", **settings)
+    monkeypatch.setattr(sliding, "ROW_BAND_BYTES", 15 * 10 * 64 * 8)   # 15 steps a band
+    spark.sparkContext.setJobGroup("rows", "rows")
+    got = sliding_pca(emb_rows, method="rows", **settings)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rows")) < want.stats.count()
+    few = dict(settings, max_slides=2)
+    monkeypatch.setattr(sliding, "WINDOW_STATE_BYTES", 0)   # distributed passes at every step
+    passes = sliding_pca(emb_rows, method="rows", **few)
+    for a, b in ((got, want), (passes, sliding_pca(emb_rows, method="moments", **few))):
+        assert np.allclose(by_row(a.scores), by_row(b.scores), atol=1e-9)
+        for x, y in zip(a.stats.orderBy("step").collect(), b.stats.orderBy("step").collect(), strict=True):
+            assert x["n_rows"] == y["n_rows"] and x["change_at"] == y["change_at"]
+            assert x["spectral_error"] == pytest.approx(y["spectral_error"], abs=1e-9)
