@@ -51,6 +51,8 @@ NUM, DEN = 75, 100  # link when DEN * intersection >= NUM * union
 WIDE = 512  # coordinates of the wider signatures
 WIDE_DOCS = 2048  # sketched together
 
+SKETCH_BYTES = 1 << 19  # of text hashed together; bounds a worker's arrays
+
 _SEEDS = tv.mix(np.arange(1, 2 * WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SKETCH = "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>"
 
@@ -115,7 +117,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         raw, off = tv.text_buffer(batch.column("text"))
         ids, keys = batch.column("doc_id"), batch.column("text_key")
-        for lo, hi in tv.chunks(off):
+        for lo, hi in tv.chunks(off, SKETCH_BYTES):
             n = hi - lo
             w = tv.words(raw, off, lo, hi)
             h, doc = tv.distinct_per_doc(*tv.shingles(w, SHINGLE), n)

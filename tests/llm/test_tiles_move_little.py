@@ -113,3 +113,26 @@ def test_tiles_carry_no_double_vector(spark):
     assert df.withColumn("more", F.lit(1)).count() == 40
     got = vecdup.similar_vectors(df.withColumn("row", F.lit("clash"))).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(i, 0, i, True) for i in range(40)]
+
+
+def test_a_batch_is_sketched_in_little_memory():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from matstream.llm import neardup as nd
+rng = np.random.default_rng(1)
+vocab = np.array([f'word{i}' for i in range(5000)])
+text = [' '.join(vocab[rng.integers(0, 5000, 250)]) for _ in range(8000)]
+ids = pa.array(range(8000), pa.int64())
+batch = pa.RecordBatch.from_arrays([ids, pa.array(text), ids], names=['doc_id', 'text', 'text_key'])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert sum(b.num_rows for b in nd._sketch_batches(iter([batch]))) == 8000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True)
+    assert int(got.stdout) < 70, got.stdout + got.stderr   # MB; 2 MB chunks took 110
