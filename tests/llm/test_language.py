@@ -1,6 +1,7 @@
 """Language identification against a plain reading of its rule; short clean texts stay."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -55,3 +56,79 @@ def test_held_out_accuracy_and_short_texts(spark, docs):
     kept = {r["doc_id"] for r in langid.identify(more, model, ["doc_id"]).where("not rejected").collect()}
     assert {100_000, 100_001} <= kept and not {100_002, 100_003, 100_004} & kept
     assert len(kept) == docs.count() + 2
+
+
+def plain_model(learn, k=langid.CENTROIDS, quantile=langid.REJECT_QUANTILE):
+    """IDF, centroids by language and the rejection bound of all given (lang, text), one matrix a language."""
+    df = np.zeros(langid.DIM)
+    counts = {}
+    for lang, text in learn:
+        x = np.zeros(langid.DIM)
+        for d, n in trigrams(text).items():
+            x[d] = n
+        df += x > 0
+        counts.setdefault(lang, []).append(x)
+    idf = np.log((1 + len(learn)) / (1 + df)) + 1
+    centroids, floors = {}, []
+    for lang in sorted(counts):
+        x = np.log1p(np.array(counts[lang])) * idf
+        x = x[x.any(axis=1)]
+        if not len(x):
+            continue
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c = x[[np.argmax(x @ x.mean(axis=0))]]
+        while len(c) < k and (x @ c.T).max(axis=1).min() <= 1 - 1e-6:
+            c = np.vstack([c, x[np.argmin((x @ c.T).max(axis=1))]])
+        for _ in range(langid.KMEANS_ROUNDS):
+            own = np.argmax(x @ c.T, axis=1)
+            c = np.array([x[own == j].mean(axis=0) for j in range(len(c)) if (own == j).any()])
+            c /= np.linalg.norm(c, axis=1, keepdims=True)
+        centroids[lang] = c
+        floors.append(np.quantile((x @ c.T).max(axis=1), quantile))
+    return idf, centroids, 0.5 * min(floors)
+
+
+def assert_like_plain(model, learn, **how):
+    idf, centroids, bound = plain_model(learn, **how)
+    assert np.allclose(model.idf, idf, rtol=1e-6)
+    assert model.langs == [lang for lang, c in centroids.items() for _ in c]
+    for lang, c in centroids.items():
+        got = model.centroids[[i for i, x in enumerate(model.langs) if x == lang]]
+        assert np.allclose(sorted(got.tolist()), sorted(c.tolist()), atol=1e-5)
+    assert model.reject_below == pytest.approx(bound, abs=1e-6)
+
+
+def test_centroids_and_bound_come_from_every_training_text(spark):
+    """2,600 texts of one language, more than any sample took; forty of them are unlike the rest."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(400)]
+    other = ["".join(rng.choices("qrstuvwxyzéü", k=rng.randint(3, 9))) for _ in range(60)]
+    learn = [("aa", " ".join(rng.choices(words, k=rng.randint(6, 14)) + words[:2])) for _ in range(2560)]
+    learn += [("aa", " ".join(rng.choices(other, k=rng.randint(6, 14)) + words[:2])) for _ in range(40)]  # no cosine is 0
+    learn += [("bb", " ".join(rng.choices(other + words[:20], k=12) + words[:2])) for _ in range(90)]
+    learn += [("bb", " ".join(["the same text", *words[:2]]))] * 30 + [("bb", "lang " * 400 + words[0])]
+    learn += [("cc", "alone"), ("dd", "?!"), ("dd", "")]
+    rng.shuffle(learn)
+    docs = spark.createDataFrame([(i if i % 9 else None, lang, text) for i, (lang, text) in enumerate(learn)] + [
+        (-1, None, "no language"), (-2, "aa", None)], "doc_id long, lang string, text string")
+    model = langid.train(docs.repartition(3))
+    assert_like_plain(model, learn)
+    again = langid.train(docs.orderBy("text").repartition(7))
+    assert again.langs == model.langs and again.reject_below == model.reject_below
+    assert np.array_equal(again.centroids, model.centroids)  # whatever the order and the tasks
+
+
+@pytest.mark.parametrize("quantile", [0.0, 0.3, 0.5, 1.0])
+def test_quantiles_of_few_and_equal_cosines(spark, quantile):
+    rng = random.Random(6)
+    learn = [("aa", "".join(rng.choices("abcd ", k=90))) for _ in range(25)] + [("aa", "a bad cab bad dad")] * 8
+    learn += [("bb", "".join(rng.choices("ijkl ", k=90))) for _ in range(3)]
+    docs = spark.createDataFrame(learn, "lang string, text string")
+    assert_like_plain(langid.train(docs, centroids=2, quantile=quantile), learn, k=2, quantile=quantile)
+
+
+def test_nothing_to_learn_from(spark, no_docs):
+    model = langid.train(no_docs)
+    assert model.langs == [] and model.centroids.shape == (0, langid.DIM) and model.reject_below == 0
+    model = langid.train(spark.createDataFrame([("aa", "?!"), ("bb", "")], "lang string, text string"))
+    assert model.langs == [] and model.reject_below == 0
