@@ -107,7 +107,7 @@ def test_centroids_and_bound_come_from_every_training_text(spark):
     learn += [("aa", " ".join(rng.choices(other, k=rng.randint(6, 14)) + words[:2])) for _ in range(40)]  # no cosine is 0
     learn += [("bb", " ".join(rng.choices(other + words[:20], k=12) + words[:2])) for _ in range(90)]
     learn += [("bb", " ".join(["the same text", *words[:2]]))] * 30 + [("bb", "lang " * 400 + words[0])]
-    learn += [("cc", "alone"), ("dd", "?!"), ("dd", "")]
+    learn += [("cc", "alone"), ("cc", "?!"), ("cc", "")]
     rng.shuffle(learn)
     docs = spark.createDataFrame([(i if i % 9 else None, lang, text) for i, (lang, text) in enumerate(learn)] + [
         (-1, None, "no language"), (-2, "aa", None)], "doc_id long, lang string, text string")
@@ -127,6 +127,12 @@ def test_quantiles_of_few_and_equal_cosines(spark, quantile):
     assert_like_plain(langid.train(docs, centroids=2, quantile=quantile), learn, k=2, quantile=quantile)
 
 
+def test_a_language_without_a_trigram(spark):
+    learn = [("aa", "some words"), ("aa", "more words of it"), ("dd", "?!"), ("dd", "")]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(learn)], "doc_id long, lang string, text string")
+    assert_like_plain(langid.train(docs), learn)
+
+
 def test_nothing_to_learn_from(spark, no_docs):
     model = langid.train(no_docs)
     assert model.langs == [] and model.centroids.shape == (0, langid.DIM) and model.reject_below == 0
